@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import itertools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -91,6 +92,11 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+def by_key(batches: Iterator[list[tuple]], width: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """(key, rows) of consecutive rows with equal first width columns; each rows is to be used up before the next."""
+    return itertools.groupby(itertools.chain.from_iterable(batches), key=lambda r: r[:width])
+
+
 def fields(*pairs: tuple[str, str]) -> T.StructType:
     """A schema from (name, type) pairs; types are DDL strings."""
     out = T.StructType()

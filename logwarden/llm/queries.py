@@ -5,14 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media, mixing, packing, secrets
+from . import chat, media, mixing, neardup, packing, search, secrets, substrings, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the rows whose vec_id is divisible by 50, against all rows."""
+    vectors = search.integer_vectors(_table(spark, sf_dir, "embeddings"))
+    return search.search(vectors, vectors.where(F.col("vec_id") % 50 == 0).select("vec_id"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), packing.tokenizer_path())
 
@@ -21,6 +28,31 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeat_digests(_table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are dated by page_id: one a second from 2024 on."""
+    date = F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(31_536_000)))
+    index = warc.archive_pages(_table(spark, sf_dir, "pages"), date)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.probe_conversation(spark))
+    return chat.conversation_digests(chat.format_events(chat.events_of_turns(turns)))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(_table(spark, sf_dir, "documents"))
 
@@ -29,9 +61,83 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_mixing, op9_media, op10_secrets)}
+    every = (op1_exact_search, op2_packing, op3_mixing, op4_toxicity, op5_substring_dedup, op6_warc, op7_near_dedup, op8_chat, op9_media, op10_secrets, pipeline)
+    return {f.__name__: f for f in every}
+
+
+OP1 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+OP6 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, octet_length(encode(body)) AS n, max(page_id) OVER (PARTITION BY h) AS last_id,
+         array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST((CAST(concat('0x', substr(h, CAST(i // 4 * 5 + 1 AS BIGINT), 5)) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS digest
+  FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = last_id OR last_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last_id THEN last_id END AS refers_to
+FROM d
+"""
+
+OP8 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, regexp_replace(text, '([<\[])(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|INST\]|/INST\]|s>|/s>|<SYS>>|</SYS>>)', '\1\2\\\3', 'g') AS escaped,
+         regexp_replace(role, '([<\[])(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|INST\]|/INST\]|s>|/s>|<SYS>>|</SYS>>)', '\1\2\\\3', 'g') AS escaped_role
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(escaped) + length(escaped_role) + 24) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+OP5 = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, unnest(range(1, len(words) - 33)) AS i, words FROM w WHERE len(words) >= 35
+), h AS (
+  SELECT doc_id, i, md5(array_to_string(words[i : i + 34], ' ')) AS k FROM s
+), r AS (
+  SELECT doc_id, i FROM h QUALIFY count(*) OVER (PARTITION BY k) > 1
+), x AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM r
+), g AS (
+  SELECT doc_id, list(j) AS gone FROM x GROUP BY doc_id
+), k AS (
+  SELECT w.doc_id, len(words) AS n, coalesce(len(gone), 0) AS m,
+         CASE WHEN gone IS NULL THEN words ELSE list_transform(list_where(list_zip(words, range(1, len(words) + 1)), list_transform(range(1, len(words) + 1), j -> NOT list_contains(gone, j))), z -> z[1]) END AS kept
+  FROM w LEFT JOIN g ON w.doc_id = g.doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(m AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL takes whole tables in bearable time. The others are tested against brute force: op2, op3 and op9 store or draw, op4 learns, op7 and op10 would be too slow."""
+    return {"op1_exact_search": OP1, "op6_warc": OP6, "op8_chat": OP8}
