@@ -5,7 +5,7 @@ Every stage but the last takes and returns the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logwarden.llm import mixing, neardup, packing, secrets, toxicity
@@ -19,9 +19,15 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays; documents without words, and without an id, all stay."""
+    """Of each group of near-duplicates the document with the smallest doc_id stays, one row of it; documents without words, and rows without an id, all stay."""
     out = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n_")).where("n_ > 1").select("doc_id")
+    if repeated.isEmpty():
+        return left
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+    first = left.join(repeated, "doc_id", "left_semi").withColumn("k_", F.row_number().over(order)).where("k_ = 1")
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from .common import fields, map_rows
 BUCKETS = 1 << 18
 FACTORS = 8
 #: Most labelled rows that are used for fitting: those with the smallest hashes of their ids.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 8_000
 #: Most terms of one row in fitting (those with the smallest hashes); scoring uses all.
 TRAIN_TERMS = 4096
 _OUTER = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -72,9 +72,10 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 30, lasso: float = 2e-3, ridge: float = 1e-3, seed: int = 5) -> Machine:
-    """A machine from the distinct terms of each row and its label. Full-batch proximal gradient for the weights, then gradient steps for weights and vectors of the terms left."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 30, lasso: float | None = None, ridge: float = 1e-3, seed: int = 5) -> Machine:
+    """A machine from the distinct terms of each row and its label. Full-batch proximal gradient for the weights, then gradient steps for weights and vectors of the terms left. The default lasso falls with the root of the number of rows, as chance correlations do."""
     n = len(rows)
+    lasso = 0.055 / max(n, 1) ** 0.5 if lasso is None else lasso
     if not n or labels.min() == labels.max():
         share = (labels.sum() + 0.5) / (n + 1) if n else 0.0
         return Machine(float(np.log(share / (1 - share))) if n else -30.0, {}, {})

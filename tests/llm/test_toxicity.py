@@ -10,16 +10,17 @@ from .helpers import edge_docs, no_docs
 
 
 def test_held_out_accuracy(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     machine = toxicity.train(docs, labels)
     rows = toxicity.score_documents(docs, machine).collect()
     y = {r.doc_id: r.toxic for r in labels.collect()}
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     test = [(r.predicted, y[r.doc_id]) for r in rows if r.held_out and r.doc_id in y]
-    assert sum(p == t for p, t in test) / len(test) >= 0.93
-    again = toxicity.score_documents(docs.repartition(5), toxicity.train(docs.repartition(3), labels)).collect()
-    assert sorted(again) == sorted(rows)
+    assert sum(p == t for p, t in test) / len(test) >= 0.965
+    flagged = [t for p, t in test if p]
+    assert sum(flagged) / len(flagged) >= 0.97 and sum(flagged) >= 0.75 * sum(t for _, t in test)
+    assert toxicity.train(docs.repartition(3), labels).weights == machine.weights
 
 
 def test_pairs_of_harmless_terms_are_learned():
