@@ -74,9 +74,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP1 = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE)) AS e
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE)) AS e
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
@@ -90,7 +90,7 @@ WITH p AS (
   SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
 ), d AS (
   SELECT page_id, octet_length(encode(body)) AS n, max(page_id) OVER (PARTITION BY h) AS last_id,
-         array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
            CAST((CAST(concat('0x', substr(h, CAST(i // 4 * 5 + 1 AS BIGINT), 5)) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS digest
   FROM p
 )
@@ -131,7 +131,7 @@ WITH w AS (
   SELECT doc_id, list(j) AS gone FROM x GROUP BY doc_id
 ), k AS (
   SELECT w.doc_id, len(words) AS n, coalesce(len(gone), 0) AS m,
-         CASE WHEN gone IS NULL THEN words ELSE list_transform(list_where(list_zip(words, range(1, len(words) + 1)), list_transform(range(1, len(words) + 1), j -> NOT list_contains(gone, j))), z -> z[1]) END AS kept
+         CASE WHEN gone IS NULL THEN words ELSE list_transform(list_where(list_zip(words, range(1, len(words) + 1)), list_transform(range(1, len(words) + 1), lambda j: NOT list_contains(gone, j))), lambda z: z[1]) END AS kept
   FROM w LEFT JOIN g ON w.doc_id = g.doc_id
 )
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(m AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
