@@ -77,7 +77,7 @@ def group_value(raw: Column, field: str) -> list[Column]:
     """What a facet groups by: whether the value is a number, and its text; 1 and 1.0 are one group, 1 and "1" are two."""
     t, k = text(raw, field), kind(raw, field)
     numeric = k.rlike("^(BIGINT|DECIMAL|DOUBLE|BOOLEAN)")
-    return [F.coalesce(numeric, F.lit(False)), F.when(numeric, F.regexp_replace(t, r"(\.[0-9]*?)0+$", "$1")).otherwise(t)]
+    return [F.coalesce(numeric, F.lit(False)), F.when(numeric, F.regexp_replace(t, r"\.0+$|(\.[0-9]*?)0+$", "$1")).otherwise(t)]
 
 
 def normal_time(t: Column) -> Column:

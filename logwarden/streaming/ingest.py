@@ -66,7 +66,8 @@ class Pipeline:
         if fresh:
             table = A.upsert(table, shape(A.group_matches(M.matches(stored))), add=True)
         if correlations:
-            hits = self.hits().drop("micro_batch")
+            # What this batch added when it ran before is not read: it is about to be written again.
+            hits = self.hits().where(F.col("micro_batch") != _synthetic(batch_id)).drop("micro_batch")
             ids = stored.select("event_id")
             fired, added = C.correlate(hits, correlations, self.anchors, ids)
             append_once(C.append_hits(hits.select("event_id", "rule_title"), added), f"{self.path}/hits", _synthetic(batch_id))
