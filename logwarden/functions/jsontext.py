@@ -22,6 +22,11 @@ def path(field: str) -> str:
     return "$['" + ("EventID" if name.lower() == "eventid" else name) + "']"
 
 
+def sanitised(name: str) -> str:
+    """A field name as stores keep it that drop all but letters and digits from unmapped names: src_ip is srcip there. For rules written against such stores; nothing here does it by default."""
+    return "".join(ch for ch in name if ch.isalnum())
+
+
 def kind(raw: Column, field: str) -> Column:
     """VOID, BOOLEAN, BIGINT, DECIMAL(..), DOUBLE, STRING, OBJECT<..> or ARRAY<..>; null if missing."""
     p = path(field)

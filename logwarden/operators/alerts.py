@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.sigma import LEVELS
 from .events import SEVERITY
+from .kb import enrich
 
 ENTITIES = {"users": "user_name", "hosts": "host", "src_ips": "src_ip", "dst_ips": "dst_ip", "processes": "process"}
 SAMPLE = 10
@@ -118,5 +119,16 @@ def list_alerts(alerts: DataFrame, source_batch: str | None = None, status: str
     return page.drop("sample_events")
 
 
+def alert_detail(alerts: DataFrame, alert_id: str, kb: dict[str, DataFrame] | None) -> DataFrame:
+    """One alert with its techniques looked up: the array techniques of id, name, tactics and whether it is known. Without a knowledge base the array is null."""
+    one = get_alert(alerts, alert_id)
+    if kb is None:
+        return one.withColumn("techniques", F.lit(None).cast("array<struct<technique_id:string,name:string,tactics:array<string>,matched:boolean>>"))
+    found = enrich(one, kb, "alert_id", "mitre_techniques")
+    rows = found.groupBy("alert_id").agg(F.array_sort(F.collect_list(F.struct("pos", "technique_id", "name", "tactics", "matched"))).alias("t"))
+    fields = F.transform("t", lambda x: F.struct(x["technique_id"].alias("technique_id"), x["name"].alias("name"), x["tactics"].alias("tactics"), x["matched"].alias("matched")))
+    return one.join(rows.select("alert_id", fields.alias("techniques")), "alert_id", "left")
+
+
 def get_alert(alerts: DataFrame, alert_id: str) -> DataFrame:
     return alerts.where(F.col("alert_id") == alert_id).limit(1)

@@ -230,7 +230,8 @@ def rule_condition(op: str, value) -> Column:
     return _compare(F.size(titles).cast("double"), op, F.lit(n))
 
 
-def condition(c: Condition, raw: Column | None = None) -> Column:
+def condition(c: Condition, raw: Column | None = None, promoted: dict[str, Column] | None = None) -> Column:
+    """promoted: text columns by field name, to be read in place of raw. Their filters reach the file scan."""
     name = c.field.lower()
     if name == "is_matched":
         return matched_condition(c.op, c.value)
@@ -238,22 +239,23 @@ def condition(c: Condition, raw: Column | None = None) -> Column:
         return rule_condition(c.op, c.value)
     if c.op not in OPERATORS:
         raise FilterError(f"unknown operator {c.op!r}")
-    return text_condition(J.text(F.col("raw") if raw is None else raw, c.field), c.op, c.value)
+    t = (promoted or {}).get(c.field)
+    return text_condition(J.text(F.col("raw") if raw is None else raw, c.field) if t is None else t, c.op, c.value)
 
 
-def compile_tree(tree, raw: Column | None = None) -> Column:
+def compile_tree(tree, raw: Column | None = None, promoted: dict[str, Column] | None = None) -> Column:
     if isinstance(tree, Condition):
-        return condition(tree, raw)
+        return condition(tree, raw, promoted)
     if isinstance(tree, Not):
-        return ~compile_tree(tree.part, raw)
-    parts = [compile_tree(p, raw) for p in tree.parts]
+        return ~compile_tree(tree.part, raw, promoted)
+    parts = [compile_tree(p, raw, promoted) for p in tree.parts]
     return J.any_of(parts) if tree.word == "or" else J.all_of(parts)
 
 
-def compile_filter(text: str, raw: Column | None = None) -> Column | None:
+def compile_filter(text: str, raw: Column | None = None, promoted: dict[str, Column] | None = None) -> Column | None:
     """The Column of a filter; None for a blank one."""
     tree = parse(text)
-    return None if tree is None else compile_tree(tree, raw)
+    return None if tree is None else compile_tree(tree, raw, promoted)
 
 
 def drill_in(conditions: list[dict], raw: Column | None = None) -> Column:

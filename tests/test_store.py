@@ -11,12 +11,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from logwarden import queries as Q
+from logwarden.functions import jsontext as J
 from logwarden.operators import alerts as A
 from logwarden.operators import events as E
 from logwarden.operators import kb as K
 from logwarden.operators import matching as M
 from logwarden.operators.registry import Registry
 from logwarden.plans.catalog import Correlation
+from logwarden.plans.filters import compile_filter
 from logwarden.plans.sigma import Rule
 from logwarden.sources import readers as R
 from logwarden.sources.sinks import VersionedTable
@@ -139,6 +141,18 @@ def test_knowledge_base(spark, tmp_path):
     assert {n: t.count() for n, t in K.build(K.read_bundle(spark, str(path))).items() if n != "mitre_meta"} == {n: t.count() for n, t in kb.items() if n != "mitre_meta"}
 
 
+def test_alert_detail_and_promoted_fields(spark, tmp_path):
+    kb = K.build(Q.bundle(spark))
+    a = spark.createDataFrame([("1", ["T1078", "T9999"]), ("2", [])], "alert_id string, mitre_techniques array<string>")
+    t = A.alert_detail(a, "1", kb).first().techniques
+    assert [(x.technique_id, x.matched, x.tactics) for x in t] == [("T1078", True, ["TA0002", "TA0001"]), ("T9999", False, [])]
+    assert A.alert_detail(a, "2", kb).first().techniques is None and A.alert_detail(a, "1", None).first().techniques is None
+    events(spark, [{"EventID": 1}, {"EventID": 2}]).write.parquet(str(tmp_path / "e"))
+    df = spark.read.parquet(str(tmp_path / "e")).where(compile_filter("EventID = 2", promoted={"EventID": F.col("event_code")}))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == 1 and "EqualTo(event_code,2)" in plan and J.sanitised("src_ip@x") == "srcipx"
+
+
 FAIL = Rule("f", "Fail", "informational", detection={"s": {"EventID": 4625}, "condition": "s"})
 BURST = Correlation("c", "Burst", "event_count", ("IpAddress",), 300, {"gte": 10}, (("Fail", "rule"),), "high")
 
