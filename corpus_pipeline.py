@@ -22,11 +22,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays, one row of it; documents without words, and rows without an id, all stay."""
     out = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     left = docs.join(out, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n_")).where("n_ > 1").select("doc_id")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows_")).where("rows_ > 1").select("doc_id")
     if repeated.isEmpty():
         return left
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    first = left.join(repeated, "doc_id", "left_semi").withColumn("k_", F.row_number().over(order)).where("k_ = 1")
+    first = left.join(repeated, "doc_id", "left_semi").withColumn("__rank__", F.row_number().over(order)).where("__rank__ = 1")
     return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
