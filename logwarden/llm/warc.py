@@ -35,12 +35,13 @@ MERGED_ROWS = 100_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def sha1_base32(data: Column) -> Column:
-    """Upper-case base32 of the SHA-1: four characters for each five hex digits."""
-    hex_ = F.sha1(data)
-    part = lambda i: F.conv(F.substring(hex_, (F.floor(i / 4) * 5 + 1).cast("int"), F.lit(5)), 16, 10).cast("int")
-    at = lambda i: F.expr("0") + F.pmod(F.floor(part(i) / F.pow(F.lit(2), 15 - 5 * (i % 4))), F.lit(32)) + 1
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substring(F.lit(BASE32), at(i).cast("int"), F.lit(1))), "")
+def base32(hex_: Column) -> Column:
+    """Upper-case base32 of 40 hex digits: four characters for each five of them."""
+    out = []
+    for i in range(8):
+        five = F.conv(F.substring(hex_, 5 * i + 1, 5), 16, 10).cast("int")
+        out += [F.substring(F.lit(BASE32), F.shiftright(five, shift).bitwiseAND(31) + 1, F.lit(1)) for shift in (15, 10, 5, 0)]
+    return F.concat(*out)
 
 
 def _records(pages: DataFrame, digests: DataFrame, date: Column) -> DataFrame:
@@ -62,7 +63,7 @@ def _records(pages: DataFrame, digests: DataFrame, date: Column) -> DataFrame:
             header("WARC-Record-ID", id_(F.col("page_id"))),
             header("WARC-Date", F.date_format(F.coalesce(date, F.to_timestamp(F.lit("1970-01-01 00:00:00"))), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
             header("WARC-Target-URI", clean),
-            header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+            header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("digest")))),
             F.when(revisit, F.concat(header("WARC-Profile", F.lit(PROFILE)), header("WARC-Refers-To", id_(F.col("last_id"))))).otherwise(F.lit("")),
             header("Content-Type", F.lit("application/http; msgtype=response")),
             header("Content-Length", F.octet_length(block).cast("string")),
@@ -83,7 +84,7 @@ def write_archives(pages: DataFrame, path: str, date: Column | None = None, leas
     shuffle, so a payload that a third of all rows share is a row per task.
     """
     payload = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", "html", sha1_base32(payload.cast("binary")).alias("digest"), (date if date is not None else F.lit(None).cast("timestamp")).alias("date_"))
+    rows = pages.select("page_id", "url", "html", F.sha1(payload.cast("binary")).alias("digest"), (date if date is not None else F.lit(None).cast("timestamp")).alias("date_"))
     size = F.octet_length(payload)
     digests = rows.groupBy("digest").agg(F.count("*").alias("rows_"), F.max("page_id").alias("last_id"), F.max(size).alias("bytes"))
     digests = stage(digests.select("digest", F.when(F.col("bytes") >= least_bytes, F.col("rows_")).otherwise(1).alias("rows_"), F.when(F.col("bytes") >= least_bytes, F.col("last_id")).alias("last_id"), "bytes"), "warc")
