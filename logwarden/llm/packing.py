@@ -10,6 +10,7 @@ stream becomes sequences whose lengths are powers of two, so it has no padding.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -37,26 +38,56 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: a printable byte is the character of its number, the others follow from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTES = _byte_letters()
+#: Words of common letters, and perhaps ASCII marks behind them: normalising is lowering, and the two parts are the pieces that merges work on.
+_SIMPLE = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordTokens(dict):
     """UTF-8 word -> its ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and splits at it, so a text's ids are
-    those of its words, one after another. The table is cleared when full,
-    and long words are not kept, so its memory is bounded.
+    those of its words, one after another. Simple words go to the merges
+    directly, part by part; all others through the whole tokenizer. The tables
+    are cleared when full, and long words are not kept, so memory is bounded.
     """
 
     def __init__(self, path: str) -> None:
         super().__init__()
         self.path = path
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            text = part if part.isascii() else "".join(map(_BYTES.__getitem__, part.encode()))
+            got = array("I", [t.id for t in _tokenizer(self.path).model.tokenize(text)]).tobytes()
+            if len(self.parts) >= _WORD_CACHE // 2:
+                self.parts.clear()
+            self.parts[part] = got
+        return got
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = array("I", _tokenizer(self.path).encode(word.decode(), add_special_tokens=False).ids).tobytes()
-        if len(word) <= _LONG_WORD:
-            if len(self) >= _WORD_CACHE:
-                self.clear()
-            self[word] = ids
+        text = word.decode()
+        if len(word) > _LONG_WORD:
+            return self._whole(text)
+        m = _SIMPLE.fullmatch(text)
+        ids = self._whole(text) if m is None else self._part(m[1].lower()) + (self._part(m[2]) if m[2] else b"")
+        if len(self) >= _WORD_CACHE:
+            self.clear()
+        self[word] = ids
         return ids
 
+    def _whole(self, text: str) -> bytes:
+        return array("I", _tokenizer(self.path).encode(text, add_special_tokens=False).ids).tobytes()
+
     def ids(self, text: str | None, end: int) -> bytes:
         return b"".join(map(self.__getitem__, (text or "").encode().split())) + array("I", [end]).tobytes()
 

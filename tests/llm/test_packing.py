@@ -78,7 +78,7 @@ def test_least_squares_recovers_a_mixture():
     assert (used[1:] <= hist[1:]).all() and used[1:].sum() >= 0.95 * hist[1:].sum()
 
 
-@pytest.mark.parametrize("text", ["Hello, World's 12", "a b c", "ΣΑΣ ς İ", "x" * 200 + " y", "<|endoftext|>Ab"])
+@pytest.mark.parametrize("text", ["Hello, World's 12", "a b c", "ΣΑΣ ς İ", "x" * 200 + " y", "<|endoftext|>Ab", "Élève, straße!! NAÏVE*** ÿ<| abc<|endoftext|>", "don't a'b x_y a1 ¼ ªº µ", "e\u0301te\u0301 A\u030a"])
 def test_words_give_the_ids_of_the_whole_text(text):
     from tokenizers import Tokenizer
 
