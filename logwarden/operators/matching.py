@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsontext as J
-from ..plans.sigma import Rule, pattern, plain, strings
+from ..plans.sigma import Rule, SharedTexts, pattern, plain, strings
 
 PACK = 100
 MATCH = "struct<id:string,title:string,level:string,tags:array<string>>"
@@ -38,12 +38,12 @@ def routes(rules: Iterable[Rule]) -> dict[int | None, list[Rule]]:
     return dict(out)
 
 
-def _found(rules: list[Rule], raw: Column, lists: Callable | None) -> Column:
+def _found(rules: list[Rule], raw: Column, lists: Callable | None, shared: SharedTexts) -> Column:
     tests = []
     for r in rules:
-        p = r.predicate(raw, lists)
+        p = r.predicate(raw, lists, shared=shared)
         if r.channel:
-            c = J.text(raw, "Channel")
+            c = shared.column("Channel", True)
             p = (c.isNull() | c.isin(list(r.channel))) & p
         tests.append(F.when(p, head(r)))
     return F.filter(F.array(*tests), lambda x: x.isNotNull())
@@ -56,11 +56,14 @@ def match(events: DataFrame, rules: Iterable[Rule], lists: Callable[[str], list[
     """
     raw, none = F.col("raw"), F.array().cast(f"array<{MATCH}>")
     parts: list[Column] = []
+    shared = SharedTexts()
     for event, some in routes(rules).items():
         for i in range(0, len(some), pack):
-            found = _found(some[i : i + pack], raw, lists)
+            found = _found(some[i : i + pack], raw, lists, shared)
             parts.append(found if event is None else F.when(F.col("event_code") == str(event), found).otherwise(none))
-    out = events.withColumn("matched", F.concat(*parts).cast(f"array<{MATCH}>") if parts else none)
+    columns = events.columns
+    found = F.concat(*parts).cast(f"array<{MATCH}>") if parts else none
+    out = shared.added(events, raw).withColumn("matched", found).select(*[F.col(f"`{c}`") for c in columns if c != "matched"], "matched")
     return out.withColumn("matched_rules", F.col("matched.title")).withColumn("is_matched", F.size("matched") > 0)
 
 

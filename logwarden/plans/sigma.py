@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsontext as J
@@ -43,6 +43,21 @@ class RuleError(ValueError):
     """A rule that cannot be compiled."""
 
 
+class SharedTexts:
+    """Columns for the texts of fields that many rules read: each is read from raw once, and the rules refer to it by name."""
+
+    def __init__(self) -> None:
+        self.columns: dict[tuple[str, bool], str] = {}
+
+    def column(self, name: str, cased: bool) -> Column:
+        return F.col(self.columns.setdefault((name, cased), f"text_{len(self.columns)}_"))
+
+    def added(self, events: DataFrame, raw: Column) -> DataFrame:
+        """events with the columns that were asked for so far."""
+        made = [(J.text(raw, name) if cased else J.ascii_lower(J.text(raw, name))).alias(c) for (name, cased), c in self.columns.items()]
+        return events.select("*", *made)
+
+
 @dataclass
 class Rule:
     """A compiled rule's head and its predicate. channel and eventid are the events that it needs; empty means any."""
@@ -61,8 +76,8 @@ class Rule:
     detection: dict = field(default_factory=dict)
     fields_as: dict[str, str] = field(default_factory=dict)
 
-    def predicate(self, raw: Column, lists: Callable[[str], list[str]] | None = None, nulls_match: bool = False) -> Column:
-        return Compiler(raw, lists, self.fields_as, nulls_match).detection(self.detection)
+    def predicate(self, raw: Column, lists: Callable[[str], list[str]] | None = None, nulls_match: bool = False, shared: SharedTexts | None = None) -> Column:
+        return Compiler(raw, lists, self.fields_as, nulls_match, shared).detection(self.detection)
 
 
 def documents(text: str) -> list[dict]:
@@ -170,12 +185,14 @@ def in_network(t: Column, network: str) -> Column:
 class Compiler:
     """Builds the Column of one detection. Texts of fields are made once each."""
 
-    def __init__(self, raw: Column, lists: Callable[[str], list[str]] | None = None, fields_as: dict[str, str] | None = None, nulls_match: bool = False) -> None:
-        self.raw, self.lists, self.fields_as, self.nulls_match = raw, lists, fields_as or {}, nulls_match
+    def __init__(self, raw: Column, lists: Callable[[str], list[str]] | None = None, fields_as: dict[str, str] | None = None, nulls_match: bool = False, shared: SharedTexts | None = None) -> None:
+        self.raw, self.lists, self.fields_as, self.nulls_match, self.shared = raw, lists, fields_as or {}, nulls_match, shared
         self.made: dict[tuple[str, bool], Column] = {}
 
     def text(self, name: str, cased: bool = True) -> Column:
         name = self.fields_as.get(name, name)
+        if self.shared is not None:
+            return self.shared.column(name, cased)
         if (name, cased) not in self.made:
             t = J.text(self.raw, name)
             self.made[name, cased] = t if cased else J.ascii_lower(t)
