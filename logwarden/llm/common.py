@@ -17,6 +17,10 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that map_rows() turns into Python objects at a time.
+ROWS = 256
+
+
 def n_words(text: Column) -> Column:
     """Number of words; null counts as no words."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
@@ -69,7 +73,9 @@ def map_rows(df: DataFrame, fn: Callable[..., Iterator[tuple]], schema: T.Struct
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         held = 0
-        for row in fn(list(zip(*(c.to_pylist() for c in b.columns), strict=True)) for b in batches):
+        # Few rows at a time are Python objects; long texts would fill a worker's memory otherwise.
+        parts = (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS))
+        for row in fn(list(zip(*(c.to_pylist() for c in p.columns), strict=True)) for p in parts):
             out.append(row)
             held += sum(len(v) for v in row if isinstance(v, (str, bytes, list)))
             if len(out) >= batch_rows or held >= 8 << 20:

@@ -32,8 +32,6 @@ WINDOW = 35
 CHUNK = 1 << 20
 #: Probes that one task gets at a time.
 BUCKET_PROBES = 3_000_000
-#: Hit blocks up to this number are joined by broadcast (with documents' keys, 12 bytes each).
-BROADCAST_BLOCKS = 1_500_000
 _BITS = np.uint64(48)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
@@ -81,13 +79,13 @@ class Chunk:
         self.words += len(hashes) // 8
 
     def close(self) -> None:
-        self.all = np.frombuffer(b"".join(self.parts), np.uint64)
         lengths = np.array([len(p) // 8 for p in self.parts])
+        self.all = np.frombuffer(b"".join(self.parts), np.uint64)
+        self.parts = []
         self.starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-        self.owner = np.repeat(np.arange(len(lengths)), lengths)
-        at = np.arange(len(self.all))
-        self.place = at - self.starts[self.owner]
-        self.left = lengths[self.owner] - self.place
+        self.owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        self.place = np.arange(len(self.all), dtype=np.int32) - self.starts.astype(np.int32)[self.owner]
+        self.left = lengths.astype(np.int32)[self.owner] - self.place
         self.ids = np.array(self.keys, np.int64)
 
 
@@ -100,9 +98,10 @@ def _chunks(batches, window: int, size: int = CHUNK) -> Iterator[Chunk]:
             if len(h) >= 8 * window:
                 chunk.add(key, h, *extra)
                 if chunk.words >= size:
-                    chunk.close()
-                    yield chunk
-                    chunk = Chunk()
+                    full, chunk = chunk, Chunk()
+                    full.close()
+                    yield full
+                    del full
     if chunk.keys:
         chunk.close()
         yield chunk
@@ -256,8 +255,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     buckets = 1 << max(4, int(size / 5 / BUCKET_PROBES).bit_length())
     hits = stage(hit_blocks(rows.select("key", "text"), window, buckets), "repeats")
     release(spark)
-    blocks = hits.agg(F.coalesce(F.sum(F.size("blocks")), F.lit(0))).first()[0]
-    found = stage(rows.join(F.broadcast(hits) if blocks <= BROADCAST_BLOCKS else hits, "key").select("doc_id", "key", "text", "blocks"), "repeats")
+    found = stage(rows.join(hits, "key").select("doc_id", "key", "text", "blocks"), "repeats")
     release(spark)
     runs = stage(repeated_runs(found.select("key", "text", "blocks"), window, buckets), "repeats")
     release(spark)
