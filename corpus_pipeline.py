@@ -12,6 +12,10 @@ from logwarden.llm import mixing, neardup, packing, secrets, toxicity
 from logwarden.llm.common import stage
 
 
+#: Dropped documents up to this number are joined by broadcast (8 bytes each); beyond it the documents are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the machine scores at 0.3 or more go."""
     machine = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -20,8 +24,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays, one row of it; documents without words, and rows without an id, all stay."""
-    out = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+    out = stage(neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    left = docs.join(F.broadcast(out) if out.count() <= BROADCAST_IDS else out, "doc_id", "left_anti").select(*docs.columns)
     repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows_")).where("rows_ > 1").select("doc_id")
     if repeated.isEmpty():
         return left

@@ -20,6 +20,8 @@ from .common import drop_stage, n_words, stage
 
 BUCKET_ROWS = 4096
 FAN_IN = 256
+#: Decisions on up to this many documents are joined by broadcast (24 bytes each); beyond it the documents are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
@@ -131,7 +133,8 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     rows = docs.select(*[F.col(f"`{c}`").alias(own[c]) for c in names])
     key, cols = own["doc_id"], list(own.values())
     chosen = mix(docs, part_of_last=False, **options).groupBy("doc_id").agg(F.sum("copies").alias("copies_"), F.count("*").alias("rows_"))
-    one = rows.join(chosen, F.col(key).eqNullSafe(F.col("doc_id"))).drop("doc_id")
+    chosen = stage(chosen, "mix")
+    one = rows.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen, F.col(key).eqNullSafe(F.col("doc_id"))).drop("doc_id")
     share = F.floor(F.col("copies_") / F.col("rows_"))
     alone = one.where("rows_ = 1").select(*cols, F.col("copies_").alias("n_"))
     w = Window.partitionBy(key).orderBy(F.xxhash64(*cols))

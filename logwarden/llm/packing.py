@@ -27,7 +27,7 @@ GRAIN = 16
 RANKED = 200_000
 #: Cut documents up to this number are joined by broadcast (16 bytes each).
 BROADCAST_CUTS = 200_000
-_WORD_CACHE = 1 << 19
+_WORD_CACHE = 1 << 18
 _LONG_WORD = 64
 
 
@@ -92,11 +92,6 @@ class WordTokens(dict):
         return b"".join(map(self.__getitem__, (text or "").encode().split())) + array("I", [end]).tobytes()
 
 
-@lru_cache(maxsize=1)
-def word_tokens(path: str) -> WordTokens:
-    return WordTokens(path)
-
-
 def combinations(bins: int) -> np.ndarray:
     """All ways to fill a window of so many grains by one to three lengths: rows of non-increasing lengths, 0 for none."""
     out = [(bins, 0, 0)]
@@ -166,7 +161,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, window: int = WINDOW, gr
     schema = fields(("doc_id", kind), ("text_", "bigint"), ("n", "bigint"), ("crcs", "array<bigint>"))
 
     def measure(batches):
-        table = word_tokens(tokenizer)
+        table = WordTokens(tokenizer)
         for rows in batches:
             for doc_id, h, text in rows:
                 ids = table.ids(text, end)
@@ -263,7 +258,7 @@ def _checksums(keyed: DataFrame, pieces: DataFrame, tokenizer: str, end: int) ->
     schema = fields(("doc_id", kind), ("text_", "bigint"), ("start", "bigint"), ("length", "bigint"), ("got", "bigint"))
 
     def run(batches):
-        table = word_tokens(tokenizer)
+        table = WordTokens(tokenizer)
         for rows in batches:
             for doc_id, h, text, parts in rows:
                 ids = table.ids(text, end)

@@ -26,7 +26,7 @@ TRAIN_ROWS = 8_000
 #: Most terms of one row in fitting (those with the smallest hashes); scoring uses all.
 TRAIN_TERMS = 4096
 _OUTER = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-_CACHE = 1 << 19
+_CACHE = 1 << 18
 
 
 class Terms(dict):
