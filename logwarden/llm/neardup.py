@@ -7,6 +7,10 @@ few documents share it, deeper where many do. Regions give candidates; a
 region is narrowed by the whole signatures, and its links are confirmed on
 the full shingle sets. Documents with equal sets are one class from the start,
 and only one of each class is in the forest.
+
+Runs that are too long for one region are crowds. What the forest has left
+apart in them is compared pair by pair, block by block, so that any two
+documents with a common head in one tree are compared.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_key, components, drop_stage, fields, map_rows, release, stage
@@ -30,6 +34,9 @@ LEAST_DEPTH = 2
 REGION = 64
 #: Rows of a run that are held at once; a longer run is cut, with an overlap of a region.
 HELD = 65_536
+#: Most classes, and shingles, of a block of a crowd.
+BLOCK = 1024
+BLOCK_SHINGLES = 1 << 20
 #: Signatures that agree in a smaller share are not compared further: four deviations below a similarity of 0.75.
 LEAST_AGREEMENT = 0.54
 #: Candidate documents up to this number are joined by broadcast.
@@ -228,8 +235,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between doc_ids that connect each group's similar documents; pairs that are already connected in a group are not compared again."""
+def _sets(docs: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """region, doc_id, k1 and shingles of the representative of each class in each group (region, members)."""
     wanted = groups.select("region", F.explode("members").alias("k1")).join(classes.select("k1", "k2", "rep"), "k1")
     wanted = stage(wanted.groupBy("rep", "k1", "k2").agg(F.collect_set("region").alias("regions")), "near")
     small = wanted.count() <= BROADCAST_ROWS
@@ -243,7 +250,13 @@ def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, percent: int)
                 if _keys(s) == (k1, k2):
                     data = s.tobytes()
                     for r in regions:
-                        yield r, doc_id, data
+                        yield r, doc_id, k1, data
+
+    return map_rows(found, sets, fields(("region", "bigint"), ("doc_id", "bigint"), ("k1", "bigint"), ("shingles", "binary")))
+
+
+def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between doc_ids that connect each group's similar documents; pairs that are already connected in a group are not compared again."""
 
     def confirm(batches):
         for _, group in by_key(batches, 1):
@@ -258,10 +271,113 @@ def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, percent: int)
                         if group[i][1] != group[j][1]:
                             yield group[i][1], group[j][1]
 
-    ordered = map_rows(found, sets, fields(("region", "bigint"), ("doc_id", "bigint"), ("shingles", "binary"))).repartition("region").sortWithinPartitions("region", "doc_id")
+    ordered = _sets(docs, groups, classes).select("region", "doc_id", "shingles").repartition("region").sortWithinPartitions("region", "doc_id")
     return map_rows(ordered, confirm, fields(("a", "bigint"), ("b", "bigint")))
 
 
+def _crowds(classes: DataFrame) -> DataFrame:
+    """(crowd, k1) of the runs with a common head that are longer than a region."""
+    width, head = 4 * DEPTH, 4 * LEAST_DEPTH
+    trees = F.explode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(sig, t * {width} + 1, {head})))"))
+    heads = classes.select("k1", trees.alias("crowd"))
+    crowded = stage(heads.groupBy("crowd").agg(F.count("*").alias("n")).where(F.col("n") > REGION).select("crowd"), "near")
+    small = crowded.count() <= BROADCAST_ROWS
+    return stage(heads.join(F.broadcast(crowded) if small else crowded, "crowd").select("crowd", "k1").distinct(), "near")
+
+
+def _cells(crowds: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of the crowds' classes (k1, component, n, block), each class in one; and pairs of blocks (left, right) that have a crowd in common, and classes that the forest has left apart."""
+    member = crowds.join(classes.select("k1", "rep", F.col("n_shingles").alias("n")), "k1").join(found, "rep", "left").select("crowd", "k1", F.coalesce("component", "rep").alias("component"), "n")
+    apart = member.groupBy("crowd").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("crowd")
+    member = stage(member.join(apart, "crowd"), "near")
+    homes = member.groupBy("k1", "component", "n").agg(F.min("crowd").alias("crowd"))
+    cost = F.greatest(F.col("n"), F.lit(BLOCK_SHINGLES // BLOCK))
+    before = F.sum(cost).over(Window.partitionBy("crowd").orderBy("component", "n", "k1").rowsBetween(Window.unboundedPreceding, 0)) - cost
+    blocks = stage(homes.withColumn("block", F.xxhash64("crowd", F.floor(before / BLOCK_SHINGLES))).select("k1", "component", "n", "block"), "near")
+    of = blocks.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    side = lambda name: of.select(F.col("block").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("low", "high", "least", "most")])
+    met = member.join(blocks.select("k1", "block"), "k1").select("crowd", "block").distinct()
+    cells = met.select("crowd", F.col("block").alias("left")).join(met.select("crowd", F.col("block").alias("right")), "crowd").where("left <= right").select("left", "right").distinct()
+    cells = cells.join(side("left"), "left").join(side("right"), "right").where("least(left_low, right_low) < greatest(left_high, right_high)")
+    cells = cells.where(f"100 * left_most >= {percent} * right_least and 100 * right_most >= {percent} * left_least")
+    return blocks, stage(cells.select("left", "right"), "near")
+
+
+def _crowd_links(docs: DataFrame, crowds: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) in crowds between documents of different components: all pairs by signatures, then those that agree enough on their full sets."""
+    blocks, cells = _cells(crowds, classes, found, percent)
+    rows = blocks.join(classes.select("k1", "sig"), "k1")
+    sides = cells.select("left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
+    rows = sides.join(rows, "block").select("left", "right", "block", "k1", "component", "n", "sig")
+
+    def compare(batches):
+        for (left, right), group in by_key(batches, 2):
+            group = list(group)
+            at = [np.array([i for i, r in enumerate(group) if r[2] == b]) for b in (left, right)]
+            k, c, n = (np.array([r[x] for r in group], np.int64) for x in (3, 4, 5))
+            m = np.frombuffer(b"".join(r[6] for r in group), ">u4").astype(np.uint32).reshape(len(group), -1)
+            others = at[1]
+            mo, co, no = m[others], c[others], n[others]
+            cell = xxhash.xxh3_64_intdigest(np.array([left, right], np.int64).tobytes()) - (1 << 63)
+            paired = np.zeros(len(group), bool)
+            for x, i in enumerate(at[0]):
+                first = x + 1 if left == right else 0
+                fits = (co[first:] != c[i]) & (100 * np.minimum(no[first:], n[i]) >= percent * np.maximum(no[first:], n[i]))
+                js = np.flatnonzero(fits) + first
+                if len(js):
+                    js = js[(mo[js] == m[i]).mean(1) >= LEAST_AGREEMENT]
+                    if len(js):
+                        paired[i] = True
+                        paired[others[js]] = True
+                        yield cell, int(k[i]), k[others[js]].tolist()
+            if paired.any():
+                yield cell, None, k[paired].tolist()
+
+    ordered = rows.repartition("left", "right").sortWithinPartitions("left", "right")
+    pairs = stage(map_rows(ordered, compare, fields(("region", "bigint"), ("k1", "bigint"), ("others", "array<bigint>"))), "near")
+    # A row without k1 lists all classes of a cell's pairs.
+    sets = _sets(docs, pairs.where("k1 is null").select("region", F.col("others").alias("members")), classes)
+
+    def confirm(batches):
+        for _, group in by_key(batches, 1):
+            ids: dict[int, int] = {}
+            docs_, arrays, parent, starts = [], [], [], None
+            # Sets come before pairs.
+            for _, _, k1, doc_id, data, others in group:
+                if others is None:
+                    ids[k1] = len(arrays)
+                    parent.append(len(arrays))
+                    docs_.append(doc_id)
+                    arrays.append(np.frombuffer(data, np.uint64))
+                    continue
+                if starts is None:
+                    sizes = np.array([len(s) for s in arrays])
+                    starts = np.cumsum(sizes) - sizes
+                    terms = np.unique(np.concatenate(arrays), return_inverse=True)[1].astype(np.int32)
+                    mark = np.zeros(int(terms.max()) + 1, np.uint8)
+                i, js = ids[k1], [ids[o] for o in others]
+                if 8 * len(js) >= len(arrays):
+                    mine = terms[starts[i] : starts[i] + sizes[i]]
+                    mark[mine] = 1
+                    common = np.add.reduceat(mark[terms], starts, dtype=np.int64)
+                    mark[mine] = 0
+                    alike = 100 * common >= percent * (sizes + sizes[i] - common)
+                    js = [j for j in js if alike[j]]
+                else:
+                    js = [j for j in js if similar(arrays[i], arrays[j], percent)]
+                for j in js:
+                    x, y = _find(parent, i), _find(parent, j)
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        if docs_[i] != docs_[j]:
+                            yield docs_[i], docs_[j]
+
+    none = lambda kind: F.lit(None).cast(kind)
+    sets = sets.select("region", F.lit(0).alias("step"), "k1", "doc_id", "shingles", none("array<bigint>").alias("others"))
+    both = sets.unionByName(pairs.where("k1 is not null").select("region", F.lit(1).alias("step"), "k1", none("bigint").alias("doc_id"), none("binary").alias("shingles"), "others"))
+    return map_rows(both.repartition("region").sortWithinPartitions("region", "step"), confirm, fields(("a", "bigint"), ("b", "bigint")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Groups of documents that links of at least percent similarity connect.
 
@@ -275,7 +391,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stage(_signed(docs), "near")
     some = signed.where("k1 is not null and doc_id is not null")
-    classes = some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "sig")).alias("x"), F.count("*").alias("rows_")).select("k1", "k2", F.col("x.doc_id").alias("rep"), F.col("x.sig").alias("sig"), "rows_")
+    classes = some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "sig", "n_shingles")).alias("x"), F.count("*").alias("rows_")).select("k1", "k2", F.col("x.doc_id").alias("rep"), F.col("x.sig").alias("sig"), F.col("x.n_shingles").alias("n_shingles"), "rows_")
     classes = stage(classes, "near")
     regions = stage(_regions(classes), "near")
     release(spark)
@@ -289,6 +405,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     links = stage(links.unionByName(again), "near")
     release(spark)
     found = components(links).select(F.col("node").alias("rep"), "component").distinct()
+    crowds = _crowds(classes)
+    if not crowds.isEmpty():
+        more = stage(_crowd_links(docs, crowds, classes, found, percent), "near")
+        release(spark)
+        if not more.isEmpty():
+            found = components(links.unionByName(more)).select(F.col("node").alias("rep"), "component").distinct()
     member = signed.join(classes.select("k1", "k2", "rep"), ["k1", "k2"], "left").join(found, "rep", "left")
     # A repeated doc_id may also be reached by another of its rows.
     component = F.coalesce("component", "rep", "doc_id")

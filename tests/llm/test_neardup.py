@@ -94,6 +94,34 @@ def test_recall_of_links(spark):
     assert pairs == 150 and sum(not x[3] for x in got) >= 0.98 * pairs
 
 
+def crowd():
+    """Thousands of pages that share boilerplate and are less than 0.75 alike, and some pairs that are 0.75 to 0.80 alike."""
+    r = random.Random(13)
+    shared = [f"b{i}" for i in range(90)]
+    rows = [(10_000 + i, " ".join(shared + [f"u{i}_{j}" for j in range(25)])) for i in range(4000)]
+    pairs = []
+    for g in range(200):
+        w = shared + [f"g{g}_{j}" for j in range(25)]
+        n = r.randint(13, 15)
+        v = w[:-n] + [f"y{g}_{j}" for j in range(n)]
+        s, t = sets_of(" ".join(w)), sets_of(" ".join(v))
+        assert 0.75 <= len(s & t) / len(s | t) <= 0.80
+        pairs.append((2 * g, 2 * g + 1))
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(v))]
+    r.shuffle(rows)
+    return rows, pairs
+
+
+def test_pairs_in_a_crowd(spark, monkeypatch):
+    rows, pairs = crowd()
+    sets = [sets_of(t) for i, t in sorted(rows) if i < 400 and i % 2 == 0 or i >= 13_900]
+    assert max(len(s & t) / len(s | t) for n, s in enumerate(sets) for t in sets[:n]) < 0.75
+    monkeypatch.setattr(neardup, "BLOCK", 256)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 256 * 200)
+    got = run(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {(x[2], x[0]) for x in got if not x[3]} == set(pairs)
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, 6000 + i) for i in range(200)]
