@@ -5,7 +5,7 @@ Every stage but the last takes and returns the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logwarden.llm import mixing, neardup, packing, secrets, toxicity
@@ -23,15 +23,19 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays, one row of it; documents without words, and rows without an id, all stay."""
-    out = stage(neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    left = docs.join(F.broadcast(out) if out.count() <= BROADCAST_IDS else out, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows_")).where("rows_ > 1").select("doc_id")
+    """Of each group of near-duplicates the document with the smallest doc_id stays, one row of it; documents without words, and rows without an id, all stay. Rows with the same doc_id but different texts are in the groups of their texts."""
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows_")).where("rows_ > 1")
     if repeated.isEmpty():
-        return left
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    first = left.join(repeated, "doc_id", "left_semi").withColumn("__rank__", F.row_number().over(order)).where("__rank__ = 1")
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
+        out = stage(neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "dropped")
+        return docs.join(F.broadcast(out) if out.count() <= BROADCAST_IDS else out, "doc_id", "left_anti").select(*docs.columns)
+    numbered = stage(docs.withColumn("__row__", F.monotonically_increasing_id()), "numbered")
+    found = neardup.near_duplicates(numbered.where("doc_id is not null").select(F.col("__row__").alias("doc_id"), "text"))
+    groups = found.where("n_shingles > 0").select(F.col("doc_id").alias("__row__"), "component_id")
+    order = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*docs.columns).alias("hash"), "__row__")
+    ranked = stage(numbered.select("__row__", order.alias("place")).join(groups, "__row__"), "ranked")
+    first = ranked.groupBy("component_id").agg(F.min("place").alias("first"))
+    out = stage(ranked.join(first, "component_id").where("place != first").select("__row__"), "dropped")
+    return numbered.join(F.broadcast(out) if out.count() <= BROADCAST_IDS else out, "__row__", "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,13 @@ def test_run_matches_the_stages(spark):
     assert rows and max(by_seq.values()) <= packing.WINDOW
 
 
+def test_texts_of_a_repeated_id_are_kept_apart(spark):
+    rows = [(5, "a b c d e f g"), (5, "t u v w x y z"), (5, "t u v w x y z"), (7, "T u v w x y z"), (3, "a b c d e F g"), (5, "k l m n o p q"), (9, ""), (9, " "), (9, None), (None, "a b c d e f g")]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    want = [(3, "a b c d e F g"), (5, "t u v w x y z"), (5, "k l m n o p q"), (9, ""), (9, " "), (9, None), (None, "a b c d e f g")]
+    assert Counter(tuple(r) for r in got) == Counter(want)
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_edges(spark, stage):
     docs = edge_docs(spark)
