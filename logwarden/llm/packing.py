@@ -10,25 +10,41 @@ stream becomes sequences whose lengths are powers of two, so it has no padding.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import drop_stage, fields, map_rows, stage
 
 WINDOW = 4096
 GRAIN = 16
-#: Rows of which one task ranks the members of a length bin; a bin with more is dealt over several tasks.
-RANKED = 200_000
+#: Consecutive rows of a partition that are ranked together: 2^16.
+RANKED_BITS = 16
 #: Cut documents up to this number are joined by broadcast (16 bytes each).
 BROADCAST_CUTS = 200_000
+#: Bytes of text whose words are looked up together.
+BATCH_BYTES = 4 << 20
 _WORD_CACHE = 1 << 18
 _LONG_WORD = 64
+#: The normaliser and splitter of a tokenizer whose ids are those of a text's words, one after another.
+_WORD_NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_WORD_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 @lru_cache(maxsize=2)
@@ -38,6 +54,14 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def takes_words(path: str) -> bool:
+    """Whether the tokenizer's normaliser and splitter are those that WordTokens knows, so that words can be looked up one by one."""
+    said = json.loads(_tokenizer(path).to_str())
+    added = [t["content"] for t in said["added_tokens"]]
+    return said["normalizer"] == _WORD_NORMALISER and said["pre_tokenizer"] == _WORD_SPLITTER and not any(re.search(r"\s", t) for t in added)
+
+
 def _byte_letters() -> dict[int, str]:
     """The byte-level alphabet: a printable byte is the character of its number, the others follow from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -51,45 +75,79 @@ _SIMPLE = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WordTokens(dict):
-    """UTF-8 word -> its ids as little-endian unsigned 32-bit bytes.
+    """Word -> its ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and splits at it, so a text's ids are
-    those of its words, one after another. Simple words go to the merges
-    directly, part by part; all others through the whole tokenizer. The tables
-    are cleared when full, and long words are not kept, so memory is bounded.
+    those of its words, one after another. A batch of texts is split and its
+    words are numbered outside Python, so each distinct word of a batch is
+    looked up once. Simple words go to the merges directly, part by part; all
+    others through the whole tokenizer. The tables are cleared when full, and
+    long words are not kept, so memory is bounded. For a tokenizer of another
+    make, whole texts go through it.
     """
 
     def __init__(self, path: str) -> None:
         super().__init__()
-        self.path = path
+        self.tokenizer, self.by_words = _tokenizer(path), takes_words(path)
+        self.merges = self.tokenizer.model.tokenize
         self.parts: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
         got = self.parts.get(part)
         if got is None:
             text = part if part.isascii() else "".join(map(_BYTES.__getitem__, part.encode()))
-            got = array("I", [t.id for t in _tokenizer(self.path).model.tokenize(text)]).tobytes()
+            got = array("I", [t.id for t in self.merges(text)]).tobytes()
             if len(self.parts) >= _WORD_CACHE // 2:
                 self.parts.clear()
             self.parts[part] = got
         return got
 
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
+    def __missing__(self, word: str) -> bytes:
         if len(word) > _LONG_WORD:
-            return self._whole(text)
-        m = _SIMPLE.fullmatch(text)
-        ids = self._whole(text) if m is None else self._part(m[1].lower()) + (self._part(m[2]) if m[2] else b"")
+            return self._whole(word)
+        m = _SIMPLE.fullmatch(word)
+        ids = self._whole(word) if m is None else self._part(m[1].lower()) + (self._part(m[2]) if m[2] else b"")
         if len(self) >= _WORD_CACHE:
             self.clear()
         self[word] = ids
         return ids
 
     def _whole(self, text: str) -> bytes:
-        return array("I", _tokenizer(self.path).encode(text, add_special_tokens=False).ids).tobytes()
-
-    def ids(self, text: str | None, end: int) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").encode().split())) + array("I", [end]).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def ids(self, texts: pa.Array, end: int) -> Iterator[bytes]:
+        """The ids of each text, null counting as empty, with end."""
+        last = array("I", [end]).tobytes()
+        if not self.by_words:
+            for text in texts.to_pylist():
+                yield self._whole(text or "") + last
+            return
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        numbered = words.flatten().dictionary_encode()
+        parts = list(map(self.__getitem__, numbered.dictionary.to_pylist()))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        first = np.cumsum(sizes) - sizes
+        which = numbered.indices.to_numpy()
+        n = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        take = np.arange(ends[-1]) + np.repeat(first[which] - ends[:-1], n)
+        flat = np.frombuffer(b"".join(parts), np.uint32)[take]
+        # An array's slice has offsets into the words before it, too.
+        offsets = words.offsets.to_numpy()
+        bounds = ends[offsets - offsets[0]]
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield flat[a:b].tobytes() + last
+
+
+def _by_bytes(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about BATCH_BYTES of text, or one longer row."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        group = np.cumsum(size) // BATCH_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(size)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if i < j:
+                yield b.slice(i, j - i)
 
 
 def combinations(bins: int) -> np.ndarray:
@@ -141,56 +199,45 @@ def rounded(rows: np.ndarray, x: np.ndarray, histogram: np.ndarray) -> np.ndarra
     return counts
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int = 2, window: int = WINDOW, grain: int = GRAIN, others: tuple[str, ...] = ()) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end: int = 2, window: int = WINDOW, grain: int = GRAIN) -> DataFrame:
     """Packs all documents into sequences of at most window tokens.
 
-    docs: doc_id and text; the columns in others are passed through. Null
-    text: as empty, so its only id is end. Rows with equal doc_id are packed
-    each; a null doc_id is kept as null. Returns one row per piece: doc_id,
-    start, length, ids_crc32, doc_tokens, sequence_id, offset. No row for
-    an empty table.
+    docs: doc_id and text; other columns are not read. Null text: as empty,
+    so its only id is end. Rows with equal doc_id are packed each; a null
+    doc_id is kept as null. Returns one row per piece: doc_id, start, length,
+    ids_crc32, doc_tokens, sequence_id, offset. No row for an empty table.
 
     The texts are never shuffled, except those of cut documents if there are
-    more of them than a broadcast may hold. What goes to the driver is the
-    histogram of window / grain bins.
+    more of them than a broadcast may hold. A length bin's rows are ranked by
+    the places they come from, at most 2^RANKED_BITS in a group, however many
+    the bin has. What goes to the driver is a row for each of the window /
+    grain bins.
     """
     spark = docs.sparkSession
     bins = window // grain
     kind = docs.schema["doc_id"].dataType.simpleString()
     # 1. Tokens, and the checksum of each whole window and of the remainder.
     schema = fields(("doc_id", kind), ("text_", "bigint"), ("n", "bigint"), ("crcs", "array<bigint>"))
-
-    def measure(batches):
-        table = WordTokens(tokenizer)
-        for rows in batches:
-            for doc_id, h, text in rows:
-                ids = table.ids(text, end)
-                yield doc_id, h, len(ids) // 4, [zlib.crc32(ids[i : i + 4 * window]) for i in range(0, len(ids), 4 * window)]
-
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_"), "text")
-    sized = map_rows(keyed, measure, schema)
+    sized = keyed.mapInArrow(_measure(tokenizer, end, window, schema), schema)
     sized = sized.withColumn("row_", F.monotonically_increasing_id())
     sized = stage(sized.withColumn("full", F.floor(F.col("n") / window)).withColumn("rest", F.col("n") % window).withColumn("bin", F.ceil(F.col("rest") / grain).cast("int")), "pack")
 
-    # 2. Ranks within each bin. sub deals a bin's rows over tasks; offsets come from the sums of (bin, sub).
-    total = sized.count()
-    if not total:
-        return sized.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("length"), F.lit(0).cast("long").alias("ids_crc32"), F.col("n").alias("doc_tokens"), F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).where("false")
-    subs = -(-total // RANKED)
-    dealt = sized.withColumn("sub", F.pmod(F.xxhash64("row_"), F.lit(subs)).cast("int"))
-    sums = dealt.groupBy("bin", "sub").agg(F.count("*").alias("rows_"), F.sum("full").alias("fulls"))
+    # 2. Ranks within each bin. sub is a stretch of a partition's rows; offsets come from the sums of (bin, sub) within a bin, and of the bins.
+    dealt = sized.withColumn("sub", F.shiftright("row_", RANKED_BITS))
     before = Window.partitionBy("bin").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
-    all_before = Window.orderBy("bin", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("bin", "sub", F.coalesce(F.sum("rows_").over(before), F.lit(0)).alias("rank0"), F.coalesce(F.sum("fulls").over(all_before), F.lit(0)).alias("full0"), "rows_", "fulls")
-    offsets = stage(offsets, "pack")
+    sums = dealt.groupBy("bin", "sub").agg(F.count("*").alias("rows_"), F.sum("full").alias("fulls"))
+    earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    offsets = stage(sums.select("bin", "sub", earlier("rows_").alias("rank0"), earlier("fulls").alias("full0"), "rows_", "fulls"), "pack")
     hist = np.zeros(bins + 1, np.int64)
-    n_full = 0
+    fulls = np.zeros(bins + 1, np.int64)
     for b, n, f in offsets.groupBy("bin").agg(F.sum("rows_"), F.sum("fulls")).collect():
-        hist[b] = n if b else 0
-        n_full += f
+        hist[b], fulls[b] = n if b else 0, f
+    n_full = int(fulls.sum())
+    bin_full = F.element_at(F.array(*[F.lit(int(x)) for x in np.cumsum(fulls) - fulls]), F.col("bin") + 1)
     in_sub = Window.partitionBy("bin", "sub").orderBy("row_")
     ranked = dealt.withColumn("r", F.row_number().over(in_sub) - 1).withColumn("f", F.coalesce(F.sum("full").over(in_sub.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = ranked.join(offsets.select("bin", "sub", "rank0", "full0"), ["bin", "sub"]).withColumn("rank", F.col("rank0") + F.col("r")).withColumn("full_at", F.col("full0") + F.col("f"))
+    ranked = ranked.join(offsets.select("bin", "sub", "rank0", "full0"), ["bin", "sub"]).withColumn("rank", F.col("rank0") + F.col("r")).withColumn("full_at", bin_full + F.col("full0") + F.col("f"))
 
     # 3. Combinations, repeat counts and their slots: ranks [first, last) of a bin fill place p of the sequences from seq0 on.
     rows = combinations(bins)
@@ -203,7 +250,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, window: int = WINDOW, gr
         seq += counts[k]
     slot_rows = spark.createDataFrame(slots, "bin_ int, first long, last long, seq0 long, place int")
     placed = ranked.join(F.broadcast(slot_rows), (F.col("bin") == F.col("bin_")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")), "left")
-    placed = stage(placed.select("doc_id", "text_", "row_", "n", "crcs", "full", "rest", "full_at", (F.col("seq0") + F.col("rank") - F.col("first")).alias("seq"), "place"), "pack")
+    placed = stage(placed.select("doc_id", "text_", "row_", "bin", "sub", "n", "crcs", "full", "rest", "full_at", (F.col("seq0") + F.col("rank") - F.col("first")).alias("seq"), "place"), "pack")
     drop_stage(sized)
     drop_stage(offsets)
 
@@ -215,15 +262,17 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, window: int = WINDOW, gr
     combined = placed.where("seq is not null").withColumn("at", F.coalesce(F.sum("rest").over(in_seq), F.lit(0)))
     combined = combined.select(*piece(F.col("full") * window, F.col("rest"), last_crc, F.col("seq"), F.col("at")))
 
-    # 4. The others end to end.
-    left = placed.where("seq is null and rest > 0").select("doc_id", "text_", "row_", "n", "full", "rest", last_crc.alias("crc"))
-    left = left.withColumn("sub", F.pmod(F.xxhash64("row_"), F.lit(subs)).cast("int"))
-    sub_sums = left.groupBy("sub").agg(F.sum("rest").alias("tokens"))
-    stream = sub_sums.select("sub", F.coalesce(F.sum("tokens").over(Window.orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("pos0"), "tokens")
-    stream = stage(stream, "pack")
-    tokens = stream.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    at = F.coalesce(F.sum("rest").over(Window.partitionBy("sub").orderBy("row_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = left.withColumn("at", at).join(stream.select("sub", "pos0"), "sub").withColumn("pos", F.col("pos0") + F.col("at"))
+    # 4. The others end to end, bin after bin.
+    left = placed.where("seq is null and rest > 0").select("doc_id", "text_", "row_", "bin", "sub", "n", "full", "rest", last_crc.alias("crc"))
+    sub_sums = left.groupBy("bin", "sub").agg(F.sum("rest").alias("tokens"))
+    stream = stage(sub_sums.select("bin", "sub", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("pos0"), "tokens"), "pack")
+    in_bin = np.zeros(bins + 1, np.int64)
+    for b, n in stream.groupBy("bin").agg(F.sum("tokens")).collect():
+        in_bin[b] = n
+    tokens = int(in_bin.sum())
+    bin_pos = F.element_at(F.array(*[F.lit(int(x)) for x in np.cumsum(in_bin) - in_bin]), F.col("bin") + 1)
+    at = F.coalesce(F.sum("rest").over(in_sub.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = left.withColumn("at", at).join(stream.select("bin", "sub", "pos0"), ["bin", "sub"]).withColumn("pos", bin_pos + F.col("pos0") + F.col("at"))
     tail0, tail = tokens - tokens % window, tokens % window
     marks, p = [], tail0
     for bit in range(window.bit_length() - 1, -1, -1):
@@ -242,11 +291,28 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, window: int = WINDOW, gr
     seq0 = F.when(in_tail > 0, F.lit(tail0 // window) + in_tail - 1).otherwise(F.floor(F.col("c.a") / window))
     offset = F.when(in_tail > 0, F.col("c.a") - F.array_max(F.filter(marks_c, lambda m: m <= F.col("c.a")))).otherwise(F.col("c.a") % window)
     left = stage(left.select("doc_id", "text_", "n", (F.col("full") * window + F.col("c.a") - F.col("pos")).alias("start"), (F.col("c.b") - F.col("c.a")).alias("length"), F.when(F.col("n_cuts") == 1, F.col("crc")).alias("crc"), (F.lit(int(seq)) + seq0).alias("seq"), offset.alias("offset")), "pack")
+    drop_stage(stream)
     uncut = left.where("crc is not null").select(*piece(F.col("start"), F.col("length"), F.col("crc"), F.col("seq"), F.col("offset")))
     cut = _checksums(keyed, left.where("crc is null"), tokenizer, end).select(*piece(F.col("start"), F.col("length"), F.col("got"), F.col("seq"), F.col("offset")))
     return whole.unionByName(combined).unionByName(uncut).unionByName(cut)
 
 
+def _measure(tokenizer: str, end: int, window: int, schema: T.StructType):
+    """Rows of schema, in mapInArrow, for (doc_id, text_, text): the number of ids, and the checksum of each window's."""
+
+    def run(batches):
+        table = WordTokens(tokenizer)
+        for b in _by_bytes(batches):
+            sizes, sums = [], []
+            for ids in table.ids(b.column("text"), end):
+                sizes.append(len(ids) // 4)
+                sums.append([zlib.crc32(ids[i : i + 4 * window]) for i in range(0, len(ids), 4 * window)])
+            made = [b.column("doc_id"), b.column("text_"), pa.array(sizes, pa.int64()), pa.array(sums, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(made, names=schema.fieldNames())
+
+    return run
+
+
 def _checksums(keyed: DataFrame, pieces: DataFrame, tokenizer: str, end: int) -> DataFrame:
     """pieces with the checksum got of each; only documents with pieces are tokenized again."""
     kind = keyed.schema["doc_id"].dataType.simpleString()
@@ -260,8 +326,8 @@ def _checksums(keyed: DataFrame, pieces: DataFrame, tokenizer: str, end: int) ->
     def run(batches):
         table = WordTokens(tokenizer)
         for rows in batches:
-            for doc_id, h, text, parts in rows:
-                ids = table.ids(text, end)
+            texts = pa.array([r[2] for r in rows], pa.string())
+            for (doc_id, h, _, parts), ids in zip(rows, table.ids(texts, end), strict=True):
                 for p in parts:
                     yield doc_id, h, p["start"], p["length"], zlib.crc32(ids[4 * p["start"] : 4 * (p["start"] + p["length"])])
 
@@ -273,5 +339,3 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-

@@ -4,6 +4,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from logwarden.llm import packing
@@ -78,10 +79,33 @@ def test_least_squares_recovers_a_mixture():
     assert (used[1:] <= hist[1:]).all() and used[1:].sum() >= 0.95 * hist[1:].sum()
 
 
-@pytest.mark.parametrize("text", ["Hello, World's 12", "a b c", "ΣΑΣ ς İ", "x" * 200 + " y", "<|endoftext|>Ab", "Élève, straße!! NAÏVE*** ÿ<| abc<|endoftext|>", "don't a'b x_y a1 ¼ ªº µ", "e\u0301te\u0301 A\u030a"])
+@pytest.mark.parametrize("text", ["Hello, World's 12", "a b c", "ΣΑΣ ς İ", "x" * 200 + " y", "<|endoftext|>Ab", "Élève, straße!! NAÏVE*** ÿ<| abc<|endoftext|>", "don't a'b x_y a1 ¼ ªº µ", "a\x1cb\x1fc \x1d \u2003d\xa0e", "e\u0301te\u0301 A\u030a"])
 def test_words_give_the_ids_of_the_whole_text(text):
     from tokenizers import Tokenizer
 
     path = packing.tokenizer_path()
     whole = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
-    assert packing.WordTokens(path).ids(text, 2) == array("I", [*whole, 2]).tobytes()
+    assert packing.takes_words(path)
+    texts = pa.array(["first", None, text, "", f"{text}\t\x0b{text}"])
+    got = list(packing.WordTokens(path).ids(texts, 2))
+    assert got[2] == array("I", [*whole, 2]).tobytes() and got[1] == got[3] == array("I", [2]).tobytes()
+    assert list(packing.WordTokens(path).ids(texts.slice(2), 2)) == got[2:]
+    assert got[4] == array("I", [*whole, *whole, 2]).tobytes()
+
+
+@pytest.mark.parametrize("text", ["Hello,  World's 12\n x", "", "a\x1cb\u2003c"])
+def test_other_tokenizers_get_whole_texts(text):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path("byte_bpe_50k.json")
+    assert not packing.takes_words(path)
+    want = array("I", [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 7]).tobytes()
+    assert list(packing.WordTokens(path).ids(pa.array([text]), 7)) == [want]
+
+
+def test_a_hot_bin_is_ranked_in_stretches(spark, monkeypatch):
+    """Nearly all documents fall in one bin; ranks within it still are gapless."""
+    monkeypatch.setattr(packing, "RANKED_BITS", 4)
+    rows = [(i, "alpha beta gamma") for i in range(700)] + [(i, "w " * (37 * i % 9000)) for i in range(700, 720)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert check(rows, packing.pack(docs, packing.tokenizer_path()).collect()) < 0.02
