@@ -10,20 +10,15 @@ stream becomes sequences whose lengths are powers of two, so it has no padding.
 
 from __future__ import annotations
 
-import json
-import re
 import zlib
-from array import array
-from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import Ids, by_bytes
 from .common import drop_stage, fields, map_rows, stage
 
 WINDOW = 4096
@@ -32,122 +27,6 @@ GRAIN = 16
 RANKED_BITS = 16
 #: Cut documents up to this number are joined by broadcast (16 bytes each).
 BROADCAST_CUTS = 200_000
-#: Bytes of text whose words are looked up together.
-BATCH_BYTES = 4 << 20
-_WORD_CACHE = 1 << 18
-_LONG_WORD = 64
-#: The normaliser and splitter of a tokenizer whose ids are those of a text's words, one after another.
-_WORD_NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
-_WORD_SPLITTER = {
-    "type": "Sequence",
-    "pretokenizers": [
-        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
-        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
-    ],
-}
-
-
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-@lru_cache(maxsize=2)
-def takes_words(path: str) -> bool:
-    """Whether the tokenizer's normaliser and splitter are those that WordTokens knows, so that words can be looked up one by one."""
-    said = json.loads(_tokenizer(path).to_str())
-    added = [t["content"] for t in said["added_tokens"]]
-    return said["normalizer"] == _WORD_NORMALISER and said["pre_tokenizer"] == _WORD_SPLITTER and not any(re.search(r"\s", t) for t in added)
-
-
-def _byte_letters() -> dict[int, str]:
-    """The byte-level alphabet: a printable byte is the character of its number, the others follow from 256 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-
-_BYTES = _byte_letters()
-#: Words of common letters, and perhaps ASCII marks behind them: normalising is lowering, and the two parts are the pieces that merges work on.
-_SIMPLE = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-
-
-class WordTokens(dict):
-    """Word -> its ids as little-endian unsigned 32-bit bytes.
-
-    The tokenizer drops white space and splits at it, so a text's ids are
-    those of its words, one after another. A batch of texts is split and its
-    words are numbered outside Python, so each distinct word of a batch is
-    looked up once. Simple words go to the merges directly, part by part; all
-    others through the whole tokenizer. The tables are cleared when full, and
-    long words are not kept, so memory is bounded. For a tokenizer of another
-    make, whole texts go through it.
-    """
-
-    def __init__(self, path: str) -> None:
-        super().__init__()
-        self.tokenizer, self.by_words = _tokenizer(path), takes_words(path)
-        self.merges = self.tokenizer.model.tokenize
-        self.parts: dict[str, bytes] = {}
-
-    def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            text = part if part.isascii() else "".join(map(_BYTES.__getitem__, part.encode()))
-            got = array("I", [t.id for t in self.merges(text)]).tobytes()
-            if len(self.parts) >= _WORD_CACHE // 2:
-                self.parts.clear()
-            self.parts[part] = got
-        return got
-
-    def __missing__(self, word: str) -> bytes:
-        if len(word) > _LONG_WORD:
-            return self._whole(word)
-        m = _SIMPLE.fullmatch(word)
-        ids = self._whole(word) if m is None else self._part(m[1].lower()) + (self._part(m[2]) if m[2] else b"")
-        if len(self) >= _WORD_CACHE:
-            self.clear()
-        self[word] = ids
-        return ids
-
-    def _whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def ids(self, texts: pa.Array, end: int) -> Iterator[bytes]:
-        """The ids of each text, null counting as empty, with end."""
-        last = array("I", [end]).tobytes()
-        if not self.by_words:
-            for text in texts.to_pylist():
-                yield self._whole(text or "") + last
-            return
-        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        numbered = words.flatten().dictionary_encode()
-        parts = list(map(self.__getitem__, numbered.dictionary.to_pylist()))
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        first = np.cumsum(sizes) - sizes
-        which = numbered.indices.to_numpy()
-        n = sizes[which]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        take = np.arange(ends[-1]) + np.repeat(first[which] - ends[:-1], n)
-        flat = np.frombuffer(b"".join(parts), np.uint32)[take]
-        # An array's slice has offsets into the words before it, too.
-        offsets = words.offsets.to_numpy()
-        bounds = ends[offsets - offsets[0]]
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            yield flat[a:b].tobytes() + last
-
-
-def _by_bytes(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about BATCH_BYTES of text, or one longer row."""
-    for b in batches:
-        size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        group = np.cumsum(size) // BATCH_BYTES
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(size)]
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            if i < j:
-                yield b.slice(i, j - i)
 
 
 def combinations(bins: int) -> np.ndarray:
@@ -301,10 +180,10 @@ def _measure(tokenizer: str, end: int, window: int, schema: T.StructType):
     """Rows of schema, in mapInArrow, for (doc_id, text_, text): the number of ids, and the checksum of each window's."""
 
     def run(batches):
-        table = WordTokens(tokenizer)
-        for b in _by_bytes(batches):
+        table = Ids(tokenizer)
+        for b in by_bytes(batches):
             sizes, sums = [], []
-            for ids in table.ids(b.column("text"), end):
+            for ids in table.of_texts(b.column("text"), end):
                 sizes.append(len(ids) // 4)
                 sums.append([zlib.crc32(ids[i : i + 4 * window]) for i in range(0, len(ids), 4 * window)])
             made = [b.column("doc_id"), b.column("text_"), pa.array(sizes, pa.int64()), pa.array(sums, pa.list_(pa.int64()))]
@@ -324,10 +203,10 @@ def _checksums(keyed: DataFrame, pieces: DataFrame, tokenizer: str, end: int) ->
     schema = fields(("doc_id", kind), ("text_", "bigint"), ("start", "bigint"), ("length", "bigint"), ("got", "bigint"))
 
     def run(batches):
-        table = WordTokens(tokenizer)
+        table = Ids(tokenizer)
         for rows in batches:
             texts = pa.array([r[2] for r in rows], pa.string())
-            for (doc_id, h, _, parts), ids in zip(rows, table.ids(texts, end), strict=True):
+            for (doc_id, h, _, parts), ids in zip(rows, table.of_texts(texts, end), strict=True):
                 for p in parts:
                     yield doc_id, h, p["start"], p["length"], zlib.crc32(ids[4 * p["start"] : 4 * (p["start"] + p["length"])])
 

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from logwarden.llm import packing
+from logwarden.llm import bpe, packing
 
 from .helpers import edge_docs, no_docs
 
@@ -85,11 +85,11 @@ def test_words_give_the_ids_of_the_whole_text(text):
 
     path = packing.tokenizer_path()
     whole = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
-    assert packing.takes_words(path)
+    assert bpe.merges_of(path)
     texts = pa.array(["first", None, text, "", f"{text}\t\x0b{text}"])
-    got = list(packing.WordTokens(path).ids(texts, 2))
+    got = list(bpe.Ids(path).of_texts(texts, 2))
     assert got[2] == array("I", [*whole, 2]).tobytes() and got[1] == got[3] == array("I", [2]).tobytes()
-    assert list(packing.WordTokens(path).ids(texts.slice(2), 2)) == got[2:]
+    assert list(bpe.Ids(path).of_texts(texts.slice(2), 2)) == got[2:]
     assert got[4] == array("I", [*whole, *whole, 2]).tobytes()
 
 
@@ -98,9 +98,23 @@ def test_other_tokenizers_get_whole_texts(text):
     from tokenizers import Tokenizer
 
     path = packing.tokenizer_path("byte_bpe_50k.json")
-    assert not packing.takes_words(path)
+    assert not bpe.merges_of(path)
     want = array("I", [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 7]).tobytes()
-    assert list(packing.WordTokens(path).ids(pa.array([text]), 7)) == [want]
+    assert list(bpe.Ids(path).of_texts(pa.array([text]), 7)) == [want]
+
+
+def test_merges_of_many_words(spark):
+    """Words of the test texts, and random ones, one by one."""
+    import random
+
+    r = random.Random(2)
+    texts = [x.text or "" for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    texts += ["".join(r.choice("abeinrstXYZÄéÿß×÷'.,-_<|>0159\u0301ŁЖ中") for _ in range(r.randint(1, 40))) for _ in range(3000)]
+    texts += ["xa" * 30, "ééééé" * 9, "", "''", "<|EndOfText|>", "a<|startoftext|>b"]
+    path = packing.tokenizer_path()
+    t = bpe.tokenizer(path)
+    want = [array("I", [*e.ids, 2]).tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert list(bpe.Ids(path).of_texts(pa.array(texts), 2)) == want
 
 
 def test_a_hot_bin_is_ranked_in_stretches(spark, monkeypatch):
