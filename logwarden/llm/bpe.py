@@ -21,8 +21,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text whose words are looked up together.
-BATCH_BYTES = 8 << 20
 #: Pieces of more bytes are merged by the tokenizer.
 LONG_PIECE = 24
 #: Other words that are remembered; longer ones than LONG_WORD never are.
@@ -270,14 +268,3 @@ class Ids:
         bounds = ends[offsets - offsets[0]]
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             yield flat[a:b].tobytes() + last
-
-
-def by_bytes(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about BATCH_BYTES of text, or one longer row."""
-    for b in batches:
-        size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        group = np.cumsum(size) // BATCH_BYTES
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(size)]
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            if i < j:
-                yield b.slice(i, j - i)

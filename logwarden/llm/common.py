@@ -7,7 +7,9 @@ import itertools
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,8 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of text that by_bytes() gives at a time.
+BATCH_BYTES = 8 << 20
 #: Rows that map_rows() turns into Python objects at a time.
 ROWS = 256
 
@@ -55,6 +59,12 @@ def drop_stage(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def drop_stages(spark: SparkSession) -> None:
+    """Removes all staged tables of this application; for callers that have written their results elsewhere."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of plans that are no longer referenced."""
     gc.collect()
@@ -98,6 +108,17 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about BATCH_BYTES of text, or one longer row."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        group = np.cumsum(size) // BATCH_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(size)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if i < j:
+                yield b.slice(i, j - i)
+
+
 def by_key(batches: Iterator[list[tuple]], width: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
     """(key, rows) of consecutive rows with equal first width columns; each rows is to be used up before the next."""
     return itertools.groupby(itertools.chain.from_iterable(batches), key=lambda r: r[:width])

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import Ids, by_bytes
-from .common import drop_stage, fields, map_rows, stage
+from .bpe import Ids
+from .common import by_bytes, drop_stage, fields, map_rows, stage
 
 WINDOW = 4096
 GRAIN = 16
