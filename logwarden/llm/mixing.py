@@ -13,13 +13,15 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_stage, n_words, stage
 
 BUCKET_ROWS = 4096
 FAN_IN = 256
+#: Equal rows beyond this number are made in parts of as many.
+REPEATED = 65_536
 #: Decisions on up to this many documents are joined by broadcast (24 bytes each); beyond it the documents are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -69,38 +71,63 @@ def pivot(sizes: list[int], shares: list[float], draws: list[float]) -> list[flo
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 17, bucket_rows: int = BUCKET_ROWS, fan_in: int = FAN_IN, part_of_last: bool = True) -> DataFrame:
+def row_hash(rows: DataFrame) -> Column:
+    """A hash of all columns but maps, which have no order."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
+def _numbered(sized: DataFrame) -> DataFrame:
+    """Equal rows as one, with their number; then as many rows again, with copy_ from 1. Rows that are equal to very many others are made in parts."""
+    groups = sized.groupBy(*sized.columns).agg(F.count("*").alias("n_"))
+    few = groups.where(F.col("n_") <= REPEATED).withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_"))))
+    parts = groups.where(F.col("n_") > REPEATED).withColumn("from_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_"), F.lit(REPEATED).cast("long"))))
+    upto = F.least(F.col("from_") + REPEATED - 1, F.col("n_"))
+    many = parts.repartition("from_").withColumn("copy_", F.explode(F.sequence(F.col("from_"), upto))).drop("from_")
+    return few.unionByName(many).drop("n_")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 17, bucket_rows: int = BUCKET_ROWS, fan_in: int = FAN_IN, part_of_last: bool = True, content: Column | None = None) -> DataFrame:
     """How much of each document the mix takes.
 
     docs: doc_id, text, source. Returns doc_id, size, source_size, target,
     taken (words), copies (whole times; the document that is taken in part has
-    the whole times before that part). Null text: no words, nothing taken. A null source is a
-    source, the last one. Repeated rows count each. With part_of_last, the
+    the whole times before that part), source and content. Null text: no
+    words, nothing taken. A null source is a source, the last one. Repeated
+    rows count each, one row for each of them. With part_of_last, the
     one fraction that is left in each source is taken as that share of its
     document, so a source's words are within one of its target; else it is
-    drawn, and they are within that document's size. The draws are hashes of doc_id and seed,
-    so reruns agree.
+    drawn, and they are within that document's size.
+
+    The draws are hashes of doc_id, content (a hash of the row, by default of
+    all its columns), a number among rows that are equal in these, and seed. So
+    reruns agree in any order of the input, and a doc_id that many rows have,
+    or null, is dealt like any other.
     """
-    sized = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix")
+    content = row_hash(docs) if content is None else content
+    sized = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), content.alias("content")), "mix")
     sources = stage(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows_")), weights, cap), "mix")
     most = sources.agg(F.max("rows_")).first()[0]
-    each = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")), "left").select("d.doc_id", "d.size", "s.source_size", "s.target", "s.rank", "s.rows_")
+    known = F.broadcast(sources) if sources.count() <= BROADCAST_ROWS else sources
+    each = _numbered(sized).alias("d").join(known.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")), "left")
+    each = each.select("d.doc_id", "d.source", "d.content", "d.copy_", "d.size", "s.source_size", "s.target", "s.rank", "s.rows_")
     want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     times = F.floor(want + 1e-12)
     each = each.withColumn("times", times.cast("long")).withColumn("share", F.greatest(want - times, F.lit(0.0)))
     each = each.withColumn("share", F.when((F.col("size") == 0) | (F.col("share") < 1e-12), 0.0).otherwise(F.col("share")))
-    each = each.withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)).cast("double") / float(1 << 52))
-    each = each.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.ceil(F.col("rows_") / bucket_rows)).cast("long")).drop("rows_")
+    hashed = lambda x: F.xxhash64("doc_id", "content", "copy_", F.lit(x))
+    drawn = lambda x: F.pmod(hashed(x), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    each = each.withColumn("draw", drawn(seed))
+    each = each.withColumn("bucket", F.pmod(hashed(seed + 1), F.ceil(F.col("rows_") / bucket_rows)).cast("long")).drop("rows_")
     schema = each.schema
 
     def level(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["draw", "doc_id"], kind="stable")
+        rows = rows.sort_values(["draw", "doc_id", "content", "copy_"], kind="stable")
         rows["share"] = pivot(rows["size"].tolist(), rows["share"].tolist(), rows["draw"].tolist())
         return rows
 
     open_ = (F.col("share") > 0) & (F.col("share") < 1)
-    settled, current, buckets = each.where(~open_), each.where(open_), math.ceil((most or 0) / bucket_rows)
-    done = stage(settled, "mix")
+    each = stage(each, "mix")
+    done, current, buckets = each.where(~open_), each.where(open_), math.ceil((most or 0) / bucket_rows)
     parts = []
     step = 0
     while True:
@@ -112,33 +139,42 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
             break
         buckets = math.ceil(buckets / fan_in)
         # Another draw for each level, else a pair's draws would be those that left these rows open.
-        current = current.withColumn("bucket", F.floor(F.col("bucket") / fan_in)).withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1 + step)), F.lit(1 << 52)).cast("double") / float(1 << 52))
+        current = current.withColumn("bucket", F.floor(F.col("bucket") / fan_in)).withColumn("draw", drawn(seed + 1 + step))
     if not part_of_last:
         current = current.withColumn("share", F.when(F.col("draw") < F.col("share"), 1.0).otherwise(0.0))
     out = done
     for p in [*parts, current]:
         out = out.unionByName(p)
     drop_stage(sized)
-    return out.select("doc_id", "size", "source_size", "target", F.round((F.col("times") + F.col("share")) * F.col("size")).cast("long").alias("taken"), (F.col("times") + F.floor("share")).cast("long").alias("copies"))
+    return out.select("doc_id", "size", "source_size", "target", F.round((F.col("times") + F.col("share")) * F.col("size")).cast("long").alias("taken"), (F.col("times") + F.floor("share")).cast("long").alias("copies"), "source", "content")
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of docs as many times as it is taken, whole documents only, with all its columns.
 
-    Rows with equal doc_id share their copies: the first ones in the order of
-    a content hash get one more.
+    Null texts are not taken. Rows that are equal in all columns are one
+    document that occurs several times, and share their copies; rows with equal
+    doc_id that differ are documents of their own. Names of columns may be
+    any. An empty table gives an empty one.
     """
     names = docs.columns
     own = {c: f"in{i}_" for i, c in enumerate(names)}
+    cols = list(own.values())
     rows = docs.select(*[F.col(f"`{c}`").alias(own[c]) for c in names])
-    key, cols = own["doc_id"], list(own.values())
-    chosen = mix(docs, part_of_last=False, **options).groupBy("doc_id").agg(F.sum("copies").alias("copies_"), F.count("*").alias("rows_"))
-    chosen = stage(chosen, "mix")
-    one = rows.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen, F.col(key).eqNullSafe(F.col("doc_id"))).drop("doc_id")
-    share = F.floor(F.col("copies_") / F.col("rows_"))
+    key, whole = F.col(own["doc_id"]), row_hash(rows)
+    asked = rows.select(key.alias("doc_id"), F.col(own["text"]).alias("text"), F.col(own["source"]).alias("source"), whole.alias("content"))
+    chosen = mix(asked, part_of_last=False, content=F.col("content"), **options).groupBy("doc_id", "content").agg(F.sum("copies").alias("copies_"), F.count("*").alias("rows_"))
+    chosen = stage(chosen.where("copies_ > 0"), "mix")
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    one = rows.withColumn("whole_", whole).join(chosen, key.eqNullSafe(F.col("doc_id")) & (F.col("whole_") == F.col("content"))).drop("doc_id", "content")
     alone = one.where("rows_ = 1").select(*cols, F.col("copies_").alias("n_"))
-    w = Window.partitionBy(key).orderBy(F.xxhash64(*cols))
-    several = one.where("rows_ > 1").withColumn("k_", F.row_number().over(w))
-    several = several.select(*cols, (share + F.when(F.col("k_") <= F.col("copies_") % F.col("rows_"), 1).otherwise(0)).alias("n_"))
-    out = alone.unionByName(several).select(*cols, F.explode(F.array_repeat(F.lit(0), F.col("n_").cast("int"))).alias("i_"))
+    # Equal rows are numbered by the places they come from, so that no task gets all of them.
+    several = stage(one.where("rows_ > 1").withColumn("id_", F.monotonically_increasing_id()).withColumn("sub_", F.shiftright("id_", 16)), "mix")
+    group = [own["doc_id"], "whole_"]
+    before = F.sum("k_").over(Window.partitionBy(*group).orderBy("sub_").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = several.groupBy(*group, "sub_").agg(F.count("*").alias("k_")).withColumn("before_", F.coalesce(before, F.lit(0))).select(F.col(group[0]).alias("g_"), F.col("whole_").alias("w_"), F.col("sub_").alias("s_"), "before_")
+    ranked = several.withColumn("k_", F.row_number().over(Window.partitionBy(*group, "sub_").orderBy("id_")))
+    ranked = ranked.join(offsets, F.col(group[0]).eqNullSafe(F.col("g_")) & (F.col("whole_") == F.col("w_")) & (F.col("sub_") == F.col("s_")))
+    n = F.floor(F.col("copies_") / F.col("rows_")) + F.when(F.col("before_") + F.col("k_") <= F.col("copies_") % F.col("rows_"), 1).otherwise(0)
+    out = alone.unionByName(ranked.select(*cols, n.alias("n_"))).select(*cols, F.explode(F.array_repeat(F.lit(0), F.col("n_").cast("int"))).alias("i_"))
     return out.select(*[F.col(own[c]).alias(c) for c in names])

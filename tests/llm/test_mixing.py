@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from logwarden.llm import mixing
 
@@ -63,6 +64,25 @@ def test_mixed_rows_are_whole_copies(spark):
     assert mixing.mixed_rows(edge_docs(spark)).columns == edge_docs(spark).columns
 
 
+def test_reruns_agree_with_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "REPEATED", 16)
+    r = random.Random(6)
+    rows = [(r.choice([None, 1, 1, 2, i]), " ".join("w" for _ in range(r.randint(0, 30))), r.choice(["a", "b", "c", None])) for i in range(300)]
+    rows += [(None, "x y z", "a")] * 90 + [(7, "p q", "b")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a, b = (Counter(tuple(x) for x in mixing.mix(d, bucket_rows=32, fan_in=2).collect()) for d in (docs, docs.repartition(9, "text").orderBy(F.desc("text"))))
+    assert a == b and sum(a.values()) == len(rows)
+    a, b = (Counter(tuple(x) for x in mixing.mixed_rows(d, bucket_rows=32).collect()) for d in (docs, docs.repartition(5)))
+    assert a == b
+    want = Counter()
+    for x in mixing.mix(docs.withColumn("h", F.xxhash64(*docs.columns)), part_of_last=False, content=F.col("h"), bucket_rows=32).collect():
+        want[x.doc_id, x.source] += x.copies
+    got = Counter()
+    for (i, _, s), n in a.items():
+        got[i, s] += n
+    assert got == Counter({k: v for k, v in want.items() if v})
+
+
 @given(st.lists(st.tuples(st.integers(1, 1000), st.floats(0.001, 0.999)), min_size=1, max_size=40), st.integers(0, 99))
 def test_pivot_keeps_the_sum(items, seed):
     r = random.Random(seed)
