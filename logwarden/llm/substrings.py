@@ -9,9 +9,11 @@ words around hit blocks are compared, by 96 bits of hash, and the repeats are
 joined to maximal ranges.
 
 What is sent is packed: a row holds a chunk's sorted probes for one range of
-hashes, four bytes a probe, each value once a chunk, so that passages which a
-third of all documents share are a few bytes in each chunk. Windows are sent
-in runs that share their least block hash, so replies are runs too.
+hashes, four bytes a probe, each value once a chunk. Windows are sent in runs
+that share their least block hash, so replies are runs too. Of windows that
+are equal within a chunk one is sent, and all are known to be repeats there:
+so a passage that a third of all documents share is as long in a chunk as it
+is itself.
 """
 
 from __future__ import annotations
@@ -179,6 +181,11 @@ def repeated_runs(found: DataFrame, window: int, buckets: int) -> DataFrame:
     block = (window + 1) // 2
     schema = fields(("bucket", "int"), ("kind", "int"), ("first", "binary"), ("second", "binary"), ("keys", "binary"), ("starts", "binary"), ("lengths", "binary"))
 
+    def ranges(ids, at, begins):
+        """(ids, first places, lengths) of the runs of at; begins: where a run ends besides gaps."""
+        cut = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | begins]))
+        return ids[cut], at[cut], np.diff(np.concatenate([cut, [len(at)]]))
+
     def send(batches):
         for c in _chunks(batches, window):
             n = len(c.all) - window + 1
@@ -192,10 +199,25 @@ def repeated_runs(found: DataFrame, window: int, buckets: int) -> DataFrame:
             if not len(at):
                 continue
             first, second = rolling(c.all, window, 0)[at], (rolling(c.all, window, 1)[at] >> np.uint64(32)).astype(np.uint32)
-            least = sliding_window_view(rolling(c.all, block), window - block + 1).min(1)[at]
+            order = np.lexsort((second, first))
+            same = (first[order][1:] == first[order][:-1]) & (second[order][1:] == second[order][:-1])
+            again = np.zeros(len(at), bool)
+            again[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            if again.any():
+                own, places, size = ranges(c.owner[at[again]], at[again], np.diff(c.owner[at[again]]) != 0)
+                yield int(c.ids[0]) % buckets, 1, None, None, c.ids[own].tobytes(), c.place[places].tobytes(), size.astype(np.int32).tobytes()
+            # The first of equal windows is sent.
+            lead = np.ones(len(at), bool)
+            lead[order[1:][same]] = False
+            # The least of several hashes isn't spread evenly; mixed, it is.
+            least = mixed(sliding_window_view(rolling(c.all, block), window - block + 1).min(1)[at[lead]])
             bucket = ((least >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            cut = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(bucket) != 0) | (np.diff(c.owner[at]) != 0)]))
+            at, first, second, again = at[lead], first[lead], second[lead], again[lead]
+            begins = (np.diff(bucket) != 0) | (np.diff(c.owner[at]) != 0) | (np.diff(again) != 0)
+            cut = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | begins]))
             lengths = np.diff(np.concatenate([cut, [len(at)]]))
+            # A run that is known to be repeated gets no reply.
+            starts = np.where(again[cut], -1, c.place[at[cut]]).astype(np.int32)
             run_bucket = bucket[cut]
             order = np.argsort(run_bucket, kind="stable")
             ends = np.searchsorted(run_bucket[order], np.arange(buckets + 1))
@@ -203,11 +225,18 @@ def repeated_runs(found: DataFrame, window: int, buckets: int) -> DataFrame:
                 r = order[ends[i] : ends[i + 1]]
                 size = lengths[r]
                 take = np.repeat(cut[r] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                yield int(i), 0, first[take].tobytes(), second[take].tobytes(), c.ids[c.owner[at[cut[r]]]].tobytes(), c.place[at[cut[r]]].astype(np.int32).tobytes(), size.astype(np.int32).tobytes()
+                yield int(i), 0, first[take].tobytes(), second[take].tobytes(), c.ids[c.owner[at[cut[r]]]].tobytes(), starts[r].tobytes(), size.astype(np.int32).tobytes()
 
     def compare(batches):
         for _, rows in by_key(batches, 1):
-            got = [r[2:] for r in rows]
+            got = []
+            for r in rows:
+                if r[1]:
+                    yield from zip(*(np.frombuffer(x, kind).tolist() for x, kind in zip(r[4:], (np.int64, np.int32, np.int32), strict=True)), strict=True)
+                else:
+                    got.append(r[2:])
+            if not got:
+                continue
             join = lambda i, kind: np.frombuffer(b"".join(g[i] for g in got), kind)
             first, second, keys, starts, lengths = join(0, np.uint64), join(1, np.uint32), join(2, np.int64), join(3, np.int32), join(4, np.int32)
             order = np.lexsort((second, first))
@@ -216,13 +245,11 @@ def repeated_runs(found: DataFrame, window: int, buckets: int) -> DataFrame:
             again[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
             run = np.repeat(np.arange(len(keys)), lengths)
             offset = np.arange(len(first)) - np.repeat(np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-            at = np.flatnonzero(again)
+            at = np.flatnonzero(again & (starts[run] >= 0))
             if not len(at):
                 continue
-            cut = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(run[at]) != 0)]))
-            n = np.diff(np.concatenate([cut, [len(at)]]))
-            own = run[at[cut]]
-            yield from zip(keys[own].tolist(), (starts[own] + offset[at[cut]]).tolist(), n.tolist(), strict=True)
+            own, places, size = ranges(run[at], at, np.diff(run[at]) != 0)
+            yield from zip(keys[own].tolist(), (starts[own] + offset[places]).tolist(), size.tolist(), strict=True)
 
     sent = map_rows(found, send, schema, 256).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     runs = map_rows(sent, compare, fields(("key", "bigint"), ("start", "int"), ("n", "int")), 65_536)

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from logwarden.llm import substrings
 
@@ -55,6 +56,40 @@ def test_planted_passages_and_dense_repeats(spark, window):
     assert run(docs, window) == brute(rows, window)
 
 
+def test_a_common_passage_is_sent_once_a_chunk(spark):
+    """A passage of many documents: a chunk's copies are one, and buckets get even shares of other windows."""
+    passage = " ".join(f"c{i}" for i in range(60))
+    rows = [(i, f"u{i} {passage} v{i}") for i in range(400)]
+    r = random.Random(1)
+    for i in range(60):
+        own = " ".join(f"q{r.randint(0, 10**9)}" for _ in range(120))
+        rows += [(1000 + 2 * i, f"{own} x{i}"), (1001 + 2 * i, f"y{i} {own}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert run(docs, 35) == brute(rows, 35)
+    sent = []
+    real = substrings.map_rows
+
+    def spy(df, fn, schema, *more):
+        out = real(df, fn, schema, *more)
+        if "lengths" in out.columns:
+            out = out.cache()
+            sent.append(out.select("bucket", "kind", F.length("first").alias("n")).collect())
+        return out
+
+    substrings.map_rows = spy
+    try:
+        assert run(docs, 35) == brute(rows, 35)
+    finally:
+        substrings.map_rows = real
+    windows = Counter()
+    for x in sent[0]:
+        if x.kind == 0:
+            windows[x.bucket] += x.n // 8
+    chunks = docs.rdd.getNumPartitions()
+    assert sum(windows.values()) <= chunks * 62 + 2 * 60 * 90
+    assert max(windows.values()) <= 4 * sum(windows.values()) / 16
+
+
 def test_rolling_hash_and_squeezing():
     w = np.random.default_rng(0).integers(0, 1 << 63, 200, np.uint64)
     w[100:140] = w[20:60]
