@@ -8,18 +8,28 @@ differences gives category k a code of 9 - k bits, and k more bits follow it,
 so that with the one-bit end-of-block code each block takes 10 bits. Encoding
 and decoding are then table lookups over whole arrays.
 
-Reading parses the RIFF tree and its idx1 index, decodes the frames by the
-tables that they carry, and finds shots where the grey histogram changes by
-more than the recent mean and deviations.
+Reading parses the RIFF tree and its idx1 index, and finds shots where the grey
+histogram of the frames changes by more than the recent mean and deviations.
+Frames of other makers are decoded in full, by jpeg; frames as written here
+have one grey level a block, and their codes are looked up at once.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import jpeg
+from .common import by_bytes, fields, map_rows, stage
 
 BLOCK_COLUMNS = 64
 BLOCK_ROWS = 32
@@ -65,37 +75,37 @@ def encode_jpeg(samples: np.ndarray, columns: int) -> bytes:
     return b"\xff\xd8" + _TABLES + frame + _SCAN + bits.replace(b"\xff", b"\xff\x00") + b"\xff\xd9"
 
 
-def decode_jpeg(data: bytes) -> np.ndarray:
-    """The grey level of each block, in order, of a frame as encode_jpeg writes it; ValueError for any other."""
-    at, size, tables = 2, None, set()
-    if data[:2] != b"\xff\xd8":
-        raise ValueError("no JPEG frame")
-    while True:
-        marker, length = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
-        body = data[at + 4 : at + 2 + length]
-        at += 2 + length
-        if marker == 0xC4:
-            tables.add(body)
-        elif marker == 0xC0:
-            size = struct.unpack_from(">BHHB", body)
-        elif marker == 0xDA:
-            break
-    if size is None or size[3] != 1 or tables != {_DHT_DC, _DHT_AC}:
-        raise ValueError("only grey frames with this module's tables are read")
-    n = (size[1] // 8) * (size[2] // 8)
-    bits = data[at:-2].replace(b"\xff\x00", b"\xff")
+def block_levels(data: bytes) -> np.ndarray | None:
+    """The grey level of each block, in order, of a frame as encode_jpeg writes it; None for any other."""
+    if not data.startswith(b"\xff\xd8" + _TABLES) or data[-2:] != b"\xff\xd9":
+        return None
+    at = 2 + len(_TABLES)
+    height, width, n = struct.unpack_from(">HHB", data, at + 5)
+    bits_at = at + 13 + len(_SCAN)
+    if data[at : at + 2] != b"\xff\xc0" or n != 1 or data[at + 13 : bits_at] != _SCAN:
+        return None
+    n = (height // 8) * (width // 8)
+    bits = data[bits_at:-2].replace(b"\xff\x00", b"\xff")
+    if n % 4 or len(bits) != n // 4 * 5:
+        return None
     raw = np.zeros((n // 4, 8), np.uint8)
-    raw[:, 3:] = np.frombuffer(bits, np.uint8, n // 4 * 5).reshape(-1, 5)
+    raw[:, 3:] = np.frombuffer(bits, np.uint8).reshape(-1, 5)
     v = raw.view(">u8").ravel().astype(np.uint64)
     f = np.empty((len(v), 4), np.int64)
     for k, shift in enumerate((30, 20, 10, 0)):
         f[:, k] = (v >> np.uint64(shift)) & np.uint64(1023)
     d = _DIFFERENCES[f.ravel()]
     if len(d) and d.max() > 255:
-        raise ValueError("a block isn't of one level")
+        return None
     return (np.cumsum(d) + 128).astype(np.uint8)
 
 
+def levels(data: bytes) -> np.ndarray:
+    """Grey levels of a frame: of its blocks, if it was written here, else of its pixels. ValueError for what isn't a baseline frame."""
+    found = block_levels(data)
+    return jpeg.luma(data).ravel() if found is None else found
+
+
 def _chunk(kind: bytes, body: bytes) -> bytes:
     return kind + struct.pack("<I", len(body)) + body + b"\x00" * (len(body) % 2)
 
@@ -161,13 +171,13 @@ class Video:
 
 
 def parse_avi(data: bytes) -> tuple[list[bytes], int, dict]:
-    """The frames by the file's index, the payload's length (or -1), and width, height and rate."""
+    """The frames by the file's index, or as they lie if it has none, the payload's length (or -1), and width, height and micros a frame."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("no AVI file")
-    movi, index, payload, head = 0, b"", -1, {}
+    movi, size, index, payload, head = 0, 0, b"", -1, {}
     for kind, at, n in _walk(data, 12, len(data)):
         if kind == b"movi":
-            movi = at - 4
+            movi, size = at, n
         elif kind == b"idx1":
             index = data[at : at + n]
         elif kind == b"INFO":
@@ -179,11 +189,25 @@ def parse_avi(data: bytes) -> tuple[list[bytes], int, dict]:
                 if k == b"avih":
                     v = struct.unpack_from("<14I", data, a)
                     head = {"micros": v[0], "width": v[8], "height": v[9]}
+    if not movi or not head:
+        raise ValueError("an AVI file without frames or header")
     out = []
-    for kind, _, offset, length in struct.iter_unpack("<4sIII", index):
+    for kind, _, offset, length in struct.iter_unpack("<4sIII", index[: len(index) // 16 * 16]):
         if kind[2:] in (b"dc", b"db"):
-            out.append(data[movi + offset + 8 : movi + offset + 8 + length])
-    return out, payload, head
+            # Offsets are from the list's type on, or from the file's start.
+            at = movi - 4 + offset if data[movi - 4 + offset : movi + offset] == kind else offset
+            if data[at : at + 4] != kind:
+                raise ValueError("the index does not fit the frames")
+            out.append(data[at + 8 : at + 8 + length])
+    return (out if index else list(_frames(data, movi, movi + size))), payload, head
+
+
+def _frames(data: bytes, at: int, end: int) -> Iterator[bytes]:
+    for kind, start, n in _walk(data, at, min(end, len(data))):
+        if kind == b"rec ":
+            yield from _frames(data, start, start + n)
+        elif kind[2:] in (b"dc", b"db"):
+            yield data[start : start + n]
 
 
 def shots(histograms: np.ndarray, window: int = 8, deviations: float = 3.0, least: float = 0.25) -> list[int]:
@@ -199,15 +223,15 @@ def shots(histograms: np.ndarray, window: int = 8, deviations: float = 3.0, leas
 
 
 def decode_avi(data: bytes, bins: int = 16) -> Video:
-    """The payload, and clips from cut to cut."""
+    """The payload, empty if the file names none, and clips from cut to cut."""
     frames, length, head = parse_avi(data)
-    levels = [decode_jpeg(f) for f in frames]
+    found = [levels(f) for f in frames]
     shift = 8 - (bins - 1).bit_length()
-    hist = np.array([np.bincount(x >> shift, minlength=bins) for x in levels])
+    hist = np.array([np.bincount(x >> shift, minlength=bins) for x in found])
     at, rate = shots(hist), head["micros"] / 1e6
     clips = [Clip(a, b - 1, a * rate, b * rate) for a, b in zip(at, [*at[1:], len(frames)], strict=True)]
-    payload = b"".join(x.tobytes() for x in levels)
-    return Video(payload[:length] if length >= 0 else payload, len(frames), head["width"], head["height"], clips)
+    payload = b"".join(x.tobytes() for x in found)[:length] if length >= 0 else b""
+    return Video(payload, len(frames), head["width"], head["height"], clips)
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
@@ -216,66 +240,62 @@ def padded(text: str | None) -> tuple[bytes, int]:
     return raw + b"\x00" * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw)), len(raw)
 
 
-def store_media(docs, text: str = "text", media: str = "media"):
-    """Adds the column media: each row's text as an AVI file. A null text counts as empty. Other columns are kept; a column named like media is replaced."""
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
+def store_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
+    """Adds the column media: each row's text as an AVI file. A null text counts as empty. Other columns are kept; a column named like media is replaced. About 8 MB of texts are held at a time, or one longer text."""
     keep = [c for c in docs.columns if c != media]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(media, T.BinaryType())])
 
     def run(batches):
-        for b in batches:
+        for b in by_bytes(batches, text):
             got = pa.array([encode_avi(padded(t)[0]) for t in b.column(text).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [got], names=[*keep, media])
 
     return docs.mapInArrow(run, schema)
 
 
-def read_clips(media_rows, key: str, media: str = "media"):
-    """One row per clip of each AVI value: key, clip, first_frame, last_frame, start_s, end_s. A null or damaged value has no rows."""
-    from .common import fields, map_rows
+CLIP = "struct<first_frame:int,last_frame:int,start_s:double,end_s:double>"
+
 
-    schema = fields((key, media_rows.schema[key].dataType.simpleString()), ("clip", "int"), ("first_frame", "int"), ("last_frame", "int"), ("start_s", "double"), ("end_s", "double"))
+def read_clips(media_rows: DataFrame, key: str, media: str = "media") -> DataFrame:
+    """One row per clip of each AVI value: key, clip, first_frame, last_frame, start_s, end_s, error. A null value has no rows; one that is damaged, or holds frames that aren't baseline JPEG, has a row with the error only."""
+    schema = fields((key, media_rows.schema[key].dataType.simpleString()), ("clip", "int"), ("first_frame", "int"), ("last_frame", "int"), ("start_s", "double"), ("end_s", "double"), ("error", "string"))
 
     def run(batches):
         for rows in batches:
             for k, data in rows:
+                if data is None:
+                    continue
                 try:
-                    clips = decode_avi(data).clips if data is not None else []
-                except (ValueError, KeyError, IndexError, struct.error):
-                    clips = []
-                for i, c in enumerate(clips):
-                    yield k, i, c.first, c.last, c.start, c.end
+                    for i, c in enumerate(decode_avi(data).clips):
+                        yield k, i, c.first, c.last, c.start, c.end, None
+                except (ValueError, KeyError, IndexError, struct.error) as e:
+                    yield k, None, None, None, None, None, str(e) or type(e).__name__
 
     return map_rows(media_rows.select(key, media), run, schema)
 
 
-def media_digests(docs):
-    """One row per document: what its stored AVI file gives back.
+def media_digests(docs: DataFrame) -> DataFrame:
+    """One row per document: what its stored AVI file gives back, and its clips.
 
-    Null text: as empty (a payload of 64 zeros). Equal texts give equal
+    The media column is written to the shared folder and read back from
+    there. Null text: as empty (a payload of 64 zeros). Equal texts give equal
     values. Repeated and null ids are kept as they are; other columns are
-    not read. Neither step shuffles: storing and reading back are one pass.
+    not read. Neither step shuffles.
     """
-    import hashlib
-    import zlib
-
-    from .common import fields, map_rows
-
+    sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    stored = stage(store_media(sized).drop("text"), "media")
     schema = fields(
         ("doc_id", docs.schema["doc_id"].dataType.simpleString()), ("n_bytes", "bigint"), ("payload_bytes", "bigint"), ("payload_sha256", "string"),
-        ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string"), ("feature", "string"),
+        ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string"), ("feature", "string"), ("clips", f"array<{CLIP}>"),
     )
 
     def run(batches):
         for rows in batches:
-            for doc_id, text in rows:
-                payload, n = padded(text)
-                data = encode_avi(payload)
+            for doc_id, n, data in rows:
                 got = decode_avi(data)
                 back = got.payload
                 cuts = ",".join(str(c.first) for c in got.clips)
-                yield doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), f"mjpeg:{got.width}x{got.height}:{got.frames}:{cuts}"
+                clips = [{"first_frame": c.first, "last_frame": c.last, "start_s": c.start, "end_s": c.end} for c in got.clips]
+                yield doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), f"mjpeg:{got.width}x{got.height}:{got.frames}:{cuts}", clips
 
-    return map_rows(docs.select("doc_id", "text"), run, schema)
+    return map_rows(stored, run, schema)
