@@ -4,8 +4,11 @@ A document is the set of its words, in lower case and without outer
 punctuation, hashed to buckets. The score is the logistic of a bias, a weight
 for each term, and the inner products of the vectors of each pair of its
 terms: so that words which are harmless alone can count together. Training
-first fits the weights with an L1 penalty, which leaves few terms; vectors
-are learned for these only, and scoring reads no others.
+first fits the weights with an L1 penalty, which leaves few terms. Then all
+pairs of terms are tested for what the weights miss: terms of pairs that occur
+with the label more often, or less, than the fit expects are taken in as well,
+however harmless they are alone. Vectors are learned for the terms of both
+kinds, and scoring reads no others.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ BUCKETS = 1 << 18
 FACTORS = 8
 #: Most labelled rows that are used for fitting: those with the smallest hashes of their ids.
 TRAIN_ROWS = 8_000
-#: Most terms of one row in fitting (those with the smallest hashes); scoring uses all.
-TRAIN_TERMS = 4096
+#: Rows with the label that a term needs for its pairs to be tested.
+PAIR_ROWS = 8
+#: Deviations from what the weights expect from which a pair's terms get vectors; chance gives about one pair in 10^9.
+PAIR_DEVIATIONS = 6.0
 _OUTER = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _CACHE = 1 << 18
 
@@ -72,8 +77,37 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def pair_terms(f: np.ndarray, owner: np.ndarray, d: int, y: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Terms of the pairs whose common rows have the label significantly more or less often than p says.
+
+    f, owner: the term and row of each occurrence, of d terms. For each pair,
+    what is expected but missing, and what is there but unexpected, are sums
+    over its common rows, made for blocks of terms by products of matrices.
+    """
+    some = np.flatnonzero(np.bincount(f[y[owner] > 0], minlength=d) >= PAIR_ROWS)
+    place = np.full(d, -1)
+    place[some] = np.arange(len(some))
+    n, m, block = len(y), len(some), 512
+    dense = np.zeros((n, m), np.uint8)
+    inside = place[f] >= 0
+    dense[owner[inside], place[f[inside]]] = 1
+    found = np.zeros(m, bool)
+    labelled = [(np.flatnonzero(y > 0), 1 - p), (np.flatnonzero(y == 0), p)]
+    for i in range(0, m, block):
+        sums = np.zeros((2, m, min(block, m - i)), np.float32)
+        for k, (rows, weight) in enumerate(labelled):
+            for j in range(0, len(rows), 1024):
+                part = dense[rows[j : j + 1024]].astype(np.float32)
+                sums[k] += part.T @ (part[:, i : i + block] * weight[rows[j : j + 1024], None].astype(np.float32))
+        # Under the fit both sums have the same mean, and their difference about that variance.
+        far = np.abs(sums[0] - sums[1]) >= PAIR_DEVIATIONS * np.sqrt((sums[0] + sums[1]) / 2 + 0.5)
+        far[np.arange(i, i + far.shape[1]), np.arange(far.shape[1])] = False
+        found |= far.any(1)
+    return some[found]
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 30, lasso: float | None = None, ridge: float = 1e-3, seed: int = 5) -> Machine:
-    """A machine from the distinct terms of each row and its label. Full-batch proximal gradient for the weights, then gradient steps for weights and vectors of the terms left. The default lasso falls with the root of the number of rows, as chance correlations do."""
+    """A machine from the distinct terms of each row and its label. Full-batch proximal gradient for the weights, then gradient steps for weights and vectors of the terms left and of those that pair_terms() finds. The default lasso falls with the root of the number of rows, as chance correlations do."""
     n = len(rows)
     lasso = 0.055 / max(n, 1) ** 0.5 if lasso is None else lasso
     if not n or labels.min() == labels.max():
@@ -95,14 +129,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 30, lasso: flo
     bend = np.maximum(np.bincount(f, minlength=d), 1) * 0.25 / n
     size = np.bincount(owner, minlength=n)
     step = 4.0 / (bend * np.minimum(np.maximum(np.median(size), 1), 40)) * 0.5
+    chance = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for _ in range(rounds * 4):
-        z = bias + np.bincount(owner, w[f], n)
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        g = (chance(bias + np.bincount(owner, w[f], n)) - y) / n
         grad = np.bincount(f, g[owner], d)
         w = w - step * grad * 0.25
         w = np.sign(w) * np.maximum(np.abs(w) - step * 0.25 * lasso, 0)
         bias -= g.sum()
-    left = np.flatnonzero(w)
+    left = np.union1d(np.flatnonzero(w), pair_terms(f, owner, d, y, chance(bias + np.bincount(owner, w[f], n))))
     if not len(left):
         return Machine(bias, {}, {})
     inside = np.full(d, -1)
@@ -115,7 +149,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 30, lasso: flo
     for _ in range(rounds * 5):
         sums = np.stack([np.bincount(owner, v[f, k], n) for k in range(FACTORS)], 1)
         pairs = 0.5 * ((sums**2).sum(1) - np.bincount(owner, (v[f] ** 2).sum(1), n))
-        g = (1 / (1 + np.exp(-np.clip(bias + np.bincount(owner, w[f], n) + pairs, -30, 30))) - y) / n
+        g = (chance(bias + np.bincount(owner, w[f], n) + pairs) - y) / n
         gw = np.bincount(f, g[owner], m) + ridge * w / n
         each = g[owner, None] * (sums[owner] - v[f])
         gv = np.stack([np.bincount(f, each[:, k], m) for k in range(FACTORS)], 1) + ridge * v
@@ -131,21 +165,23 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> Machine:
-    """Fits on at most rows labelled documents, none of them held out. A doc_id with several labels has the largest; null labels take no part."""
+    """Fits on at most rows labelled documents, none of them held out. A doc_id with several labels has the largest; null labels take no part. Of several documents with one doc_id, that with the least hash of its text is used."""
     some = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).alias("y_")).where("doc_id is not null and y_ is not null").where(~held_out(F.col("doc_id")))
-    some = some.groupBy("doc_id").agg(F.max("y_").alias("y_")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    some = some.groupBy("doc_id").agg(F.max("y_").cast("int").alias("y_")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # The limit bounds the broadcast side.
-    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", F.col("y_").cast("int"))
+    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", F.xxhash64("text").alias("text_"), "y_", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = fields(("doc_id", kind), ("text_", "bigint"), ("y", "int"), ("terms", "binary"))
 
     def terms(batches):
         table = Terms()
         for batch in batches:
-            for doc_id, text, y in batch:
-                yield doc_id, y, np.array(sorted(table.of(text))[:TRAIN_TERMS], np.int32).tobytes()
+            for doc_id, h, y, text in batch:
+                yield doc_id, h, y, np.array(sorted(table.of(text)), np.int32).tobytes()
 
-    got = map_rows(found, terms, fields(("doc_id", "bigint"), ("y", "int"), ("terms", "binary"))).collect()
-    got.sort()
-    return fit([np.frombuffer(r.terms, np.int32) for r in got], np.array([r.y for r in got], np.int8))
+    one = map_rows(found, terms, schema).groupBy("doc_id").agg(F.min_by(F.struct("y", "terms"), "text_").alias("x"))
+    got = sorted((r.doc_id, r.x.y, bytes(r.x.terms)) for r in one.collect())
+    return fit([np.frombuffer(t, np.int32) for _, _, t in got], np.array([y for _, y, _ in got], np.int8))
 
 
 def score_documents(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
