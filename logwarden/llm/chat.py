@@ -161,16 +161,36 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
 
 
 def events_of_turns(turns: DataFrame) -> DataFrame:
-    """The log that a chat service would have kept: each turn opens, is streamed in two halves, and closes. seq is by turn, role and text, in four steps."""
+    """A log that a chat service would have kept, and that folds to these turns.
+
+    By a hash, a turn is streamed in two halves; or streamed wrongly,
+    regenerated and streamed again; or begun and then edited to its text; or
+    preceded by a draft that is deleted. seq is by turn, role and text, and
+    then by step.
+    """
     text = F.coalesce("text", F.lit(""))
     half = F.floor(F.length(text) / 2).cast("int")
+    first, second = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
     none = F.lit(None).cast("string")
-    parts = ("open", none), ("delta", F.substring(text, F.lit(1), half)), ("delta", F.substring(text, half + 1, F.length(text))), ("close", none)
-    steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(kind).alias("kind"), part.alias("part")) for i, (kind, part) in enumerate(parts)])
+    message = F.col("row_").cast("string")
+    draft = F.concat(F.lit("draft "), message)
+
+    def log(*events):
+        return F.array(*[F.struct(F.lit(i).alias("step"), F.lit(kind).alias("kind"), part.alias("part"), name.alias("message")) for i, (kind, part, name) in enumerate(events)])
+
+    streamed = [("open", none, message), ("delta", first, message), ("delta", second, message), ("close", none, message)]
+    logs = (
+        log(*streamed),
+        log(streamed[0], ("delta", F.reverse(first), message), ("regenerate", none, message), *streamed[1:]),
+        log(streamed[0], ("delta", second, message), ("edit", text, message), streamed[3]),
+        log(("open", none, draft), ("delta", first, draft), ("delete", none, draft), *streamed),
+    )
+    which = F.pmod(F.xxhash64("conv_id", "turn", text), F.lit(len(logs)))
+    steps = F.when(which == 0, logs[0]).when(which == 1, logs[1]).when(which == 2, logs[2]).otherwise(logs[3])
     order = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.xxhash64(text).alias("text"), F.col("row_").alias("row"))
     each = turns.select("conv_id", "turn", "role", "text").withColumn("row_", F.monotonically_increasing_id())
-    each = each.select("conv_id", order.alias("o"), F.col("row_").cast("string").alias("message"), "role", F.explode(steps).alias("s"))
-    return each.select("conv_id", F.struct("o", F.col("s.step").alias("step")).alias("seq"), F.col("s.kind").alias("kind"), "message", "role", F.col("s.part").alias("text"))
+    each = each.select("conv_id", order.alias("o"), "role", F.explode(steps).alias("s"))
+    return each.select("conv_id", F.struct("o", F.col("s.step").alias("step")).alias("seq"), F.col("s.kind").alias("kind"), F.col("s.message").alias("message"), "role", F.col("s.part").alias("text"))
 
 
 def probe_conversation(spark) -> DataFrame:

@@ -40,11 +40,13 @@ def digests(turns):
 
 def test_matches_brute_force(spark, monkeypatch):
     table = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(chat.probe_conversation(spark))
-    extra = [(900001, 0, None, None), (900001, 1, "assistant", "[/INST]" * 300), (900001, 2, "assistant", "é" * 50_000), (None, 0, "user", "<|im_end|>\n"), (None, None, "assistant", "a"), (900002, 3, "user", "same"), (900002, 3, "user", "same")]
+    extra = [(900001, 0, None, None), (900001, 1, "assistant", "[/INST]" * 300), (900001, 2, "assistant", "é" * 50_000), (None, 0, "user", "<|im_end|>\n"), (None, None, "assistant", "a"), (900002, 3, "user", "same"), (900002, 3, "user", "same"), (900003, 0, "user", "</s>" * 400_000), (900003, 1, "assistant", "ab" * 700_000)]
     table = table.unionByName(spark.createDataFrame(extra, table.schema))
     want = {}
     for r in sorted(table.collect(), key=lambda r: (r.turn is not None, r.turn or 0, r.role or "")):
         want.setdefault(r.conv_id, []).append((r.role, r.text))
+    kinds = {r.kind for r in chat.events_of_turns(table).select("kind").distinct().collect()}
+    assert kinds == {"open", "delta", "edit", "regenerate", "delete", "close"}
     got = {r.conv_id: tuple(r)[1:] for r in chat.conversation_digests(chat.format_events(chat.events_of_turns(table))).collect()}
     assert got == {k: digests(v) for k, v in want.items()}
     assert chat.conversation_digests(chat.format_events(chat.events_of_turns(table.limit(0)))).collect() == []
