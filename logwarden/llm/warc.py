@@ -5,14 +5,18 @@ the others are revisits of it. Spark's text writer makes the gzip files (a
 record is UTF-8 text that ends in two line breaks, the writer's separator), so
 any file system that Spark knows will do and lost tasks are written again.
 Reading parses records by their lengths. Each file's captures, sorted by URL
-key and time, are a run; the runs are merged in key ranges by loser trees into
-one globally ordered index.
+key and time, are a run; the runs are cut into the same key ranges, and a
+loser tree merges the runs of each range into one globally ordered index.
+
+A file is one gzip stream, as Spark writes it. So an index entry's offset and
+length are places in the file's unpacked text, and files are kept small.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 from typing import Any
@@ -206,18 +210,24 @@ class LoserTree:
 def merge_index(captures: DataFrame, rows_per_task: int = MERGED_ROWS) -> DataFrame:
     """captures in global order of URL key, time and page_id, with position: increasing over all rows.
 
-    The key ranges are cut by all of url_key, captured and page_id, so one
-    URL's captures may be in several. A task holds its range of each run.
+    The key ranges are cut by all of url_key, captured, page_id and place, so
+    one URL's captures, or one page's that is repeated, may be in several. A
+    task holds its range of each run, in the runs' order, and merges these;
+    nothing is sorted anew.
     """
     n = captures.count()
     names = captures.columns
-    ranges = captures.repartitionByRange(max(1, -(-n // rows_per_task)), "url_key", "captured", "page_id").sortWithinPartitions("run", "url_key", "captured", F.col("page_id").asc_nulls_first(), "offset")
+    ranges = captures.repartitionByRange(max(1, -(-n // rows_per_task)), "url_key", "captured", F.col("page_id").asc_nulls_first(), "run", "offset")
 
     def run(batches):
         runs: dict[str, list[tuple]] = {}
         for rows in batches:
             for row in rows:
                 runs.setdefault(row[0], []).append(row)
+        for r in runs.values():
+            # A run's stretches may arrive in another order: whole stretches are put in place.
+            if any(capture_order(a) > capture_order(b) for a, b in itertools.pairwise(r)):
+                r.sort(key=capture_order)
         yield from LoserTree([iter(r) for r in runs.values()], capture_order)
 
     return map_rows(ranges, run, captures.schema).select(*names, F.monotonically_increasing_id().alias("position"))
