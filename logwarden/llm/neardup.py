@@ -16,6 +16,7 @@ documents with a common head in one tree are compared.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -236,18 +237,21 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _sets(docs: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """region, doc_id, k1 and shingles of the representative of each class in each group (region, members)."""
+    """region, doc_id, k1 and shingles of the representative of each class in each group (region, members). A text that many rows of one doc_id have is sent once by each task."""
     wanted = groups.select("region", F.explode("members").alias("k1")).join(classes.select("k1", "k2", "rep"), "k1")
     wanted = stage(wanted.groupBy("rep", "k1", "k2").agg(F.collect_set("region").alias("regions")), "near")
     small = wanted.count() <= BROADCAST_ROWS
     found = docs.select("doc_id", "text").join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("rep")).select("doc_id", "k1", "k2", "regions", "text")
 
     def sets(batches):
-        table = WordHashes()
+        table, sent = WordHashes(), set()
         for rows in batches:
             for doc_id, k1, k2, regions, text in rows:
+                if (k1, k2) in sent:
+                    continue
                 s = shingles(text, table)
                 if _keys(s) == (k1, k2):
+                    sent.add((k1, k2))
                     data = s.tobytes()
                     for r in regions:
                         yield r, doc_id, k1, data
@@ -260,7 +264,8 @@ def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, percent: int)
 
     def confirm(batches):
         for _, group in by_key(batches, 1):
-            group = list(group)
+            # Several tasks may have sent a class.
+            group = [next(same) for _, same in itertools.groupby(group, key=lambda r: r[3])]
             arrays = [np.frombuffer(r[2], np.uint64) for r in group]
             parent = list(range(len(group)))
             for i in range(len(group)):
@@ -271,7 +276,7 @@ def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, percent: int)
                         if group[i][1] != group[j][1]:
                             yield group[i][1], group[j][1]
 
-    ordered = _sets(docs, groups, classes).select("region", "doc_id", "shingles").repartition("region").sortWithinPartitions("region", "doc_id")
+    ordered = _sets(docs, groups, classes).select("region", "doc_id", "shingles", "k1").repartition("region").sortWithinPartitions("region", "k1")
     return map_rows(ordered, confirm, fields(("a", "bigint"), ("b", "bigint")))
 
 
@@ -345,6 +350,8 @@ def _crowd_links(docs: DataFrame, crowds: DataFrame, classes: DataFrame, found:
             # Sets come before pairs.
             for _, _, k1, doc_id, data, others in group:
                 if others is None:
+                    if k1 in ids:
+                        continue
                     ids[k1] = len(arrays)
                     parent.append(len(arrays))
                     docs_.append(doc_id)
@@ -378,9 +385,41 @@ def _crowd_links(docs: DataFrame, crowds: DataFrame, classes: DataFrame, found:
     return map_rows(both.repartition("region").sortWithinPartitions("region", "step"), confirm, fields(("a", "bigint"), ("b", "bigint")))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+def _sharing(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Groups of two for all pairs of classes that can be similar, without chance.
+
+    A class's shingles are put in order from the rarest on; two sets that are
+    similar enough have one in common among the first n - ceil(n * percent / 100) + 1
+    of each. Shingles that all share come last and make no pairs.
+    """
+    alone = classes.select(F.col("k1").alias("region"), F.array("k1").alias("members"))
+
+    def each(batches):
+        for rows in batches:
+            for k1, data in rows:
+                s = np.frombuffer(data, np.int64)
+                for x in s.tolist():
+                    yield k1, len(s), x
+
+    spread = map_rows(_sets(docs, alone, classes).dropDuplicates(["k1"]).select("k1", "shingles"), each, fields(("k1", "bigint"), ("n", "bigint"), ("shingle", "bigint")), 65_536)
+    spread = stage(spread, "near")
+    shared = spread.groupBy("shingle").agg(F.count("*").alias("rows_"))
+    place = F.row_number().over(Window.partitionBy("k1").orderBy("rows_", "shingle"))
+    first = spread.join(shared, "shingle").withColumn("place", place)
+    first = stage(first.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("rows_") > 1)).select("shingle", "k1", "n"), "near")
+    a, b = first.alias("a"), first.alias("b")
+    fits = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.k1") < F.col("b.k1")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
+    pairs = a.join(b, fits).select(F.array("a.k1", "b.k1").alias("members")).distinct()
+    return stage(pairs.select(F.xxhash64("members").alias("region"), "members"), "near")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, exact: bool = False) -> DataFrame:
     """Groups of documents that links of at least percent similarity connect.
 
+    Candidates come from the forest, so a link may be missed by chance; with
+    exact, all pairs that share a rare enough shingle are candidates instead,
+    which misses none and costs a shuffle of all shingles.
+
     docs: doc_id (long), text. Returns doc_id, n_shingles, component_id
     (smallest doc_id of the group), kept (whether it is that one), one row per
     input row. Null and empty texts have no shingles and stay alone. Rows
@@ -393,10 +432,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     some = signed.where("k1 is not null and doc_id is not null")
     classes = some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "sig", "n_shingles")).alias("x"), F.count("*").alias("rows_")).select("k1", "k2", F.col("x.doc_id").alias("rep"), F.col("x.sig").alias("sig"), F.col("x.n_shingles").alias("n_shingles"), "rows_")
     classes = stage(classes, "near")
-    regions = stage(_regions(classes), "near")
-    release(spark)
-    groups = stage(_narrowed(regions, classes), "near")
-    drop_stage(regions)
+    if exact:
+        groups = _sharing(docs, classes, percent)
+    else:
+        regions = stage(_regions(classes), "near")
+        release(spark)
+        groups = stage(_narrowed(regions, classes), "near")
+        drop_stage(regions)
     links = _links(docs, groups, classes, percent)
     # Rows that share a doc_id connect the classes of their texts.
     own = some.select("doc_id", "k1", "k2").join(classes.where("rows_ > 1").select("k1", "k2", "rep"), ["k1", "k2"])
@@ -405,8 +447,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     links = stage(links.unionByName(again), "near")
     release(spark)
     found = components(links).select(F.col("node").alias("rep"), "component").distinct()
-    crowds = _crowds(classes)
-    if not crowds.isEmpty():
+    crowds = None if exact else _crowds(classes)
+    if crowds is not None and not crowds.isEmpty():
         more = stage(_crowd_links(docs, crowds, classes, found, percent), "near")
         release(spark)
         if not more.isEmpty():

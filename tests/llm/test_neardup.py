@@ -122,6 +122,29 @@ def test_pairs_in_a_crowd(spark, monkeypatch):
     assert {(x[2], x[0]) for x in got if not x[3]} == set(pairs)
 
 
+def test_exact_links_are_all_links(spark, monkeypatch):
+    """Without chance: pairs at exactly 0.75 and just below, chains, crowds and short sets."""
+    rows, _ = crowd()
+    rows = [x for x in rows if x[0] < 120 or x[0] >= 13_700]
+    rows += [(20_000 + i, " ".join(f"v{j}" for j in range(12 - i))) for i in range(10)] + [(21_000, "one two"), (21_001, "One two"), (21_002, "")]
+    r = random.Random(3)
+    w = [f"k{j}" for j in range(60)]
+    for i in range(60):
+        w = list(w)
+        w[r.randrange(60)] = f"z{i}"
+        rows.append((30_000 + i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(x) for x in neardup.near_duplicates(docs, exact=True).collect()) == brute(rows)
+
+
+def test_a_text_repeated_under_one_id(spark):
+    """All rows of one doc_id and text are one class, sent once by a task."""
+    text = " ".join(f"h{j}" for j in range(40))
+    rows = [(5, text)] * 300 + [(6, text.replace("h20", "x")), (7, " ".join(f"o{j}" for j in range(40)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert {(r[0], r[2]) for r in run(docs)} == {(5, 5), (6, 5), (7, 7)} and len(run(docs)) == 302
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, 6000 + i) for i in range(200)]
