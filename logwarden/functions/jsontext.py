@@ -2,6 +2,11 @@
 
 Values are compared as text. JSON booleans have the text forms 1 and 0, as
 stores without a boolean type keep them; numbers are as JSON writes them.
+
+Operators that read several fields of an event parse it once, into a map of
+its top-level texts, and look up each field once (with_texts). Only values whose
+form the map can't tell (nested ones, fractions, true and false) are read from
+the text again, one by one.
 """
 
 from __future__ import annotations
@@ -9,17 +14,50 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The column of with_fields().
+PARSED = "fields_"
+#: Texts that may be of another form than the value is shown in: nested values and fractions.
+_ODD = r"^[{\[]|^-?[0-9]+(?:\.[0-9]+(?:[eE][+-]?[0-9]+)?|[eE][+-]?[0-9]+)$"
+#: Texts of empty values, if they aren't strings.
+_EMPTY = r"^(?:false|\[\s*\]|\{\s*\}|-?0+(?:\.0+)?(?:[eE][+-]?[0-9]+)?)$"
+#: What the text of a number or boolean looks like.
+_LIKE_NUMBER = r"^-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$"
 _NUMBER = r"^[ \t\n\r\f\x0B]*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 
 
-def path(field: str) -> str:
-    """The JSON path of a top-level field; a dot in a name is part of it."""
+def name_of(field: str) -> str:
+    """The name of a top-level field; a dot in it is part of it."""
     name = field.replace('"', "").replace("'", "")
-    return "$['" + ("EventID" if name.lower() == "eventid" else name) + "']"
+    return "EventID" if name.lower() == "eventid" else name
+
+
+def path(field: str) -> str:
+    """The JSON path of a top-level field."""
+    return "$['" + name_of(field) + "']"
+
+
+def with_fields(events: DataFrame, raw: str = "raw") -> DataFrame:
+    """events with each one's top-level texts by name, in one parse."""
+    return events.withColumn(PARSED, F.from_json(F.col(raw), "map<string,string>"))
+
+
+def with_texts(events: DataFrame, fields: Iterable[str], raw: str = "raw") -> tuple[DataFrame, dict[str, Column]]:
+    """events with a column for the text of each field, and these by field; to be given to text() and present(). Each event is parsed once, each field looked up once."""
+    names = list(dict.fromkeys(fields))
+    kept = [F.col(f"`{c}`") for c in events.columns]
+    made = [F.try_element_at(PARSED, F.lit(name_of(f))).alias(f"field_{i}_") for i, f in enumerate(names)]
+    return with_fields(events, raw).select(*kept, *made), {f: F.col(f"field_{i}_") for i, f in enumerate(names)}
+
+
+def _found(raw: Column, field: str, looked_up: Column | None) -> Column:
+    """A field's text as JSON shows it, booleans as true and false."""
+    if looked_up is None:
+        return F.get_json_object(raw, path(field))
+    return F.when(looked_up.rlike(_ODD), F.get_json_object(raw, path(field))).otherwise(looked_up)
 
 
 def sanitised(name: str) -> str:
@@ -33,11 +71,11 @@ def kind(raw: Column, field: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(F.try_parse_json(raw), p, "variant"))
 
 
-def text(raw: Column, field: str) -> Column:
+def text(raw: Column, field: str, looked_up: Column | None = None) -> Column:
     """A field's text form; JSON null and a missing field are null."""
-    t = F.get_json_object(raw, path(field))
-    boolean = t.isin("true", "false") & (kind(raw, field) == "BOOLEAN")
-    return F.when(boolean, F.when(t == "true", "1").otherwise("0")).otherwise(t)
+    t = _found(raw, field, looked_up)
+    bare = t if looked_up is None else looked_up
+    return F.when(bare.isin("true", "false") & (kind(raw, field) == "BOOLEAN"), F.when(bare == "true", "1").otherwise("0")).otherwise(t)
 
 
 def number(t: Column) -> Column:
@@ -56,32 +94,36 @@ def contains(c: Column, part: str) -> Column:
     return F.contains(ascii_lower(c), F.lit(low))
 
 
-def present(raw: Column, field: str) -> Column:
+def present(raw: Column, field: str, looked_up: Column | None = None) -> Column:
     """A field's text if it is neither empty, zero, false nor null; a string "0" is present."""
-    p = path(field)
-    t = F.get_json_object(raw, p)
-    bare = t.isin("false", "[]", "{}") | (t.try_cast("double") == 0)
-    shown = F.when(t.isin("true"), F.when(kind(raw, field) == "BOOLEAN", "True").otherwise(t)).otherwise(t)
-    return F.when((t == "") | t.isNull(), None).when(bare & (kind(raw, field) != "STRING"), None).otherwise(shown)
+    t = F.get_json_object(raw, path(field)) if looked_up is None else looked_up
+    bare = t.rlike(_EMPTY) & (kind(raw, field) != "STRING")
+    true = (t == "true") & (kind(raw, field) == "BOOLEAN")
+    return F.when((t == "") | bare, None).when(true, "True").otherwise(_found(raw, field, looked_up))
 
 
-def first_present(raw: Column, fields: Iterable[str]) -> Column:
+def first_present(raw: Column, fields: Iterable[str], looked_up: dict[str, Column] | None = None) -> Column:
     """The first of several fields that is present."""
-    return F.coalesce(*[present(raw, f) for f in fields])
+    return F.coalesce(*[present(raw, f, (looked_up or {}).get(f)) for f in fields])
+
+
+def _numeric(raw: Column, field: str, t: Column) -> Column:
+    """Whether a field with text t is a number or boolean; the value's kind is asked for only if it looks like one."""
+    return t.rlike(_LIKE_NUMBER) & kind(raw, field).rlike("^(BIGINT|DECIMAL|DOUBLE|BOOLEAN)")
 
 
 def order_rank(raw: Column, field: str) -> list[Column]:
     """Sort keys of a loosely typed field: null, then numbers by value, then text."""
-    t, k = text(raw, field), kind(raw, field)
-    numeric = k.rlike("^(BIGINT|DECIMAL|DOUBLE|BOOLEAN)")
+    t = text(raw, field)
+    numeric = _numeric(raw, field, t)
     rank = F.when(t.isNull(), 0).when(numeric, 1).otherwise(2)
     return [rank, F.when(numeric, t.try_cast("double")), F.when(~numeric, t)]
 
 
 def group_value(raw: Column, field: str) -> list[Column]:
     """What a facet groups by: whether the value is a number, and its text; 1 and 1.0 are one group, 1 and "1" are two."""
-    t, k = text(raw, field), kind(raw, field)
-    numeric = k.rlike("^(BIGINT|DECIMAL|DOUBLE|BOOLEAN)")
+    t = text(raw, field)
+    numeric = _numeric(raw, field, t)
     return [F.coalesce(numeric, F.lit(False)), F.when(numeric, F.regexp_replace(t, r"\.0+$|(\.[0-9]*?)0+$", "$1")).otherwise(t)]
 
 

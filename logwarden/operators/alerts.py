@@ -19,9 +19,8 @@ def severity(level: Column) -> Column:
 
 
 def techniques(tags: Column) -> Column:
-    """ATT&CK technique ids of a rule's tags, in their order: attack.t1059.001 gives T1059.001."""
-    found = F.filter(tags, lambda t: t.rlike(r"^attack\.t\d"))
-    return F.transform(found, lambda t: F.upper(F.substring(t, F.lit(8), F.length(t))))
+    """The tags of a rule that name ATT&CK techniques (attack.t...), as they are and in their order."""
+    return F.filter(tags, lambda t: t.startswith("attack.t"))
 
 
 def dedup_key(*parts: Column) -> Column:
@@ -40,27 +39,40 @@ def group_matches(matches: DataFrame, scope_by_source: bool = False, with_sample
     matches: one row per event and rule (rule_id, rule_title, rule_level,
     tags), with host, source_batch and the promoted columns. Informational
     rules give none. The dedup key is of the rule, the host and the first user
-    by name; scope_by_source puts the source in it, too.
+    by name, or the host again if there is no user; scope_by_source puts the
+    source in it, too.
     """
     keys = ["rule_id", "rule_title", "host", "source_batch"]
     some = matches.withColumn("rule_level", severity(F.col("rule_level"))).where("rule_level != 'informational'")
     out = some.groupBy(*keys).agg(F.min("rule_level").alias("rule_level"), F.min("tags").alias("tags"), F.count("*").alias("event_count"), entity_sets().alias("entities"))
-    main = F.coalesce(F.get("entities.users", F.lit(0)), F.lit(""))
+    main = F.coalesce(F.get("entities.users", F.lit(0)), F.col("host"))
     parts = [F.col("rule_id"), F.col("host"), main] + ([F.col("source_batch")] if scope_by_source else [])
     out = out.withColumn("dedup_key", dedup_key(*parts)).withColumn("mitre_techniques", techniques(F.col("tags"))).drop("tags")
     if with_samples:
-        out = out.join(samples(some, keys, list(order)), keys, "left")
+        out = with_sample_events(out, some, keys, list(order))
     return out.withColumn("engine", F.lit("rules")).withColumn("status", F.lit("new"))
 
 
-def samples(matches: DataFrame, keys: list[str], order: list[str], limit: int = SAMPLE) -> DataFrame:
-    """sample_events of each group: raw texts of all rows in order, or of the first and last few of more than limit."""
-    head = limit // 2
+def with_sample_events(groups: DataFrame, matches: DataFrame, keys: list[str], order: list[str], limit: int = SAMPLE) -> DataFrame:
+    """groups (with event_count) and their sample_events: raw texts of all rows in order, or of the first and last few of more than limit.
+
+    Both ends are ranks below a small number, which each task applies before
+    it sends rows: texts that no group shows are not shuffled.
+    """
+    half = limit // 2
+    rows = matches.select(*keys, *order, "raw")
     by = Window.partitionBy(*keys)
-    ranked = matches.select(*keys, *order, "raw").withColumn("at", F.row_number().over(by.orderBy(*order))).withColumn("n", F.count("*").over(by))
-    few = ranked.where((F.col("n") <= limit) | (F.col("at") <= head) | (F.col("at") > F.col("n") - (limit - head)))
-    rows = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("s"))
-    return rows.select(*keys, F.col("s.raw").alias("sample_events"))
+
+    def end(name: str, sort: list[Column], most: int) -> DataFrame:
+        few = rows.withColumn("at", F.row_number().over(by.orderBy(*sort))).where(F.col("at") <= most)
+        return few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias(name))
+
+    first = end("first_", [F.col(c).asc() for c in order], limit)
+    last = end("last_", [F.col(c).desc() for c in order], limit - half)
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    both = groups.alias("g").join(first.alias("f"), same("g", "f"), "left").join(last.alias("l"), same("g", "l"), "left")
+    shown = F.when(F.col("event_count") <= limit, F.col("first_.raw")).otherwise(F.concat(F.slice(F.col("first_.raw"), 1, half), F.reverse(F.col("last_.raw"))))
+    return both.select("g.*", shown.alias("sample_events"))
 
 
 def upsert(stored: DataFrame, new: DataFrame, add: bool = True) -> DataFrame:

@@ -4,10 +4,16 @@ Every hit is an anchor: the hits of the same source batch and key in the
 closed window that ends there decide, so one pass over sorted hits is exact
 for all keys at once. A hit of a correlation that fired is a row of the same
 ledger for the rules above it.
+
+For a batch of new hits, only the keys that these touch are read, and only
+from the first of them less the rule's span on: the cost follows the batch and
+its windows, not the ledger.
 """
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +21,8 @@ from ..functions import jsontext as J
 from ..plans.catalog import Correlation, in_order
 from .alerts import dedup_key, entity_sets
 
+#: Keys, and events, up to this number are joined by broadcast.
+BROADCAST_KEYS = 100_000
 LEDGER = "event_id string, rule_title string, source_batch string, event_ts timestamp_ntz, group_values map<string,string>"
 
 
@@ -34,14 +42,16 @@ def ledger(matched: DataFrame, spec: dict[str, list[str]]) -> DataFrame:
     """Hits of the titles in spec with the fields they need, as text. Each event and title once; events without a time have a null one."""
     raw = F.col("raw")
     titles = F.filter(F.array_distinct("matched_rules"), lambda t: t.isin(list(spec)) if spec else F.lit(False))
-    hits = matched.select("event_id", "source_batch", "event_ts", "raw", F.explode(titles).alias("rule_title"))
+    some = matched.select("event_id", "source_batch", "event_ts", "raw", titles.alias("titles_")).where(F.size("titles_") > 0)
     fields = sorted({f for fs in spec.values() for f in fs})
+    parsed, looked_up = J.with_texts(some, fields)
     if not fields:
-        values = F.create_map().cast("map<string,string>")
+        every = F.create_map().cast("map<string,string>")
     else:
-        every = F.create_map(*[x for f in fields for x in (F.lit(f), J.text(raw, f))])
-        wanted = F.create_map(*[x for t, fs in spec.items() for x in (F.lit(t), F.array(*[F.lit(f) for f in fs]))])
-        values = F.map_filter(every, lambda k, v: v.isNotNull() & F.array_contains(F.try_element_at(wanted, F.col("rule_title")), k))
+        every = F.create_map(*[x for f in fields for x in (F.lit(f), J.text(raw, f, looked_up[f]))])
+    hits = parsed.select("event_id", "source_batch", "event_ts", every.alias("every_"), F.explode("titles_").alias("rule_title"))
+    wanted = F.create_map(*[x for t, fs in spec.items() for x in (F.lit(t), F.array(*[F.lit(f) for f in fs]).cast("array<string>"))]) if spec else F.create_map().cast("map<string,array<string>>")
+    values = F.map_filter("every_", lambda k, v: v.isNotNull() & F.array_contains(F.try_element_at(wanted, F.col("rule_title")), k))
     return hits.select("event_id", "rule_title", "source_batch", "event_ts", values.alias("group_values")).dropDuplicates(["event_id", "rule_title"])
 
 
@@ -51,9 +61,14 @@ def append_hits(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def condition_met(condition: dict, n: Column) -> Column:
-    """All comparisons of a condition; false if it has none."""
+    """All comparisons of a condition, as numbers; false if it has none. A threshold that is no number is passed over."""
     by = {"gte": n.__ge__, "gt": n.__gt__, "lte": n.__le__, "lt": n.__lt__, "eq": n.__eq__, "neq": n.__ne__}
-    parts = [by[k](F.lit(int(v))) for k, v in condition.items() if k in by]
+    parts = []
+    for k, v in condition.items():
+        try:
+            parts += [by[k](F.lit(float(v)))] if k in by else []
+        except (TypeError, ValueError):
+            continue
     return J.all_of(parts) if parts else F.lit(False)
 
 
@@ -78,28 +93,70 @@ def _with_steps(rows: DataFrame, keys: list[str], titles: tuple[str, ...]) -> Da
     return rows
 
 
-def evaluate(hits: DataFrame, c: Correlation, anchors: str = "every_hit", new_ids: DataFrame | None = None, final_step_only: bool = False) -> DataFrame:
-    """Anchors at which a correlation fires: event_id, source_batch, event_ts, rule_title of the anchor hit, n, and the key's fields as k0, k1, ...
-
-    anchors: every_hit, or latest_in_batch (of each key the latest new hit
-    only). new_ids restricts anchors to some events. Hits with a missing key
-    field or time take no part.
-    """
-    n_keys = len(c.group_by)
+def _keyed(hits: DataFrame, c: Correlation) -> DataFrame:
+    """The rule's hits with its keys and time; those without all of them are left out."""
     rows = hits.where(F.col("rule_title").isin(list(c.titles))).select(
         "event_id", "rule_title", "source_batch", "event_ts", F.unix_micros(F.col("event_ts").cast("timestamp")).alias("at_us"), "group_values",
         *[F.col("group_values")[g].alias(f"k{i}") for i, g in enumerate(c.group_by)],
     )
-    keys = [f"k{i}" for i in range(n_keys)]
-    for k in [*keys, "at_us"]:
+    for k in [*(f"k{i}" for i in range(len(c.group_by))), "at_us"]:
         rows = rows.where(F.col(k).isNotNull())
+    return rows
+
+
+def _touched(hits: DataFrame, new: DataFrame, c: Correlation) -> DataFrame | None:
+    """The keyed hits that windows of new hits can see; None if there are no new ones.
+
+    The span of all of them is a literal, which reaches the file scan; each
+    key's own span follows, by broadcast up to a checked number of keys.
+    """
+    keys = ["source_batch", *(f"k{i}" for i in range(len(c.group_by)))]
+    per_key = _keyed(new, c).groupBy(*keys).agg((F.min("at_us") - c.timespan * 1_000_000).alias("low"), F.max("at_us").alias("high"))
+    n, low, high = per_key.agg(F.count("*"), F.min("low"), F.max("high")).first()
+    if not n:
+        return None
+    moment = lambda us: F.lit(datetime(1970, 1, 1) + timedelta(microseconds=us)).cast("timestamp_ntz")
+    rows = _keyed(hits.where(F.col("event_ts").between(moment(low), moment(high))), c)
+    seen = per_key.select(*[F.col(k).alias(f"{k}_") for k in keys], "low", "high")
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    return rows.join(F.broadcast(seen) if n <= BROADCAST_KEYS else seen, [*same, F.col("at_us").between(F.col("low"), F.col("high"))]).select(rows.columns)
+
+
+def _distinct(rows: DataFrame, part: list[str], value: Column, span: int) -> DataFrame:
+    """rows with n, the number of values other than null in the span before each, in time linear in the rows.
+
+    A hit is its value's latest from its time until the next hit of the value
+    or the end of the span: it adds one there and takes it back afterwards, so
+    n is a running sum over both.
+    """
+    rows = rows.withColumn("value_", value)
+    after = F.lead("at_us").over(Window.partitionBy(*part, "value_").orderBy("at_us", "event_id", "rule_title"))
+    rows = rows.withColumn("until_", F.least(F.col("at_us") + span * 1_000_000 + 1, after))
+    shown = F.array(F.struct(F.lit(True).alias("hit_"), F.col("at_us").alias("when_"), F.when(F.col("value_").isNotNull(), 1).otherwise(0).alias("step_")), F.struct(F.lit(False).alias("hit_"), F.col("until_").alias("when_"), F.lit(-1).alias("step_")))
+    shown = F.filter(shown, lambda x: x["hit_"] | F.col("value_").isNotNull())
+    both = rows.withColumn("x_", F.explode(shown)).select(*rows.columns, "x_.*")
+    running = F.sum("step_").over(Window.partitionBy(*part).orderBy("when_").rangeBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("n", running).where("hit_").drop("value_", "until_", "hit_", "when_", "step_")
+
+
+def evaluate(hits: DataFrame, c: Correlation, anchors: str = "every_hit", new_hits: DataFrame | None = None, final_step_only: bool = False) -> DataFrame:
+    """Anchors at which a correlation fires: event_id, source_batch, event_ts, rule_title of the anchor hit, n, and the key's fields as k0, k1, ...
+
+    anchors: every_hit, or latest_in_batch (of each key the latest new hit
+    only). new_hits: rows of the ledger that are new; only these are anchors.
+    Hits with a missing key field or time take no part.
+    """
+    keys = [f"k{i}" for i in range(len(c.group_by))]
     part = ["source_batch", *keys]
+    rows = _keyed(hits, c) if new_hits is None else _touched(hits, new_hits, c)
+    if rows is None:
+        rows = _keyed(hits.where("false"), c)
     w = _window(part, c.timespan)
     if c.kind == "event_count":
         rows = rows.withColumn("n", F.count("*").over(w))
         fires = condition_met(c.condition, F.col("n"))
     elif c.kind == "value_count":
-        rows = rows.withColumn("n", F.size(F.collect_set(F.col("group_values")[c.distinct_field]).over(w)).cast("long"))
+        rows = _distinct(rows, part, F.col("group_values")[c.distinct_field], c.timespan)
         fires = condition_met(c.condition, F.col("n"))
     else:
         # As many counts as titles: distinct titles without gathering them.
@@ -116,11 +173,11 @@ def evaluate(hits: DataFrame, c: Correlation, anchors: str = "every_hit", new_id
             fires = fires & last.isNotNull() & (last >= F.col("at_us") - c.timespan * 1_000_000)
             if final_step_only:
                 fires = fires & (F.col("rule_title") == c.titles[-1])
-    if new_ids is not None:
-        rows = rows.join(new_ids.select("event_id").withColumn("new_", F.lit(True)), "event_id", "left")
-        fresh = F.coalesce(F.col("new_"), F.lit(False))
-    else:
-        fresh = F.lit(True)
+    fresh = F.lit(True)
+    if new_hits is not None:
+        ids = new_hits.select(F.col("event_id").alias("new_id_"), F.col("rule_title").alias("new_title_")).distinct()
+        rows = rows.join(ids, (F.col("event_id") == F.col("new_id_")) & (F.col("rule_title") == F.col("new_title_")), "left")
+        fresh = F.col("new_id_").isNotNull()
     if anchors == "latest_in_batch":
         latest = F.max(F.when(fresh, F.col("at_us"))).over(Window.partitionBy(*part))
         rows = rows.withColumn("latest_", latest)
@@ -137,18 +194,18 @@ def as_hits(fired: DataFrame, c: Correlation) -> DataFrame:
     return hits.dropDuplicates(["event_id", "source_batch"])
 
 
-def correlate(hits: DataFrame, correlations: list[Correlation], anchors: str = "every_hit", new_ids: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+def correlate(hits: DataFrame, correlations: list[Correlation], anchors: str = "every_hit", new_hits: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """Fired anchors by correlation title, and the hits that correlations add. Children come first and feed their parents. Informational ones take no part at all."""
     out: dict[str, DataFrame] = {}
     added: DataFrame | None = None
-    pool, fresh = hits, new_ids
+    pool, fresh = hits, new_hits
     for c in in_order([c for c in correlations if c.level != "informational"]):
         out[c.title] = evaluate(pool, c, anchors, fresh)
         own = as_hits(out[c.title], c)
         added = own if added is None else added.unionByName(own)
         if any(c.title in p.titles for p in correlations):
             pool = pool.unionByName(own)
-            fresh = None if fresh is None else fresh.select("event_id").unionByName(own.select("event_id"))
+            fresh = None if fresh is None else fresh.select(*own.columns).unionByName(own)
     return out, added if added is not None else hits.where("false")
 
 
@@ -162,7 +219,13 @@ def fired_alerts(fired: DataFrame, c: Correlation, hits: DataFrame, events: Data
     inside = base.join(last, J.all_of(same)).select("batch_", *[f"{k}_" for k in keys], "n", "end_", "event_id", "event_ts").dropDuplicates(["batch_", *[f"{k}_" for k in keys], "event_id"])
     first = Window.partitionBy("batch_", *[f"{k}_" for k in keys]).orderBy("event_ts", "event_id")
     few = inside.withColumn("r_", F.row_number().over(first)).where(F.col("r_") <= samples)
-    shown = few.join(events.select("event_id", "host", "user_name", "src_ip", "dst_ip", "process", "raw"), "event_id", "left")
+    # The few events are looked up within their own time, and by broadcast if they are not many.
+    n, low, high = few.agg(F.count("*"), F.min("event_ts"), F.max("event_ts")).first()
+    wanted = events.select("event_id", "host", "user_name", "src_ip", "dst_ip", "process", "raw", F.col("event_ts").alias("time_"))
+    wanted = wanted.where(F.col("time_").between(F.lit(low).cast("timestamp_ntz"), F.lit(high).cast("timestamp_ntz"))).drop("time_")
+    ids = few.select("event_id").distinct()
+    wanted = wanted.join(F.broadcast(ids) if n <= BROADCAST_KEYS else ids, "event_id", "left_semi")
+    shown = few.join(wanted, "event_id", "left")
     group = shown.groupBy("batch_", *[f"{k}_" for k in keys], "n", "end_").agg(entity_sets().alias("entities"), F.min_by("host", "r_").alias("host_"), F.array_sort(F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("r_", "raw")))).alias("s"))
     said = [F.col(f"{k}_") for k in keys]
     return group.select(
@@ -178,3 +241,15 @@ def window_counts(hits: DataFrame, titles: list[str], group_by: list[str], time_
     rows = rows.select("source_batch", "rule_title", "group_values", *[F.col("group_values")[g].alias(k) for g, k in zip(group_by, keys, strict=True)]).na.drop(subset=keys)
     n = {"events": F.count("*"), "distinct_values": F.count_distinct(F.col("group_values")[distinct_field or ""]), "distinct_rules": F.count_distinct("rule_title")}[mode]
     return rows.groupBy("source_batch", *keys).agg(n.alias("n"))
+
+
+def key_window(hits: DataFrame, events: DataFrame, titles: list[str], key: dict[str, str], source_batch: str, time_from: str, time_to: str, mode: str = "events", distinct_field: str | None = None, samples: int = 10) -> DataFrame:
+    """One row for one key in a fixed window: n, and sample_events, the raw texts of the earliest hits' events. No titles or an empty key: n is 0."""
+    w = F.col("event_ts").between(F.lit(time_from).cast("timestamp_ntz"), F.lit(time_to).cast("timestamp_ntz"))
+    rows = hits.where(F.col("rule_title").isin(titles) & (F.col("source_batch") == source_batch) & w)
+    rows = rows.where(J.all_of([F.col("group_values")[k] == v for k, v in key.items()]) if key else F.lit(False))
+    n = {"events": F.count("*"), "distinct_values": F.count_distinct(F.col("group_values")[distinct_field or ""]), "distinct_rules": F.count_distinct("rule_title")}[mode]
+    first = rows.join(events.select("event_id", "raw"), "event_id").orderBy("event_ts", "event_id", "rule_title").limit(samples)
+    shown = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("event_ts", "event_id", "rule_title", "raw"))), lambda x: x["raw"]).alias("sample_events"))
+    one = F.lit(1).alias("one_")
+    return rows.agg(n.alias("n")).select("n", one).join(F.broadcast(shown.select("sample_events", one)), "one_").drop("one_")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import exists
+
 #: The id patterns of ATT&CK objects, and the order of a tactic that no matrix lists.
 TECHNIQUE, TACTIC, MITIGATION, GROUP, SOFTWARE = r"^T\d{4}(\.\d{3})?$", r"^TA\d{4}$", r"^M\d{4}$", r"^G\d{4}$", r"^S\d{4}$"
 UNLISTED = 999
 SOURCE = "mitre-attack"
 OBJECT = (
-    "type string, id string, name string, description string, revoked boolean, x_mitre_deprecated boolean, x_mitre_shortname string, x_mitre_is_subtechnique boolean, x_mitre_platforms array<string>, "
+    "type string, id string, name string, description string, revoked boolean, x_mitre_deprecated boolean, x_mitre_shortname string, x_mitre_is_subtechnique boolean, x_mitre_platforms array<string>, x_mitre_detection string, x_mitre_data_sources array<string>, "
     "x_mitre_version string, x_mitre_domains array<string>, external_references array<struct<source_name:string,external_id:string,url:string>>, kill_chain_phases array<struct<kill_chain_name:string,phase_name:string>>, "
     "tactic_refs array<string>, relationship_type string, source_ref string, target_ref string, x_mitre_analytic_refs array<string>, x_mitre_log_source_references array<struct<name:string,channel:string>>"
 )
@@ -46,13 +48,15 @@ def build(objects: DataFrame, meta: dict[str, str] | None = None) -> dict[str, D
     named = live.withColumn("ref", reference()).withColumn("ext", F.col("ref.external_id"))
     of = lambda kind, pattern=None: named.where((F.col("type") == kind) & (F.col("ext").rlike(pattern) if pattern else F.lit(True)))
     order = live.where("type = 'x-mitre-matrix'").select(F.posexplode("tactic_refs").alias("sort_order", "id")).groupBy("id").agg(F.min("sort_order").alias("sort_order"))
-    tactics = of("x-mitre-tactic", TACTIC).join(F.broadcast(order), "id", "left").select(
+    tactics = of("x-mitre-tactic", TACTIC).where("x_mitre_shortname != ''").join(F.broadcast(order), "id", "left").select(
         F.col("ext").alias("tactic_id"), F.col("x_mitre_shortname").alias("shortname"), "name", "description", F.col("ref.url").alias("url"), F.coalesce("sort_order", F.lit(UNLISTED)).alias("sort_order")).dropDuplicates(["tactic_id"])
     patterns = of("attack-pattern", TECHNIQUE)
-    sub = F.col("ext").contains(".")
+    listed = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     techniques = patterns.select(
-        F.col("ext").alias("technique_id"), "name", "description", F.col("ref.url").alias("url"), sub.alias("is_subtechnique"), F.when(sub, F.split_part("ext", F.lit("."), F.lit(1))).alias("parent_id"),
-        F.coalesce("x_mitre_platforms", F.array().cast("array<string>")).alias("platforms")).dropDuplicates(["technique_id"])
+        F.col("ext").alias("technique_id"), "name", "description", F.col("ref.url").alias("url"), F.coalesce("x_mitre_is_subtechnique", F.lit(False)).alias("is_subtechnique"),
+        F.when(F.col("ext").contains("."), F.split_part("ext", F.lit("."), F.lit(1))).alias("parent_id"), F.coalesce("x_mitre_detection", F.lit("")).alias("detection"),
+        listed("x_mitre_platforms").alias("platforms"), listed("x_mitre_data_sources").alias("data_sources"),
+    ).dropDuplicates(["technique_id"])
     phases = patterns.select(F.col("ext").alias("technique_id"), F.explode(F.filter("kill_chain_phases", lambda p: p["kill_chain_name"] == SOURCE)).alias("p")).select("technique_id", F.col("p.phase_name").alias("shortname"))
     in_tactic = phases.join(F.broadcast(tactics.select("tactic_id", "shortname")), "shortname").select("technique_id", "tactic_id").distinct()
     mitigations = of("course-of-action", MITIGATION).select(F.col("ext").alias("mitigation_id"), "name", "description", F.col("ref.url").alias("url")).dropDuplicates(["mitigation_id"])
@@ -87,10 +91,9 @@ def write(kb: dict[str, DataFrame], path: str) -> None:
 
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
     """The tables under path, or None if they are not all there."""
-    try:
-        return {n: spark.read.parquet(f"{path}/{n}") for n in TABLES}
-    except Exception:  # Spark tells a missing path by an analysis error
+    if not all(exists(spark, f"{path}/{n}/_SUCCESS") for n in TABLES):
         return None
+    return {n: spark.read.parquet(f"{path}/{n}") for n in TABLES}
 
 
 def meta(kb: dict[str, DataFrame] | None) -> dict:

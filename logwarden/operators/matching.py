@@ -4,12 +4,14 @@ Rules are routed by the event ids that they need, so an event is tested by
 the rules of its id and by those that need none; each route is a branch of
 one projection, and large routes are cut into packs, so no expression grows
 with the number of rules. Rules that only list literals of one field are
-joined instead: the last path component of the field is looked up in one table
-of all their literals.
+joined instead: the last path component of the field is looked up in a table
+of all their literals. What is carried along are the rules' numbers; their
+heads are looked up in one literal at the end.
 """
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 from collections.abc import Callable, Iterable
 
@@ -21,50 +23,82 @@ from ..plans.sigma import Rule, SharedTexts, pattern, plain, strings
 
 PACK = 100
 MATCH = "struct<id:string,title:string,level:string,tags:array<string>>"
-#: Literal rows up to this number are broadcast; beyond it the join shuffles.
+CANDIDATE = "struct<whole:boolean,literal:string,rule:int,codes:array<string>>"
+#: Literals of a field up to this number are broadcast; beyond it the join shuffles.
 BROADCAST_LITERALS = 100_000
 
 
-def head(rule: Rule) -> Column:
-    return F.struct(F.lit(rule.id).alias("id"), F.lit(rule.title).alias("title"), F.lit(rule.level).alias("level"), F.array(*[F.lit(t) for t in rule.tags]).cast("array<string>").alias("tags"))
+def heads(rules: list[Rule]) -> Column:
+    """One literal: the heads of all rules, by their numbers."""
+    said = [{"id": r.id, "title": r.title, "level": r.level, "tags": list(r.tags)} for r in rules]
+    return F.from_json(F.lit(json.dumps(said)), f"array<{MATCH}>")
 
 
-def routes(rules: Iterable[Rule]) -> dict[int | None, list[Rule]]:
-    """Rules by each event id that they need; None for those that need none."""
-    out: dict[int | None, list[Rule]] = defaultdict(list)
-    for r in rules:
-        for e in r.eventid or (None,):
-            out[e].append(r)
+def routes(rules: Iterable[tuple[int, Rule]]) -> dict[int | None, list[tuple[int, Rule]]]:
+    """Numbered rules by each event id that they need; None for those that need none."""
+    out: dict[int | None, list[tuple[int, Rule]]] = defaultdict(list)
+    for i, r in rules:
+        for e in dict.fromkeys(r.eventid) or (None,):
+            out[e].append((i, r))
     return dict(out)
 
 
-def _found(rules: list[Rule], raw: Column, lists: Callable | None, shared: SharedTexts) -> Column:
+def _numbers(rules: list[tuple[int, Rule]], raw: Column, lists: Callable | None, shared: SharedTexts) -> Column:
+    """The numbers of the rules that match."""
     tests = []
-    for r in rules:
+    for i, r in rules:
         p = r.predicate(raw, lists, shared=shared)
         if r.channel:
             c = shared.column("Channel", True)
             p = (c.isNull() | c.isin(list(r.channel))) & p
-        tests.append(F.when(p, head(r)))
-    return F.filter(F.array(*tests), lambda x: x.isNotNull())
+        tests.append(F.when(p, F.lit(i)))
+    return F.array_compact(F.array(*tests))
 
 
-def match(events: DataFrame, rules: Iterable[Rule], lists: Callable[[str], list[str] | None] | None = None, pack: int = PACK) -> DataFrame:
-    """Events with matched (array of id, title, level, tags), matched_rules (titles) and is_matched.
+def match(events: DataFrame, rules: Iterable[Rule], lists: Callable[[str], list[str] | None] | None = None, pack: int = PACK, join_literals: bool = True) -> DataFrame:
+    """Events with matched (array of id, title, level, tags, in the order of the rules), matched_rules (titles) and is_matched.
 
     A missing Channel does not rule an event out. events: raw, and event_code.
+    Each event is parsed once. Rules that list literals of one field are found
+    by a join for each such field (not with join_literals off); no event is
+    shuffled for it while the literals may be broadcast.
     """
-    raw, none = F.col("raw"), F.array().cast(f"array<{MATCH}>")
-    parts: list[Column] = []
+    rules = list(rules)
+    raw, none, columns = F.col("raw"), F.array().cast("array<int>"), [c for c in events.columns if c not in ("matched", "matched_rules", "is_matched")]
     shared = SharedTexts()
-    for event, some in routes(rules).items():
+    literal = {i: literal_rows(r) for i, r in enumerate(rules) if join_literals and not r.channel}
+    tables: dict[str, dict[str, list[tuple]]] = defaultdict(lambda: defaultdict(list))
+    for i, found in literal.items():
+        for f, op, v in found or ():
+            tables[f][base_of(v)].append((op == "equals", v, i, [str(e) for e in rules[i].eventid]))
+    parts: list[Column] = []
+    for event, some in routes((i, r) for i, r in enumerate(rules) if literal.get(i) is None).items():
         for i in range(0, len(some), pack):
-            found = _found(some[i : i + pack], raw, lists, shared)
+            found = _numbers(some[i : i + pack], raw, lists, shared)
             parts.append(found if event is None else F.when(F.col("event_code") == str(event), found).otherwise(none))
-    columns = events.columns
-    found = F.concat(*parts).cast(f"array<{MATCH}>") if parts else none
-    out = shared.added(events, raw).withColumn("matched", found).select(*[F.col(f"`{c}`") for c in columns if c != "matched"], "matched")
-    return out.withColumn("matched_rules", F.col("matched.title")).withColumn("is_matched", F.size("matched") > 0)
+    values = {f: shared.column(f, False) for f in sorted(tables)}
+    out = shared.added(events, raw) if parts or tables else events
+    for k, (f, bases) in enumerate(sorted(tables.items())):
+        table = events.sparkSession.createDataFrame(list(bases.items()), f"base_{k}_ string, found_{k}_ array<{CANDIDATE}>")
+        small = sum(map(len, bases.values())) <= BROADCAST_LITERALS
+        out = out.join(F.broadcast(table) if small else table, last_component(values[f]) == F.col(f"base_{k}_"), "left")
+        parts.append(_hits(F.col(f"found_{k}_"), values[f]))
+    numbers = F.array_sort(F.concat(*parts)) if parts else none
+    out = out.withColumn("numbers_", numbers).select(*[F.col(f"`{c}`") for c in columns], "numbers_")
+    said = heads(rules)
+    out = out.withColumn("matched", F.transform("numbers_", lambda n: F.get(said, n)).cast(f"array<{MATCH}>") if rules else F.array().cast(f"array<{MATCH}>"))
+    return out.withColumn("matched_rules", F.col("matched.title")).withColumn("is_matched", F.size("numbers_") > 0).drop("numbers_")
+
+
+def _hits(found: Column, value: Column) -> Column:
+    """The numbers of the candidates whose literal the value is, or ends with, and whose event ids have the event's."""
+
+    def holds(c):
+        code = (F.size(c["codes"]) == 0) | F.array_contains(c["codes"], F.coalesce("event_code", F.lit("")))
+        return F.when(c["whole"], value == c["literal"]).otherwise(F.endswith(value, c["literal"])) & code
+
+    numbers = F.transform(F.filter(found, holds), lambda c: c["rule"])
+    return F.coalesce(F.array_distinct(numbers), F.array().cast("array<int>"))
 
 
 def literal_rows(rule: Rule) -> list[tuple[str, str, str]] | None:
@@ -77,49 +111,35 @@ def literal_rows(rule: Rule) -> list[tuple[str, str, str]] | None:
         return None
     key, value = next(iter(body.items()))
     name, *mods = str(key).split("|")
-    values = strings(value)
-    if mods not in ([], ["endswith"]) or not all(isinstance(v, str) and v and not pattern(v)[1] for v in values):
+    if mods not in ([], ["endswith"]) or not name:
         return None
-    low = [plain(v).translate(str.maketrans(J.UPPER, J.LOWER)) for v in values]
+    low = []
+    for v in strings(value):
+        if v is None or v == "":
+            return None
+        s = ("1" if v else "0") if isinstance(v, bool) else str(v)
+        if pattern(s)[1]:
+            return None
+        low.append(plain(s).translate(str.maketrans(J.UPPER, J.LOWER)))
     # An ending joins on the last component only if it holds a whole one.
     if mods and not all("\\" in v or "/" in v for v in low):
         return None
     return [(rule.fields_as.get(name, name), mods[0] if mods else "equals", v) for v in low]
 
 
+def base_of(literal: str) -> str:
+    return literal.replace("\\", "/").rsplit("/", 1)[-1]
+
+
 def last_component(c: Column) -> Column:
-    return F.regexp_extract(c, r"([^\\/]*)$", 1)
+    """What is behind the last slash or backslash."""
+    return F.substring_index(F.translate(c, "\\", "/"), "/", -1)
 
 
 def match_literals(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """(event_id, id, title, level, tags) of the rules of literal_rows(); each event and rule once."""
-    spark = events.sparkSession
-    rows = [(f, op, v, v.replace("\\", "/").rsplit("/", 1)[-1], r.id, r.title, r.level, list(r.tags), list(map(str, r.eventid))) for r in rules for f, op, v in literal_rows(r) or ()]
-    table = spark.createDataFrame(rows, "field string, op string, literal string, base string, id string, title string, level string, tags array<string>, codes array<string>")
-    if len(rows) <= BROADCAST_LITERALS:
-        table = F.broadcast(table)
-    fields = sorted({r[0] for r in rows})
-    if not fields:
-        return events.select("event_id", *[F.lit(None).cast("string").alias(c) for c in ("id", "title", "level")], F.array().cast("array<string>").alias("tags")).where("false")
-    raw = F.col("raw")
-    values = F.filter(F.array(*[F.struct(F.lit(f).alias("field"), J.ascii_lower(J.text(raw, f)).alias("value")) for f in fields]), lambda x: x["value"].isNotNull())
-    each = events.select("event_id", "event_code", F.explode(values).alias("v")).select("event_id", "event_code", "v.field", "v.value", last_component(F.col("v.value")).alias("base"))
-    hit = F.when(F.col("op") == "equals", F.col("value") == F.col("literal")).otherwise(F.endswith("value", F.col("literal")))
-    code = (F.size("codes") == 0) | F.array_contains("codes", F.col("event_code"))
-    return each.join(table, ["field", "base"]).where(hit & code).select("event_id", "id", "title", "level", "tags").distinct()
-
-
-def match_pack(events: DataFrame, rules: Iterable[Rule], lists: Callable | None = None, pack: int = PACK) -> DataFrame:
-    """As match(), with the rules that list literals found by a join on event_id."""
-    rules = list(rules)
-    literal = [r for r in rules if literal_rows(r) is not None and not r.channel]
-    keys = {id(r) for r in literal}
-    out = match(events, [r for r in rules if id(r) not in keys], lists, pack)
-    if not literal:
-        return out
-    more = match_literals(events, literal).groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("id", "title", "level", "tags"))).alias("more"))
-    out = out.join(more, "event_id", "left").withColumn("matched", F.concat("matched", F.coalesce(F.col("more").cast(f"array<{MATCH}>"), F.array().cast(f"array<{MATCH}>")))).drop("more")
-    return out.withColumn("matched_rules", F.col("matched.title")).withColumn("is_matched", F.size("matched") > 0)
+    found = match(events, [r for r in rules if literal_rows(r) is not None])
+    return found.select("event_id", F.explode("matched").alias("m")).select("event_id", "m.*")
 
 
 def matches(matched: DataFrame) -> DataFrame:

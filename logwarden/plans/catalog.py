@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+from typing import TYPE_CHECKING
 
 from ..functions.timespans import seconds
 from .sigma import LEVELS, Rule, RuleError, compile_rule, documents, strings, used_lists
-from .value_lists import ValueLists, cleaned, is_list_document
+from .value_lists import ValueList, ValueLists, is_list_document, parse_documents
 
+if TYPE_CHECKING:
+    from pyspark.sql import SparkSession
+
+    from ..sources.sinks import VersionedTable
+
+#: The schema of the table that a catalogue is saved in.
+CATALOG = "catalog string"
 KINDS = ("event_count", "value_count", "temporal", "temporal_ordered")
 COUNT_OPS = ("gte", "gt", "lte", "lt", "eq", "neq")
 
@@ -81,13 +90,24 @@ def resolve_correlations(docs: list[dict]) -> list[Correlation]:
         if any(r is None for r in refs):
             continue
         level = str(d.get("level") or "").lower()
+        title = str(d.get("title") or d.get("name") or d.get("id") or "")
+        if not title:
+            raise RuleError("a correlation needs a title")
         out.append(Correlation(
-            str(d.get("id") or d.get("name") or d["title"]), str(d["title"]), body["type"], tuple(map(str, strings(body["group-by"]))), seconds(body["timespan"]), dict(body.get("condition") or {}),
+            str(d.get("id") or d.get("name") or title), title, body["type"], tuple(map(str, strings(body["group-by"]))), seconds(body["timespan"]), dict(body.get("condition") or {}),
             tuple(r for r in refs if r), level if level in LEVELS else "informational", str(d.get("description") or ""), tuple(map(str, strings(d.get("tags") or []))), str(d.get("name") or ""),
         ))
     return out
 
 
+def load_correlations(spark: SparkSession, path: str) -> list[Correlation]:
+    """The correlations of all YAML files under path, by the names and ids of its rules. Those with an unknown reference are left out."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.y*ml").text(path, wholetext=True)
+    # A pack is for analysts to write, so it fits the driver.
+    texts = [r[0] for r in files.select("value").orderBy("_metadata.file_path").collect()]
+    return resolve_correlations([d for t in texts for d in documents(t) if not is_list_document(d)])
+
+
 def in_order(correlations: list[Correlation]) -> list[Correlation]:
     """Children before parents. What is on a cycle comes in the order given, after what it depends on outside."""
     by_title = {c.title: c for c in correlations}
@@ -127,6 +147,7 @@ class Catalog:
         self.included_sets: list[str] = []
         self.included: set[tuple[str, str]] = set()
         self.excluded: set[tuple[str, str]] = set()
+        self._stamps: dict[str, tuple[int, int]] = {}
 
     # Rulesets and rules
 
@@ -149,17 +170,23 @@ class Catalog:
             self._put(s, doc)
         return s
 
-    def _put(self, s: Ruleset, doc: dict) -> str:
-        rule_id = str(doc.get("id") or uuid.uuid4())
+    def _compiled(self, doc: dict) -> list[Rule]:
+        """A document's rules; an error if they, or its correlation, can't be used."""
         if "correlation" in doc:
+            if not doc.get("title"):
+                raise RuleError("a correlation needs a title")
             check_correlation(doc)
-            compiled: list[Rule] = []
-        else:
-            from pyspark.sql import functions as F
+            return []
+        from pyspark.sql import functions as F
+
+        compiled = compile_rule(doc)
+        for r in compiled:
+            r.predicate(F.col("raw"), self.lists.values)  # raises for a detection that can't be compiled
+        return compiled
 
-            compiled = compile_rule({**doc, "id": rule_id})
-            for r in compiled:
-                r.predicate(F.col("raw"), self.lists.values)  # raises for a detection that can't be compiled
+    def _put(self, s: Ruleset, doc: dict) -> str:
+        rule_id = str(doc.get("id") or uuid.uuid4())
+        compiled = self._compiled({**doc, "id": rule_id})
         titles = {str(d.get("title")) for i, d in s.docs.items() if i != rule_id}
         if str(doc.get("title")) in titles:
             raise RuleError(f"the ruleset has a rule {doc.get('title')!r}")
@@ -196,11 +223,10 @@ class Catalog:
     def get_rule(self, path: str, rule_id: str) -> dict | None:
         return self.sets[path].docs.get(rule_id) if path in self.sets else None
 
-    def upload(self, path: str, text: str, mode: str = "create") -> dict:
-        """A pack of YAML documents: value lists first, then rules. Rules whose id is taken are skipped and told."""
+    def upload(self, path: str, text: str, mode: str = "replace") -> dict:
+        """A pack of YAML documents: value lists first, then rules. Rules whose id is taken are skipped and told, with their owner."""
         docs = documents(text)
-        lists = {str(d["name"]): cleaned(d["values"]) for d in docs if is_list_document(d) and "name" in d}
-        done = self.lists.load(lists, mode)
+        done = self.lists.load(parse_documents([d for d in docs if is_list_document(d)]), mode)
         saved, skipped = [], []
         for d in docs:
             if is_list_document(d):
@@ -212,18 +238,67 @@ class Catalog:
         return {"lists": done, "saved": saved, "skipped": skipped}
 
     def change_list(self, name: str, values: object) -> dict[str, str]:
-        """Sets a list's values and compiles the rules that use it again; those that fail keep their last form and are told."""
+        """Sets a list's values and compiles the rules that use it again, with their predicates; those that fail keep their last form and are told."""
         self.lists.update(name, values)
         failed: dict[str, str] = {}
         for s in self.sets.values():
             for rule_id, doc in s.docs.items():
                 if name in used_lists([doc]) and "correlation" not in doc:
                     try:
-                        s.compiled[rule_id] = compile_rule(doc)
+                        s.compiled[rule_id] = self._compiled(doc)
                     except RuleError as e:
                         failed[rule_id] = str(e)
         return failed
 
+    # On disk: one row of JSON behind a versioned table's pointer
+
+    def save(self, table: VersionedTable) -> None:
+        """All of the catalogue as the table's next version."""
+        said = {
+            "sets": [{"path": s.path, "name": s.name, "builtin": s.builtin, "docs": list(s.docs.values())} for s in self.sets.values()],
+            "lists": [asdict(x) for x in self.lists.all()],
+            "included_sets": self.included_sets,
+            "included": sorted(self.included),
+            "excluded": sorted(self.excluded),
+        }
+        table.replace(table.spark.createDataFrame([(json.dumps(said, default=str),)], CATALOG))
+
+    @classmethod
+    def load(cls, table: VersionedTable) -> Catalog:
+        """The catalogue that was saved last, compiled again; an empty one if there is none. Rules whose lists no longer fit are kept without a compiled form."""
+        out, row = cls(), table.read().first()
+        if row is None:
+            return out
+        said = json.loads(row[0])
+        for x in said["lists"]:
+            out.lists.put(ValueList(**x))
+        for s in said["sets"]:
+            made = out.sets.setdefault(s["path"], Ruleset(s["path"], s["name"], s["builtin"]))
+            for doc in s["docs"]:
+                made.docs[doc["id"]] = doc
+                try:
+                    made.compiled[doc["id"]] = out._compiled(doc)
+                except RuleError:
+                    made.compiled[doc["id"]] = []
+        out.included_sets = said["included_sets"]
+        out.included, out.excluded = ({tuple(x) for x in said[k]} for k in ("included", "excluded"))
+        return out
+
+    def load_compiled_file(self, spark: SparkSession, path: str) -> Ruleset:
+        """A built-in ruleset from a JSON file with a list of rule documents, under the file's name. A file that was loaded as it is now is not read again."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+        stamp = (status.getModificationTime(), status.getLen())
+        name = at.getName()
+        if self._stamps.get(path) == stamp and name in self.sets:
+            return self.sets[name]
+        rules = json.loads(spark.read.text(path, wholetext=True).first()[0])
+        if not isinstance(rules, list):
+            raise RuleError("a ruleset is a list")
+        self.sets.pop(name, None)
+        self._stamps[path] = stamp
+        return self.load_compiled(name, rules)
+
     def list_usage(self) -> dict[str, int]:
         """How many rules use each list."""
         out = {x.name: 0 for x in self.lists.all()}

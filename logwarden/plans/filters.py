@@ -24,6 +24,7 @@ OPERATORS = frozenset({*SIGNS.values(), "contains", "in", "isnull", "notnull"})
 TRUE_WORDS = frozenset({"true", "1", "yes", "да"})
 FALSE_WORDS = frozenset({"false", "0", "no", "нет"})
 
+#: Fixed by the grammar: quoted texts with escapes, signs, marks, and words of all other characters.
 _SCANNER = re.compile(r"""\s*(?:(?P<quoted>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<sign>[<>!]=|<>|[=<>])|(?P<mark>[(),])|(?P<word>[^\s()=<>!,"']+))""", re.DOTALL)
 
 
@@ -67,7 +68,7 @@ def scan(text: str) -> list[_Item]:
         m = _SCANNER.match(text, at)
         if not m:
             where = at + len(text[at:]) - len(text[at:].lstrip())
-            raise FilterError(f"unexpected {text[where]!r} at position {where + 1}")
+            raise FilterError(f"position {where + 1}: {text[where]!r} begins no word, quoted text or sign")
         kind = m.lastgroup
         value = m[kind]
         start = m.start(kind) + 1
@@ -92,7 +93,7 @@ class _Reader:
     def take(self, kind: str, what: str, values: tuple[str, ...] = ()) -> _Item:
         item = self.now
         if item.kind != kind or (values and (item.key or item.value) not in values):
-            raise FilterError(f"expected {what} at position {item.at}, got {item.value or 'the end'!r}")
+            raise FilterError(f"position {item.at}: {item.value or 'the end'!r} stands where {what} should be")
         self.i += 1
         return item
 
@@ -104,7 +105,7 @@ class _Reader:
 
     def value(self) -> str:
         if self.now.kind not in ("word", "quoted"):
-            raise FilterError(f"expected a value at position {self.now.at}, got {self.now.value or 'the end'!r}")
+            raise FilterError(f"position {self.now.at}: {self.now.value or 'the end'!r} stands where a value should be")
         self.i += 1
         return self.items[self.i - 1].value
 
@@ -128,7 +129,7 @@ def _single(r: _Reader):
         r.take("mark", "')'", (")",))
         return inner
     if r.now.key in (*_LEVELS, "not"):
-        raise FilterError(f"expected a field at position {r.now.at}, got {r.now.value!r}")
+        raise FilterError(f"position {r.now.at}: {r.now.value!r} stands where a field should be")
     field = r.take("word", "a field").value
     if r.skip("is"):
         op = "notnull" if r.skip("not") else "isnull"

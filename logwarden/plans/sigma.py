@@ -31,7 +31,26 @@ ROUTES = {
     "network_connection": ((SYSMON, 3, {}),),
     "file_event": ((SYSMON, 11, {}),),
     "dns_query": ((SYSMON, 22, {}),),
+    "process_termination": ((SYSMON, 5, {}),),
+    "driver_load": ((SYSMON, 6, {}),),
+    "image_load": ((SYSMON, 7, {}),),
+    "create_remote_thread": ((SYSMON, 8, {}),),
+    "raw_access_thread": ((SYSMON, 9, {}),),
+    "process_access": ((SYSMON, 10, {}),),
+    "registry_add": ((SYSMON, 12, {}),),
+    "registry_delete": ((SYSMON, 12, {}),),
+    "registry_set": ((SYSMON, 13, {}),),
+    "registry_rename": ((SYSMON, 14, {}),),
+    "create_stream_hash": ((SYSMON, 15, {}),),
+    "pipe_created": ((SYSMON, 17, {}), (SYSMON, 18, {})),
+    "wmi_event": ((SYSMON, 19, {}), (SYSMON, 20, {}), (SYSMON, 21, {})),
+    "file_delete": ((SYSMON, 23, {}), (SYSMON, 26, {})),
 }
+#: Channels of services, where the service alone says what events a rule is for.
+SERVICES = {
+    "security": ("Security",), "system": ("System",), "application": ("Application",), "sysmon": (SYSMON,), "powershell": ("Microsoft-Windows-PowerShell/Operational",),
+    "taskscheduler": ("Microsoft-Windows-TaskScheduler/Operational",), "windefend": ("Microsoft-Windows-Windows Defender/Operational",),
+}
 LEVELS = ("informational", "low", "medium", "high", "critical")
 _TEXT_MODIFIERS = {"contains", "startswith", "endswith"}
 _NUMERIC = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<="}
@@ -53,9 +72,11 @@ class SharedTexts:
         return F.col(self.columns.setdefault((name, cased), f"text_{len(self.columns)}_"))
 
     def added(self, events: DataFrame, raw: Column) -> DataFrame:
-        """events with the columns that were asked for so far."""
-        made = [(J.text(raw, name) if cased else J.ascii_lower(J.text(raw, name))).alias(c) for (name, cased), c in self.columns.items()]
-        return events.select("*", *made)
+        """events with the columns that were asked for so far; each event is parsed once."""
+        parsed, looked_up = J.with_texts(events, [name for name, _ in self.columns])
+        read = lambda name: J.text(raw, name, looked_up[name])
+        made = [(read(name) if cased else J.ascii_lower(read(name))).alias(c) for (name, cased), c in self.columns.items()]
+        return parsed.select(*[F.col(f"`{c}`") for c in events.columns], *made)
 
 
 @dataclass
@@ -102,11 +123,23 @@ def compile_rule(doc: dict, routed: bool = True) -> list[Rule]:
         str(doc.get("id") or doc["title"]), str(doc["title"]), level if level in LEVELS else "informational", str(doc.get("status") or ""), str(doc.get("description") or ""), str(doc.get("author") or ""),
         tuple(map(str, strings(doc.get("tags") or []))), tuple(map(str, strings(doc.get("falsepositives") or []))), name=str(doc.get("name") or ""), detection=doc["detection"],
     )
-    routes = ROUTES.get(str((doc.get("logsource") or {}).get("category") or ""), ()) if routed else ()
+    source = {k: str(v or "").lower() for k, v in (doc.get("logsource") or {}).items()} if routed else {}
+    # Routes are of Windows logs; a rule for another product is for all of its events.
+    windows = source.get("product", "windows") in ("", "windows")
+    routes = ROUTES.get(source.get("category", ""), ()) if windows else ()
+    service = SERVICES.get(source.get("service", ""), ()) if windows else ()
+    if service:
+        routes = tuple(r for r in routes if r[0] in service)
     if not routes:
-        return [rule]
+        return [replace(rule, channel=service)]
     several = len(routes) > 1
-    return [replace(rule, title=f"{rule.title} ({channel.split('/')[0].rsplit('-', 1)[-1]})" if several else rule.title, channel=(channel,), eventid=(event,), fields_as=names) for channel, event, names in routes]
+    return [replace(rule, title=f"{rule.title} ({_route_name(channel, event, routes)})" if several else rule.title, channel=(channel,), eventid=(event,), fields_as=names) for channel, event, names in routes]
+
+
+def _route_name(channel: str, event: int, routes: tuple) -> str:
+    """The last part of the channel's provider, with the event id if several routes share it."""
+    name = channel.split("/")[0].rsplit("-", 1)[-1]
+    return name if sum(c == channel for c, _, _ in routes) == 1 else f"{name} {event}"
 
 
 def pattern(value: str) -> tuple[str, bool]:
@@ -169,15 +202,15 @@ def in_network(t: Column, network: str) -> Column:
 
     @F.pandas_udf("boolean")
     def inside(addresses):
-        import pandas as pd
-
         def one(a):
             try:
-                return None if a is None else ipaddress.ip_address(a) in net
+                return ipaddress.ip_address(a) in net
             except ValueError:
                 return False
 
-        return pd.Series([one(a) for a in addresses], dtype="object")
+        # Each distinct address is parsed once a batch.
+        known = {a: one(a) for a in addresses.dropna().unique()}
+        return addresses.map(known).astype("object").where(addresses.notna(), None)
 
     return inside(t)
 

@@ -1,11 +1,16 @@
 """Registered queries over the test tables, one for each operator, and the SQL that gives the same rows.
 
 The events table has no security fields, so an adapter makes them, in Spark as
-JSON texts, in SQL as columns: everything below runs on whole tables.
+JSON texts, in SQL as columns: everything below runs on whole tables. The
+events are landed once for a session and folder, as ingest does it: with
+their promoted columns and the rules they match, as Parquet.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +25,9 @@ from .operators import matching as M
 from .plans.catalog import Catalog, Correlation
 from .plans.filters import compile_filter
 from .plans.sigma import Rule, compile_rule
+from .sources import readers as R
+from .sources.sinks import append_events, exists, land, shared_dir
+from .streaming.ingest import Pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,7 +38,7 @@ EV = """WITH ev AS (
   SELECT CAST(event_id AS VARCHAR) AS event_id, 'batch-' || (event_id % 3) AS source_batch, ts, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS event_time,
     'HOST-' || (user_id % 20) AS host, 'user' || user_id AS user_name, '10.0.0.' || (user_id % 50) AS ip, 'C:\\Tools\\app' || (event_id % 40) || '.EXE' AS image,
     CASE event_type WHEN 'error' THEN 4625 WHEN 'purchase' THEN 4624 WHEN 'click' THEN 1 WHEN 'view' THEN 3 ELSE 4720 END AS code,
-    event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, user_id, user_id % 3 = 0 AS flag, CASE WHEN user_id % 4 <> 0 THEN 'Note ' || event_type END AS note
+    event_type, event_id % 40 AS tool, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, user_id, user_id % 3 = 0 AS flag, CASE WHEN user_id % 4 <> 0 THEN 'Note ' || event_type END AS note
   FROM events
 ), rules AS (
   SELECT *, list_filter([CASE WHEN code = 4625 THEN 'Failed logon' END, CASE WHEN code = 4624 THEN 'Logon' END, CASE WHEN code = 4720 THEN 'New account' END,
@@ -51,22 +59,37 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, source_batch, ingested_at and raw."""
+def made_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, source_batch, ingested_at and raw of the events table."""
     t = spark.read.parquet(f"{sf_dir}/events.parquet")
     code = F.lit(4720)
     for kind, n in CODES.items():
         code = F.when(F.col("event_type") == kind, n).otherwise(code)
     time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    wide = F.decode(F.encode("event_type", "UTF-16LE"), "ISO-8859-1")
+    blob = F.base64(F.encode(text("cmd app", F.col("event_id") % 40, ".exe"), "UTF-8"))
     raw = F.to_json(F.struct(
         code.alias("EventID"), text("HOST-", F.col("user_id") % 20).alias("Hostname"), text("user", F.col("user_id")).alias("TargetUserName"), text("10.0.0.", F.col("user_id") % 50).alias("IpAddress"),
         text("C:\\Tools\\app", F.col("event_id") % 40, ".EXE").alias("Image"), time.alias("SystemTime"), F.col("event_type").alias("EventType"), F.get_json_object("props", "$.k").try_cast("bigint").alias("k"),
         (F.col("user_id") % 3 == 0).alias("Flag"), F.when(F.col("user_id") % 4 != 0, text("Note ", F.col("event_type"))).alias("Note"), F.col("user_id").alias("UserId"),
+        text(F.col("user_id") % 50, "ms").alias("Latency"), wide.alias("Wide"), blob.alias("Blob"),
     ))
     return t.select(F.col("event_id").cast("string").alias("event_id"), text("batch-", F.col("event_id") % 3).alias("source_batch"), time.alias("ingested_at"), raw.alias("raw"))
 
 
+def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event store: made once for this session and folder."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/events-{hashlib.md5(sf_dir.encode(), usedforsecurity=False).hexdigest()}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        land(M.match(E.promote(made_events(spark, sf_dir)), pack()), path, ("event_ts",))
+    return spark.read.parquet(path)
+
+
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed(spark, sf_dir).select("event_id", "source_batch", "ingested_at", "raw")
+
+
 def pack() -> list[Rule]:
     doc = lambda i, title, level, detection, tags: {"id": i, "title": title, "level": level, "detection": detection, "tags": tags}
     docs = [
@@ -79,11 +102,11 @@ def pack() -> list[Rule]:
 
 
 def promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.promote(raw_events(spark, sf_dir))
+    return landed(spark, sf_dir).drop("matched", "matched_rules", "is_matched")
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.match(promoted(spark, sf_dir), pack())
+    return landed(spark, sf_dir)
 
 
 def hits(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = ("TargetUserName",)) -> DataFrame:
@@ -219,6 +242,42 @@ def corr_alerts(spark, sf_dir):
     return C.fired_alerts(C.evaluate(h, c), c, h, m).select("dedup_key", "source_batch", "event_count", "engine")
 
 
+_FIRED = EV + f""", f AS (SELECT *, count(*) OVER ({_KEYED.format(span=DAY * 3)}) AS n FROM hit WHERE title = 'Failed logon'),
+ l AS (SELECT source_batch, user_name, max(ts) AS ts FROM f WHERE n >= 2 GROUP BY 1, 2),
+ w AS (SELECT l.source_batch, l.user_name, h.event_id, h.event_time, h.host, h.ip, row_number() OVER (PARTITION BY l.source_batch, l.user_name ORDER BY h.ts, h.event_id) AS r
+   FROM l JOIN hit h ON h.title = 'Failed logon' AND h.source_batch = l.source_batch AND h.user_name = l.user_name AND h.ts BETWEEN l.ts - INTERVAL {DAY * 3} SECONDS AND l.ts)
+"""
+
+
+@query("corr_alert_samples", _FIRED + """SELECT source_batch, user_name, string_agg(event_time, ',' ORDER BY r) AS sample, list_sort(list(DISTINCT host))[1] AS first_host, array_to_string(list_sort(list(DISTINCT ip)), ',') AS ips
+FROM w WHERE r <= 10 GROUP BY 1, 2""")
+def corr_alert_samples(spark, sf_dir):
+    """Entities and the earliest events of each alert's window."""
+    m = matched(spark, sf_dir)
+    c = rule("event_count", ("Failed logon",), DAY * 3, {"gte": 2})
+    h = C.ledger(m, C.hit_spec([c]))
+    a = C.fired_alerts(C.evaluate(h, c), c, h, m)
+    times = F.transform("sample_events", lambda r: F.get_json_object(r, "$.SystemTime"))
+    return a.select("source_batch", F.col("entities.users")[0].alias("user_name"), F.array_join(times, ",").alias("sample"), F.col("entities.hosts")[0].alias("first_host"), F.array_join("entities.src_ips", ",").alias("ips"))
+
+
+@query("corr_key_window", EV + """SELECT count(*) AS n, (SELECT string_agg(event_time, ',') FROM (SELECT event_time FROM hit WHERE title = 'Failed logon' AND source_batch = 'batch-1' AND host = 'HOST-3' ORDER BY ts, event_id LIMIT 10)) AS sample
+FROM hit WHERE title = 'Failed logon' AND source_batch = 'batch-1' AND host = 'HOST-3'""")
+def corr_key_window(spark, sf_dir):
+    h = hits(spark, sf_dir, ("Hostname",))
+    one = C.key_window(h, matched(spark, sf_dir), ["Failed logon"], {"Hostname": "HOST-3"}, "batch-1", "2000-01-01 00:00:00", "2100-01-01 00:00:00")
+    return one.select("n", F.array_join(F.transform("sample_events", lambda r: F.get_json_object(r, "$.SystemTime")), ",").alias("sample"))
+
+
+@query("corr_new_hits", EV + f"SELECT event_id, source_batch, user_name, n FROM (SELECT *, count(*) OVER ({_KEYED.format(span=DAY * 3)}) AS n FROM hit WHERE title = 'Failed logon') WHERE n >= 2 AND ts >= TIMESTAMP '2024-01-25'")
+def corr_new_hits(spark, sf_dir):
+    """Only the newest hits are anchors; what is read is cut to their keys and windows."""
+    h = hits(spark, sf_dir)
+    c = rule("event_count", ("Failed logon",), DAY * 3, {"gte": 2})
+    out = C.evaluate(h, c, new_hits=h.where("event_ts >= timestamp_ntz '2024-01-25 00:00:00'"))
+    return out.select("event_id", "source_batch", F.col("k0").alias("user_name"), "n")
+
+
 @query("hits_ledger", EV + "SELECT event_id, title AS rule_title, source_batch, user_name AS u, CASE WHEN title = 'Logon' THEN host END AS h FROM hit WHERE title IN ('Failed logon', 'Logon')")
 def hits_ledger(spark, sf_dir):
     h = C.ledger(matched(spark, sf_dir), {"Failed logon": ["TargetUserName"], "Logon": ["TargetUserName", "Hostname"]})
@@ -240,13 +299,13 @@ def _filter(name: str, text: str, where: str, on: Callable = promoted):
 
 
 _filter("flt_eq", "EventType = error", "event_type = 'error'")
-_filter("flt_eq_cased", 'eventid = 4625 and Hostname = "host-7"', "code = 4625 AND host = 'host-7'")
+_filter("flt_eq_cased", 'eventid = 4625 and (Hostname = "HOST-7" or Hostname = "host-8")', "code = 4625 AND (host = 'HOST-7' OR host = 'host-8')")
 _filter("flt_eq_boolean", "Flag = 1", "flag")
 _filter("flt_neq_null", 'Note != "Note view"', "note IS NULL OR note <> 'Note view'")
 _filter("flt_contains_ci", "Hostname contains ost-1", "lower(host) LIKE '%ost-1%'")
 _filter("flt_in", "EventID in (4625, 1, 'x y')", "code IN (4625, 1)")
 _filter("flt_num_cmp", "k >= 50 and k < 70.5", "k >= 50 AND k < 70.5")
-_filter("flt_num_prefix", "Hostname >= 0 and Note > 0.5", "false")
+_filter("flt_num_prefix", "Latency >= 10 and Latency < 12.5 or Hostname > 0.5", "user_id % 50 >= 10 AND user_id % 50 < 12.5")
 _filter("flt_text_cmp", "TargetUserName > user5", "user_name > 'user5'")
 _filter("flt_is_null", "Note is null", "note IS NULL")
 _filter("flt_not_null", "Note is not null and Missing is null", "note IS NOT NULL")
@@ -266,7 +325,7 @@ _filter("flt_rule_null", "rule is null", "len(titles) = 0", matched)
 @query("flt_envelope", EV + "SELECT event_id FROM rules WHERE source_batch = 'batch-1' AND len(titles) > 0 AND event_time BETWEEN '2024-01-05T00:00:00' AND '2024-01-20' AND k > 10 AND host = 'HOST-3'")
 def flt_envelope(spark, sf_dir):
     conditions = [{"field": "Hostname", "value": "HOST-3"}, {"field": " ", "op": "eq", "value": "x"}, {"field": "k", "op": "like", "value": "1"}]
-    return ids(matched(spark, sf_dir).where(E.event_filter("batch-1", True, "2024-01-05 00:00:00", "2024-01-20Z", "k > 10", conditions)))
+    return ids(matched(spark, sf_dir).where(E.event_filter("batch-1", True, "2024-01-05 00:00:00", "2024-01-20Z", "k > 10", conditions, stored=True)))
 
 
 @query("flt_documents", "SELECT doc_id FROM documents WHERE contains(lower(text), 'worthless') OR lang = 'de' AND n_chars > 5000")
@@ -316,7 +375,7 @@ def count_events(spark, sf_dir):
 
 @query("time_range", EV + "SELECT event_id FROM ev WHERE event_time >= '2024-01-10T00:00:00' AND event_time <= '2024-01-12T12:00:00'")
 def time_range(spark, sf_dir):
-    return ids(promoted(spark, sf_dir).where(E.event_filter(time_from="2024-01-10 00:00:00", time_to="2024-01-12T12:00:00Z")))
+    return ids(promoted(spark, sf_dir).where(E.event_filter(time_from="2024-01-10 00:00:00", time_to="2024-01-12T12:00:00Z", stored=True)))
 
 
 @query("get_event", EV + "SELECT event_id, host, user_name, ip AS src_ip, CAST(code AS VARCHAR) AS event_code FROM ev WHERE event_id = '77'")
@@ -337,7 +396,7 @@ def first_present(spark, sf_dir):
 
 @query("source_split", EV + "SELECT source_batch, count(*) AS n, 'mixed:3-sources' AS label FROM ev GROUP BY 1")
 def source_split(spark, sf_dir):
-    e = raw_events(spark, sf_dir)
+    e = landed(spark, sf_dir)
     return e.groupBy("source_batch").agg(F.count("*").alias("n")).withColumn("label", F.lit(E.batch_label(e)))
 
 
@@ -372,7 +431,7 @@ def alert_sample_head_tail(spark, sf_dir):
     return alerts(spark, sf_dir, True).select("rule_id", "host", "source_batch", F.array_join(said, ",").alias("sample"))
 
 
-@query("alert_techniques", _ALERTS + "SELECT rule_id, host, source_batch, CASE rule_id WHEN 'r1' THEN 'T1110' WHEN 'r2' THEN 'T1078' ELSE 'T1136.001' END AS techniques FROM al")
+@query("alert_techniques", _ALERTS + "SELECT rule_id, host, source_batch, CASE rule_id WHEN 'r1' THEN 'attack.t1110' WHEN 'r2' THEN 'attack.t1078' ELSE 'attack.t1136.001' END AS techniques FROM al")
 def alert_techniques(spark, sf_dir):
     return alerts(spark, sf_dir).select("rule_id", "host", "source_batch", F.array_join("mitre_techniques", ",").alias("techniques"))
 
@@ -468,8 +527,8 @@ _sigma("sigma_fieldref", {"s": {"k|fieldref": "UserId"}, "condition": "s"}, "CAS
 _sigma("sigma_windash", {"s": {"Hostname|windash|contains": "HOST -3"}, "t": {"Hostname|endswith|windash": "-3"}, "condition": "s or t"}, "host LIKE '%-3'")
 _sigma("sigma_wildcard", {"s": {"Image": "*\\app?.exe", "Hostname": "host-1*"}, "condition": "s"}, "regexp_matches(lower(image), 'app.[.]exe$') AND host LIKE 'HOST-1%'")
 _sigma("sigma_cidr", {"s": {"IpAddress|cidr": ["10.0.0.0/29", "10.0.0.32/28"]}, "condition": "s"}, "user_id % 50 < 8 OR user_id % 50 BETWEEN 32 AND 47")
-_sigma("sigma_base64offset", {"s": {"Image|base64offset|contains": "powershell"}, "t": {"EventType|base64": "x"}, "condition": "s or t or u", "u": {"k": 2}}, "k = 2")
-_sigma("sigma_utf16", {"s": {"EventType|utf16le|contains": "rr"}, "condition": "s or u", "u": {"k": 4}}, "k = 4")
+_sigma("sigma_base64offset", {"s": {"Blob|base64offset|contains": "app7.exe"}, "t": {"Blob|base64": "cmd app9.exe"}, "condition": "s or t"}, "tool IN (7, 9)")
+_sigma("sigma_utf16", {"s": {"Wide|utf16le|contains": "rr"}, "t": {"Wide|wide": "view"}, "condition": "s or t"}, "event_type IN ('error', 'view')")
 _sigma("sigma_keywords", {"words": ["note CLICK", "HOST-19"], "condition": "words"}, "lower(note) LIKE '%note click%' OR host = 'HOST-19'")
 _sigma("value_list_expand", {"s": {"TargetUserName|expand": ["%admins%", "user9"]}, "condition": "s"}, "user_name IN ('user1', 'user2', 'user33', 'user9')", {"admins": ["user1", "USER2", "user33"]})
 
@@ -482,7 +541,7 @@ def value_list_semi_join(spark, sf_dir):
 
 @query("rule_pack_match", EV + "SELECT title AS rule_title, host, count(*) AS n FROM hit GROUP BY 1, 2")
 def rule_pack_match(spark, sf_dir):
-    return M.matches(matched(spark, sf_dir)).groupBy("rule_title", "host").agg(F.count("*").alias("n"))
+    return M.matches(M.match(promoted(spark, sf_dir), pack())).groupBy("rule_title", "host").agg(F.count("*").alias("n"))
 
 
 def big_pack(n: int = 2000) -> list[Rule]:
@@ -501,17 +560,22 @@ def rule_pack_routed(spark, sf_dir):
     return M.matches(M.match(promoted(spark, sf_dir), rules)).select("event_id", F.col("rule_title").alias("title"))
 
 
-@query("ruleset_compose", "SELECT * FROM (VALUES ('set-a', 'a1'), ('set-a', 'a3'), ('set-b', 'b2')) t(ruleset, rule_id)")
+@query("ruleset_compose", "SELECT lower(r_name) AS ruleset, n_name AS rule_id FROM nation JOIN region ON n_regionkey = r_regionkey WHERE CASE WHEN r_regionkey % 2 = 0 THEN n_nationkey % 3 <> 0 ELSE n_nationkey % 4 = 0 END")
 def ruleset_compose(spark, sf_dir):
+    """Regions are rulesets, nations their rules; some sets are included less some rules, of others some rules are picked."""
     c = Catalog()
-    for s, n in (("set-a", 3), ("set-b", 2)):
-        path = c.create_ruleset(s).path
-        for i in range(1, n + 1):
-            c.save_rule(path, {"id": f"{s[-1]}{i}", "title": f"Rule {i}", "detection": {"s": {"EventID": i}, "condition": "s"}})
-    c.toggle_ruleset("custom_rulesets/set-a", True)
-    c.toggle_rule("custom_rulesets/set-a", "a2", False)
-    c.toggle_rule("custom_rulesets/set-b", "b2", True)
-    return spark.createDataFrame([(f"set-{r.id[0]}", r.id) for r in c.main()], "ruleset string, rule_id string")
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").join(spark.read.parquet(f"{sf_dir}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_regionkey", F.lower("r_name").alias("r"), "n_nationkey", "n_name").collect()
+    for x in rows:
+        path = f"custom_rulesets/{x.r.replace(' ', '-')}"
+        if path not in c.sets:
+            c.create_ruleset(x.r)
+            if x.r_regionkey % 2 == 0:
+                c.toggle_ruleset(path, True)
+        c.save_rule(path, {"id": x.n_name, "title": f"Rule {x.n_name}", "detection": {"s": {"EventID": x.n_nationkey}, "condition": "s"}})
+        if (x.n_nationkey % 3 == 0) if x.r_regionkey % 2 == 0 else (x.n_nationkey % 4 == 0):
+            c.toggle_rule(path, x.n_name, x.r_regionkey % 2 != 0)
+    of = {x.n_name: x.r for x in rows}
+    return spark.createDataFrame([(of[r.id], r.id) for r in c.main()], "ruleset string, rule_id string")
 
 
 # Knowledge base
@@ -526,8 +590,9 @@ def bundle(spark: SparkSession) -> DataFrame:
         {"type": "x-mitre-tactic", "id": "t1", "name": "Access", "x_mitre_shortname": "access", "external_references": ref("TA0001")},
         {"type": "x-mitre-tactic", "id": "t2", "name": "Execution", "x_mitre_shortname": "execution", "external_references": ref("TA0002")},
         {"type": "x-mitre-tactic", "id": "t3", "name": "Impact", "x_mitre_shortname": "impact", "external_references": ref("TA0040")},
-        {"type": "attack-pattern", "id": "p1", "name": "Shell", "external_references": ref("T1059"), "kill_chain_phases": phase("execution")},
-        {"type": "attack-pattern", "id": "p2", "name": "PowerShell", "external_references": ref("T1059.001"), "kill_chain_phases": phase("execution")},
+        {"type": "x-mitre-tactic", "id": "t4", "name": "Nameless", "external_references": ref("TA0099")},
+        {"type": "attack-pattern", "id": "p1", "name": "Shell", "x_mitre_detection": "Watch it", "x_mitre_data_sources": ["Process: Creation"], "external_references": ref("T1059"), "kill_chain_phases": phase("execution")},
+        {"type": "attack-pattern", "id": "p2", "name": "PowerShell", "x_mitre_is_subtechnique": True, "external_references": ref("T1059.001"), "kill_chain_phases": phase("execution")},
         {"type": "attack-pattern", "id": "p3", "name": "Accounts", "external_references": ref("T1078"), "kill_chain_phases": phase("access", "execution")},
         {"type": "attack-pattern", "id": "p4", "name": "Old", "revoked": True, "external_references": ref("T1100"), "kill_chain_phases": phase("access")},
         {"type": "attack-pattern", "id": "p5", "name": "Older", "x_mitre_deprecated": True, "external_references": ref("T1101"), "kill_chain_phases": phase("access")},
@@ -548,41 +613,192 @@ def bundle(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(json.dumps(x),) for x in o], "j string").select(F.from_json("j", K.OBJECT).alias("o")).select("o.*")
 
 
-_KB_EVENTS = EV.rstrip() + """, kt(technique_id, name, tactics) AS (VALUES ('T1059', 'Shell', 'TA0002'), ('T1059.001', 'PowerShell', 'TA0002'), ('T1078', 'Accounts', 'TA0002,TA0001'))
+def table_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STIX objects made of the star schema: regions are tactics, suppliers techniques, some with a sub-technique, nations mitigations and groups."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    ref = lambda c: F.array(F.struct(F.lit("mitre-attack").alias("source_name"), c.alias("external_id")))
+    phase = lambda c: F.array(F.struct(F.lit("mitre-attack").alias("kill_chain_name"), F.lower(c).alias("phase_name")))
+    region, nation = read("region"), read("nation")
+    supplier = read("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    s, n, r = F.col("s_suppkey"), F.col("n_nationkey"), F.col("r_regionkey")
+    kind = lambda t: F.lit(t).alias("type")
+    parts = [
+        region.select(F.struct(kind("x-mitre-tactic"), said("t", r).alias("id"), F.col("r_name").alias("name"), F.lower("r_name").alias("x_mitre_shortname"), ref(said("TA000", r)).alias("external_references"))),
+        region.where("r_regionkey > 0").agg(F.array_sort(F.collect_list(said("t", r))).alias("x")).select(F.struct(kind("x-mitre-matrix"), F.lit("m").alias("id"), F.reverse("x").alias("tactic_refs"))),
+        supplier.select(F.struct(kind("attack-pattern"), said("p", s).alias("id"), F.col("s_name").alias("name"), (s % 7 == 0).alias("revoked"), ref(said("T", s + 1000)).alias("external_references"), phase(F.col("r_name")).alias("kill_chain_phases"))),
+        supplier.where(s % 3 == 0).select(F.struct(kind("attack-pattern"), said("q", s).alias("id"), said(F.col("s_name"), " sub").alias("name"), (s % 5 == 0).alias("x_mitre_deprecated"), F.lit(True).alias("x_mitre_is_subtechnique"),
+            ref(said("T", s + 1000, ".001")).alias("external_references"), phase(F.col("r_name")).alias("kill_chain_phases"))),
+        nation.select(F.struct(kind("course-of-action"), said("m", n).alias("id"), F.col("n_name").alias("name"), ref(said("M", n + 1000)).alias("external_references"))),
+        nation.select(F.struct(kind("intrusion-set"), said("g", n).alias("id"), F.col("n_name").alias("name"), ref(said("G", n + 1000)).alias("external_references"))),
+        supplier.select(F.struct(kind("relationship"), said("r", s).alias("id"), F.lit("mitigates").alias("relationship_type"), said("m", n).alias("source_ref"), said("p", s).alias("target_ref"))),
+        supplier.select(F.struct(kind("relationship"), said("u", s).alias("id"), F.lit("uses").alias("relationship_type"), said("g", n).alias("source_ref"), said("q", s).alias("target_ref"))),
+    ]
+    out = None
+    for p in parts:
+        one = p.toDF("x").select(F.from_json(F.to_json("x"), K.OBJECT).alias("o")).select("o.*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: Live techniques of the made bundle, with their tactic.
+_KB = """WITH s AS (SELECT s_suppkey AS s, s_name AS name, n_nationkey AS n, r_regionkey AS r, r_name AS region, CASE WHEN r_regionkey > 0 THEN (SELECT max(r_regionkey) FROM region) - r_regionkey ELSE 999 END AS sort_order
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+t AS (SELECT *, 'T' || (s + 1000) AS technique_id, false AS sub FROM s WHERE s % 7 <> 0 UNION ALL SELECT * REPLACE (name || ' sub' AS name), 'T' || (s + 1000) || '.001', true FROM s WHERE s % 3 = 0 AND s % 5 <> 0)
 """
 
 
-@query("kb_matrix", "SELECT * FROM (VALUES (0, 'TA0002', 'Execution', 'T1059', 'Shell', 1), (0, 'TA0002', 'Execution', 'T1078', 'Accounts', 0), (1, 'TA0001', 'Access', 'T1078', 'Accounts', 0)) t(sort_order, tactic_id, tactic_name, technique_id, technique_name, sub_count)")
+@query("kb_matrix", _KB + "SELECT CAST(sort_order AS INTEGER) AS sort_order, 'TA000' || r AS tactic_id, region AS tactic_name, technique_id, name AS technique_name, CASE WHEN s % 3 = 0 AND s % 5 <> 0 THEN 1 ELSE 0 END AS sub_count FROM t WHERE NOT sub")
 def kb_matrix(spark, sf_dir):
-    return K.matrix(K.build(bundle(spark)))
+    return K.matrix(K.build(table_bundle(spark, sf_dir)))
 
 
-@query("kb_tactics", "SELECT * FROM (VALUES (0, 'TA0002'), (1, 'TA0001'), (999, 'TA0040')) t(sort_order, tactic_id)")
+@query("kb_tactics", "SELECT CAST(CASE WHEN r_regionkey > 0 THEN (SELECT max(r_regionkey) FROM region) - r_regionkey ELSE 999 END AS INTEGER) AS sort_order, 'TA000' || r_regionkey AS tactic_id FROM region")
 def kb_tactics(spark, sf_dir):
-    return K.list_tactics(K.build(bundle(spark))).select("sort_order", "tactic_id")
+    return K.list_tactics(K.build(table_bundle(spark, sf_dir))).select("sort_order", "tactic_id")
 
 
-@query("kb_search", "SELECT * FROM (VALUES ('T1059', 'Shell'), ('T1059.001', 'PowerShell')) t(technique_id, name)")
+@query("kb_search", _KB + "SELECT technique_id, name FROM t WHERE region = 'ASIA' AND name ILIKE '%1%' ORDER BY technique_id LIMIT 100")
 def kb_search(spark, sf_dir):
-    return K.page(K.search(K.build(bundle(spark)), "execution", "SHELL")).select("technique_id", "name")
+    return K.page(K.search(K.build(table_bundle(spark, sf_dir)), "asia", "1")).select("technique_id", "name")
 
 
-@query("kb_technique_card", "SELECT * FROM (VALUES ('T1059.001', 'PowerShell', 'T1059', 'TA0002', 'M1045', 'G0001')) t(technique_id, name, parent_id, tactics, mitigations, procedures)")
+@query("kb_technique_card", _KB + """SELECT t.technique_id, t.name, t.technique_id[:5] AS parent_id, 'TA000' || t.r AS tactics, '' AS mitigations, 'G' || (t.n + 1000) AS procedures FROM t WHERE t.technique_id = 'T1003.001'
+UNION ALL SELECT t.technique_id, t.name, NULL, 'TA000' || t.r, 'M' || (t.n + 1000), '' FROM t WHERE t.technique_id = 'T1003'""")
 def kb_technique_card(spark, sf_dir):
-    card = K.technique_card(K.build(bundle(spark)), "t1059.001")
-    return card.select("technique_id", "name", "parent_id", *[F.array_join(F.col(f"{c}.{k}"), ",").alias(c) for c, k in (("tactics", "tactic_id"), ("mitigations", "mitigation_id"), ("procedures", "source_id"))])
+    kb = K.build(table_bundle(spark, sf_dir))
+    both = K.technique_card(kb, "t1003.001").unionByName(K.technique_card(kb, "T1003"))
+    return both.select("technique_id", "name", "parent_id", *[F.coalesce(F.array_join(F.col(f"{c}.{k}"), ","), F.lit("")).alias(c) for c, k in (("tactics", "tactic_id"), ("mitigations", "mitigation_id"), ("procedures", "source_id"))])
 
 
-@query("stix_relations", "SELECT * FROM (VALUES ('mitigates', 'M1045', 'T1059.001'), ('detects', 'DET0001', 'T1059'), ('uses', 'G0001', 'T1059.001'), ('uses', 'S0001', 'T1078')) t(kind, source, technique_id)")
+@query("stix_relations", _KB + "SELECT 'mitigates' AS kind, 'M' || (n + 1000) AS source, technique_id FROM t WHERE NOT sub UNION ALL SELECT 'uses', 'G' || (n + 1000), technique_id FROM t WHERE sub")
 def stix_relations(spark, sf_dir):
-    kb = K.build(bundle(spark))
+    kb = K.build(table_bundle(spark, sf_dir))
     rows = [("mitigates", "mitre_technique_mitigation", "mitigation_id"), ("detects", "mitre_detection_strategy", "strategy_id"), ("uses", "mitre_procedure", "source_id")]
     a, b, c = (kb[t].select(F.lit(kind).alias("kind"), F.col(key).alias("source"), "technique_id") for kind, t, key in rows)
     return a.unionByName(b).unionByName(c)
 
 
-@query("kb_enrich", _KB_EVENTS + "SELECT event_id, p.i AS pos, p.t AS technique_id, kt.name, coalesce(kt.tactics, '') AS tactics, kt.name IS NOT NULL AS matched FROM ev, (VALUES (0, 'T1059.001'), (1, 'T9999'), (2, 'T1078')) p(i, t) LEFT JOIN kt ON p.t = kt.technique_id WHERE code = 4720")
+@query("kb_counts", _KB + """SELECT 'technique_count' AS key, CAST(count(*) AS VARCHAR) AS value FROM t UNION ALL SELECT 'tactic_count', CAST(count(*) AS VARCHAR) FROM region
+UNION ALL SELECT 'mitigation_count', CAST(count(*) AS VARCHAR) FROM nation UNION ALL SELECT 'technique_tactic_count', CAST(count(*) AS VARCHAR) FROM t""")
+def kb_counts(spark, sf_dir):
+    kept = ("technique_count", "tactic_count", "mitigation_count", "technique_tactic_count")
+    return K.build(table_bundle(spark, sf_dir))["mitre_meta"].where(F.col("key").isin(*kept))
+
+
+@query("kb_enrich", EV.rstrip() + """, g AS (SELECT event_id, list_filter([CASE WHEN k % 2 = 0 THEN 'T1059.001' ELSE 'T9999' END, CASE WHEN flag THEN 'T1078' END, CASE WHEN code = 4625 THEN 'T1059' END], lambda x: x IS NOT NULL) AS ids FROM ev),
+p AS (SELECT event_id, unnest(range(len(ids))) AS i, unnest(ids) AS t FROM g), kt(technique_id, name, tactics) AS (VALUES ('T1059', 'Shell', 'TA0002'), ('T1059.001', 'PowerShell', 'TA0002'), ('T1078', 'Accounts', 'TA0002,TA0001'))
+SELECT event_id, CAST(i AS INTEGER) AS pos, t AS technique_id, kt.name, coalesce(kt.tactics, '') AS tactics, kt.name IS NOT NULL AS matched FROM p LEFT JOIN kt ON p.t = kt.technique_id""")
 def kb_enrich(spark, sf_dir):
-    tags = F.array(*[F.lit(t) for t in ("attack.t1059.001", "attack.execution", "ATTACK.T9999", "t1078", "cve.2024")])
-    rows = promoted(spark, sf_dir).where("event_code = '4720'").select("event_id", tags.alias("tags"))
+    """Tags that depend on the event: technique tags in either form, unknown ones, and others."""
+    r = F.col("raw")
+    k, flag = J.text(r, "k").cast("long"), J.text(r, "Flag") == "1"
+    tags = F.array(F.when(k % 2 == 0, "attack.t1059.001").otherwise("ATTACK.T9999"), F.lit("attack.execution"), F.when(flag, "t1078").otherwise("cve.2024"), F.when(F.col("event_code") == "4625", "Attack.T1059").otherwise(""))
+    rows = promoted(spark, sf_dir).select("event_id", tags.alias("tags"))
     return K.enrich(rows, K.build(bundle(spark)), "event_id").withColumn("tactics", F.array_join("tactics", ","))
+
+
+# Sources, sinks and streaming: the events go through files and come back
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def _read_back(spark, path: str, kind: str) -> DataFrame:
+    e = E.promote(R.read_events(spark, path, kind, "files"))
+    r = F.col("raw")
+    return e.select(J.text(r, "id").alias("event_id"), "user_name", J.text(r, "EventType").alias("event_type"), "source_batch")
+
+
+_FILES = EV + "SELECT event_id, user_name, event_type, 'files' AS source_batch FROM ev"
+
+
+def _flat(spark, sf_dir) -> DataFrame:
+    r = F.col("raw")
+    return raw_events(spark, sf_dir).select(F.col("event_id").alias("id"), J.text(r, "TargetUserName").alias("TargetUserName"), J.text(r, "EventType").alias("EventType"))
+
+
+@query("source_ndjson", _FILES)
+def source_ndjson(spark, sf_dir):
+    path = _folder(spark, "ndjson")
+    _flat(spark, sf_dir).write.json(path)
+    return _read_back(spark, path, "json")
+
+
+@query("source_csv", _FILES)
+def source_csv(spark, sf_dir):
+    path = _folder(spark, "csv")
+    _flat(spark, sf_dir).write.option("header", True).csv(path)
+    return _read_back(spark, path, "csv")
+
+
+@query("source_xml", _FILES)
+def source_xml(spark, sf_dir):
+    path = _folder(spark, "xml")
+    _flat(spark, sf_dir).write.format("xml").option("rowTag", "Event").option("rootTag", "Events").save(path)
+    return _read_back(spark, path, "xml")
+
+
+@query("source_auditd", EV + "SELECT event_id, CAST(event_type AS VARCHAR) AS event_type, strftime(to_timestamp(1704067200 + CAST(event_id AS BIGINT)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS event_time FROM ev")
+def source_auditd(spark, sf_dir):
+    path = _folder(spark, "auditd")
+    line = F.concat(F.lit("type=SYSCALL msg=audit("), (F.col("id").cast("long") + 1704067200).cast("string"), F.lit(".250:7): id="), F.col("id"), F.lit(' EventType="'), F.col("EventType"), F.lit('"'))
+    _flat(spark, sf_dir).select(line.alias("value")).write.text(path)
+    e = E.promote(R.read_events(spark, path, "auditd", "files"))
+    return e.select(J.text(F.col("raw"), "id").alias("event_id"), J.text(F.col("raw"), "EventType").alias("event_type"), "event_time")
+
+
+@query("source_json_arrays", "SELECT 'region' AS source_batch, r_name AS name FROM region UNION ALL SELECT 'region', n_name FROM nation")
+def source_json_arrays(spark, sf_dir):
+    """One file that is an array over several lines, one on a single line, and the readers' choice between them."""
+    path = _folder(spark, "arrays")
+    for name, key, many in (("region", "r_name", True), ("nation", "n_name", False)):
+        rows = [{"name": r[0]} for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").select(key).collect()]
+        spark.createDataFrame([(json.dumps(rows, indent=1 if many else None),)], "value string").coalesce(1).write.mode("append").text(path)
+    return R.read_events(spark, path, "json", "region").select("source_batch", F.get_json_object("raw", "$.name").alias("name"))
+
+
+@query("request_bodies", "SELECT n_name AS name, 'api' AS source_batch FROM nation")
+def request_bodies(spark, sf_dir):
+    names = [r[0] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name").collect()]
+    half = len(names) // 2
+    rows = R.parse_body(json.dumps([{"name": n} for n in names[:half]])) + R.parse_body("\n\n".join(json.dumps({"name": n}) for n in names[half:]))
+    return R.from_dicts(spark, rows, "api").select(F.get_json_object("raw", "$.name").alias("name"), "source_batch")
+
+
+@query("events_appended", EV + "SELECT source_batch, 2 * count(*) AS n FROM ev GROUP BY 1")
+def events_appended(spark, sf_dir):
+    path = _folder(spark, "appended")
+    for _ in range(2):
+        append_events(raw_events(spark, sf_dir), path)
+    return spark.read.parquet(path).groupBy(F.col("source_batch").cast("string").alias("source_batch")).agg(F.count("*").alias("n"))
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> Pipeline:
+    """The events as three files that a stream takes in one by one."""
+    path = _folder(spark, "stream")
+    # One file after the other, so that they are read in the order of their events.
+    bounds = ("2024-01-10", "2024-01-20", "9999")
+    for low, high in zip(("", *bounds), bounds, strict=False):
+        part = raw_events(spark, sf_dir).where((F.col("ingested_at") >= low) & (F.col("ingested_at") < high))
+        part.coalesce(1).select(F.col("raw").alias("value")).write.mode("append").text(f"{path}/in")
+    burst = rule("event_count", ("Failed logon",), DAY * 3, {"gte": 2}, title="Burst")
+    p = Pipeline(spark, f"{path}/live", pack, lambda: [burst])
+    q = p.start(R.stream_events(spark, f"{path}/in", max_files=1).withColumn("source_batch", F.lit("s")), f"{path}/checkpoint", None)
+    q.awaitTermination()
+    return p
+
+
+@query("stream_event_count", EV + "SELECT 's' AS source_batch, code AS event_code, count(*) AS n FROM (SELECT CAST(code AS VARCHAR) AS code FROM ev) GROUP BY 2")
+def stream_event_count(spark, sf_dir):
+    return streamed(spark, sf_dir).events().groupBy("source_batch", "event_code").agg(F.count("*").alias("n"))
+
+
+@query("stream_alerts", EV + f""", f AS (SELECT user_name, ts, count(*) OVER (PARTITION BY user_name ORDER BY ts RANGE BETWEEN INTERVAL {DAY * 3} SECONDS PRECEDING AND CURRENT ROW) AS n FROM hit WHERE title = 'Failed logon')
+SELECT title AS rule_title, host, CAST(count(*) AS BIGINT) AS event_count FROM hit WHERE title <> 'Busy host' GROUP BY 1, 2
+UNION ALL SELECT 'Burst', user_name, CAST(arg_max(n, ts) AS BIGINT) FROM f WHERE n >= 2 GROUP BY 2""")
+def stream_alerts(spark, sf_dir):
+    """Alerts of three micro-batches: counts of rules add up, a correlation's count is that of its latest window."""
+    a = streamed(spark, sf_dir).alerts.read()
+    user = F.when(F.col("engine") == "correlation", F.col("entities.users")[0]).otherwise(F.col("host"))
+    return a.select("rule_title", user.alias("host"), "event_count")

@@ -18,16 +18,21 @@ def input_type(path: str) -> str:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of JSON as they are; blank lines are passed over. A file that is one array gives its elements."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    array = F.startswith(F.ltrim("value"), F.lit("["))
-    items = F.transform(F.from_json(F.when(array, F.col("value")), "array<variant>"), lambda v: F.to_json(v))
-    one_line = lines.select(F.explode(F.when(array, items).otherwise(F.array("value"))).alias("raw"))
-    return one_line
-
-
-def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """A file that is one array over several lines."""
+    """Lines of JSON as they are; blank lines are passed over. A file that is an array, on one line or several, gives its elements."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file_")).where(F.trim("value") != "")
+    items = F.from_json("value", "array<variant>")
+    opens = F.startswith(F.ltrim("value"), F.lit("["))
+    # Files with a line that opens an array and doesn't close it are read as a whole; there are few, as events come as lines.
+    long_ = [r[0] for r in lines.where(opens & items.isNull()).select("file_").distinct().collect()]
+    if long_:
+        lines = lines.where(~F.col("file_").isin(long_))
+    array = F.transform(F.when(opens, items), lambda v: F.to_json(v))
+    out = lines.select(F.explode(F.when(opens, array).otherwise(F.array("value"))).alias("raw"))
+    return out.unionByName(read_json_array(spark, long_)) if long_ else out
+
+
+def read_json_array(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Files that each are one array, over several lines."""
     whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", "array<variant>")).alias("v")).select(F.to_json("v").alias("raw"))
 
@@ -119,7 +124,7 @@ def from_dicts(spark: SparkSession, events: Iterable[dict], source_label: str) -
 
 
 def stream_events(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    """New NDJSON files under path as they come; each file's stem is its label."""
+    """New NDJSON files under path as they come; each file's stem is its label, without the number of a flush."""
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(path)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[0-9a-f]{32})?(\.[^.]*)?$", 1)
     return lines.where(F.trim("value") != "").select(F.col("value").alias("raw"), stem.alias("source_batch"))

@@ -1,10 +1,11 @@
-"""Tables on disk: appends by partition, and versions with an atomic pointer for tables that change in place."""
+"""Tables on disk: appends by partition, and versions behind numbered pointers for tables that change in place."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,54 +14,117 @@ def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").partitionBy("source_batch").parquet(path)
 
 
-def append_once(rows: DataFrame, path: str, batch_id: int) -> None:
-    """A micro-batch in a folder of its own, overwritten if the batch is run again: so retries add nothing twice."""
-    rows.write.mode("overwrite").parquet(f"{path}/micro_batch={batch_id}")
+def append_once(rows: DataFrame, path: str, batch_id: int, order: tuple[str, ...] = ()) -> None:
+    """A micro-batch in a folder of its own, overwritten if the batch is run again: so retries add nothing twice. Rows are sorted by order in each file, which then have narrow ranges of it."""
+    (rows.sortWithinPartitions(*order) if order else rows).write.mode("overwrite").parquet(f"{path}/micro_batch={batch_id}")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in local mode only, one in the warehouse."""
+    set_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if set_dir:
+        return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_landed"
+
+
+def land(rows: DataFrame, path: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """Writes rows to path, unless they are there as a whole, and reads them back."""
+    spark = rows.sparkSession
+    if not exists(spark, f"{path}/_SUCCESS"):
+        (rows.sortWithinPartitions(*order) if order else rows).write.mode("overwrite").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def swap(spark: SparkSession, fresh: str, folder: str) -> None:
+    """Puts the folder fresh in another's place. A run that ends in between leaves the old one beside it, under a name that readers pass over."""
+    top, name = folder.rsplit("/", 1)
+    old = f"{top}/_old-{uuid.uuid4().hex}-{name}"
+    at, new, aside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (folder, fresh, old))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.rename(at, aside) or not fs.rename(new, at):
+        raise RuntimeError(f"{folder} could not be replaced; its rows are in {old} or in place")
+    fs.delete(aside, True)
+
+
+def remove_where(spark: SparkSession, path: str, condition: Column) -> int:
+    """Deletes the rows of a table in micro-batch folders for which condition is true; the number of them. Only folders that hold such rows are written again, each by a rename."""
+    if not exists(spark, path):
+        return 0
+    table = spark.read.parquet(path)
+    gone = {r[0]: r[1] for r in table.where(condition).groupBy("micro_batch").agg(F.count("*")).collect()}
+    for batch in gone:
+        folder = f"{path}/micro_batch={batch}"
+        fresh = f"{path}/_new-{uuid.uuid4().hex}"
+        spark.read.parquet(folder).where(~F.coalesce(condition, F.lit(False))).write.parquet(fresh)
+        swap(spark, fresh, folder)
+    return sum(gone.values())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 class VersionedTable:
-    """A table that is replaced as a whole.
+    """A table that is replaced as a whole, with a note.
 
-    Each version is a folder; the pointer file names the current one and is
-    renamed into place, so readers see the old or the new version. The two
-    last versions stay, for readers that have begun.
+    Each version is a folder. A numbered pointer names it and holds the note;
+    it is renamed into place when the folder is whole, and the highest number
+    is the current one. Nothing that is current is ever removed or moved, so a
+    reader, or a run after a crash, finds the old or the new version with its
+    own note. The two last versions stay, for readers that have begun.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
-    def _fs(self, name: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+    def _fs(self, name: str = ""):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
-    def _current(self) -> str | None:
-        fs, at = self._fs("CURRENT")
-        if not fs.exists(at):
-            return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
+    def _names(self) -> list[str]:
+        fs, top = self._fs()
+        return [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
+
+    def _pointers(self) -> list[str]:
+        return sorted(n for n in self._names() if n.startswith("current-"))
+
+    def _current(self) -> dict | None:
+        found = self._pointers()
+        return json.loads(self.spark.read.text(f"{self.path}/{found[-1]}").first()[0]) if found else None
 
     def read(self) -> DataFrame:
         now = self._current()
         if now is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{now}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{now['version']}")
 
-    def replace(self, rows: DataFrame) -> None:
-        before, name = self._current(), f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{name}")
-        fs, tmp = self._fs(f"CURRENT.{name}")
+    def note(self) -> dict:
+        """What the current version's writer noted; empty if there is none."""
+        now = self._current()
+        return now["note"] if now else {}
+
+    def replace(self, rows: DataFrame, note: dict | None = None) -> None:
+        """The rows, and the note with them, are the table from here on. One writer at a time."""
+        before = self._pointers()
+        number = int(before[-1].split("-")[1]) + 1 if before else 0
+        version = f"v-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{version}")
+        fs, tmp = self._fs(f"tmp-{version}")
         out = fs.create(tmp, True)
-        out.write(bytearray(name.encode()))
+        out.write(bytearray(json.dumps({"version": version, "note": note or {}}).encode()))
         out.close()
-        _, at = self._fs("CURRENT")
-        if fs.exists(at):
-            fs.delete(at, False)
-        fs.rename(tmp, at)
-        _, top = self._fs("")
-        for s in fs.listStatus(top):
-            found = s.getPath().getName()
-            if found.startswith("v-") and found not in (name, before):
-                fs.delete(s.getPath(), True)
+        _, at = self._fs(f"current-{number:020}")
+        if not fs.rename(tmp, at):
+            raise RuntimeError(f"another writer has replaced {self.path}")
+        keep = {f"current-{number:020}", *before[-1:]}
+        versions = {json.loads(self.spark.read.text(f"{self.path}/{n}").first()[0])["version"] for n in keep}
+        for name in self._names():
+            if name not in keep | versions:
+                _, old = self._fs(name)
+                fs.delete(old, True)
 
 
 def by_batch(events: DataFrame, label: str) -> DataFrame:

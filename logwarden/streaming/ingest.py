@@ -2,12 +2,14 @@
 
 Each batch appends its events and hits under its own number, correlates the
 keys that it touched, and merges its alerts. A batch that fails is run again
-from the checkpoint; what it had written is overwritten, and alerts remember
-the last batch that they took in, so nothing counts twice.
+from the checkpoint; what it had written is overwritten, and each version of
+the alerts notes the last batch that it took in, so nothing counts twice
+wherever the first run ended.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +21,7 @@ from ..operators import events as E
 from ..operators import matching as M
 from ..plans.catalog import Correlation
 from ..plans.sigma import Rule
-from ..sources.sinks import VersionedTable, append_once
+from ..sources.sinks import VersionedTable, append_once, exists, remove_where, swap
 
 ALERTS = (
     "dedup_key string, engine string, source_batch string, host string, rule_id string, rule_title string, rule_level string, event_count bigint, "
@@ -34,60 +36,74 @@ class Pipeline:
         self.spark, self.path = spark, path.rstrip("/")
         self.rules, self.correlations, self.lists, self.anchors = rules, correlations, lists, anchors
         self.alerts = VersionedTable(spark, f"{self.path}/alerts", ALERTS)
-        self.state = VersionedTable(spark, f"{self.path}/state", "last_batch bigint")
-
-    def _table(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(f"{schema}, micro_batch bigint").parquet(f"{self.path}/{name}")
-        except Exception:  # no batch yet
-            return self.spark.createDataFrame([], f"{schema}, micro_batch bigint")
 
     def events(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/events")
 
     def hits(self) -> DataFrame:
-        return self._table("hits", C.LEDGER)
+        schema = f"{C.LEDGER}, micro_batch bigint"
+        if not exists(self.spark, f"{self.path}/hits"):  # no batch yet
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/hits")
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """One batch: raw and source_batch."""
-        done = self.state.read().agg(F.max("last_batch")).first()[0]
-        fresh = done is None or batch_id > done
+        done = self.alerts.note().get("last_batch", -1)
         key = F.sha2(F.concat_ws("|", F.lit(str(batch_id)), F.col("source_batch"), F.col("raw"), F.monotonically_increasing_id().cast("string")), 256)
         matched = M.match(E.canonical(batch, key=key), self.rules(), self.lists)
-        append_once(matched, f"{self.path}/events", batch_id)
+        append_once(matched, f"{self.path}/events", batch_id, ("event_ts",))
         stored = self.spark.read.parquet(f"{self.path}/events/micro_batch={batch_id}")
         correlations = self.correlations()
-        new_hits = C.ledger(stored, C.hit_spec(correlations))
-        append_once(new_hits, f"{self.path}/hits", batch_id)
+        append_once(C.ledger(stored, C.hit_spec(correlations)), f"{self.path}/hits", batch_id, ("rule_title", "event_ts"))
         now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
         columns = [c.split(" ")[0] for c in _names(ALERTS)]
         shape = lambda df: df.withColumn("status", F.lit("new")).withColumn("created_at", now).withColumn("event_count", F.col("event_count").cast("bigint")).select(*columns)
         table = self.alerts.read()
-        if fresh:
+        if batch_id > done:
             table = A.upsert(table, shape(A.group_matches(M.matches(stored))), add=True)
         if correlations:
             # What this batch added when it ran before is not read: it is about to be written again.
             hits = self.hits().where(F.col("micro_batch") != _synthetic(batch_id)).drop("micro_batch")
-            ids = stored.select("event_id")
-            fired, added = C.correlate(hits, correlations, self.anchors, ids)
-            append_once(C.append_hits(hits.select("event_id", "rule_title"), added), f"{self.path}/hits", _synthetic(batch_id))
-            everything = self.spark.read.parquet(f"{self.path}/events")
+            new_hits = self.spark.read.schema(C.LEDGER).parquet(f"{self.path}/hits/micro_batch={batch_id}")
+            fired, added = C.correlate(hits, correlations, self.anchors, new_hits)
+            append_once(C.append_hits(hits.select("event_id", "rule_title"), added), f"{self.path}/hits", _synthetic(batch_id), ("rule_title", "event_ts"))
+            everything = self.events()
             by_title = {c.title: c for c in correlations}
             pool = hits.unionByName(added)
             for title, df in fired.items():
                 table = A.upsert(table, shape(C.fired_alerts(df, by_title[title], pool, everything)), add=False)
-        self.alerts.replace(table)
-        self.state.replace(self.spark.createDataFrame([(max(batch_id, -1 if done is None else done),)], "last_batch bigint"))
+        self.alerts.replace(table, {"last_batch": max(batch_id, done)})
 
     def start(self, stream: DataFrame, checkpoint: str, seconds: float | None = 5.0, name: str = "ingest"):
         """Runs the stream by micro-batches of so many seconds; None takes what there is and ends."""
         writer = stream.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: self.process(df, i))
         return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
-    def expire(self, cutoff: str) -> tuple[DataFrame, DataFrame]:
-        """Events and hits without what arrived before cutoff."""
-        kept, _ = E.retention_split(self.events(), cutoff)
-        return kept, E.without_orphans(self.hits(), kept)
+    def expire(self, cutoff: str) -> tuple[int, int]:
+        """Deletes events that arrived before cutoff, and hits whose event is gone; the numbers of both. Not while a stream runs."""
+        events = remove_where(self.spark, f"{self.path}/events", F.col("ingested_at") < cutoff)
+        live = self.events().select("event_id")
+        hits = self.hits()
+        gone = hits.join(E.without_orphans(hits, live).select("event_id", "rule_title"), ["event_id", "rule_title"], "left_anti")
+        batches = [r[0] for r in gone.select("micro_batch").distinct().collect()]
+        n = gone.count()
+        for batch in batches:
+            path = f"{self.path}/hits/micro_batch={batch}"
+            kept = self.spark.read.schema(C.LEDGER).parquet(path)
+            fresh = f"{self.path}/kept-{uuid.uuid4().hex}"
+            E.without_orphans(kept, live).write.parquet(fresh)
+            swap(self.spark, fresh, path)
+        return events, n
+
+    def delete_batch(self, source_batch: str) -> tuple[int, int]:
+        """Deletes a source batch's events, hits and alerts; the numbers of events and alerts. Not while a stream runs."""
+        mine = F.col("source_batch") == source_batch
+        events = remove_where(self.spark, f"{self.path}/events", mine)
+        remove_where(self.spark, f"{self.path}/hits", mine)
+        table = self.alerts.read()
+        n = table.where(mine).count()
+        self.alerts.replace(E.delete_batch(table, source_batch), self.alerts.note())
+        return events, n
 
 
 def _synthetic(batch_id: int) -> int:

@@ -6,6 +6,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from logwarden.functions.timespans import seconds
 from logwarden.operators import correlation as C
@@ -82,11 +83,57 @@ def test_boundaries_and_anchors(spark):
     assert C.evaluate(table(spark, early), c).count() == 1
     assert C.evaluate(table(spark, early), c, anchors="latest_in_batch").count() == 0
     new = table(spark, early).where("event_id = 'june'")
-    assert C.evaluate(table(spark, early), c, new_ids=new).count() == 0
+    assert C.evaluate(table(spark, early), c, new_hits=new).count() == 0
     exact = [("a", "A", "b", 0, {"u": "1"}), ("z", "A", "b", 300, {"u": "1"})]
     assert C.evaluate(table(spark, exact), corr("event_count", ["A"], 300, {"gte": 2})).count() == 1
 
 
+@pytest.mark.parametrize("number", range(len(CASES)))
+def test_new_hits_are_the_only_anchors(spark, number):
+    """What is cut to the new hits' keys and spans gives what the whole ledger gives at these."""
+    c, met = CASES[number]
+    r = random.Random(50 + number)
+    rows = [(f"e{i:03}", r.choice("ABC"), r.choice(["x", "y", None]), r.choice([None, *range(0, 120)]), {"u": r.choice(["1", "2", "3"]), "w": r.choice(["p", "q"]), "f": r.choice("klmn")} if r.random() < 0.9 else {"w": "p"}) for i in range(120)]
+    new = {x[0] for x in rows if x[3] is not None and x[3] > 70 and r.random() < 0.3}
+    got = {(x.event_id, x.rule_title) for x in C.evaluate(table(spark, rows), c, new_hits=table(spark, [x for x in rows if x[0] in new])).collect()}
+    assert got == {x for x in brute(rows, c, met) if x[0] in new}
+    assert C.evaluate(table(spark, rows), c, new_hits=table(spark, rows).where("false")).collect() == []
+
+
+def test_reading_is_cut_to_the_window(spark, tmp_path):
+    rows = [(f"e{i}", "A", "b", i * 100, {"u": str(i % 5)}) for i in range(500)]
+    C_ = corr("event_count", ["A"], 600, {"gte": 1})
+    table(spark, rows).write.parquet(str(tmp_path / "hits"))
+    stored = spark.read.parquet(str(tmp_path / "hits"))
+    df = C.evaluate(stored, C_, new_hits=table(spark, rows[-1:]))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(event_ts" in plan and [(x.event_id, x.n) for x in df.collect()] == [("e499", 2)]
+
+
+@pytest.mark.parametrize("condition, n, want", [({"gte": 2.5}, 2, False), ({"gte": 2.5}, 3, True), ({"gte": "2"}, 2, True), ({"gte": "many"}, 9, False), ({"gte": "many", "lt": 5}, 4, True), ({"field": "x"}, 4, False)])
+def test_thresholds_are_numbers(spark, condition, n, want):
+    assert spark.range(1).select(C.condition_met(condition, F.lit(n))).first()[0] is want
+
+
+def test_distinct_values_of_a_hot_key(spark):
+    """Linear in the hits: a window that holds them all."""
+    r = random.Random(9)
+    rows = [(f"e{i:04}", "A", "b", r.randint(0, 3000), {"u": "1", "f": None if r.random() < 0.1 else str(r.randint(0, 40))}) for i in range(1200)]
+    c = corr("value_count", ["A"], 400, {"gte": 1, "field": "f"})
+    got = {x.event_id: x.n for x in C.evaluate(table(spark, rows), c).collect()}
+    for e, _, _, s, _ in rows[:200]:
+        n = len({v["f"] for _, _, _, t, v in rows if s - 400 <= t <= s and v["f"] is not None})
+        assert got.get(e, 0) == n
+
+
+def test_one_key(spark):
+    rows = table(spark, [(str(i), "A", "b", i, {"u": "x", "f": str(i % 3)}) for i in range(20)] + [("z", "A", "b", 5, {"u": "y"})])
+    events = spark.createDataFrame([(str(i), f"raw{i}") for i in range(20)], "event_id string, raw string")
+    one = lambda **k: C.key_window(rows, events, ["A"], {"u": "x"}, "b", "2024-01-01 00:00:02", "2024-01-01 00:01:00", **k).first()
+    assert one().n == 18 and one().sample_events == [f"raw{i}" for i in range(2, 12)] and one(mode="distinct_values", distinct_field="f").n == 3 and one(mode="distinct_rules").n == 1
+    assert C.key_window(rows, events, ["A"], {}, "b", "2024-01-01 00:00:02", "2024-01-01 00:01:00").first().n == 0
+
+
 def test_chain_cycle_and_informational(spark):
     rows = [(f"e{i}", "Fail", "b", i, {"u": "1"}) for i in range(10)] + [("ok", "Success", "b", 30, {"u": "1"})]
     child = corr("event_count", ["Fail"], 300, {"gte": 10}, id="k", title="Burst")

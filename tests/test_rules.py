@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from logwarden.operators import matching as M
-from logwarden.plans.catalog import Catalog, check_correlation, resolve_correlations, search_rules
+from logwarden.plans.catalog import CATALOG, Catalog, check_correlation, load_correlations, resolve_correlations, search_rules
 from logwarden.plans.sigma import Rule, RuleError, base64_offsets, compile_rule, documents, windash
 from logwarden.plans.value_lists import ListError, ValueLists, is_list_document, parse_lists
+from logwarden.sources.sinks import VersionedTable
 
 EVENTS = [
     {"id": 0, "Image": "C:\\Windows\\evil.exe", "CommandLine": "evil.exe -enc abc", "n": 5, "ip": "192.168.1.7", "EventID": 1},
@@ -91,10 +92,10 @@ def test_routes_and_packs(spark):
     df = spark.createDataFrame([(i, c, json.dumps(e)) for i, c, e in rows], "event_id string, event_code string, raw string")
     assert {(r.event_id, r.rule_title) for r in M.matches(M.match(df, rules)).collect()} == {("1", "P (Sysmon)"), ("2", "P (Security)"), ("4", "P (Sysmon)")}
     many = [Rule(f"r{i}", f"R{i}", detection={"s": {"Image|endswith": f"\\evil{'' if i == 7 else i}.exe"}, "condition": "s"}) for i in range(120)] + [Rule("x", "X", detection={"s": {"Image|contains": "EVIL"}, "condition": "s"})]
-    for f in (M.match, M.match_pack):
-        got = {r.event_id: sorted(r.matched_rules) for r in f(df, many, pack=50).collect()}
+    for joined in (True, False):
+        got = {r.event_id: sorted(r.matched_rules) for r in M.match(df, many, pack=50, join_literals=joined).collect()}
         assert got == {"1": ["R7", "X"], "2": [], "3": ["R7", "X"], "4": ["R7", "X"]}
-    assert M.match(df, []).where("is_matched").count() == 0 and M.match_pack(df, many[:3]).where("is_matched").count() == 0
+    assert M.match(df, []).where("is_matched").count() == 0 and M.match(df, many[:3]).where("is_matched").count() == 0
 
 
 PACK = """
@@ -173,6 +174,74 @@ def test_bad_correlations(change):
     assert resolve_correlations([{"title": "t", "correlation": good}]) == []
 
 
+def test_literals_of_several_kinds(spark, monkeypatch):
+    """Rules of numbers, booleans, whole texts and endings, for any event id or some: joined, shuffled and as predicates alike."""
+    rows = [("1", "1", {"n": 5, "Image": "C:\\a\\b.EXE", "flag": True}), ("2", "2", {"n": "5", "Image": "b.exe"}), ("3", "1", {"n": 5.5, "flag": "true"}), ("4", None, {"n": 1.50}), ("5", "1", {})]
+    df = spark.createDataFrame([(i, c, json.dumps(e)) for i, c, e in rows], "event_id string, event_code string, raw string")
+    d = lambda s: {"s": s, "condition": "s"}
+    rules = [
+        Rule("a", "A", detection=d({"n": [5, 7]})), Rule("b", "B", eventid=(1, 3), detection=d({"n": [5, 5.5]})), Rule("c", "C", detection=d({"flag": True})), Rule("d", "D", detection=d({"Image|endswith": ["\\B.exe", "/x"]})),
+        Rule("e", "E", detection=d({"Image": ["b.exe", "c:\\A\\b.exe"]})), Rule("f", "F", detection=d({"Image": None})), Rule("g", "G", detection=d({"n": "5*"})), Rule("h", "H", detection=d({"n": 1.5})),
+    ]
+    want = {"1": ["A", "B", "C", "D", "E", "G"], "2": ["A", "E", "G"], "3": ["B", "F", "G"], "4": ["F", "H"], "5": ["F"]}
+    assert sum(M.literal_rows(r) is not None for r in rules) == 6
+    for joined in (True, False):
+        assert {r.event_id: r.matched_rules for r in M.match(df, rules, join_literals=joined).collect()} == want
+    monkeypatch.setattr(M, "BROADCAST_LITERALS", 0)
+    assert {r.event_id: r.matched_rules for r in M.match(df, rules).collect()} == want
+
+
+def test_logsources(spark):
+    d = {"s": {"a": 1}, "condition": "s"}
+    made = lambda **source: [(r.title, r.channel, r.eventid) for r in compile_rule({"title": "t", "detection": d, "logsource": source})]
+    assert made(service="security") == [("t", ("Security",), ())] and made(service="auditd", product="linux") == [("t", (), ())]
+    assert made(category="process_creation", product="linux") == [("t", (), ())] and made(category="process_creation", service="sysmon")[0][2] == (1,)
+    assert [x[0] for x in made(category="pipe_created", product="windows")] == ["t (Sysmon 17)", "t (Sysmon 18)"] and made(category="nothing") == [("t", (), ())]
+
+
+def test_a_catalogue_on_disk(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "catalogue"), CATALOG)
+    assert Catalog.load(table).rulesets() == []
+    c = Catalog()
+    path = c.create_ruleset("My Set").path
+    c.upload(path, PACK)
+    c.save_rule(path, {"id": "x", "title": "X", "detection": {"s": {"u|expand": "%admins%"}, "condition": "s"}})
+    c.toggle_ruleset(path, True)
+    c.toggle_rule(path, "b-2", False)
+    c.save(table)
+    again = Catalog.load(table)
+    assert again.rulesets() == c.rulesets() and [r.id for r in again.main()] == [r.id for r in c.main()] and again.lists.all() == c.lists.all() and again.list_usage() == {"admins": 1}
+    assert {x.title for x in again.main_correlations()} == {"Burst", "Chain"} and not again.is_included(path, "b-2")
+    # A list without values leaves the rule as it was, and tells.
+    assert set(again.change_list("admins", [])) == {"x"} and [r.id for r in again.main()] == [r.id for r in c.main()]
+    (tmp_path / "set.json").write_text(json.dumps([{"id": "z", "title": "Z", "detection": {"s": {"a": 1}, "condition": "s"}}]))
+    one = again.load_compiled_file(spark, str(tmp_path / "set.json"))
+    assert again.load_compiled_file(spark, str(tmp_path / "set.json")) is one and one.rules[0].id == "z"
+    (tmp_path / "set.json").write_text("{}")
+    with pytest.raises(RuleError):
+        again.load_compiled_file(spark, str(tmp_path / "set.json"))
+    (tmp_path / "rules").mkdir()
+    for i, part in enumerate(PACK.split("---")):
+        (tmp_path / "rules" / f"{i}.yml").write_text(part)
+    assert {x.title for x in load_correlations(spark, str(tmp_path / "rules"))} == {"Burst", "Chain"}
+
+
+def test_packs_with_pipelines_and_bad_lists():
+    c = Catalog()
+    path = c.create_ruleset("s").path
+    pack = "name: My pipeline\ntransformations:\n- type: value_placeholders\n  mapping: {tools: [a.exe, b.exe]}\n---\ntitle: T\nid: t-1\ndetection: {s: {Image|expand: '%tools%'}, condition: s}\n"
+    done = c.upload(path, pack)
+    assert done["saved"] == ["t-1"] and c.lists.values("tools") == ["a.exe", "b.exe"]
+    c.upload(path, pack.replace("b.exe", "c.exe"))
+    assert c.lists.values("tools") == ["a.exe", "c.exe"]
+    assert parse_lists("name: n\nvalues: [a, b]\n---\nn: [b, c]\nm: 1\n") == {"n": ["a", "b", "c"], "m": ["1"]}
+    for bad in ("a b: [1]", "transformations: [{type: other}]", "n: {a: 1}", "", "- 1", "detection: {}", "x: [1"):
+        with pytest.raises(ListError):
+            parse_lists(bad)
+    with pytest.raises(RuleError):
+        c.save_rule(path, {"id": "q", "correlation": {"type": "event_count", "rules": ["a"], "group-by": ["u"], "timespan": "5m", "condition": {"gte": 3}}})
+
+
 def test_value_lists():
     v = ValueLists()
     made = v.create("a_1", [" x ", "x", "", None, 5], "d")

@@ -21,8 +21,11 @@ from logwarden.plans.catalog import Correlation
 from logwarden.plans.filters import compile_filter
 from logwarden.plans.sigma import Rule
 from logwarden.sources import readers as R
+from logwarden.sources import sinks
 from logwarden.sources.sinks import VersionedTable
-from logwarden.streaming.ingest import Pipeline, stream_health
+from logwarden.streaming import ingest
+from logwarden.streaming.ingest import Pipeline, stream_health, without_repeats
+from logwarden.streaming.intake import Intake, IntakeFull
 
 RULE = Rule("r", "Bad", "high", tags=("attack.t1059.001", "attack.execution", "x"), detection={"s": {"Image|endswith": "\\bad.exe"}, "condition": "s"})
 
@@ -36,7 +39,7 @@ def test_canonical_and_alerts(spark):
     rows = [{"Hostname": h, "Image": "C:\\bad.exe", "EventTime": f"2024-01-01 00:00:{i:02}", "TargetUserName": u} for i, (h, u) in enumerate([("h1", "zed"), ("h1", "amy"), ("h2", "bob")])] + [{"Image": "C:\\ok.exe", "SystemTime": "2024-01-01T00:00:00.5Z"}]
     m = M.match(events(spark, rows), [RULE])
     got = {r.host: r for r in A.group_matches(M.matches(m)).collect()}
-    assert set(got) == {"h1", "h2"} and got["h1"].event_count == 2 and got["h1"].entities.users == ["amy", "zed"] and got["h1"].mitre_techniques == ["T1059.001"]
+    assert set(got) == {"h1", "h2"} and got["h1"].event_count == 2 and got["h1"].entities.users == ["amy", "zed"] and got["h1"].mitre_techniques == ["attack.t1059.001"]
     assert got["h1"].dedup_key == hashlib.sha256(b"r:h1:amy").hexdigest()[:16] and [json.loads(x)["TargetUserName"] for x in got["h1"].sample_events] == ["zed", "amy"]
     plain = m.where(~F.col("is_matched")).first()
     assert plain.host == "unknown-host" and plain.event_ts == datetime(2024, 1, 1, 0, 0, 0, 500000) and m.count() == 4
@@ -84,6 +87,11 @@ def test_readers(spark, tmp_path):
     (tmp_path / "au.log").write_text('type=SYSCALL msg=audit(1704067200.123:42): pid=7 comm="cat x" pid=8\n')
     (tmp_path / "w.xml").write_text('<Events><Event><System><EventID>4624</EventID><Computer>h</Computer><TimeCreated SystemTime="2024-01-01T00:00:00Z"/></System><EventData><Data Name="TargetUserName">bob</Data><Data Name="X">1</Data></EventData></Event></Events>')
     read = lambda name, **k: [json.loads(r.raw) for r in R.read_events(spark, str(tmp_path / name), **k).collect()]
+    assert read("lines.json") == [{"a": 1}, {"a": 2}]
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "1.json").write_text(json.dumps([{"a": i, "b": {"c": [1]}} for i in range(3)], indent=2))
+    (tmp_path / "many" / "2.json").write_text('{"a": 9}\n[{"a": 8}]\n')
+    assert sorted(x["a"] for x in read("many")) == [0, 1, 2, 8, 9]
     assert read("e.ndjson") == [{"a": 1}, {"a": "x"}] and read("arr.json") == [{"a": 1}, {"a": 2}]
     assert [json.loads(r.raw) for r in R.read_json_array(spark, str(tmp_path / "lines.json")).collect()] == [{"a": 1}, {"a": 2}]
     assert read("t.csv") == [{"a": "1", "b": 'x, "y"'}, {"b": "z"}]
@@ -130,6 +138,9 @@ def test_knowledge_base(spark, tmp_path):
     said = K.meta(kb)
     assert said["available"] and said["technique_count"] == "3" and said["source"] == "test" and said["attack_version"] == "1.0"
     assert K.meta(K.load(spark, str(tmp_path / "none"))) == {"available": False}
+    one = kb["mitre_technique"].where("technique_id = 'T1059'").first()
+    assert one.detection == "Watch it" and one.data_sources == ["Process: Creation"] and not one.is_subtechnique
+    assert kb["mitre_tactic"].where("name = 'Nameless'").count() == 0
     card = K.technique_card(kb, "T1059").first()
     assert [s.sub_id for s in card.subtechniques] == ["T1059.001"] and card.strategies[0].analytics[0].analytic_id == "AN0001"
     assert K.search(kb, q="t1059%").count() == 2 and K.search(kb, tactic="TA0001").count() == 1
@@ -182,5 +193,110 @@ def test_stream_equals_batch_and_retries_add_nothing(spark, tmp_path):
     before = shown(whole), whole.events().count(), whole.hits().count()
     whole.process(R.from_dicts(spark, rows, "s"), 0)
     assert (shown(whole), whole.events().count(), whole.hits().count()) == before
-    kept, hits = whole.expire("9999")
-    assert kept.count() == 0 and all(r.event_id.startswith("corr:") for r in hits.collect())
+    n_hits = whole.hits().count()
+    assert whole.delete_batch("other") == (0, 0) and p.delete_batch("s") == (len(rows), 2) and p.alerts.read().count() == 0 and p.events().count() == 0
+    events_gone, hits_gone = whole.expire("9999")
+    left = whole.hits().collect()
+    assert events_gone == len(rows) and whole.events().count() == 0 and hits_gone == n_hits - len(left) and all(r.event_id.startswith("corr:") for r in left)
+
+
+class Crash(Exception):
+    pass
+
+
+def test_a_run_that_ends_anywhere_is_made_good(spark, tmp_path, monkeypatch):
+    """The first run of a batch ends after each of its writes, and within the last one; the second run finds and leaves what one run would."""
+    rows = failed(20, bad=3)
+    clean = Pipeline(spark, str(tmp_path / "clean"), lambda: [RULE, FAIL], lambda: [BURST])
+    for i, part in enumerate((rows[:6], rows[6:])):
+        clean.process(R.from_dicts(spark, part, "s"), i)
+    shown = lambda x: (sorted((r.rule_title, r.host, r.event_count, r.dedup_key) for r in x.alerts.read().collect()), x.events().count(), sorted((r.rule_title, str(r.event_ts)) for r in x.hits().collect()))
+    want = shown(clean)
+    write, replace = ingest.append_once, VersionedTable.replace
+    for k in range(5):
+        p = Pipeline(spark, str(tmp_path / f"crash{k}"), lambda: [RULE, FAIL], lambda: [BURST])
+        p.process(R.from_dicts(spark, rows[:6], "s"), 0)
+        before = p.alerts.read().count()
+        done = []
+
+        def counted(*a, f=write, k=k, done=done):
+            f(*a)
+            done.append(1)
+            if len(done) == k + 1:
+                raise Crash
+
+        with monkeypatch.context() as m:
+            m.setattr(ingest, "append_once", counted)
+            if k == 3:
+                m.setattr(VersionedTable, "replace", lambda self, *a: (replace(self, *a), (_ for _ in ()).throw(Crash()))[0])
+            if k == 4:
+                m.setattr(sinks.json, "dumps", lambda *a, **b: (_ for _ in ()).throw(Crash()))
+            with pytest.raises(Crash):
+                p.process(R.from_dicts(spark, rows[6:], "s"), 1)
+        if k != 3:
+            assert p.alerts.read().count() == before and p.alerts.note() == {"last_batch": 0}
+        p.process(R.from_dicts(spark, rows[6:], "s"), 1)
+        assert shown(p) == want, k
+
+
+def test_alert_identity(spark):
+    """The third part of a key is the first user, or the host if there is none."""
+    rows = [{"Hostname": "h1", "Image": "\\bad.exe"}, {"Image": "\\bad.exe"}, {"Hostname": "h2", "Image": "\\bad.exe", "User": "zoe"}, {"Hostname": "h2", "Image": "\\bad.exe", "SubjectUserName": "abe"}]
+    got = {r.host: (r.dedup_key, r.event_count) for r in A.group_matches(M.matches(M.match(events(spark, rows), [RULE]))).collect()}
+    key = lambda *p: hashlib.sha256(":".join(p).encode()).hexdigest()[:16]
+    assert got == {"h1": (key("r", "h1", "h1"), 1), "unknown-host": (key("r", "unknown-host", "unknown-host"), 1), "h2": (key("r", "h2", "abe"), 2)}
+
+
+def test_first_present_fields(spark):
+    """Order of preference, and what counts as present: JSON kinds of every sort."""
+    cases = [
+        ({"SourceIp": "2", "IpAddress": "1"}, "src_ip", "1"), ({"IpAddress": "", "SourceIp": "2"}, "src_ip", "2"), ({"ComputerName": "c", "host": "h"}, "host", "h"), ({"Hostname": 0, "Computer": "x"}, "host", "x"),
+        ({"Hostname": "0"}, "host", "0"), ({"Hostname": False, "host": True}, "host", "True"), ({"Hostname": "false"}, "host", "false"), ({"Hostname": [], "Computer": {}, "host": [1]}, "host", "[1]"),
+        ({"Hostname": 1.5}, "host", "1.5"), ({"Hostname": 0.0, "Computer": -0.0, "host": 7}, "host", "7"), ({}, "host", "unknown-host"), ({"EventCode": 5}, "event_code", "5"), ({"CommandLine": "x -a", "exe": "y"}, "process", "x -a"),
+        ({"Hostname": {"a": "b c"}}, "host", '{"a":"b c"}'), ({"@timestamp": "2024-01-01T00:00:01Z", "timestamp": "2025"}, "event_time", "2024-01-01T00:00:01Z"),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(e)) for i, (e, _, _) in enumerate(cases)], "i int, raw string")
+    got = {r.i: r for r in E.promote(df).collect()}
+    assert [got[i][c] for i, (_, c, _) in enumerate(cases)] == [w for _, _, w in cases]
+    # Looked up in one parse, or read one by one.
+    names = ["Hostname", "Computer", "host"]
+    parsed, at = J.with_texts(df, names)
+    both = parsed.select(*[J.text(F.col("raw"), n, at[n]).eqNullSafe(J.text(F.col("raw"), n)) & J.present(F.col("raw"), n, at[n]).eqNullSafe(J.present(F.col("raw"), n)) for n in names]).collect()
+    assert all(all(r) for r in both)
+
+
+def test_time_bounds_reach_the_scan(spark, tmp_path):
+    rows = [{"EventTime": t} for t in ("2024-01-01 00:00:00", "2024-01-05T10:00:00Z", "2024-01-05T12:00:00+03:00", "2024-01-09T00:00:00", "odd 2024", "2024-01-05")] + [{}]
+    events(spark, rows).write.parquet(str(tmp_path / "e"))
+    stored = spark.read.parquet(str(tmp_path / "e"))
+    for low, high in (("2024-01-05", "2024-01-05T23:59:59"), (None, "2024-01-05"), ("2024-01-05 10:00:00", None), ("2024-01", "odd"), ("x", None)):
+        plain, pushed = (stored.where(E.event_filter(time_from=low, time_to=high, stored=s)) for s in (False, True))
+        assert sorted(r.event_id for r in plain.collect()) == sorted(r.event_id for r in pushed.collect())
+    assert "event_ts" in stored.where(E.event_filter(time_from="2024-01-05", stored=True))._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1][:300]
+
+
+def test_intake(spark, tmp_path):
+    clock = [0.0]
+    intake = Intake(spark, str(tmp_path / "in"), events=3, seconds=5.0, capacity=4, clock=lambda: clock[0])
+    assert intake.offer([{"a": 1}], "x") == 1 and intake.flush() == 0
+    clock[0] = 6.0
+    assert intake.due() and intake.flush() == 1
+    with pytest.raises(IntakeFull) as e:
+        intake.offer([{"a": i} for i in range(9)], "y")
+    assert (e.value.accepted, e.value.offered) == (4, 9) and intake.flush() == 4 and intake.offer([{"b": "é"}], "y.z") == 1 and intake.flush(force=True) == 1
+    got = []
+    q = R.stream_events(spark, str(tmp_path / "in")).writeStream.option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda df, i: got.extend(df.collect())).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.source_batch, r.raw) for r in got) == sorted([("x", '{"a": 1}'), *[("y", f'{{"a": {i}}}') for i in range(4)], ("y.z", '{"b": "é"}')])
+
+
+def test_repeats_in_a_stream(spark, tmp_path):
+    """Contents that came within the delay are dropped; the same content of another source is kept."""
+    (tmp_path / "in").mkdir()
+    for k, lines in enumerate((["a", "b", "a"], ["a", "c"])):
+        (tmp_path / "in" / f"f{k}.json").write_text("\n".join(lines))
+    stream = R.stream_events(spark, str(tmp_path / "in"), 1).withColumn("source_batch", F.when(F.col("raw") == "c", "other").otherwise("s")).withColumn("event_at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    stream = stream.unionByName(stream.withColumn("source_batch", F.lit("s2")).where("raw = 'b'"))
+    q = without_repeats(stream).writeStream.format("memory").queryName("kept_rows").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.source_batch, r.raw) for r in spark.table("kept_rows").collect()) == [("other", "c"), ("s", "a"), ("s", "b"), ("s2", "b")]
