@@ -358,7 +358,7 @@ def facet_is_matched(spark, sf_dir):
 
 @query("list_events_page", EV + "SELECT event_id, host, note FROM ev WHERE event_type = 'click' ORDER BY event_time DESC, event_id LIMIT 50 OFFSET 25")
 def list_events_page(spark, sf_dir):
-    page = E.list_events(promoted(spark, sf_dir).withColumn("is_matched", F.lit(False)), "event_time", True, ["Note", "Missing"], 50, 25, query="EventType = click")
+    page = E.list_events(promoted(spark, sf_dir).withColumn("is_matched", F.lit(False)), "event_time", True, ["Note", "Missing"], 50, 25, query="EventType = click", stored=True)
     return page.select("event_id", "host", F.col("extra")["Note"].alias("note"))
 
 
@@ -370,7 +370,7 @@ def list_events_sort_json(spark, sf_dir):
 
 @query("count_events", EV + "SELECT count(*) AS total FROM ev WHERE k < 30")
 def count_events(spark, sf_dir):
-    return E.count_events(promoted(spark, sf_dir), query="k < 30")
+    return E.count_events(promoted(spark, sf_dir), query="k < 30", stored=True)
 
 
 @query("time_range", EV + "SELECT event_id FROM ev WHERE event_time >= '2024-01-10T00:00:00' AND event_time <= '2024-01-12T12:00:00'")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 import time
 from datetime import UTC, datetime, timedelta
 
@@ -275,6 +276,20 @@ def test_time_bounds_reach_the_scan(spark, tmp_path):
     assert "event_ts" in stored.where(E.event_filter(time_from="2024-01-05", stored=True))._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1][:300]
 
 
+def test_filters_reach_promoted_columns(spark, tmp_path):
+    """The same rows with and without the promoted columns, for values of every kind; and equalities are in the scan."""
+    r = random.Random(4)
+    values = ["x", "1", 1, True, "true", "0", 0, False, "", None, "X", 4625, "4625", 4625.0, [], {"a": 1}]
+    rows = [{k: v for k in ("Hostname", "Computer", "EventID", "EventCode", "TargetUserName", "IpAddress") if (v := r.choice(values)) is not None or r.random() < 0.5} for _ in range(150)]
+    events(spark, rows).write.parquet(str(tmp_path / "e"))
+    stored = spark.read.parquet(str(tmp_path / "e"))
+    for text in ("Hostname = x", "hostname = x", "eventid = 4625 and Hostname != x", "EventID in (4625, x)", "EventID in (4625, 0)", "Hostname = 1", "Hostname = true", "Hostname = '' or EventID = 4625", "not (Hostname = x)", "Hostname = 0.0", "TargetUserName = X and (IpAddress = x or IpAddress = 4625) and EventID = 4625.0", "Computer = x"):
+        plain, pushed = (sorted(x.event_id for x in stored.where(E.event_filter(query=text, stored=s)).collect()) for s in (False, True))
+        assert plain == pushed, text
+    plan = stored.where(E.event_filter(query="EventID = 4625 and Hostname = x", stored=True))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(event_code,4625)" in plan and "EqualTo(host,x)" in plan
+
+
 def test_intake(spark, tmp_path):
     clock = [0.0]
     intake = Intake(spark, str(tmp_path / "in"), events=3, seconds=5.0, capacity=4, clock=lambda: clock[0])
