@@ -31,9 +31,13 @@ def n_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder in the warehouse if it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where all folders are shared, one in the warehouse if it is unset."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    return set_dir or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
+    if set_dir:
+        return set_dir
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -85,9 +85,9 @@ def pair_terms(f: np.ndarray, owner: np.ndarray, d: int, y: np.ndarray, p: np.nd
     over its common rows, made for blocks of terms by products of matrices.
     """
     some = np.flatnonzero(np.bincount(f[y[owner] > 0], minlength=d) >= PAIR_ROWS)
-    place = np.full(d, -1)
+    place = np.full(d, -1, np.int32)
     place[some] = np.arange(len(some))
-    n, m, block = len(y), len(some), 512
+    n, m, block, part_rows = len(y), len(some), 256, 512
     dense = np.zeros((n, m), np.uint8)
     inside = place[f] >= 0
     dense[owner[inside], place[f[inside]]] = 1
@@ -96,9 +96,10 @@ def pair_terms(f: np.ndarray, owner: np.ndarray, d: int, y: np.ndarray, p: np.nd
     for i in range(0, m, block):
         sums = np.zeros((2, m, min(block, m - i)), np.float32)
         for k, (rows, weight) in enumerate(labelled):
-            for j in range(0, len(rows), 1024):
-                part = dense[rows[j : j + 1024]].astype(np.float32)
-                sums[k] += part.T @ (part[:, i : i + block] * weight[rows[j : j + 1024], None].astype(np.float32))
+            for j in range(0, len(rows), part_rows):
+                some_rows = rows[j : j + part_rows]
+                part = dense[some_rows].astype(np.float32)
+                sums[k] += part.T @ (part[:, i : i + block] * weight[some_rows, None].astype(np.float32))
         # Under the fit both sums have the same mean, and their difference about that variance.
         far = np.abs(sums[0] - sums[1]) >= PAIR_DEVIATIONS * np.sqrt((sums[0] + sums[1]) / 2 + 0.5)
         far[np.arange(i, i + far.shape[1]), np.arange(far.shape[1])] = False
@@ -113,14 +114,16 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 30, lasso: flo
     if not n or labels.min() == labels.max():
         share = (labels.sum() + 0.5) / (n + 1) if n else 0.0
         return Machine(float(np.log(share / (1 - share))) if n else -30.0, {}, {})
-    flat = np.concatenate(rows).astype(np.int64)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
+    flat = np.concatenate(rows).astype(np.int32)
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     seen = np.bincount(flat, minlength=BUCKETS)
     used = np.flatnonzero(seen >= min(3, max(1, n // 50)))
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
-    keep = place[flat] >= 0
-    f, owner = place[flat[keep]], owner[keep]
+    f = place[flat]
+    del flat
+    keep = f >= 0
+    f, owner = f[keep], owner[keep]
     d = len(used)
     y = labels.astype(float)
     prior = y.mean()
@@ -139,7 +142,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 30, lasso: flo
     left = np.union1d(np.flatnonzero(w), pair_terms(f, owner, d, y, chance(bias + np.bincount(owner, w[f], n))))
     if not len(left):
         return Machine(bias, {}, {})
-    inside = np.full(d, -1)
+    inside = np.full(d, -1, np.int32)
     inside[left] = np.arange(len(left))
     keep = inside[f] >= 0
     f, owner, m = inside[f[keep]], owner[keep], len(left)
@@ -180,8 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
                 yield doc_id, h, y, np.array(sorted(table.of(text)), np.int32).tobytes()
 
     one = map_rows(found, terms, schema).groupBy("doc_id").agg(F.min_by(F.struct("y", "terms"), "text_").alias("x"))
-    got = sorted((r.doc_id, r.x.y, bytes(r.x.terms)) for r in one.collect())
-    return fit([np.frombuffer(t, np.int32) for _, _, t in got], np.array([y for _, y, _ in got], np.int8))
+    got = one.select("doc_id", "x.y", "x.terms").toArrow().sort_by("doc_id")
+    return fit([np.frombuffer(t.as_buffer(), np.int32) for t in got["terms"]], got["y"].to_numpy().astype(np.int8))
 
 
 def score_documents(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from logwarden.llm import mixing, packing, secrets, toxicity
@@ -64,3 +65,29 @@ def test_edges(spark, stage):
     out = corpus_pipeline.STAGES[stage][1](spark, docs, "/root/testdata/sf0.001")
     assert stage == 4 or out.columns == docs.columns
     assert out.count() > 0
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_empty_tables(spark, stage):
+    from .helpers import no_docs
+
+    docs = no_docs(spark)
+    out = corpus_pipeline.STAGES[stage][1](spark, docs, "/root/testdata/sf0.001")
+    assert out.collect() == [] and (stage == 4 or out.columns == docs.columns)
+
+
+def test_nulls_ties_and_clashes(spark):
+    """What each stage states of null texts, repeated rows and helper names."""
+    rows = [(1, None, "en", None, 0, "k"), (1, None, "en", None, 0, "k"), (2, "a b c d e f", "en", "s", 11, "x"), (2, "a b c d e f", "en", "s", 11, "x"), (None, "a b c d e f", "en", "s", 11, "y"), (3, "token = abcdef99", "en", "s", 16, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row_ string").withColumn("a.b", F.lit(1))
+    stages = dict(corpus_pipeline.STAGES)
+    sf = "/root/testdata/sf0.001"
+    shown = lambda df: Counter((r[0], r[1]) for r in df.collect())
+    assert shown(stages["toxicity"](spark, docs, sf)) == shown(docs)
+    assert shown(stages["near_dedup"](spark, docs, sf)) == Counter([(1, None), (1, None), (2, "a b c d e f"), (None, "a b c d e f"), (3, "token = abcdef99")])
+    clean = stages["secrets"](spark, docs, sf)
+    assert shown(clean) == Counter([(1, None), (1, None), (2, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, "[SECRET]")]) and clean.where("doc_id = 3").first().n_chars == 8
+    mixed = shown(stages["mixing"](spark, docs, sf))
+    assert all(k[1] is not None for k in mixed) and mixed == shown(stages["mixing"](spark, docs.orderBy("row_", ascending=False), sf))
+    assert stages["packing"](spark, docs, sf).where("doc_tokens = 1").count() == 2
+    assert all(f(spark, docs, sf).columns == docs.columns for n, f in corpus_pipeline.STAGES[:-1])
