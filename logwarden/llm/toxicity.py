@@ -17,6 +17,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -202,15 +203,14 @@ def score_documents(docs: DataFrame, machine: Machine, threshold: float = 0.3) -
 
 
 def drop_toxic(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, that score below threshold."""
-    at = docs.columns.index("text")
+    """The rows of docs, with all their columns, whatever their names, that score below threshold."""
+    at, names = docs.columns.index("text"), docs.columns
+    plain = docs.toDF(*[f"in{i}_" for i in range(len(names))])
 
     def run(batches):
-        import pyarrow as pa
-
         table = Terms(set(machine.weights))
         for b in batches:
             keep = [machine.score(table.of(t)) < threshold for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
