@@ -658,9 +658,9 @@ def kb_tactics(spark, sf_dir):
     return K.list_tactics(K.build(table_bundle(spark, sf_dir))).select("sort_order", "tactic_id")
 
 
-@query("kb_search", _KB + "SELECT technique_id, name FROM t WHERE region = 'ASIA' AND name ILIKE '%1%' ORDER BY technique_id LIMIT 100")
+@query("kb_search", _KB + "SELECT technique_id, name FROM t WHERE region = 'ASIA' AND (name ILIKE '%0000000%' OR technique_id ILIKE '%0000000%') ORDER BY technique_id LIMIT 100")
 def kb_search(spark, sf_dir):
-    return K.page(K.search(K.build(table_bundle(spark, sf_dir)), "asia", "1")).select("technique_id", "name")
+    return K.page(K.search(K.build(table_bundle(spark, sf_dir)), "asia", "0000000")).select("technique_id", "name")
 
 
 @query("kb_technique_card", _KB + """SELECT t.technique_id, t.name, t.technique_id[:5] AS parent_id, 'TA000' || t.r AS tactics, '' AS mitigations, 'G' || (t.n + 1000) AS procedures FROM t WHERE t.technique_id = 'T1003.001'
@@ -801,7 +801,7 @@ def stream_event_count(spark, sf_dir):
 SELECT title AS rule_title, host, CAST(count(*) AS BIGINT) AS event_count FROM hit WHERE title <> 'Busy host' GROUP BY 1, 2
 UNION ALL SELECT 'Burst', user_name, CAST(arg_max(n, ts) AS BIGINT) FROM f WHERE n >= 2 GROUP BY 2""")
 def stream_alerts(spark, sf_dir):
-    """Alerts of three micro-batches: counts of rules add up, a correlation's count is that of its latest window."""
+    """Alerts of three micro-batches: counts of rules add up, a correlation's count is that of its latest window. A rule's alerts are summed by host, as a batch with another first user has an alert of its own."""
     a = streamed(spark, sf_dir).alerts.read()
     user = F.when(F.col("engine") == "correlation", F.col("entities.users")[0]).otherwise(F.col("host"))
-    return a.select("rule_title", user.alias("host"), "event_count")
+    return a.groupBy("rule_title", user.alias("host")).agg(F.sum("event_count").alias("event_count"))
