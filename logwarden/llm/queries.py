@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, importance, media, mixing, neardup, packing, search, secrets, substrings, toxicity, warc
+from . import chat, importance, media, mixing, neardup, packing, quality, search, secrets, substrings, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_exact_search, op2_packing, op3_mixing, op4_toxicity, op5_substring_dedup, op6_warc, op7_near_dedup, op8_chat, op9_media, op10_secrets, op11_importance, pipeline)
+    every = (op1_exact_search, op2_packing, op3_mixing, op4_toxicity, op5_substring_dedup, op6_warc, op7_near_dedup, op8_chat, op9_media, op10_secrets, op11_importance, op13_quality, pipeline)
     return {f.__name__: f for f in every}
 
 
