@@ -87,12 +87,11 @@ def map_rows(df: DataFrame, fn: Callable[..., Iterator[tuple]], schema: T.Struct
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         held = 0
-        # Few rows at a time are Python objects; long texts would fill a worker's memory otherwise.
-        parts = (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS))
-        for row in fn(list(zip(*(c.to_pylist() for c in p.columns), strict=True)) for p in parts):
+        # Few rows and bytes at a time are Python objects; long texts would fill a worker's memory otherwise.
+        for row in fn(list(zip(*(c.to_pylist() for c in p.columns), strict=True)) for b in batches for p in slices(b, BATCH_BYTES, ROWS)):
             out.append(row)
-            held += sum(len(v) for v in row if isinstance(v, (str, bytes, list)))
-            if len(out) >= batch_rows or held >= 8 << 20:
+            held += sum(map(_size, row))
+            if len(out) >= batch_rows or held >= BATCH_BYTES:
                 yield _batch(out, names, arrow)
                 out, held = [], 0
         if out:
@@ -112,15 +111,39 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+def _size(v) -> int:
+    """Characters or bytes of a value, those within a list included."""
+    return len(v) if isinstance(v, (str, bytes)) else sum(map(_size, v)) + len(v) if isinstance(v, list) else 0
+
+
+def _lengths(column: pa.Array) -> np.ndarray:
+    """Bytes of each value; of those other than texts, binaries and lists of them, none."""
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+        return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if pa.types.is_list(kind) and len(column):
+        sums = np.concatenate([[0], np.cumsum(_lengths(column.values))])
+        at = column.offsets.to_numpy()
+        return sums[at[1:]] - sums[at[:-1]]
+    return np.zeros(len(column), np.int64)
+
+
+def slices(batch: pa.RecordBatch, most_bytes: int, most_rows: int, columns: list[str] | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows and about so many bytes in columns (all by default), or one longer row."""
+    size = sum((_lengths(batch.column(c)) for c in columns or range(batch.num_columns)), np.zeros(batch.num_rows, np.int64))
+    ends = np.cumsum(size)
+    i = 0
+    while i < len(size):
+        room = (ends[i - 1] if i else 0) + most_bytes
+        j = min(i + most_rows, max(i + 1, int(np.searchsorted(ends, room, "right"))), len(size))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about BATCH_BYTES of text, or one longer row."""
     for b in batches:
-        size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        group = np.cumsum(size) // BATCH_BYTES
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(size)]
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            if i < j:
-                yield b.slice(i, j - i)
+        yield from slices(b, BATCH_BYTES, max(1, b.num_rows), [text])
 
 
 def by_key(batches: Iterator[list[tuple]], width: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
