@@ -75,20 +75,22 @@ def with_sample_events(groups: DataFrame, matches: DataFrame, keys: list[str], o
     return both.select("g.*", shown.alias("sample_events"))
 
 
-def upsert(stored: DataFrame, new: DataFrame, add: bool = True) -> DataFrame:
+def upsert(stored: DataFrame, new: DataFrame, add: bool | Column = True) -> DataFrame:
     """stored with new alerts by dedup_key.
 
     An alert that is stored keeps all but event_count (the sum, or with add off
     the new count) and sample_events (the new ones). Several new alerts with
     one key count together; the first by source_batch, host and title gives the rest.
+    add may be a column of new, so that one merge takes alerts of both kinds.
     """
     order = Window.partitionBy("dedup_key").orderBy("source_batch", "host", "rule_title")
     last = Window.partitionBy("dedup_key").orderBy(F.desc("source_batch"), F.desc("host"), F.desc("rule_title"))
-    n = F.sum("event_count").over(Window.partitionBy("dedup_key")) if add else F.first("event_count").over(last)
+    adds = F.lit(add) if isinstance(add, bool) else add
+    n = F.when(adds, F.sum("event_count").over(Window.partitionBy("dedup_key"))).otherwise(F.first("event_count").over(last))
     latest = F.first("sample_events").over(last)
-    one = new.withColumn("event_count", n).withColumn("sample_events", latest).withColumn("k_", F.row_number().over(order)).where("k_ = 1").drop("k_")
+    one = new.withColumn("adds_", adds).withColumn("event_count", n).withColumn("sample_events", latest).withColumn("k_", F.row_number().over(order)).where("k_ = 1").drop("k_")
     columns = stored.columns
-    both = stored.alias("s").join(one.select(*columns).alias("n"), "dedup_key", "full_outer")
+    both = stored.alias("s").join(one.select(*columns, "adds_").alias("n"), "dedup_key", "full_outer")
     had = F.col("s.event_count").isNotNull()
     made = []
     for c in columns:
@@ -96,7 +98,7 @@ def upsert(stored: DataFrame, new: DataFrame, add: bool = True) -> DataFrame:
         if c == "dedup_key":
             made.append(F.col("dedup_key"))
         elif c == "event_count":
-            counted = s + F.coalesce(x, F.lit(0)) if add else F.coalesce(x, s)
+            counted = F.when(F.col("n.adds_"), s + F.coalesce(x, F.lit(0))).otherwise(F.coalesce(x, s))
             made.append(F.when(had, counted).otherwise(x).alias(c))
         elif c == "sample_events":
             made.append(F.coalesce(x, s).alias(c))

@@ -11,7 +11,7 @@ from typing import TYPE_CHECKING
 
 from ..functions.timespans import seconds
 from .sigma import LEVELS, Rule, RuleError, compile_rule, documents, strings, used_lists
-from .value_lists import ValueList, ValueLists, is_list_document, parse_documents
+from .value_lists import ValueList, ValueLists, is_list_document, parse_descriptions, parse_documents
 
 if TYPE_CHECKING:
     from pyspark.sql import SparkSession
@@ -224,31 +224,51 @@ class Catalog:
         return self.sets[path].docs.get(rule_id) if path in self.sets else None
 
     def upload(self, path: str, text: str, mode: str = "replace") -> dict:
-        """A pack of YAML documents: value lists first, then rules. Rules whose id is taken are skipped and told, with their owner."""
-        docs = documents(text)
-        done = self.lists.load(parse_documents([d for d in docs if is_list_document(d)]), mode)
-        saved, skipped = [], []
-        for d in docs:
-            if is_list_document(d):
-                continue
-            if d.get("id") and self.owner(str(d["id"])):
-                skipped.append(str(d["id"]))
-            else:
-                saved.append(self.save_rule(path, d))
-        return {"lists": done, "saved": saved, "skipped": skipped}
+        """A pack of YAML documents: value lists first, then rules. All of it is taken, or nothing: an error leaves the catalogue as it was.
 
-    def change_list(self, name: str, values: object) -> dict[str, str]:
-        """Sets a list's values and compiles the rules that use it again, with their predicates; those that fail keep their last form and are told."""
-        self.lists.update(name, values)
-        failed: dict[str, str] = {}
+        Returns lists (names by what was done), saved ids, skipped ones, whose id is
+        taken, with the owners that have them, and, of the rules elsewhere that use
+        a list that changed, those recompiled and those that failed, with why.
+        """
+        docs = documents(text)
+        lists = [d for d in docs if is_list_document(d)]
+        before = self.lists.copy(), {p: (dict(s.docs), dict(s.compiled)) for p, s in self.sets.items()}
+        try:
+            done = self.lists.load(parse_documents(lists), mode, parse_descriptions(lists))
+            saved, skipped = [], {}
+            for d in docs:
+                if is_list_document(d):
+                    continue
+                owner = self.owner(str(d["id"])) if d.get("id") else None
+                if owner:
+                    skipped[str(d["id"])] = owner
+                else:
+                    saved.append(self.save_rule(path, d))
+            recompiled, failed = self._recompile(set(done["updated"]) | set(done["created"]), set(saved))
+        except BaseException:
+            self.lists = before[0]
+            for p, (docs_, compiled) in before[1].items():
+                self.sets[p].docs, self.sets[p].compiled = docs_, compiled
+            raise
+        return {"lists": done, "saved": saved, "skipped": list(skipped), "owners": skipped, "recompiled": recompiled, "failed": failed}
+
+    def _recompile(self, names: set[str], but: set[str] = frozenset()) -> tuple[list[str], dict[str, str]]:
+        """Compiles the rules that use any of the lists again: ids of those done, and errors of those that keep their last form."""
+        done, failed = [], {}
         for s in self.sets.values():
             for rule_id, doc in s.docs.items():
-                if name in used_lists([doc]) and "correlation" not in doc:
+                if rule_id not in but and "correlation" not in doc and names & used_lists([doc]):
                     try:
                         s.compiled[rule_id] = self._compiled(doc)
+                        done.append(rule_id)
                     except RuleError as e:
                         failed[rule_id] = str(e)
-        return failed
+        return done, failed
+
+    def change_list(self, name: str, values: object) -> dict[str, str]:
+        """Sets a list's values and compiles the rules that use it again, with their predicates; those that fail keep their last form and are told."""
+        self.lists.update(name, values)
+        return self._recompile({name})[1]
 
     # On disk: one row of JSON behind a versioned table's pointer
 

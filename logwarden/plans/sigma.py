@@ -175,17 +175,20 @@ def base64_offsets(data: bytes) -> list[str]:
     return out
 
 
+def _options(value: str) -> list[str]:
+    """A value cut at the dashes of its options; these are at the odd places."""
+    return re.split(r"(?<!\S)([-/])(?=\S)", value)
+
+
 def windash(value: str) -> list[str]:
-    """Variants of a value by the dash of each of its options."""
-    parts = re.split(r"(?<!\S)([-/])(?=\S)", value)
-    marks = range(1, len(parts), 2)
-    out = []
-    for dash in itertools.product(DASHES, repeat=len(marks)) if len(marks) <= 3 else [(d,) * len(marks) for d in DASHES]:
-        new = list(parts)
-        for i, d in zip(marks, dash, strict=True):
-            new[i] = d
-        out.append("".join(new))
-    return out or [value]
+    """All variants of a value by the dash of each of its options, for values that are encoded afterwards."""
+    parts = _options(value)
+    return ["".join(x) for x in itertools.product(*[DASHES if i % 2 else (p,) for i, p in enumerate(parts)])]
+
+
+def windash_pattern(value: str) -> str:
+    """A regular expression for all variants of a value, however many options it has."""
+    return "".join(f"[{''.join(DASHES)}]" if i % 2 else re.escape(p) for i, p in enumerate(_options(value)))
 
 
 def ipv4_number(t: Column) -> Column:
@@ -293,8 +296,14 @@ class Compiler:
         encoders = [m for m in mods if m in _ENCODERS or m in ("base64", "base64offset", "windash")]
         if not encoders:
             return self.values(name, values, op, cased, every)
+        if set(encoders) == {"windash"}:
+            return join([self.dashed(name, plain(str(v)), op, cased) for v in values])
         return join([self.values(name, self.encoded(str(v), encoders), "contains" if "base64offset" in mods else op, cased or "base64" in mods or "base64offset" in mods, False, literal=True) for v in values])
 
+    def dashed(self, name: str, value: str, op: str | None, cased: bool) -> Column:
+        rx = windash_pattern(value if cased else value.translate(str.maketrans(J.UPPER, J.LOWER)))
+        return self.text(name, cased).rlike("^" * (op in (None, "startswith")) + rx + r"\z" * (op in (None, "endswith")))
+
     def encoded(self, value: str, encoders: list[str]) -> list[str]:
         variants: list[str | bytes] = [plain(value)]
         for e in encoders:

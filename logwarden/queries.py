@@ -20,6 +20,7 @@ from .functions import jsontext as J
 from .operators import alerts as A
 from .operators import correlation as C
 from .operators import events as E
+from .operators import joint
 from .operators import kb as K
 from .operators import matching as M
 from .plans.catalog import Catalog, Correlation
@@ -226,6 +227,67 @@ def corr_chain(spark, sf_dir):
     return fired["Logon after burst"].groupBy("source_batch", F.col("k0").alias("user_name")).agg(F.count("*").alias("n"))
 
 
+#: Ten rules over four key lists: kind, titles, span in days, condition, key column in SQL and field.
+_MANY = (
+    ("event_count", ("Failed logon",), 3, {"gte": 2}, "user_name"), ("event_count", ("Failed logon", "Logon"), 1, {"gt": 3}, "host"), ("event_count", ("New account",), 5, {"eq": 2}, "user_name"),
+    ("event_count", ("Failed logon",), 2, {"lte": 1}, "ip"), ("event_count", ("Logon",), 1, {"gte": 2, "lt": 5}, "image"), ("value_count", ("Failed logon",), 10, {"gte": 3}, "user_name"),
+    ("value_count", ("Logon",), 1, {"neq": 2}, "host"), ("temporal", ("Failed logon", "Logon"), 2, {}, "user_name"), ("temporal", ("Failed logon", "Logon", "New account"), 1, {}, "host"), ("temporal_ordered", ("Failed logon", "Logon"), 3, {}, "user_name"),
+)
+_KEY_FIELD = {"user_name": "TargetUserName", "host": "Hostname", "ip": "IpAddress", "image": "Image"}
+
+
+def _many_rules() -> list[Correlation]:
+    return [rule(kind, titles, days * DAY, condition | ({"field": "Image"} if kind == "value_count" else {}), (_KEY_FIELD[key],), id=f"m{i}", title=f"Many {i}") for i, (kind, titles, days, condition, key) in enumerate(_MANY)]
+
+
+def _many_sql(since: str = "") -> str:
+    parts, steps = [], []
+    sign = {"gte": ">=", "gt": ">", "lte": "<=", "lt": "<", "eq": "=", "neq": "<>"}
+    for i, (kind, titles, days, condition, key) in enumerate(_MANY):
+        some = ", ".join(f"'{t}'" for t in titles)
+        n = {"event_count": "count(*)", "value_count": "count(DISTINCT image)"}.get(kind, "count(DISTINCT title)")
+        met = " AND ".join(f"n {sign[k]} {v}" for k, v in condition.items()) or f"n >= {len(titles)}"
+        frame = f"PARTITION BY source_batch, {key} ORDER BY ts RANGE BETWEEN INTERVAL {days * DAY} SECONDS PRECEDING AND CURRENT ROW"
+        if kind == "temporal_ordered":
+            order = f"PARTITION BY source_batch, {key} ORDER BY ts, event_id, title ROWS UNBOUNDED PRECEDING"
+            steps.append(f", a{i} AS (SELECT *, max(CASE WHEN title = '{titles[0]}' THEN ts END) OVER ({order}) AS l1 FROM hit WHERE title IN ({some})), b{i} AS (SELECT *, max(CASE WHEN title = '{titles[1]}' THEN l1 END) OVER ({order}) AS l2, {n} OVER ({frame}) AS n FROM a{i})")
+            parts.append(f"SELECT 'Many {i}' AS correlation, event_id, title AS rule_title, source_batch, {key} AS key, n, ts FROM b{i} WHERE l2 >= ts - INTERVAL {days * DAY} SECONDS AND {met}")
+        else:
+            parts.append(f"SELECT 'Many {i}' AS correlation, event_id, title AS rule_title, source_batch, {key} AS key, n, ts FROM (SELECT *, {n} OVER ({frame}) AS n FROM hit WHERE title IN ({some})) WHERE {met}")
+    return EV.rstrip() + "".join(steps) + f" SELECT correlation, event_id, rule_title, source_batch, key, n FROM ({' UNION ALL '.join(parts)}){since}"
+
+
+def _many_hits(spark, sf_dir) -> DataFrame:
+    return C.ledger(matched(spark, sf_dir), C.hit_spec(_many_rules()))
+
+
+@query("corr_many", _many_sql())
+def corr_many(spark, sf_dir):
+    """Ten rules in one pass."""
+    rules = _many_rules()
+    out = joint.evaluate_all(_many_hits(spark, sf_dir), rules)
+    return out.select(joint.Rules(rules).head(F.col("rule"))["title"].alias("correlation"), "event_id", "rule_title", "source_batch", F.col("keys")[0].alias("key"), "n")
+
+
+_LATE = ("m0", "m1", "m5", "m7", "m8", "m9")
+
+
+@query("corr_late_hits", _many_sql().replace("SELECT correlation, event_id, rule_title, source_batch, key, n FROM (", "SELECT DISTINCT correlation, source_batch, key, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at FROM (") + " WHERE correlation IN (" + ", ".join(f"'Many {x[1]}'" for x in _LATE) + ")")
+def corr_late_hits(spark, sf_dir):
+    """The ledger comes in three parts, the latest first, by a hash: what fires over all of them is what fires at once."""
+    rules = [c for c in _many_rules() if c.id in _LATE]
+    work = _folder(spark, "late")
+    every = land(_many_hits(spark, sf_dir).withColumn("part_", F.pmod(F.xxhash64("event_id"), F.lit(3))), f"{work}/hits", ("event_ts",))
+    own = None
+    for part in range(3):
+        stored = every.where(F.col("part_") <= part).drop("part_")
+        fired = joint.evaluate_all(stored, rules, new_hits=every.where(F.col("part_") == part).drop("part_"))
+        fired = land(fired, f"{work}/fired{part}")
+        own = fired if own is None else own.unionByName(fired)
+    title = joint.Rules(rules).head(F.col("rule"))["title"]
+    return own.select(title.alias("correlation"), "source_batch", F.col("keys")[0].alias("key"), F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at")).distinct()
+
+
 @query("corr_window_counts", EV + "SELECT source_batch, host, count(*) AS n FROM hit WHERE title = 'Failed logon' AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-15' GROUP BY 1, 2")
 def corr_window_counts(spark, sf_dir):
     out = C.window_counts(hits(spark, sf_dir, ("Hostname",)), ["Failed logon"], ["Hostname"], "2024-01-05 00:00:00", "2024-01-15 00:00:00")
@@ -725,6 +787,17 @@ def source_ndjson(spark, sf_dir):
     return _read_back(spark, path, "json")
 
 
+@query("source_bad_lines", EV + "SELECT event_id, CAST(event_id AS BIGINT) % 5 < 2 AS malformed FROM ev")
+def source_bad_lines(spark, sf_dir):
+    """Lines of which some open an array that isn't one, and some are cut off: all of them come back."""
+    path, i = _folder(spark, "bad_lines"), F.col("id").cast("long") % 5
+    line = F.to_json(F.struct("id", "EventType"))
+    line = F.when(i == 0, F.concat(F.lit('[2024-01-01] "id":"'), F.col("id"), F.lit('" plain line'))).when(i == 1, F.concat(F.lit("["), F.expr("substring(to_json(struct(id, EventType)), 1, length(id) + 9)"))).otherwise(line)
+    _flat(spark, sf_dir).select(line.alias("value")).write.text(path)
+    e = R.read_events(spark, path, "json", "files")
+    return e.select(F.regexp_extract("raw", '"id":"([0-9]+)"', 1).alias("event_id"), R.malformed(F.col("raw")).alias("malformed"))
+
+
 @query("source_csv", _FILES)
 def source_csv(spark, sf_dir):
     path = _folder(spark, "csv")

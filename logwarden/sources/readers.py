@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Input types by file ending.
@@ -17,24 +21,84 @@ def input_type(path: str) -> str:
     return TYPES.get(PurePosixPath(path.lower()).suffix, "json")
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of JSON as they are; blank lines are passed over. A file that is an array, on one line or several, gives its elements."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file_")).where(F.trim("value") != "")
-    items = F.from_json("value", "array<variant>")
-    opens = F.startswith(F.ltrim("value"), F.lit("["))
-    # Files with a line that opens an array and doesn't close it are read as a whole; there are few, as events come as lines.
-    long_ = [r[0] for r in lines.where(opens & items.isNull()).select("file_").distinct().collect()]
-    if long_:
-        lines = lines.where(~F.col("file_").isin(long_))
-    array = F.transform(F.when(opens, items), lambda v: F.to_json(v))
-    out = lines.select(F.explode(F.when(opens, array).otherwise(F.array("value"))).alias("raw"))
-    return out.unionByName(read_json_array(spark, long_)) if long_ else out
+#: Bytes up to which a file that begins with [ is read as one array; a longer one is read by lines.
+ARRAY_BYTES = 1 << 30
+#: Files whose first characters are looked at together.
+HEADS = 16
+
+
+def malformed(raw: Column) -> Column:
+    """Whether a text is no JSON object. Such lines are kept as events without fields."""
+    return ~F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(raw)), F.lit("OBJECT")), F.lit(False))
+
+
+def _opens_array(spark: SparkSession, path: str) -> bool:
+    """Whether a file's first character that is neither blank nor a byte order mark is [, and it isn't too long to be one row."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
+    fs = at.getFileSystem(conf)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)
+    stream = fs.open(at)
+    try:
+        source = codec.createInputStream(stream) if codec else stream
+        while block := bytes(source.readNBytes(4096)):
+            if head := block.removeprefix(b"\xef\xbb\xbf").strip():
+                return head[:1] == b"[" and fs.getFileStatus(at).getLen() <= ARRAY_BYTES
+        return False
+    finally:
+        stream.close()
+
+
+def _as_path(spark: SparkSession, uri: str) -> str:
+    """The path, as readers take it, of a file by its URI: nothing in its name is a pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri)).toString())
+
+
+def _elements(text: Column) -> Column:
+    """The elements of a text that is one array and nothing else; null otherwise. Spark's parser passes over what follows a value, so a mark is put behind it that must be found."""
+    mark = uuid.uuid4().hex
+    pair = F.from_json(F.concat(F.lit("["), text, F.lit(f',"{mark}"]')), "array<variant>")
+    whole = F.when((F.size(pair) == 2) & (F.try_variant_get(F.get(pair, F.lit(1)), "$", "string") == mark), F.get(pair, F.lit(0)))
+    return F.transform(F.try_variant_get(whole, "$", "array<variant>"), lambda v: F.to_json(v))
+
+
+def _events_of_lines(lines: Column) -> Column:
+    """The events of an array of lines: blank ones are passed over, one that is a whole array gives its elements, any other is one as it is."""
+    own = lambda x: F.when(F.startswith(F.ltrim(x), F.lit("[")), _elements(x))
+    return F.flatten(F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.coalesce(own(x), F.array(x))))
+
+
+def read_json(spark: SparkSession, path: str | list[str], layout: str = "auto") -> DataFrame:
+    """Events of files of lines, or of files that each are one array. No line is lost: one that can't be read is an event as it is.
+
+    layout: lines, array, or auto: an array if the file's first character
+    is [. For that the first bytes of each file are read, nothing else. What begins as an array
+    and isn't one is taken as lines. A file that is an array is one row of
+    one task.
+    """
+    if layout not in ("auto", "lines", "array"):
+        raise ValueError(f"unknown layout {layout!r}")
+    paths = path if isinstance(path, list) else [path]
+    whole = paths if layout == "array" else []
+    if layout == "auto":
+        files = spark.read.text(paths).inputFiles()
+        with ThreadPoolExecutor(HEADS) as pool:
+            arrays = list(pool.map(lambda f: _opens_array(spark, f), files))
+        if any(arrays):
+            named = [_as_path(spark, f) for f in files]
+            whole, paths = [f for f, a in zip(named, arrays, strict=True) if a], [f for f, a in zip(named, arrays, strict=True) if not a]
+    parts = []
+    if whole:
+        text = spark.read.text(whole, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("value")).select(F.explode(F.coalesce(_elements(F.col("value")), _events_of_lines(F.split("value", "\r\n|\n")))).alias("raw"))
+        parts.append(text)
+    if layout != "array" and (paths or not whole):
+        parts.append(spark.read.text(paths).select(F.explode(_events_of_lines(F.array("value"))).alias("raw")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_json_array(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Files that each are one array, over several lines."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", "array<variant>")).alias("v")).select(F.to_json("v").alias("raw"))
+    return read_json(spark, path, "array")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:

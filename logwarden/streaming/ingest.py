@@ -12,16 +12,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import alerts as A
 from ..operators import correlation as C
 from ..operators import events as E
+from ..operators import joint
 from ..operators import matching as M
 from ..plans.catalog import Correlation
 from ..plans.sigma import Rule
-from ..sources.sinks import VersionedTable, append_once, exists, remove_where, swap
+from ..sources.sinks import VersionedTable, append_once, exists, remove, remove_where, swap
 
 ALERTS = (
     "dedup_key string, engine string, source_batch string, host string, rule_id string, rule_title string, rule_level string, event_count bigint, "
@@ -38,6 +39,9 @@ class Pipeline:
         self.alerts = VersionedTable(spark, f"{self.path}/alerts", ALERTS)
 
     def events(self) -> DataFrame:
+        if not exists(self.spark, f"{self.path}/events"):  # no batch yet
+            none = self.spark.createDataFrame([], "raw string, source_batch string")
+            return M.match(E.canonical(none, key=F.lit("")), []).withColumn("micro_batch", F.lit(0).cast("bigint"))
         return self.spark.read.parquet(f"{self.path}/events")
 
     def hits(self) -> DataFrame:
@@ -47,32 +51,34 @@ class Pipeline:
         return self.spark.read.schema(schema).parquet(f"{self.path}/hits")
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        """One batch: raw and source_batch."""
+        """One batch: raw and source_batch. The number of jobs is the same for any number of correlations."""
         done = self.alerts.note().get("last_batch", -1)
-        key = F.sha2(F.concat_ws("|", F.lit(str(batch_id)), F.col("source_batch"), F.col("raw"), F.monotonically_increasing_id().cast("string")), 256)
-        matched = M.match(E.canonical(batch, key=key), self.rules(), self.lists)
+        matched = M.match(E.canonical(numbered(batch), key=content_key(batch_id)), self.rules(), self.lists)
         append_once(matched, f"{self.path}/events", batch_id, ("event_ts",))
         stored = self.spark.read.parquet(f"{self.path}/events/micro_batch={batch_id}")
-        correlations = self.correlations()
+        correlations = [c for c in self.correlations() if c.level != "informational"]
         append_once(C.ledger(stored, C.hit_spec(correlations)), f"{self.path}/hits", batch_id, ("rule_title", "event_ts"))
         now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
         columns = [c.split(" ")[0] for c in _names(ALERTS)]
         shape = lambda df: df.withColumn("status", F.lit("new")).withColumn("created_at", now).withColumn("event_count", F.col("event_count").cast("bigint")).select(*columns)
-        table = self.alerts.read()
-        if batch_id > done:
-            table = A.upsert(table, shape(A.group_matches(M.matches(stored))), add=True)
+        new = shape(A.group_matches(M.matches(stored))) if batch_id > done else self.spark.createDataFrame([], ALERTS)
+        work = f"{self.path}/_work/micro_batch={batch_id}"
         if correlations:
+
+            def keep(df: DataFrame, name: str) -> DataFrame:
+                df.write.mode("overwrite").parquet(f"{work}/{name}")
+                return self.spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
             # What this batch added when it ran before is not read: it is about to be written again.
             hits = self.hits().where(F.col("micro_batch") != _synthetic(batch_id)).drop("micro_batch")
             new_hits = self.spark.read.schema(C.LEDGER).parquet(f"{self.path}/hits/micro_batch={batch_id}")
-            fired, added = C.correlate(hits, correlations, self.anchors, new_hits)
+            fired, added = joint.correlate_all(hits, correlations, self.anchors, new_hits, keep=keep)
             append_once(C.append_hits(hits.select("event_id", "rule_title"), added), f"{self.path}/hits", _synthetic(batch_id), ("rule_title", "event_ts"))
-            everything = self.events()
-            by_title = {c.title: c for c in correlations}
-            pool = hits.unionByName(added)
-            for title, df in fired.items():
-                table = A.upsert(table, shape(C.fired_alerts(df, by_title[title], pool, everything)), add=False)
-        self.alerts.replace(table, {"last_batch": max(batch_id, done)})
+            own = self.spark.read.schema(C.LEDGER).parquet(f"{self.path}/hits/micro_batch={_synthetic(batch_id)}")
+            for level, anchors in fired:
+                new = new.unionByName(shape(joint.alerts_of(anchors, level, hits.unionByName(own), self.events(), hits)))
+        self.alerts.replace(A.upsert(self.alerts.read(), new, F.col("engine") != "correlation"), {"last_batch": max(batch_id, done)})
+        remove(self.spark, work)
 
     def start(self, stream: DataFrame, checkpoint: str, seconds: float | None = 5.0, name: str = "ingest"):
         """Runs the stream by micro-batches of so many seconds; None takes what there is and ends."""
@@ -106,6 +112,17 @@ class Pipeline:
         return events, n
 
 
+def numbered(batch: DataFrame) -> DataFrame:
+    """batch with copy_, the number of a row among equal ones, so that ids don't depend on how a batch is split."""
+    same = Window.partitionBy("source_batch", F.xxhash64("raw"), "raw").orderBy(F.lit(0))
+    return batch.withColumn("copy_", F.row_number().over(same))
+
+
+def content_key(batch_id: int) -> Column:
+    """An event's id: of its batch, source, text and number among equal ones."""
+    return F.sha2(F.concat_ws("|", F.lit(str(batch_id)), F.col("source_batch"), F.col("raw"), F.col("copy_").cast("string")), 256)
+
+
 def _synthetic(batch_id: int) -> int:
     """The folder number of a batch's own correlation hits."""
     return -batch_id - 1

@@ -47,7 +47,7 @@ class Intake:
         return len(self._waiting) >= self.events or (bool(self._waiting) and self.clock() - self._since >= self.seconds)
 
     def flush(self, force: bool = False) -> int:
-        """Writes what waits, if it is due or with force; the number of events written. A file is whole before it has its name."""
+        """Writes what waits, if it is due or with force; the number of events written. A file is whole before it has its name. If a write fails, what isn't written waits again, before what came since, and the error is raised."""
         with self._lock:
             if not (force or self.due()):
                 return 0
@@ -55,13 +55,28 @@ class Intake:
         by_source: dict[str, list[str]] = {}
         for source, row in taken:
             by_source.setdefault(source, []).append(row)
+        left = dict(by_source)
+        try:
+            for source, rows in by_source.items():
+                self._write(source, rows)
+                del left[source]
+        except BaseException:
+            with self._lock:
+                self._waiting = [x for x in taken if x[0] in left] + self._waiting
+            raise
+        return len(taken)
+
+    def _write(self, source: str, rows: list[str]) -> None:
         hadoop = self.spark._jvm.org.apache.hadoop.fs
-        for source, rows in by_source.items():
-            name = f"{source}.{uuid.uuid4().hex}.ndjson"
-            tmp, at = hadoop.Path(f"{self.folder}/_{name}"), hadoop.Path(f"{self.folder}/{name}")
-            fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        name = f"{source}.{uuid.uuid4().hex}.ndjson"
+        tmp, at = hadoop.Path(f"{self.folder}/_{name}"), hadoop.Path(f"{self.folder}/{name}")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        try:
             out = fs.create(tmp, True)
             out.write(bytearray("\n".join(rows).encode()))
             out.close()
-            fs.rename(tmp, at)
-        return len(taken)
+            if not fs.rename(tmp, at):
+                raise OSError(f"{name} could not be named")
+        except BaseException:
+            fs.delete(tmp, False)
+            raise

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +86,47 @@ def test_literal_rewrites():
     assert set(windash(" -a")) == {" -a", " /a", " –a", " —a", " ―a"} and windash("a-b") == ["a-b"]
 
 
+def test_dashes_of_many_options(spark):
+    """Any mix of dashes of any number of options; other dashes, and letters' case, as they should be."""
+    r = random.Random(0)
+    values = ["cmd -a -b -c -d", "/x -y", "a-b", "-one", "Say -é.* \\d"]
+    rows = []
+    for v in values:
+        parts = v.split(" ")
+        for _ in range(40):
+            mixed = " ".join(r.choice("-/–—―+") + p[1:] if p[:1] in "-/" else p for p in parts)
+            rows.append(r.choice(["", "x ", "zz"]) + mixed + r.choice(["", " end", "\n"]))
+    def fits(text, v, op):
+        import itertools
+        low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+        variants = [" ".join(x) for x in itertools.product(*[[d + p[1:] for d in "-/–—―"] if p[:1] in "-/" and len(p) > 1 else [p] for p in v.split(" ")])]
+        test = {"contains": str.__contains__, "startswith": str.startswith, "endswith": str.endswith, "": str.__eq__}[op]
+        return any(test(low(text), low(x)) for x in variants)
+    df = spark.createDataFrame([(i, json.dumps({"CommandLine": t})) for i, t in enumerate(rows)], "i int, raw string")
+    for op in ("contains", "startswith", "endswith", ""):
+        for v in values:
+            rule = compile_rule({"title": "t", "detection": {"s": {f"CommandLine|windash{'|' * bool(op)}{op}": v}, "condition": "s"}})[0]
+            got = {x.i for x in df.where(rule.predicate(F.col("raw"))).collect()}
+            assert got == {i for i, t in enumerate(rows) if fits(t, v, op)}, (op, v)
+    assert len(windash("x -a -b -c -d")) == 5**4
+
+
+def test_upload_is_whole_and_recompiles():
+    c = Catalog()
+    one, two = c.create_ruleset("one").path, c.create_ruleset("two").path
+    lists = "name: tools\ndescription: what they run\nvalues: [{}]\n---\n"
+    rule = "title: {0}\nid: {0}\ndetection: {{s: {{Image|expand: '%tools%'}}, condition: s}}\n"
+    got = c.upload(one, lists.format("a.exe") + rule.format("r1"))
+    assert got["saved"] == ["r1"] and got["recompiled"] == [] and c.lists.get("tools").description == "what they run"
+    before = json.dumps([s.docs for s in c.sets.values()]), c.lists.values("tools")
+    for bad in ("title: x\n", rule.format("r3").replace("tools", "missing"), "title: z\nid: z\ncorrelation: {type: odd}\n"):
+        with pytest.raises(RuleError):
+            c.upload(two, lists.format("b.exe") + rule.format("r2") + "---\n" + bad)
+        assert (json.dumps([s.docs for s in c.sets.values()]), c.lists.values("tools")) == before and list(c.sets[two].compiled) == []
+    got = c.upload(two, lists.format("b.exe, c.exe") + rule.format("r2") + "---\n" + rule.format("r1"))
+    assert got["saved"] == ["r2"] and got["skipped"] == ["r1"] and got["owners"] == {"r1": one} and got["recompiled"] == ["r1"] and got["failed"] == {} and got["lists"]["updated"] == ["tools"]
+
+
 def test_routes_and_packs(spark):
     rules = compile_rule({"id": "p", "title": "P", "level": "high", "logsource": {"category": "process_creation"}, "detection": {"s": {"Image|endswith": "\\evil.exe"}, "condition": "s"}})
     assert [(r.title, r.eventid, r.id) for r in rules] == [("P (Sysmon)", (1,), "p"), ("P (Security)", (4688,), "p")]

@@ -110,6 +110,49 @@ def test_readers(spark, tmp_path):
         R.read_events(spark, "x", "strange")
 
 
+def test_no_line_of_json_is_lost(spark, tmp_path):
+    """Bad lines, wherever they are, are events; other lines and files are as they were."""
+    def read(text, **k):
+        path = tmp_path / f"f{len(list(tmp_path.iterdir()))}.json"
+        path.write_bytes(text if isinstance(text, bytes) else text.encode())
+        return sorted(r.raw for r in R.read_json(spark, str(path), **k).collect())
+
+    good = ['{"a":1}', '{"a":2}', '{"a":3}']
+    assert read("\n".join([*good[:2], "[2024-01-01] plain line", good[2]])) == sorted([*good, "[2024-01-01] plain line"])
+    assert read("\n".join([good[0], '[{"a":2}', good[2]])) == sorted([good[0], '[{"a":2}', good[2]])
+    assert read("\n".join(["[2024] first line", *good])) == sorted(["[2024] first line", *good])
+    assert read("[" + ",\n".join(good) + "]") == good and read('\n \n[\n{"a":\n1}]') == good[:1] and read(b"\xef\xbb\xbf[\n" + ",\n".join(good).encode() + b"]") == good
+    assert read('[{"a":1}, {"a":2}]\n[{"a":3}]\n') == good and read('{"a":1}\n[{"a":2},{"a":3}]\n{broken\n') == sorted([*good, "{broken"])
+    assert read("") == [] == read(" \n\n") and read("[\n{}", layout="lines") == ["[", "{}"] and read("[{}]", layout="array") == ["{}"]
+    import gzip
+    (tmp_path / "z.json.gz").write_bytes(gzip.compress(("[" + ",\n".join(good) + "]").encode()))
+    assert sorted(r.raw for r in R.read_json(spark, str(tmp_path / "z.json.gz")).collect()) == good
+    (tmp_path / "odd name #1").mkdir()
+    (tmp_path / "odd name #1" / "a b%.json").write_text("[\n" + good[0] + "]")
+    (tmp_path / "odd name #1" / "c.json").write_text(good[1])
+    assert sorted(r.raw for r in R.read_json(spark, str(tmp_path / "odd name #1")).collect()) == good[:2]
+    with pytest.raises(ValueError):
+        R.read_json(spark, "x", "odd")
+    bad = spark.createDataFrame([("{}",), ("[1]",), ("x",), (None,), ("1",), ('{"a": [1]}',)], "raw string").select(R.malformed(F.col("raw")).alias("m"))
+    assert [r.m for r in bad.collect()] == [False, True, True, True, True, False]
+
+
+def test_intake_loses_nothing(spark, tmp_path, monkeypatch):
+    """A write that fails gives back its own source's events and those not yet written; what is written isn't written again."""
+    intake = Intake(spark, str(tmp_path / "in"), events=1)
+    for s in "xyz":
+        intake.offer([{"s": s, "i": i} for i in range(2)], s)
+    write = intake._write
+    monkeypatch.setattr(intake, "_write", lambda s, rows: write(s, rows) if s == "x" else (_ for _ in ()).throw(OSError("full")))
+    with pytest.raises(OSError):
+        intake.flush()
+    intake.offer([{"s": "y", "i": 2}], "y")
+    monkeypatch.setattr(intake, "_write", write)
+    assert intake.flush() == 5 and intake.flush(True) == 0
+    lines = sorted(x for f in (tmp_path / "in").glob("*.ndjson") if not f.name.startswith("_") for x in f.read_text().split("\n"))
+    assert lines == sorted(json.dumps({"s": s, "i": i}) for s in "xyz" for i in range(3 if s == "y" else 2))
+
+
 def test_registry(spark):
     r = Registry()
     s, token = r.create("Web 1.a-b", "d")
