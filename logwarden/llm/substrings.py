@@ -14,6 +14,11 @@ that share their least block hash, so replies are runs too. Of windows that
 are equal within a chunk one is sent, and all are known to be repeats there:
 so a passage that a third of all documents share is as long in a chunk as it
 is itself.
+
+A chunk sends a bounded number of rows, whatever the number of buckets: where
+there are more buckets than that, rows of a coarse bucket are put together to
+chunks again and dealt to finer ones, as a radix sort does, so that work is
+linear in the input times the number of rounds: one up to some 15 GB, two up to petabytes.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ WINDOW = 35
 CHUNK = 1 << 20
 #: Probes that one task gets at a time.
 BUCKET_PROBES = 3_000_000
+#: Most buckets that a chunk is dealt to at once, and most partitions of a shuffle; both are powers of two.
+FAN, PARTITIONS = 1 << 10, 1 << 16
 _BITS = np.uint64(48)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
@@ -123,12 +130,111 @@ def _expand(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, 1), np.frombuffer(data, np.uint32, offset=8).astype(np.uint64)]))
 
 
+def _log2(n: int) -> int:
+    return n.bit_length() - 1
+
+
+def _dealt(rows: DataFrame, partitions: int) -> DataFrame:
+    return rows.repartition(min(partitions, PARTITIONS), "bucket").sortWithinPartitions("bucket")
+
+
+def _refined(rows: DataFrame, buckets: int, again, schema) -> DataFrame:
+    """rows, dealt to FAN coarse buckets at most, by buckets; again(groups of rows by bucket, bits of the finer bucket) deals one round."""
+    fan = min(buckets, FAN)
+    while fan < buckets:
+        finer = min(buckets, fan * FAN)
+        rows = map_rows(_dealt(rows, fan), lambda batches, more=_log2(finer // fan), bits=_log2(finer): again(batches, more, bits), schema, 256)
+        fan = finer
+    return _dealt(rows, buckets)
+
+
+def _deal_probes(batches, more: int, bits: int) -> Iterator[tuple]:
+    """Probes and index rows of coarse buckets, a chunk at a time, by buckets of so many more bits."""
+
+    def probes(held: list[bytes]) -> Iterator[tuple]:
+        p = np.sort(np.concatenate([_expand(x) for x in held]))
+        b = (p >> np.uint64(int(_BITS) - bits)).astype(np.int64)
+        for i, j in _stretches(b):
+            yield int(b[i]), 0, _squeeze(p[i:j]), None, None
+
+    def index(held: list[tuple]) -> Iterator[tuple]:
+        own, keys, number = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held, strict=True), (np.uint64, np.int64, np.int32), strict=True))
+        order = np.argsort(own, kind="stable")
+        own, keys, number = own[order], keys[order], number[order]
+        b = (own >> np.uint64(int(_BITS) - bits)).astype(np.int64)
+        for i, j in _stretches(b):
+            yield int(b[i]), 1, own[i:j].tobytes(), keys[i:j].tobytes(), number[i:j].tobytes()
+
+    for _, rows in by_key(batches, 1):
+        some, n, blocks, m = [], 0, [], 0
+        for bucket, kind, data, keys, number in rows:
+            if kind == 0:
+                some.append(data)
+                n += len(data) // 4
+            elif kind == 1:
+                blocks.append((data, keys, number))
+                m += len(data) // 8
+            else:
+                yield bucket << more, kind, data, keys, number
+            if n >= CHUNK:
+                yield from probes(some)
+                some, n = [], 0
+            if m >= CHUNK:
+                yield from index(blocks)
+                blocks, m = [], 0
+        if some:
+            yield from probes(some)
+        if blocks:
+            yield from index(blocks)
+
+
+def _stretches(b: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Beginnings and ends of the stretches of equal numbers."""
+    cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]])) if len(b) else []
+    return zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if len(cut) else iter(())
+
+
+def _deal_runs(first: np.ndarray, second: np.ndarray, keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray, fine: np.ndarray, shift: int, begins: np.ndarray) -> Iterator[tuple]:
+    """Rows of runs by their buckets, less shift bits. begins: where a run's windows begin in first and second."""
+    b = fine >> shift
+    order = np.argsort(b, kind="stable")
+    for i, j in _stretches(b[order]):
+        r = order[i:j]
+        size = lengths[r]
+        take = np.repeat(begins[r] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        yield int(b[r[0]]), 0, first[take].tobytes(), second[take].tobytes(), keys[r].tobytes(), starts[r].tobytes(), size.astype(np.int32).tobytes(), fine[r].astype(np.int32).tobytes()
+
+
+def _deal_runs_again(batches, more: int, bits: int, whole: int) -> Iterator[tuple]:
+    """Runs of coarse buckets, a chunk at a time, by buckets of so many more bits, of whole in the end."""
+    kinds = (np.uint64, np.uint32, np.int64, np.int32, np.int32, np.int32)
+
+    def deal(held: list[tuple]) -> Iterator[tuple]:
+        first, second, keys, starts, lengths, fine = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held, strict=True), kinds, strict=True))
+        yield from _deal_runs(first, second, keys, starts, lengths, fine, whole - bits, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+
+    for _, rows in by_key(batches, 1):
+        held, n = [], 0
+        for bucket, kind, *data in rows:
+            if kind:
+                yield (bucket << more, kind, *data)
+                continue
+            held.append(tuple(data))
+            n += len(data[0]) // 8
+            if n >= CHUNK:
+                yield from deal(held)
+                held, n = [], 0
+        if held:
+            yield from deal(held)
+
+
 def hit_blocks(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     """(key, blocks): the blocks of each document's grid whose words also start somewhere else, and perhaps a few others.
 
     docs: key, text. A probe is 48 bits of hash: false hits only add work.
+    buckets is a power of two.
     """
-    block = (window + 1) // 2
+    block, fan = (window + 1) // 2, min(buckets, FAN)
     schema = fields(("bucket", "int"), ("kind", "int"), ("probes", "binary"), ("keys", "binary"), ("blocks", "binary"))
 
     def probe(batches):
@@ -139,13 +245,13 @@ def hit_blocks(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             grid = np.flatnonzero(whole & (c.place[: len(h)] % block == 0))
             own, keys, number = h[grid], c.ids[c.owner[grid]], (c.place[grid] // block).astype(np.int32)
             again = counts[np.searchsorted(values, own)] > 1
-            yield int(c.ids[0]) % buckets, 2, None, keys[again].tobytes(), number[again].tobytes()
+            yield int(c.ids[0]) % fan, 2, None, keys[again].tobytes(), number[again].tobytes()
             own, keys, number = own[~again], keys[~again], number[~again]
             order = np.argsort(own, kind="stable")
             own, keys, number = own[order], keys[order], number[order]
-            edges = (np.arange(buckets + 1, dtype=object) * (1 << int(_BITS)) // buckets).astype(np.uint64)
+            edges = np.arange(fan + 1, dtype=np.uint64) << np.uint64(int(_BITS) - _log2(fan))
             a, b = np.searchsorted(values, edges), np.searchsorted(own, edges)
-            for i in range(buckets):
+            for i in range(fan):
                 if a[i] < a[i + 1]:
                     yield i, 0, _squeeze(values[a[i] : a[i + 1]]), None, None
                 if b[i] < b[i + 1]:
@@ -172,14 +278,14 @@ def hit_blocks(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                 hit = several[at] == own if len(several) else np.zeros(len(own), bool)
                 yield from zip(np.frombuffer(keys, np.int64)[hit].tolist(), np.frombuffer(number, np.int32)[hit].tolist(), strict=True)
 
-    sent = map_rows(docs, probe, schema, 256).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    sent = _refined(map_rows(docs, probe, schema, 256), buckets, _deal_probes, schema)
     return map_rows(sent, answer, fields(("key", "bigint"), ("block", "int")), 65_536).groupBy("key").agg(F.collect_set("block").alias("blocks"))
 
 
 def repeated_runs(found: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(key, runs): ranges of starts of windows whose words also start somewhere else. found: key, text, blocks."""
-    block = (window + 1) // 2
-    schema = fields(("bucket", "int"), ("kind", "int"), ("first", "binary"), ("second", "binary"), ("keys", "binary"), ("starts", "binary"), ("lengths", "binary"))
+    """(key, runs): ranges of starts of windows whose words also start somewhere else. found: key, text, blocks. buckets is a power of two."""
+    block, fan = (window + 1) // 2, min(buckets, FAN)
+    schema = fields(("bucket", "int"), ("kind", "int"), ("first", "binary"), ("second", "binary"), ("keys", "binary"), ("starts", "binary"), ("lengths", "binary"), ("fine", "binary"))
 
     def ranges(ids, at, begins):
         """(ids, first places, lengths) of the runs of at; begins: where a run ends besides gaps."""
@@ -205,7 +311,7 @@ def repeated_runs(found: DataFrame, window: int, buckets: int) -> DataFrame:
             again[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
             if again.any():
                 own, places, size = ranges(c.owner[at[again]], at[again], np.diff(c.owner[at[again]]) != 0)
-                yield int(c.ids[0]) % buckets, 1, None, None, c.ids[own].tobytes(), c.place[places].tobytes(), size.astype(np.int32).tobytes()
+                yield int(c.ids[0]) % fan, 1, None, None, c.ids[own].tobytes(), c.place[places].tobytes(), size.astype(np.int32).tobytes(), None
             # The first of equal windows is sent.
             lead = np.ones(len(at), bool)
             lead[order[1:][same]] = False
@@ -218,21 +324,14 @@ def repeated_runs(found: DataFrame, window: int, buckets: int) -> DataFrame:
             lengths = np.diff(np.concatenate([cut, [len(at)]]))
             # A run that is known to be repeated gets no reply.
             starts = np.where(again[cut], -1, c.place[at[cut]]).astype(np.int32)
-            run_bucket = bucket[cut]
-            order = np.argsort(run_bucket, kind="stable")
-            ends = np.searchsorted(run_bucket[order], np.arange(buckets + 1))
-            for i in np.flatnonzero(np.diff(ends)):
-                r = order[ends[i] : ends[i + 1]]
-                size = lengths[r]
-                take = np.repeat(cut[r] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                yield int(i), 0, first[take].tobytes(), second[take].tobytes(), c.ids[c.owner[at[cut[r]]]].tobytes(), starts[r].tobytes(), size.astype(np.int32).tobytes()
+            yield from _deal_runs(first, second, c.ids[c.owner[at[cut]]], starts, lengths, bucket[cut], _log2(buckets // fan), cut)
 
     def compare(batches):
         for _, rows in by_key(batches, 1):
             got = []
             for r in rows:
                 if r[1]:
-                    yield from zip(*(np.frombuffer(x, kind).tolist() for x, kind in zip(r[4:], (np.int64, np.int32, np.int32), strict=True)), strict=True)
+                    yield from zip(*(np.frombuffer(x, kind).tolist() for x, kind in zip(r[4:7], (np.int64, np.int32, np.int32), strict=True)), strict=True)
                 else:
                     got.append(r[2:])
             if not got:
@@ -251,7 +350,7 @@ def repeated_runs(found: DataFrame, window: int, buckets: int) -> DataFrame:
             own, places, size = ranges(run[at], at, np.diff(run[at]) != 0)
             yield from zip(keys[own].tolist(), (starts[own] + offset[places]).tolist(), size.tolist(), strict=True)
 
-    sent = map_rows(found, send, schema, 256).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    sent = _refined(map_rows(found, send, schema, 256), buckets, lambda batches, more, bits: _deal_runs_again(batches, more, bits, _log2(buckets)), schema)
     runs = map_rows(sent, compare, fields(("key", "bigint"), ("start", "int"), ("n", "int")), 65_536)
     return runs.groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
 

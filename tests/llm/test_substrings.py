@@ -98,3 +98,42 @@ def test_rolling_hash_and_squeezing():
     for n in (1, 2, 500):
         x = np.sort(np.random.default_rng(n).integers(0, 1 << 48, n, np.uint64))
         assert (substrings._expand(substrings._squeeze(x)) == x).all()
+
+
+@pytest.mark.parametrize("fan, probes", [(4, 300), (16, 20)])
+def test_buckets_beyond_what_a_chunk_is_dealt_to(spark, monkeypatch, fan, probes):
+    """Rounds of coarse and finer buckets find what one round finds."""
+    r = random.Random(fan)
+    shared = [[f"s{k}_{i}" for i in range(50)] for k in range(5)]
+    rows = [(i, " ".join([f"u{r.randint(0, 10**6)}" for _ in range(60)] + (r.choice(shared)[: r.randint(34, 50)] if i % 2 else []))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(substrings, "FAN", fan)
+    monkeypatch.setattr(substrings, "BUCKET_PROBES", probes)
+    monkeypatch.setattr(substrings, "PARTITIONS", 8)
+    assert run(docs, 35) == brute(rows, 35)
+
+
+def test_rows_of_a_chunk_do_not_grow_with_the_buckets(spark, monkeypatch):
+    """A chunk sends two rows a bucket of the first round at most, with 16 buckets as with 65,536."""
+    text = F.expr("concat_ws(' ', transform(sequence(1, 4000), i -> concat('w', id, '_', i)))")
+    docs = spark.range(8).select(F.col("id").alias("key"), text.alias("text")).repartition(2).cache()
+    real, sent = substrings.map_rows, []
+
+    def spy(df, fn, schema, *more):
+        out = real(df, fn, schema, *more)
+        if not sent and "probes" in out.columns:
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(substrings, "map_rows", spy)
+    for buckets in (16, 1 << 16):
+        sent.clear()
+        substrings.hit_blocks(docs, 35, buckets)
+        assert sent[0] <= 2 * (2 * min(buckets, substrings.FAN) + 1), buckets
+
+
+def test_texts_that_a_batch_cannot_hold(spark):
+    """Texts of 10 MB: few at a time are words."""
+    docs = spark.range(6).select(F.col("id").alias("doc_id"), F.expr("concat(repeat('lorem ipsum dolor sit amet ', 370000), id)").alias("text")).repartition(1)
+    out = substrings.repeat_digests(docs).collect()
+    assert {(r.n_words, r.n_removed) for r in out} == {(1_850_001, 1_850_000)}
