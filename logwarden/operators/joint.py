@@ -27,7 +27,8 @@ from ..plans.catalog import COUNT_OPS, Correlation, in_order
 from .alerts import entity_sets
 from .correlation import BROADCAST_KEYS
 
-RULE = "g int, title_ string, rule int, span bigint, counts string, field string, places array<int>, steps int, final string, least int, counted boolean, known boolean, " + ", ".join(f"{op} double" for op in COUNT_OPS)
+RULE = "g int, title_ string, rule int, span bigint, counts string, field string, places array<int>, steps int"
+TEST = "rule_ int, names array<string>, ordered boolean, final string, least int, counted boolean, known boolean, " + ", ".join(f"{op} double" for op in COUNT_OPS)
 HEAD = "struct<id:string,title:string,level:string>"
 
 
@@ -65,17 +66,25 @@ class Rules:
         return spark.createDataFrame([(t, g, names, reach[g]) for (t, g), names in rows.items()], "title_ string, g int, names array<string>, reach bigint")
 
     def rule_table(self, spark: SparkSession) -> DataFrame:
+        """What rules make of hits, by stream and title."""
         rows = []
         for i, c in enumerate(self.correlations):
-            bounds = [_number(c.condition.get(op)) for op in COUNT_OPS]
             ordered = c.kind == "temporal_ordered"
             counts = {"event_count": "hits", "value_count": "values"}.get(c.kind, "titles")
-            counted = counts != "titles" or any(k != "field" for k in c.condition)
             for t in dict.fromkeys(c.titles):
                 places = [k for k, x in enumerate(c.titles) if x == t] if ordered else []
-                rows.append((self.streams.index(c.group_by), t, i, c.timespan * 1_000_000, counts, c.distinct_field, places, len(c.titles) if ordered else 0, c.titles[-1], len(set(c.titles)), counted, any(b is not None for b in bounds), *bounds))
+                rows.append((self.streams.index(c.group_by), t, i, c.timespan * 1_000_000, counts, c.distinct_field, places, len(c.titles) if ordered else 0))
         return spark.createDataFrame(rows, RULE)
 
+    def test_table(self, spark: SparkSession) -> DataFrame:
+        """What rules ask of counts."""
+        rows = []
+        for i, c in enumerate(self.correlations):
+            bounds = [_number(c.condition.get(op)) for op in COUNT_OPS]
+            counted = c.kind in ("event_count", "value_count") or any(k != "field" for k in c.condition)
+            rows.append((i, list(c.group_by), c.kind == "temporal_ordered", c.titles[-1], len(set(c.titles)), counted, any(b is not None for b in bounds), *bounds))
+        return spark.createDataFrame(rows, TEST)
+
     def head(self, rule: Column) -> Column:
         """The id, title and level of a rule by its number."""
         said = [{"id": c.id, "title": c.title, "level": c.level} for c in self.correlations]
@@ -134,7 +143,10 @@ def evaluate_all(hits: DataFrame, correlations: list[Correlation], anchors: str
     own = [*stream, "rule"]
     table = rules.rule_table(hits.sparkSession).withColumnRenamed("g", "g_")
     # The one shuffle; all windows below are within its partitions.
-    rows = rows.repartition(*stream).join(_small(table, len(correlations) * len(rules.titles)), (F.col("g") == F.col("g_")) & (F.col("rule_title") == F.col("title_"))).drop("g_", "title_", "reach")
+    rows = rows.repartition(*stream).join(_small(table, len(correlations) * len(rules.titles)), (F.col("g") == F.col("g_")) & (F.col("rule_title") == F.col("title_")))
+    value = F.when(F.col("counts") == "hits", "").when(F.col("counts") == "values", F.try_element_at("group_values", F.col("field"))).otherwise(F.col("rule_title"))
+    # Windows sort what is left here, so it is little.
+    rows = rows.select(*own, "event_id", "rule_title", "event_ts", "at_us", "fresh", "span", (F.col("counts") == "hits").alias("each_"), "places", "steps", value.alias("value_"))
     in_order_ = Window.partitionBy(*own).orderBy("at_us", "event_id", "rule_title")
     began = F.lit(None).cast("bigint")
     for i in range(rules.steps):
@@ -145,7 +157,7 @@ def evaluate_all(hits: DataFrame, correlations: list[Correlation], anchors: str
             since = F.col("prior_")
         rows = rows.withColumn(f"step{i}", F.max(F.when(F.array_contains("places", i), since)).over(in_order_.rowsBetween(Window.unboundedPreceding, 0)))
         began = F.when(F.col("steps") == i + 1, F.col(f"step{i}")).otherwise(began)
-    rows = rows.withColumn("began_", began)
+    rows = rows.withColumn("began_", began).drop("places", "steps", *[f"step{i}" for i in range(rules.steps)], "prior_")
     anchor = F.col("fresh")
     if new_hits is not None and late:
         newest = F.max(F.when(F.col("fresh"), F.col("at_us"))).over(Window.partitionBy(*own).orderBy("at_us").rangeBetween(Window.unboundedPreceding, 0))
@@ -154,24 +166,24 @@ def evaluate_all(hits: DataFrame, correlations: list[Correlation], anchors: str
     if anchors == "latest_in_batch":
         rows = rows.withColumn("latest_", F.max(F.when(F.col("fresh"), F.col("at_us"))).over(Window.partitionBy(*own)))
         anchor = F.col("fresh") & (F.col("at_us") == F.col("latest_"))
-    rows = rows.withColumn("anchor_", anchor)
-    value = F.when(F.col("counts") == "hits", F.concat_ws("\0", "event_id", "rule_title")).when(F.col("counts") == "values", F.try_element_at("group_values", F.col("field"))).otherwise(F.col("rule_title"))
-    rows = rows.withColumn("value_", value)
+    rows = rows.withColumn("anchor_", anchor).drop("fresh", "newest_", "latest_")
     after = F.lead("at_us").over(Window.partitionBy(*own, "value_").orderBy("at_us", "event_id", "rule_title"))
-    rows = rows.withColumn("until_", F.least(F.col("at_us") + F.col("span") + 1, after))
+    over = F.col("at_us") + F.col("span") + 1
+    rows = rows.withColumn("until_", F.when(F.col("each_"), over).otherwise(F.least(over, after)))
     there = F.col("value_").isNotNull()
     comes = F.struct(F.lit(True).alias("hit_"), F.col("at_us").alias("when_"), F.when(there, 1).otherwise(0).alias("step_"))
     goes = F.struct(F.lit(False).alias("hit_"), F.col("until_").alias("when_"), F.lit(-1).alias("step_"))
-    both = rows.withColumn("x_", F.explode(F.when(there, F.array(comes, goes)).otherwise(F.array(comes)))).select(*rows.columns, "x_.*")
+    both = rows.withColumn("x_", F.explode(F.when(there, F.array(comes, goes)).otherwise(F.array(comes)))).select(*own, "event_id", "rule_title", "event_ts", "at_us", "span", "began_", "anchor_", "x_.*")
     n = F.sum("step_").over(Window.partitionBy(*own).orderBy("when_").rangeBetween(Window.unboundedPreceding, 0))
     rows = both.withColumn("n", n.cast("bigint")).where(F.col("hit_") & F.col("anchor_"))
+    rows = rows.join(_small(rules.test_table(hits.sparkSession), len(correlations)), F.col("rule") == F.col("rule_"))
     by = {"gte": Column.__ge__, "gt": Column.__gt__, "lte": Column.__le__, "lt": Column.__lt__, "eq": Column.__eq__, "neq": Column.__ne__}
     met = F.col("known") & J.all_of([F.col(op).isNull() | by[op](F.col("n"), F.col(op)) for op in COUNT_OPS])
     fires = F.when(F.col("counted"), met).otherwise(F.col("n") >= F.col("least"))
     ordered = F.coalesce(F.col("began_") >= F.col("at_us") - F.col("span"), F.lit(False))
     if final_step_only:
         ordered = ordered & (F.col("rule_title") == F.col("final"))
-    return rows.where(fires & ((F.col("steps") == 0) | ordered)).select(*columns)
+    return rows.where(fires & (~F.col("ordered") | ordered)).select(*columns)
 
 
 def _key(rules: Rules) -> Column:
