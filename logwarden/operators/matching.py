@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 
 from ..functions import jsontext as J
 from ..plans.sigma import Rule, SharedTexts, pattern, plain, strings
+from . import literal_index
 
 PACK = 100
 MATCH = "struct<id:string,title:string,level:string,tags:array<string>>"
 CANDIDATE = "struct<whole:boolean,literal:string,rule:int,codes:array<string>>"
+#: Rules, besides those that are joined, from which on they are found by an index.
+INDEX_FROM = 200
 #: Literals of a field up to this number are broadcast; beyond it the join shuffles.
 BROADCAST_LITERALS = 100_000
 
@@ -55,13 +58,14 @@ def _numbers(rules: list[tuple[int, Rule]], raw: Column, lists: Callable | None,
     return F.array_compact(F.array(*tests))
 
 
-def match(events: DataFrame, rules: Iterable[Rule], lists: Callable[[str], list[str] | None] | None = None, pack: int = PACK, join_literals: bool = True) -> DataFrame:
+def match(events: DataFrame, rules: Iterable[Rule], lists: Callable[[str], list[str] | None] | None = None, pack: int = PACK, join_literals: bool = True, index_from: int = INDEX_FROM) -> DataFrame:
     """Events with matched (array of id, title, level, tags, in the order of the rules), matched_rules (titles) and is_matched.
 
     A missing Channel does not rule an event out. events: raw, and event_code.
     Each event is parsed once. Rules that list literals of one field are found
     by a join for each such field (not with join_literals off); no event is
-    shuffled for it while the literals may be broadcast.
+    shuffled for it while the literals may be broadcast. From index_from other
+    rules on, those that test texts are found by an index of their literals.
     """
     rules = list(rules)
     raw, none, columns = F.col("raw"), F.array().cast("array<int>"), [c for c in events.columns if c not in ("matched", "matched_rules", "is_matched")]
@@ -72,7 +76,13 @@ def match(events: DataFrame, rules: Iterable[Rule], lists: Callable[[str], list[
         for f, op, v in found or ():
             tables[f][base_of(v)].append((op == "equals", v, i, [str(e) for e in rules[i].eventid]))
     parts: list[Column] = []
-    for event, some in routes((i, r) for i, r in enumerate(rules) if literal.get(i) is None).items():
+    others = [(i, r) for i, r in enumerate(rules) if literal.get(i) is None]
+    if len(others) >= index_from:
+        said, inside = literal_index.build(others, lists)
+        if inside:
+            parts.append(literal_index.numbers(said, raw, shared))
+            others = [(i, r) for i, r in others if i not in inside]
+    for event, some in routes(others).items():
         for i in range(0, len(some), pack):
             found = _numbers(some[i : i + pack], raw, lists, shared)
             parts.append(found if event is None else F.when(F.col("event_code") == str(event), found).otherwise(none))

@@ -622,6 +622,30 @@ def rule_pack_routed(spark, sf_dir):
     return M.matches(M.match(promoted(spark, sf_dir), rules)).select("event_id", F.col("rule_title").alias("title"))
 
 
+def mixed_pack(n: int = 4300) -> list[Rule]:
+    """Rules that take parts of texts, wildcards, several selections and filters: none is a list of literals of one field."""
+    out = []
+    for i in range(n):
+        d = (
+            {"s": {"Image|contains": f"\\APP{i}.", "Hostname|endswith": ["-7", "-3"]}, "condition": "s"},
+            {"s": {"Image": f"*\\app{i}.e?e"}, "f": {"EventType": ["error", "click"]}, "condition": "s and not f"},
+            {"s": {"TargetUserName|startswith": f"user{i}"}, "t": {"Note|contains": "ERR"}, "condition": "s and not t"},
+            {"a": {"Image|contains|all": ["tools", f"app{i}.exe"]}, "b": [f"note {i}", f"HOST-{i}\""], "condition": "all of them"},
+        )[i % 4]
+        out += compile_rule({"id": f"m{i}", "title": f"Mixed {i}", "level": "low", "detection": d})
+    return out
+
+
+@query("rule_pack_4300", EV.rstrip() + """, n AS (SELECT i FROM range(4300) r(i)), m AS (
+  SELECT event_id, i FROM ev JOIN n ON i = tool WHERE i % 4 = 0 AND (host LIKE '%-7' OR host LIKE '%-3')
+  UNION ALL SELECT event_id, i FROM ev JOIN n ON i = tool WHERE i % 4 = 1 AND event_type NOT IN ('error', 'click')
+  UNION ALL SELECT event_id, i FROM ev JOIN n ON starts_with(user_name, 'user' || i) WHERE i % 4 = 2 AND note IS NOT NULL AND event_type <> 'error'
+  UNION ALL SELECT event_id, i FROM ev JOIN n ON i = tool WHERE i % 4 = 3 AND host = 'HOST-' || i
+) SELECT event_id, 'Mixed ' || i AS title FROM m""")
+def rule_pack_4300(spark, sf_dir):
+    return M.matches(M.match(promoted(spark, sf_dir), mixed_pack())).select("event_id", F.col("rule_title").alias("title"))
+
+
 @query("ruleset_compose", "SELECT lower(r_name) AS ruleset, n_name AS rule_id FROM nation JOIN region ON n_regionkey = r_regionkey WHERE CASE WHEN r_regionkey % 2 = 0 THEN n_nationkey % 3 <> 0 ELSE n_nationkey % 4 = 0 END")
 def ruleset_compose(spark, sf_dir):
     """Regions are rulesets, nations their rules; some sets are included less some rules, of others some rules are picked."""
