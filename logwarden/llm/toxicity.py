@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, map_rows
+from .common import by_bytes, fields, map_rows
 
 BUCKETS = 1 << 18
 FACTORS = 8
@@ -78,14 +78,14 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def pair_terms(f: np.ndarray, owner: np.ndarray, d: int, y: np.ndarray, p: np.ndarray) -> np.ndarray:
+def pair_terms(f: np.ndarray, owner: np.ndarray, d: int, y: np.ndarray, p: np.ndarray, pair_rows: int = PAIR_ROWS) -> np.ndarray:
     """Terms of the pairs whose common rows have the label significantly more or less often than p says.
 
     f, owner: the term and row of each occurrence, of d terms. For each pair,
     what is expected but missing, and what is there but unexpected, are sums
     over its common rows, made for blocks of terms by products of matrices.
     """
-    some = np.flatnonzero(np.bincount(f[y[owner] > 0], minlength=d) >= PAIR_ROWS)
+    some = np.flatnonzero(np.bincount(f[y[owner] > 0], minlength=d) >= pair_rows)
     place = np.full(d, -1, np.int32)
     place[some] = np.arange(len(some))
     n, m, block, part_rows = len(y), len(some), 256, 512
@@ -108,8 +108,8 @@ def pair_terms(f: np.ndarray, owner: np.ndarray, d: int, y: np.ndarray, p: np.nd
     return some[found]
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 30, lasso: float | None = None, ridge: float = 1e-3, seed: int = 5) -> Machine:
-    """A machine from the distinct terms of each row and its label. Full-batch proximal gradient for the weights, then gradient steps for weights and vectors of the terms left and of those that pair_terms() finds. The default lasso falls with the root of the number of rows, as chance correlations do."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 30, lasso: float | None = None, ridge: float = 1e-3, seed: int = 5, term_rows: int = 3, pair_rows: int = PAIR_ROWS) -> Machine:
+    """A machine from the distinct terms of each row and its label. Full-batch proximal gradient for the weights, then gradient steps for weights and vectors of the terms left and of those that pair_terms() finds. The default lasso falls with the root of the number of rows, as chance correlations do. Terms of fewer than term_rows rows, and pairs of terms that either has fewer than pair_rows rows with the label, are chance and left out; 1 and 1 leave out none."""
     n = len(rows)
     lasso = 0.055 / max(n, 1) ** 0.5 if lasso is None else lasso
     if not n or labels.min() == labels.max():
@@ -118,7 +118,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 30, lasso: flo
     flat = np.concatenate(rows).astype(np.int32)
     owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     seen = np.bincount(flat, minlength=BUCKETS)
-    used = np.flatnonzero(seen >= min(3, max(1, n // 50)))
+    used = np.flatnonzero(seen >= min(term_rows, max(1, n // 50)))
     place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
     f = place[flat]
@@ -140,7 +140,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 30, lasso: flo
         w = w - step * grad * 0.25
         w = np.sign(w) * np.maximum(np.abs(w) - step * 0.25 * lasso, 0)
         bias -= g.sum()
-    left = np.union1d(np.flatnonzero(w), pair_terms(f, owner, d, y, chance(bias + np.bincount(owner, w[f], n))))
+    left = np.union1d(np.flatnonzero(w), pair_terms(f, owner, d, y, chance(bias + np.bincount(owner, w[f], n)), pair_rows))
     if not len(left):
         return Machine(bias, {}, {})
     inside = np.full(d, -1, np.int32)
@@ -168,8 +168,8 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> Machine:
-    """Fits on at most rows labelled documents, none of them held out. A doc_id with several labels has the largest; null labels take no part. Of several documents with one doc_id, that with the least hash of its text is used."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, **options) -> Machine:
+    """options are those of fit(). Fits on at most rows labelled documents, none of them held out. A doc_id with several labels has the largest; null labels take no part. Of several documents with one doc_id, that with the least hash of its text is used."""
     some = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).alias("y_")).where("doc_id is not null and y_ is not null").where(~held_out(F.col("doc_id")))
     some = some.groupBy("doc_id").agg(F.max("y_").cast("int").alias("y_")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # The limit bounds the broadcast side.
@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 
     one = map_rows(found, terms, schema).groupBy("doc_id").agg(F.min_by(F.struct("y", "terms"), "text_").alias("x"))
     got = one.select("doc_id", "x.y", "x.terms").toArrow().sort_by("doc_id")
-    return fit([np.frombuffer(t.as_buffer(), np.int32) for t in got["terms"]], got["y"].to_numpy().astype(np.int8))
+    return fit([np.frombuffer(t.as_buffer(), np.int32) for t in got["terms"]], got["y"].to_numpy().astype(np.int8), **options)
 
 
 def score_documents(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
@@ -206,10 +206,11 @@ def drop_toxic(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> Dat
     """The rows of docs, with all their columns, whatever their names, that score below threshold."""
     at, names = docs.columns.index("text"), docs.columns
     plain = docs.toDF(*[f"in{i}_" for i in range(len(names))])
+    column = plain.columns[at]
 
     def run(batches):
         table = Terms(set(machine.weights))
-        for b in batches:
+        for b in by_bytes(batches, column):
             keep = [machine.score(table.of(t)) < threshold for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
