@@ -8,9 +8,10 @@ region is narrowed by the whole signatures, and its links are confirmed on
 the full shingle sets. Documents with equal sets are one class from the start,
 and only one of each class is in the forest.
 
-Runs that are too long for one region are crowds. What the forest has left
-apart in them is compared pair by pair, block by block, so that any two
-documents with a common head in one tree are compared.
+Runs that are too long for one region are crowds: pages of one boilerplate,
+say. What the forest has left apart in them is joined by the rarest shingles of
+each document, so that a crowd costs what its members have of their own, and
+not its square.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_key, components, drop_stage, fields, map_rows, release, stage
+from .common import BATCH_BYTES, ROWS, by_key, components, drop_stage, fields, map_rows, release, slices, stage
 
 SHINGLE = 5
 TREES = 12
@@ -40,6 +42,8 @@ BLOCK = 1024
 BLOCK_SHINGLES = 1 << 20
 #: Signatures that agree in a smaller share are not compared further: four deviations below a similarity of 0.75.
 LEAST_AGREEMENT = 0.54
+#: Most of a crowd's commonest shingles that tasks know of; 16 bytes each.
+MOST_COMMON = 1 << 19
 #: Candidate documents up to this number are joined by broadcast.
 BROADCAST_ROWS = 200_000
 _CACHE = 1 << 17
@@ -158,17 +162,21 @@ def split(run: list[tuple[bytes, int]], level: int = 0, deepest: int = DEPTH - L
         yield from split(heads, deepest, deepest)
 
 
-def _regions(classes: DataFrame) -> DataFrame:
-    """Distinct regions (region, members: classes by their k1) of all trees."""
-    spread = fields(("tree", "int"), ("head", "bigint"), ("rest", "binary"), ("k1", "bigint"))
+def _heads(classes: DataFrame) -> DataFrame:
+    """crowd (a tree and its first levels, hashed), rest (the further levels) and k1 of each class in each tree."""
+    width, head = 4 * DEPTH, 4 * LEAST_DEPTH
+    part = lambda a, n: f"substring(sig, t * {width} + {a + 1}, {n})"
+    trees = F.expr(f"inline(transform(sequence(0, {TREES - 1}), t -> named_struct('crowd', xxhash64(t, {part(0, head)}), 'rest', {part(head, width - head)})))")
+    return classes.select("k1", trees)
+
+
+def _crowded(classes: DataFrame) -> DataFrame:
+    """crowd and n of the heads that more classes share than a region holds."""
+    return stage(_heads(classes).groupBy("crowd").agg(F.count("*").alias("n")).where(F.col("n") > REGION), "near")
 
-    def levels(batches):
-        width, head = 4 * DEPTH, 4 * LEAST_DEPTH
-        for rows in batches:
-            for k1, sig in rows:
-                for t in range(TREES):
-                    part = sig[t * width : (t + 1) * width]
-                    yield t, int.from_bytes(part[:head], "big", signed=True), part[head:], k1
+
+def _regions(classes: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Distinct regions (region, members: classes by their k1) of all trees. A crowd that one task shouldn't sort is dealt to several; what these part is found as a crowd."""
 
     def cut(batches):
         for _, rows in by_key(batches, 2):
@@ -186,9 +194,14 @@ def _regions(classes: DataFrame) -> DataFrame:
             if len(members) > 1:
                 yield xxhash.xxh3_64_intdigest(np.array(members, np.int64).tobytes()) - (1 << 63), members
 
-    trees = map_rows(classes.select("k1", "sig"), levels, spread, 16_384)
-    ordered = trees.repartition("tree", "head").sortWithinPartitions("tree", "head", "rest", "k1")
-    return map_rows(ordered, cut, fields(("region", "bigint"), ("members", "array<bigint>"))).dropDuplicates(["region"])
+    large = crowded.where(F.col("n") > HELD).select(F.col("crowd").alias("crowd_"), F.ceil(F.col("n") / HELD).alias("parts"))
+    n = large.count()
+    trees = _heads(classes)
+    if n:
+        trees = trees.join(F.broadcast(large) if n <= BROADCAST_ROWS else large, F.col("crowd") == F.col("crowd_"), "left")
+    sub = F.pmod(F.xxhash64("k1"), F.coalesce("parts", F.lit(1))).cast("int") if n else F.lit(0)
+    dealt = trees.select("crowd", sub.alias("sub"), "rest", "k1").repartition("crowd", "sub").sortWithinPartitions("crowd", "sub", "rest", "k1")
+    return map_rows(dealt, cut, fields(("region", "bigint"), ("members", "array<bigint>"))).dropDuplicates(["region"])
 
 
 def _find(parent: list[int], i: int) -> int:
@@ -280,37 +293,146 @@ def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, percent: int)
     return map_rows(ordered, confirm, fields(("a", "bigint"), ("b", "bigint")))
 
 
-def _crowds(classes: DataFrame) -> DataFrame:
-    """(crowd, k1) of the runs with a common head that are longer than a region."""
-    width, head = 4 * DEPTH, 4 * LEAST_DEPTH
-    trees = F.explode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(sig, t * {width} + 1, {head})))"))
-    heads = classes.select("k1", trees.alias("crowd"))
-    crowded = stage(heads.groupBy("crowd").agg(F.count("*").alias("n")).where(F.col("n") > REGION).select("crowd"), "near")
+def _apart(classes: DataFrame, crowded: DataFrame, found: DataFrame) -> DataFrame:
+    """k1, rep, component and n of the classes in crowds that the forest has left apart."""
     small = crowded.count() <= BROADCAST_ROWS
-    return stage(heads.join(F.broadcast(crowded) if small else crowded, "crowd").select("crowd", "k1").distinct(), "near")
+    heads = _heads(classes).select("crowd", "k1")
+    named = classes.select("k1", "rep", F.col("n_shingles").alias("n")).join(found, "rep", "left").select("k1", "rep", F.coalesce("component", "rep").alias("component"), "n")
+    member = heads.join(F.broadcast(crowded.select("crowd")) if small else crowded.select("crowd"), "crowd").join(named, "k1")
+    member = stage(member, "near")
+    apart = member.groupBy("crowd").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("crowd")
+    return stage(member.join(F.broadcast(apart) if small else apart, "crowd", "left_semi").select("k1", "rep", "component", "n").distinct(), "near")
 
 
-def _cells(crowds: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Blocks of the crowds' classes (k1, component, n, block), each class in one; and pairs of blocks (left, right) that have a crowd in common, and classes that the forest has left apart."""
-    member = crowds.join(classes.select("k1", "rep", F.col("n_shingles").alias("n")), "k1").join(found, "rep", "left").select("crowd", "k1", F.coalesce("component", "rep").alias("component"), "n")
-    apart = member.groupBy("crowd").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("crowd")
-    member = stage(member.join(apart, "crowd"), "near")
+def _spread(sets: DataFrame) -> DataFrame:
+    """The shingles of sets (column shingles), one a row."""
+
+    def run(batches):
+        for b in batches:
+            for part in slices(b, BATCH_BYTES, ROWS):
+                whole = b"".join(x.as_buffer().to_pybytes() for x in part.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(whole, np.int64))], names=["shingle"])
+
+    return sets.select("shingles").mapInArrow(run, fields(("shingle", "bigint")))
+
+
+def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles, MOST_COMMON at most, sorted, and their numbers of sets. They only put shingles in order, so any number of them is right."""
+    counts = stage(_spread(sets).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > REGION).withColumn("level", F.floor(F.log2("n")).cast("int")), "near")
+    total, least = 0, 64
+    for level, n in sorted(counts.groupBy("level").agg(F.count("*")).collect(), reverse=True):
+        total += n
+        if total > MOST_COMMON:
+            break
+        least = level
+    got = counts.where(F.col("level") >= least).select("shingle", "n").toArrow().sort_by("shingle")
+    drop_stage(counts)
+    return got["shingle"].to_numpy(), got["n"].to_numpy()
+
+
+def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
+    """Of a set of n shingles in order, how many of the first can hold the first one in common with a set as large or larger, and with any set. The first is shorter: larger sets have more in common."""
+    same = -(-2 * percent * n // (100 + percent))
+    return n - same + 1, n - -(-percent * n // 100) + 1
+
+
+def _postings(sets: DataFrame, apart: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
+    """shingle, place, first (whether sets as large or larger may have it in common first), often (whether it is a common one), k1, component and n: the first shingles of each set, the rarest first."""
+    spark = sets.sparkSession
+    shared = spark.sparkContext.broadcast(common)
+    rows = sets.join(apart.select("k1", "component"), "k1").select("k1", "component", "shingles")
+    schema = fields(("shingle", "bigint"), ("place", "int"), ("first", "boolean"), ("often", "boolean"), ("k1", "bigint"), ("component", "bigint"), ("n", "int"))
+
+    def run(batches):
+        known, counts = shared.value
+        for b in batches:
+            for part in slices(b, BATCH_BYTES, ROWS):
+                out = []
+                for k1, component, data in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    s = np.frombuffer(data, np.int64)
+                    at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
+                    often = np.where(known[at] == s, counts[at], 0) if len(known) else np.zeros(len(s), np.int64)
+                    short, long_ = prefix_lengths(len(s), percent)
+                    order = np.lexsort((s, often))[:long_]
+                    place = np.arange(len(order), dtype=np.int32)
+                    same = lambda v, kind, n=len(order): np.full(n, v, kind)
+                    out.append((s[order], place, place < short, often[order] > 0, same(k1, np.int64), same(component, np.int64), same(len(s), np.int32)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=schema.fieldNames())
+
+    return rows.mapInArrow(run, schema)
+
+
+def _pairs(postings: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Groups of two: classes of different components whose rare first shingles meet where enough of both sets is left, and whose signatures agree enough."""
+    rare = postings.where("not often")
+    a = rare.where("first").select("shingle", *[F.col(c).alias(f"a_{c}") for c in ("k1", "component", "n", "place")])
+    b = rare.select("shingle", *[F.col(c).alias(f"b_{c}") for c in ("k1", "component", "n", "place")])
+    left = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")).cast("long")
+    fits = (F.col("a_n") <= F.col("b_n")) & (100 * F.col("a_n").cast("long") >= percent * F.col("b_n")) & (left * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n")))
+    met = a.join(b, "shingle").where((F.col("a_component") != F.col("b_component")) & fits).select(F.least("a_k1", "b_k1").alias("a"), F.greatest("a_k1", "b_k1").alias("b")).distinct()
+    sig = lambda name: classes.select(F.col("k1").alias(name), F.col("sig").alias(f"sig_{name}"))
+    signed = met.join(sig("a"), "a").join(sig("b"), "b")
+
+    def agree(batches):
+        for rows in batches:
+            x, y = (np.frombuffer(b"".join(r[i] for r in rows), np.uint32).reshape(len(rows), -1) for i in (2, 3))
+            for i in np.flatnonzero((x == y).mean(1) >= LEAST_AGREEMENT).tolist():
+                members = [rows[i][0], rows[i][1]]
+                yield xxhash.xxh3_64_intdigest(np.array(members, np.int64).tobytes()) - (1 << 63), members
+
+    return map_rows(signed.select("a", "b", "sig_a", "sig_b"), agree, fields(("region", "bigint"), ("members", "array<bigint>")))
+
+
+def _cells(postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of the classes (k1, component, n, block) that common first shingles bring together, each class in one; and pairs of blocks (left, right) that have such a shingle in common, and classes of different components.
+
+    A component that fills blocks has its own; the others are pooled. Blocks are by hash, so that no task sees all of a shingle's classes.
+    """
+    member = postings.where("often").select(F.col("shingle").alias("crowd"), "k1", "component", "n", "first")
+    apart = member.groupBy("crowd").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("first").alias("z")).where("x < y and z").select("crowd")
+    member = stage(member.join(apart, "crowd", "left_semi").select("crowd", "k1", "component", "n"), "near")
     homes = member.groupBy("k1", "component", "n").agg(F.min("crowd").alias("crowd"))
-    cost = F.greatest(F.col("n"), F.lit(BLOCK_SHINGLES // BLOCK))
-    before = F.sum(cost).over(Window.partitionBy("crowd").orderBy("component", "n", "k1").rowsBetween(Window.unboundedPreceding, 0)) - cost
-    blocks = stage(homes.withColumn("block", F.xxhash64("crowd", F.floor(before / BLOCK_SHINGLES))).select("k1", "component", "n", "block"), "near")
+    cost = F.greatest(F.col("n").cast("long"), F.lit(BLOCK_SHINGLES // BLOCK))
+    sizes = homes.groupBy("crowd", "component").agg(F.sum(cost).alias("cost"))
+    sizes = stage(sizes.withColumn("own", F.col("cost") * 2 > BLOCK_SHINGLES), "near")
+    pools = sizes.where("not own").groupBy("crowd").agg(F.ceil(F.sum("cost") / BLOCK_SHINGLES).alias("pools"))
+    placed = homes.join(sizes, ["crowd", "component"]).join(pools, "crowd", "left")
+    own = F.xxhash64("crowd", "component", F.pmod(F.xxhash64("k1"), F.ceil(F.col("cost") / BLOCK_SHINGLES)))
+    block = F.when(F.col("own"), own).otherwise(F.xxhash64("crowd", F.lit("pool"), F.pmod(F.xxhash64("component"), F.coalesce("pools", F.lit(1)))))
+    blocks = stage(placed.select("k1", "component", "n", block.alias("block")), "near")
     of = blocks.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
     side = lambda name: of.select(F.col("block").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("low", "high", "least", "most")])
-    met = member.join(blocks.select("k1", "block"), "k1").select("crowd", "block").distinct()
+    met = stage(member.join(blocks.select("k1", "block"), "k1").select("crowd", "block").distinct(), "near")
     cells = met.select("crowd", F.col("block").alias("left")).join(met.select("crowd", F.col("block").alias("right")), "crowd").where("left <= right").select("left", "right").distinct()
     cells = cells.join(side("left"), "left").join(side("right"), "right").where("least(left_low, right_low) < greatest(left_high, right_high)")
     cells = cells.where(f"100 * left_most >= {percent} * right_least and 100 * right_most >= {percent} * left_least")
     return blocks, stage(cells.select("left", "right"), "near")
 
 
-def _crowd_links(docs: DataFrame, crowds: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) in crowds between documents of different components: all pairs by signatures, then those that agree enough on their full sets."""
-    blocks, cells = _cells(crowds, classes, found, percent)
+def _crowd_links(docs: DataFrame, crowded: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) in crowds between documents of different components.
+
+    Shingles are put in order, the common ones last. Two sets that are similar
+    have one in common among their first few, and so much left behind it as
+    they need. Where that one is rare, its few classes are candidates. Where
+    it is common, nearly all of a set is, so its classes are mostly one
+    component already; those that aren't are compared in blocks.
+    """
+    apart = _apart(classes, crowded, found)
+    if apart.isEmpty():
+        return found.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
+    alone = apart.select(F.col("k1").alias("region"), F.array("k1").alias("members"))
+    sets = stage(_sets(docs, alone, classes).select("k1", "shingles").dropDuplicates(["k1"]), "near")
+    postings = stage(_postings(sets, apart, _common(sets), percent), "near")
+    drop_stage(sets)
+    links = _links(docs, stage(_pairs(postings, classes, percent), "near"), classes, percent)
+    return links.unionByName(_common_links(docs, postings, classes, percent))
+
+
+def _common_links(docs: DataFrame, postings: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between documents of different components whose first shingle in common is a common one: in pairs of blocks by signatures, then on full sets."""
+    blocks, cells = _cells(postings, percent)
     rows = blocks.join(classes.select("k1", "sig"), "k1")
     sides = cells.select("left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
     rows = sides.join(rows, "block").select("left", "right", "block", "k1", "component", "n", "sig")
@@ -435,7 +557,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, exact: bool = False) ->
     if exact:
         groups = _sharing(docs, classes, percent)
     else:
-        regions = stage(_regions(classes), "near")
+        crowded = _crowded(classes)
+        regions = stage(_regions(classes, crowded), "near")
         release(spark)
         groups = stage(_narrowed(regions, classes), "near")
         drop_stage(regions)
@@ -447,9 +570,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, exact: bool = False) ->
     links = stage(links.unionByName(again), "near")
     release(spark)
     found = components(links).select(F.col("node").alias("rep"), "component").distinct()
-    crowds = None if exact else _crowds(classes)
-    if crowds is not None and not crowds.isEmpty():
-        more = stage(_crowd_links(docs, crowds, classes, found, percent), "near")
+    if not exact and not crowded.isEmpty():
+        more = stage(_crowd_links(docs, crowded, classes, found, percent), "near")
         release(spark)
         if not more.isEmpty():
             found = components(links.unionByName(more)).select(F.col("node").alias("rep"), "component").distinct()

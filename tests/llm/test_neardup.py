@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from logwarden.llm import neardup
 from logwarden.llm.common import components
 
@@ -160,3 +163,49 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {tuple(x) for x in components(spark.createDataFrame(edges, "a long, b long")).distinct().collect()}
     assert got == {(x, find(x)) for a, b in edges if a != b for x in (a, b)}
+
+
+def connected(spark, docs, links):
+    out = {}
+    if not links.isEmpty():
+        out = {r.node: r.component for r in components(links).distinct().collect()}
+    return {r.doc_id: out.get(r.doc_id, r.doc_id) for r in docs.select("doc_id").collect()}
+
+
+@pytest.mark.parametrize("region", [2, 64])
+def test_links_of_crowds_without_the_forest(spark, monkeypatch, region):
+    """Rare and common first shingles find all links by themselves: pages that are nearly all boilerplate, pages that are half of it, and pairs."""
+    monkeypatch.setattr(neardup, "REGION", region)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 16 * 100)
+    r = random.Random(region)
+    boiler = [[f"b{k}_{i}" for i in range(100)] for k in range(2)]
+    rows = []
+    for i in range(260):
+        w = boiler[i % 2][: r.choice([100, 100, 80, 60, 45])] + [f"u{i}_{j}" for j in range(r.choice([0, 3, 10, 25, 60]))]
+        rows.append((2 * i, " ".join(w)))
+        if i % 4 == 0:
+            n = r.randint(1, max(1, len(w) // 7))
+            rows.append((2 * i + 1, " ".join(w[:-n] + [f"y{i}_{j}" for j in range(n)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    signed = neardup._signed(docs)
+    classes = neardup.stage(signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "sig", "n_shingles")).alias("x")).select("k1", "k2", F.col("x.doc_id").alias("rep"), "x.sig", "x.n_shingles"), "near")
+    apart = classes.select("k1", "rep", F.col("rep").alias("component"), F.col("n_shingles").alias("n"))
+    sets = neardup.stage(neardup._sets(docs, apart.select(F.col("k1").alias("region"), F.array("k1").alias("members")), classes).select("k1", "shingles").dropDuplicates(["k1"]), "near")
+    common = neardup._common(sets)
+    assert (len(common[0]) > 0) and len(common[0]) == len(common[1])
+    postings = neardup.stage(neardup._postings(sets, apart, common, 75), "near")
+    links = neardup._links(docs, neardup.stage(neardup._pairs(postings, classes, 75), "near"), classes, 75).unionByName(neardup._common_links(docs, postings, classes, 75))
+    own = signed.join(classes, ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    got = connected(spark, docs, neardup.stage(links.unionByName(own), "near"))
+    want = {x[0]: x[2] for x in brute(rows)}
+    assert got == want and len(set(want.values())) > 30
+
+
+def test_a_large_crowd_is_dealt_to_several_tasks(spark, monkeypatch):
+    """No task sorts a crowd that is longer than it should hold; pairs that this parts are found all the same."""
+    monkeypatch.setattr(neardup, "HELD", 300)
+    rows, pairs = crowd()
+    rows = [x for x in rows if x[0] < 100 or x[0] >= 12_500]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {(x[2], x[0]) for x in run(docs) if not x[3]} == {p for p in pairs if p[1] < 100}
