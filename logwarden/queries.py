@@ -28,6 +28,7 @@ from .plans.filters import compile_filter
 from .plans.sigma import Rule, compile_rule
 from .sources import readers as R
 from .sources.sinks import append_events, exists, land, shared_dir
+from .streaming import stateful
 from .streaming.ingest import Pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -288,6 +289,28 @@ def corr_late_hits(spark, sf_dir):
     return own.select(title.alias("correlation"), "source_batch", F.col("keys")[0].alias("key"), F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at")).distinct()
 
 
+@query("corr_stream_state", _many_sql().replace("SELECT correlation, event_id, rule_title, source_batch, key, n FROM (", "SELECT DISTINCT correlation, event_id, rule_title, key FROM (") + " WHERE correlation IN ('Many 1', 'Many 8')")
+def corr_stream_state(spark, sf_dir):
+    """Two rules over the ledger as a stream of three files, in no order of time, with native state; once for a session and folder."""
+    rules = [c for c in _many_rules() if c.id in ("m1", "m8")]
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/state-{hashlib.md5(sf_dir.encode(), usedforsecurity=False).hexdigest()}"
+    if not exists(spark, f"{path}/done"):
+        every = C.ledger(matched(spark, sf_dir), C.hit_spec(rules)).withColumn("part_", F.pmod(F.xxhash64("event_id"), F.lit(3)))
+        for part in range(3):
+            every.where(F.col("part_") == part).drop("part_").coalesce(1).write.mode("append").parquet(f"{path}/in")
+        setting = "spark.sql.streaming.stateStore.providerClass"
+        before = spark.conf.get(setting)
+        spark.conf.set(setting, stateful.ROCKS)
+        try:
+            stream = spark.readStream.schema(C.LEDGER).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+            fired = stateful.correlate_stream(stream, rules, "365 days").select("correlation", "event_id", "rule_title", F.col("keys")[0].alias("key"))
+            fired.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        finally:
+            spark.conf.set(setting, before)
+        spark.range(1).write.parquet(f"{path}/done")
+    return spark.read.parquet(f"{path}/out").distinct()
+
+
 @query("corr_window_counts", EV + "SELECT source_batch, host, count(*) AS n FROM hit WHERE title = 'Failed logon' AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-15' GROUP BY 1, 2")
 def corr_window_counts(spark, sf_dir):
     out = C.window_counts(hits(spark, sf_dir, ("Hostname",)), ["Failed logon"], ["Hostname"], "2024-01-05 00:00:00", "2024-01-15 00:00:00")
