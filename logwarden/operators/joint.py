@@ -6,7 +6,8 @@ that its title is in. What rules count, hits, distinct values or distinct titles
 is one running sum: a hit adds one at its time and takes it back when the
 rule's span is over, or when its value comes again. So spans and
 thresholds are data, no plan grows with the number of rules, and
-time is linear in hits times the rules that they are in.
+time is linear in hits times the rules that they are in. A key's hits are
+dealt by slices of time, so that a noisy one is many tasks.
 
 Late hits: with new hits at hand, the anchors are these, and all stored hits
 whose windows one of them lies in. So the order of arrival doesn't matter.
@@ -29,6 +30,8 @@ from .correlation import BROADCAST_KEYS
 
 RULE = "g int, title_ string, rule int, span bigint, counts string, field string, places array<int>, steps int"
 TEST = "rule_ int, names array<string>, ordered boolean, final string, least int, counted boolean, known boolean, " + ", ".join(f"{op} double" for op in COUNT_OPS)
+#: Spans of time in a slice of a key's hits; one of so many hits is in two.
+SLICE = 8
 HEAD = "struct<id:string,title:string,level:string>"
 
 
@@ -126,6 +129,20 @@ def _touched(hits: DataFrame, new: DataFrame, rules: Rules) -> DataFrame | None:
     return marked.select(*rows.columns, F.col("id_").isNotNull().alias("fresh"))
 
 
+def sliced(rows: DataFrame) -> DataFrame:
+    """Rows of streams with slice, a stretch of time that is SLICE times as long as the stream's longest span, and home.
+
+    A row that a window of the next slice can see is there, too, and not at
+    home: so a key with a third of all hits is as many tasks as it has slices.
+    """
+    length = F.col("reach") * SLICE
+    at = F.floor(F.col("at_us") / length)
+    near = F.col("at_us") >= (at + 1) * length - F.col("reach")
+    both = F.when(near, F.array(at, at + 1)).otherwise(F.array(at))
+    out = rows.withColumn("at_", at).withColumn("slice", F.explode(both))
+    return out.withColumn("home", F.col("slice") == F.col("at_")).drop("at_")
+
+
 def evaluate_all(hits: DataFrame, correlations: list[Correlation], anchors: str = "every_hit", new_hits: DataFrame | None = None, late: bool = True, final_step_only: bool = False) -> DataFrame:
     """Anchors at which correlations fire: rule (its place in the list), event_id, rule_title, source_batch, event_ts, n, and the key's names and keys.
 
@@ -139,14 +156,14 @@ def evaluate_all(hits: DataFrame, correlations: list[Correlation], anchors: str
         rows = _streams(hits, rules).withColumn("fresh", F.lit(True)) if new_hits is None else _touched(hits, new_hits, rules)
     if rows is None:
         return hits.sparkSession.createDataFrame([], "rule int, event_id string, rule_title string, source_batch string, event_ts timestamp_ntz, n bigint, names array<string>, keys array<string>")
-    stream = ["g", "source_batch", "keys"]
-    own = [*stream, "rule"]
+    own = ["g", "source_batch", "keys", "slice", "rule"]
     table = rules.rule_table(hits.sparkSession).withColumnRenamed("g", "g_")
+    rows = sliced(rows)
     # The one shuffle; all windows below are within its partitions.
-    rows = rows.repartition(*stream).join(_small(table, len(correlations) * len(rules.titles)), (F.col("g") == F.col("g_")) & (F.col("rule_title") == F.col("title_")))
+    rows = rows.repartition("g", "source_batch", "keys", "slice").join(_small(table, len(correlations) * len(rules.titles)), (F.col("g") == F.col("g_")) & (F.col("rule_title") == F.col("title_")))
     value = F.when(F.col("counts") == "hits", "").when(F.col("counts") == "values", F.try_element_at("group_values", F.col("field"))).otherwise(F.col("rule_title"))
     # Windows sort what is left here, so it is little.
-    rows = rows.select(*own, "event_id", "rule_title", "event_ts", "at_us", "fresh", "span", (F.col("counts") == "hits").alias("each_"), "places", "steps", value.alias("value_"))
+    rows = rows.select(*own, "event_id", "rule_title", "event_ts", "at_us", "fresh", "home", "span", (F.col("counts") == "hits").alias("each_"), "places", "steps", value.alias("value_"))
     in_order_ = Window.partitionBy(*own).orderBy("at_us", "event_id", "rule_title")
     began = F.lit(None).cast("bigint")
     for i in range(rules.steps):
@@ -164,9 +181,11 @@ def evaluate_all(hits: DataFrame, correlations: list[Correlation], anchors: str
         rows = rows.withColumn("newest_", newest)
         anchor = F.coalesce(F.col("at_us") - F.col("newest_") <= F.col("span"), F.lit(False))
     if anchors == "latest_in_batch":
-        rows = rows.withColumn("latest_", F.max(F.when(F.col("fresh"), F.col("at_us"))).over(Window.partitionBy(*own)))
-        anchor = F.col("fresh") & (F.col("at_us") == F.col("latest_"))
-    rows = rows.withColumn("anchor_", anchor).drop("fresh", "newest_", "latest_")
+        key = ["g", "source_batch", "keys", "rule"]
+        latest = rows.where("fresh and home").groupBy(*key).agg(F.max("at_us").alias("latest_")).select(*[F.col(k).alias(f"{k}_of") for k in key], "latest_")
+        rows = rows.join(latest, J.all_of([F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in key]), "left").drop(*[f"{k}_of" for k in key])
+        anchor = F.coalesce(F.col("fresh") & (F.col("at_us") == F.col("latest_")), F.lit(False))
+    rows = rows.withColumn("anchor_", anchor & F.col("home")).drop("fresh", "home", "newest_", "latest_")
     after = F.lead("at_us").over(Window.partitionBy(*own, "value_").orderBy("at_us", "event_id", "rule_title"))
     over = F.col("at_us") + F.col("span") + 1
     rows = rows.withColumn("until_", F.when(F.col("each_"), over).otherwise(F.least(over, after)))

@@ -112,6 +112,16 @@ def test_later_anchors_stand(spark):
     assert joint.alerts_of(fired, [c], hits, events, stored).count() == 0 and joint.alerts_of(fired, [c], hits, events).count() == 1
 
 
+def test_a_noisy_key_is_many_tasks(spark):
+    """Half of all hits have one key: no group of rows that are sorted together holds much of them, and what fires is the same."""
+    rows = [(f"n{i}", "A", "b", i * 3, {"u": "noisy"}) for i in range(1500)] + [(f"e{i}", "A", "b", i * 3, {"u": f"u{i % 50}"}) for i in range(1500)]
+    c, hits = corr("event_count", ["A"], 30, {"gte": 11}), table(spark, rows)
+    made = joint.sliced(joint._streams(hits, joint.Rules([c])))
+    most = max(r["count"] for r in made.groupBy("keys", "slice").count().collect())
+    assert most <= 100 and made.where("home").count() == 3000 and made.count() <= 3000 * (1 + 2 / joint.SLICE)
+    assert shown(joint.evaluate_all(hits, [c]), [c]) == one_by_one(hits, [c]) and joint.evaluate_all(hits, [c]).count() == 1490
+
+
 def test_levels():
     a = corr("temporal", [("Y", "correlation")], 10, id="a", title="X")
     b = corr("temporal", [("X", "correlation")], 10, id="b", title="Y")
