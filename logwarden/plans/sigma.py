@@ -198,24 +198,42 @@ def ipv4_number(t: Column) -> Column:
     return F.when(ok, octet(1) * (1 << 24) + octet(2) * (1 << 16) + octet(3) * (1 << 8) + octet(4))
 
 
-def in_network(t: Column, network: str) -> Column:
-    net = ipaddress.ip_network(network, strict=False)
-    if net.version == 4:
-        return ipv4_number(t).between(int(net.network_address), int(net.broadcast_address))
-
-    @F.pandas_udf("boolean")
-    def inside(addresses):
-        def one(a):
-            try:
-                return ipaddress.ip_address(a) in net
-            except ValueError:
-                return False
-
-        # Each distinct address is parsed once a batch.
-        known = {a: one(a) for a in addresses.dropna().unique()}
-        return addresses.map(known).astype("object").where(addresses.notna(), None)
-
-    return inside(t)
+def ipv6_halves(t: Column) -> tuple[Column, Column]:
+    """The upper and lower 64 bits of an IPv6 address; null for anything else. Its last two groups may be an IPv4 address."""
+    tail = F.regexp_extract(t, r"^[0-9A-Fa-f:]*:(\d{1,3}(?:\.\d{1,3}){3})$", 1)
+    four = ipv4_number(tail)
+    groups = F.concat(F.hex(F.shiftright(four, 16)), F.lit(":"), F.hex(four.bitwiseAND(0xFFFF)))
+    s = F.when(tail == "", t).otherwise(F.concat(F.substring(t, F.lit(1), F.length(t) - F.length(tail)), groups))
+    part = lambda i: F.filter(F.split(F.split_part(s, F.lit("::"), F.lit(i)), ":"), lambda x: x != "")
+    short = F.contains(s, F.lit("::"))
+    gap = F.lit(8) - F.size(part(1)) - F.when(short, F.size(part(2))).otherwise(0)
+    every = F.when(short, F.concat(part(1), F.array_repeat(F.lit("0"), gap), part(2))).otherwise(part(1))
+    ok = s.rlike(r"^(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?(?:::)?(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?$") & F.when(short, gap >= 1).otherwise(gap == 0)
+    group = lambda i: F.conv(F.get(every, F.lit(i)), 16, 10).cast("bigint")
+    half = lambda i: F.shiftleft(group(i), 48).bitwiseOR(F.shiftleft(group(i + 1), 32)).bitwiseOR(F.shiftleft(group(i + 2), 16)).bitwiseOR(group(i + 3))
+    return F.when(ok, half(0)), F.when(ok, half(4))
+
+
+def in_networks(t: Column, networks: list[str]) -> Column:
+    """Whether an address is in any of the networks: for each length of prefix that they have, one look-up in a set, however many there are."""
+    by: dict[tuple[int, int], set[int]] = {}
+    for n in networks:
+        net = ipaddress.ip_network(n, strict=False)
+        by.setdefault((net.version, net.prefixlen), set()).add(int(net.network_address) >> (net.max_prefixlen - net.prefixlen))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    four, (upper, lower) = ipv4_number(t), ipv6_halves(t)
+    tests = []
+    for (version, length), prefixes in sorted(by.items()):
+        if version == 4:
+            tests.append(F.coalesce(F.shiftright(four, 32 - length).isin(sorted(prefixes)), F.lit(False)))
+        elif length <= 64:
+            tests.append(F.coalesce(F.shiftrightunsigned(upper, 64 - length).isin(sorted(map(signed, prefixes))) if length else upper.isNotNull(), F.lit(False)))
+        else:
+            rest = length - 64
+            key = F.concat_ws(":", upper.cast("string"), F.shiftrightunsigned(lower, 64 - rest).cast("string"))
+            said = [f"{signed(x >> rest)}:{signed(x & (1 << rest) - 1)}" for x in sorted(prefixes)]
+            tests.append(upper.isNotNull() & F.coalesce(key.isin(said), F.lit(False)))
+    return F.when(t.isNotNull(), J.any_of(tests))
 
 
 class Compiler:
@@ -288,7 +306,8 @@ class Compiler:
             by = {"gt": t.__gt__, "gte": t.__ge__, "lt": t.__lt__, "lte": t.__le__}[numeric]
             return join([by(F.lit(float(v))) for v in values])
         if "cidr" in mods:
-            return join([in_network(self.text(name), str(v)) for v in values])
+            networks = [str(v) for v in values]
+            return J.all_of([in_networks(self.text(name), [n]) for n in networks]) if every else in_networks(self.text(name), networks)
         if "re" in mods:
             flags = "".join(m for m in mods if m in ("i", "m", "s"))
             return join([self.text(name).rlike(f"(?{flags})" * bool(flags) + str(v)) for v in values])

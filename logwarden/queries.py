@@ -612,6 +612,7 @@ _sigma("sigma_fieldref", {"s": {"k|fieldref": "UserId"}, "condition": "s"}, "CAS
 _sigma("sigma_windash", {"s": {"Hostname|windash|contains": "HOST -3"}, "t": {"Hostname|endswith|windash": "-3"}, "condition": "s or t"}, "host LIKE '%-3'")
 _sigma("sigma_wildcard", {"s": {"Image": "*\\app?.exe", "Hostname": "host-1*"}, "condition": "s"}, "regexp_matches(lower(image), 'app.[.]exe$') AND host LIKE 'HOST-1%'")
 _sigma("sigma_cidr", {"s": {"IpAddress|cidr": ["10.0.0.0/29", "10.0.0.32/28"]}, "condition": "s"}, "user_id % 50 < 8 OR user_id % 50 BETWEEN 32 AND 47")
+_sigma("sigma_cidr_20000", {"s": {"IpAddress|cidr": [f"10.{i >> 13}.{i >> 5 & 255}.{i % 32 * 8}/30" for i in range(20_000)] + ["fe80::/10", "2001:db8::/96"]}, "condition": "s"}, "user_id % 50 % 8 < 4")
 _sigma("sigma_base64offset", {"s": {"Blob|base64offset|contains": "app7.exe"}, "t": {"Blob|base64": "cmd app9.exe"}, "condition": "s or t"}, "tool IN (7, 9)")
 _sigma("sigma_utf16", {"s": {"Wide|utf16le|contains": "rr"}, "t": {"Wide|wide": "view"}, "condition": "s or t"}, "event_type IN ('error', 'view')")
 _sigma("sigma_keywords", {"words": ["note CLICK", "HOST-19"], "condition": "words"}, "lower(note) LIKE '%note click%' OR host = 'HOST-19'")

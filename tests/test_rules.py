@@ -111,6 +111,30 @@ def test_dashes_of_many_options(spark):
     assert len(windash("x -a -b -c -d")) == 5**4
 
 
+def test_networks(spark):
+    """Addresses of both kinds in networks of all lengths, as a library for addresses has it."""
+    import ipaddress
+
+    r = random.Random(2)
+    texts = ["", "x", "1.2.3", "256.1.1.1", "1.2.3.4", "10.0.0.1", "::", "::1", "fe80::1", "FE80::ABCD:1", "1::2::3", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "::ffff:1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "::1.2.3.400", "12345::", ":1", "1:", "1:2:3:4:5:6:7", "g::1", None]
+    texts += [str(ipaddress.ip_address(r.getrandbits(32))) for _ in range(30)] + [str(ipaddress.IPv6Address(r.getrandbits(128))) for _ in range(30)] + [str(ipaddress.IPv6Address(r.getrandbits(16) << r.choice([0, 60, 112]))) for _ in range(30)]
+
+    def address(t):
+        try:
+            return ipaddress.ip_address(t)
+        except ValueError:
+            return None
+
+    good = [a for t in texts if t is not None and (a := address(t))]
+    df = spark.createDataFrame([(i, json.dumps({"Ip": t})) for i, t in enumerate(texts)], "i int, raw string")
+    for length in (0, 8, 32, 64, 65, 128):
+        some = [ipaddress.ip_network(f"{a}/{min(length, a.max_prefixlen)}", strict=False) for a in r.sample(good, 8)]
+        rule = compile_rule({"title": "t", "detection": {"s": {"Ip|cidr": [str(n) for n in some]}, "condition": "s"}})[0]
+        got = {x.i for x in df.where(rule.predicate(F.col("raw"))).collect()}
+        assert got == {i for i, t in enumerate(texts) if t is not None and (a := address(t)) and any(a.version == n.version and a in n for n in some)}, length
+    assert df.where(~rule.predicate(F.col("raw"))).count() == len([t for t in texts if t is not None]) - len(got)
+
+
 def test_upload_is_whole_and_recompiles():
     c = Catalog()
     one, two = c.create_ruleset("one").path, c.create_ruleset("two").path
