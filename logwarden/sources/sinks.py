@@ -3,20 +3,35 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+#: Columns by whose values single rows are looked up; files have Bloom filters of them.
+LOOKED_UP = ("event_id", "alert_id", "dedup_key")
+
+
+def writer(rows: DataFrame) -> DataFrameWriter:
+    """A writer whose files tell which values of LOOKED_UP they can't hold, so that a look-up reads few of their row groups. The filters' size follows what is in a file."""
+    out = rows.write
+    for c in LOOKED_UP:
+        if c in rows.columns:
+            out = out.option(f"parquet.bloom.filter.enabled#{c}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+    return out
 
 
 def append_events(events: DataFrame, path: str) -> None:
     """Appends by source batch. The write's own id is in the file names, not in the rows."""
-    events.write.mode("append").partitionBy("source_batch").parquet(path)
+    writer(events).mode("append").partitionBy("source_batch").parquet(path)
 
 
 def append_once(rows: DataFrame, path: str, batch_id: int, order: tuple[str, ...] = ()) -> None:
     """A micro-batch in a folder of its own, overwritten if the batch is run again: so retries add nothing twice. Rows are sorted by order in each file, which then have narrow ranges of it."""
-    (rows.sortWithinPartitions(*order) if order else rows).write.mode("overwrite").parquet(f"{path}/micro_batch={batch_id}")
+    writer(rows.sortWithinPartitions(*order) if order else rows).mode("overwrite").parquet(f"{path}/micro_batch={batch_id}")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,14 +48,14 @@ def land(rows: DataFrame, path: str, order: tuple[str, ...] = ()) -> DataFrame:
     """Writes rows to path, unless they are there as a whole, and reads them back."""
     spark = rows.sparkSession
     if not exists(spark, f"{path}/_SUCCESS"):
-        (rows.sortWithinPartitions(*order) if order else rows).write.mode("overwrite").parquet(path)
+        writer(rows.sortWithinPartitions(*order) if order else rows).mode("overwrite").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
 def swap(spark: SparkSession, fresh: str, folder: str) -> None:
-    """Puts the folder fresh in another's place. A run that ends in between leaves the old one beside it, under a name that readers pass over."""
+    """Puts the folder fresh in another's place. A run that ends in between leaves the old one beside it, under a name that readers pass over (they read names with =) and recover() finds."""
     top, name = folder.rsplit("/", 1)
-    old = f"{top}/_old-{uuid.uuid4().hex}-{name}"
+    old = f"{top}/_old-{uuid.uuid4().hex}-{name.replace('=', '~')}"
     at, new, aside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (folder, fresh, old))
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.rename(at, aside) or not fs.rename(new, at):
@@ -48,17 +63,47 @@ def swap(spark: SparkSession, fresh: str, folder: str) -> None:
     fs.delete(aside, True)
 
 
-def remove_where(spark: SparkSession, path: str, condition: Column) -> int:
-    """Deletes the rows of a table in micro-batch folders for which condition is true; the number of them. Only folders that hold such rows are written again, each by a rename."""
+def recover(spark: SparkSession, path: str) -> int:
+    """Puts back folders that a swap had moved aside when its run ended, and removes what it had replaced or not used; how many were put back."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    back = 0
+    for s in fs.listStatus(top) if fs.exists(top) else []:
+        at = s.getPath()
+        if m := re.fullmatch(r"_old-[0-9a-f]{32}-(.+)", at.getName()):
+            home = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{m[1].replace('~', '=')}")
+            if fs.exists(home):
+                fs.delete(at, True)
+            elif fs.rename(at, home):
+                back += 1
+        elif at.getName().startswith("_new-"):
+            fs.delete(at, True)
+    return back
+
+
+def rewrite(kept: DataFrame, path: str, batches: list[int]) -> None:
+    """Puts kept, the rows of these micro-batches that stay, in their folders' place: one job for all of them, then a rename each. A folder without rows goes."""
+    spark = kept.sparkSession
+    fresh = f"{path}/_new-{uuid.uuid4().hex}"
+    writer(kept.repartition("micro_batch")).partitionBy("micro_batch").parquet(fresh)
+    for batch in batches:
+        folder = f"micro_batch={batch}"
+        if exists(spark, f"{fresh}/{folder}"):
+            swap(spark, f"{fresh}/{folder}", f"{path}/{folder}")
+        else:
+            remove(spark, f"{path}/{folder}")
+    remove(spark, fresh)
+
+
+def remove_where(spark: SparkSession, path: str, condition: Column, schema: StructType | None = None) -> int:
+    """Deletes the rows of a table in micro-batch folders for which condition is true; the number of them. Only folders that hold such rows are written again, all in one job."""
     if not exists(spark, path):
         return 0
-    table = spark.read.parquet(path)
+    recover(spark, path)
+    table = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
     gone = {r[0]: r[1] for r in table.where(condition).groupBy("micro_batch").agg(F.count("*")).collect()}
-    for batch in gone:
-        folder = f"{path}/micro_batch={batch}"
-        fresh = f"{path}/_new-{uuid.uuid4().hex}"
-        spark.read.parquet(folder).where(~F.coalesce(condition, F.lit(False))).write.parquet(fresh)
-        swap(spark, fresh, folder)
+    if gone:
+        rewrite(table.where(F.col("micro_batch").isin(list(gone)) & ~F.coalesce(condition, F.lit(False))), path, list(gone))
     return sum(gone.values())
 
 

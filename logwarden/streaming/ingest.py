@@ -9,11 +9,11 @@ wherever the first run ended.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import alerts as A
 from ..operators import correlation as C
@@ -22,7 +22,7 @@ from ..operators import joint
 from ..operators import matching as M
 from ..plans.catalog import Correlation
 from ..plans.sigma import Rule
-from ..sources.sinks import VersionedTable, append_once, exists, remove, remove_where, swap
+from ..sources.sinks import VersionedTable, append_once, exists, recover, remove, remove_where, rewrite
 
 ALERTS = (
     "dedup_key string, engine string, source_batch string, host string, rule_id string, rule_title string, rule_level string, event_count bigint, "
@@ -37,12 +37,16 @@ class Pipeline:
         self.spark, self.path = spark, path.rstrip("/")
         self.rules, self.correlations, self.lists, self.anchors = rules, correlations, lists, anchors
         self.alerts = VersionedTable(spark, f"{self.path}/alerts", ALERTS)
+        self._events: StructType | None = None
 
     def events(self) -> DataFrame:
-        if not exists(self.spark, f"{self.path}/events"):  # no batch yet
+        """All events; none before the first batch, and after all are gone."""
+        if self._events is None:
             none = self.spark.createDataFrame([], "raw string, source_batch string")
-            return M.match(E.canonical(none, key=F.lit("")), []).withColumn("micro_batch", F.lit(0).cast("bigint"))
-        return self.spark.read.parquet(f"{self.path}/events")
+            self._events = M.match(E.canonical(none, key=F.lit("")), []).withColumn("micro_batch", F.lit(0).cast("bigint")).schema
+        if not exists(self.spark, f"{self.path}/events"):
+            return self.spark.createDataFrame([], self._events)
+        return self.spark.read.schema(self._events).parquet(f"{self.path}/events")
 
     def hits(self) -> DataFrame:
         schema = f"{C.LEDGER}, micro_batch bigint"
@@ -86,25 +90,21 @@ class Pipeline:
         return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
     def expire(self, cutoff: str) -> tuple[int, int]:
-        """Deletes events that arrived before cutoff, and hits whose event is gone; the numbers of both. Not while a stream runs."""
-        events = remove_where(self.spark, f"{self.path}/events", F.col("ingested_at") < cutoff)
-        live = self.events().select("event_id")
-        hits = self.hits()
-        gone = hits.join(E.without_orphans(hits, live).select("event_id", "rule_title"), ["event_id", "rule_title"], "left_anti")
-        batches = [r[0] for r in gone.select("micro_batch").distinct().collect()]
-        n = gone.count()
-        for batch in batches:
-            path = f"{self.path}/hits/micro_batch={batch}"
-            kept = self.spark.read.schema(C.LEDGER).parquet(path)
-            fresh = f"{self.path}/kept-{uuid.uuid4().hex}"
-            E.without_orphans(kept, live).write.parquet(fresh)
-            swap(self.spark, fresh, path)
-        return events, n
+        """Deletes events that arrived before cutoff, and hits whose event is gone; the numbers of both. Two jobs each, whatever the number of folders. Not while a stream runs."""
+        events = remove_where(self.spark, f"{self.path}/events", F.col("ingested_at") < cutoff, self.events().schema)
+        recover(self.spark, f"{self.path}/hits")
+        hits, live = self.hits(), self.events().select("event_id")
+        kept = E.without_orphans(hits, live)
+        n = hits.groupBy("micro_batch").agg(F.count("*").alias("n")).join(kept.groupBy("micro_batch").agg(F.count("*").alias("left")), "micro_batch", "left").fillna(0, ["left"]).where("n > left")
+        gone = {r[0]: r[1] for r in n.select("micro_batch", F.col("n") - F.col("left")).collect()}
+        if gone:
+            rewrite(kept.where(F.col("micro_batch").isin(list(gone))), f"{self.path}/hits", list(gone))
+        return events, sum(gone.values())
 
     def delete_batch(self, source_batch: str) -> tuple[int, int]:
         """Deletes a source batch's events, hits and alerts; the numbers of events and alerts. Not while a stream runs."""
         mine = F.col("source_batch") == source_batch
-        events = remove_where(self.spark, f"{self.path}/events", mine)
+        events = remove_where(self.spark, f"{self.path}/events", mine, self.events().schema)
         remove_where(self.spark, f"{self.path}/hits", mine)
         table = self.alerts.read()
         n = table.where(mine).count()

@@ -244,6 +244,44 @@ def test_stream_equals_batch_and_retries_add_nothing(spark, tmp_path):
     assert events_gone == len(rows) and whole.events().count() == 0 and hits_gone == n_hits - len(left) and all(r.event_id.startswith("corr:") for r in left)
 
 
+def test_an_empty_store_and_one_job_for_many_folders(spark, tmp_path):
+    p = Pipeline(spark, str(tmp_path / "none"), lambda: [RULE])
+    assert p.expire("9999") == (0, 0) and p.events().count() == 0 == p.hits().count() and p.delete_batch("x") == (0, 0)
+    path = str(tmp_path / "t")
+    for b in range(6):
+        sinks.append_once(spark.range(20).select(F.concat(F.lit(f"e{b}-"), F.col("id")).alias("event_id"), F.col("id").alias("v"), F.lit(b // 2).alias("w")), path, b)
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    assert sinks.remove_where(spark, path, F.col("v") < F.when(F.col("w") == 0, 20).when(F.col("w") == 1, 5).otherwise(0)) == 2 * 20 + 2 * 5
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - len(before) <= 6
+    left = {r[0]: r[1] for r in spark.read.parquet(path).groupBy("micro_batch").count().collect()}
+    assert left == {2: 15, 3: 15, 4: 20, 5: 20}
+
+
+def test_what_a_crash_moved_aside_comes_back(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    for b in range(2):
+        sinks.append_once(spark.range(10).withColumn("event_id", F.col("id").cast("string")), path, b)
+    real = sinks.exists
+    top = tmp_path / "t"
+    (top / "micro_batch=0").rename(top / f"_old-{'a' * 32}-micro_batch~0")
+    (top / f"_old-{'b' * 32}-micro_batch~1").mkdir()
+    (top / f"_new-{'c' * 32}").mkdir()
+    assert spark.read.parquet(path).count() == 10 and sinks.recover(spark, path) == 1 and spark.read.parquet(path).count() == 20
+    assert sorted(x.name for x in top.iterdir()) == ["micro_batch=0", "micro_batch=1"] and real(spark, path)
+
+
+def test_a_look_up_reads_few_row_groups(spark, tmp_path):
+    """Ids are hashes, so only the filters tell which of 50 files holds one."""
+    path = str(tmp_path / "t")
+    sinks.append_once(spark.range(50_000).select(F.sha2(F.col("id").cast("string"), 256).alias("event_id"), F.lit("x").alias("raw")).repartition(50, "event_id"), path, 0)
+    stored = spark.read.parquet(path)
+    one = E.get_event(stored, hashlib.sha256(b"777").hexdigest())
+    found = stored.where(F.col("event_id") == hashlib.sha256(b"777").hexdigest())
+    assert len(one.collect()) == 1 == len(found.collect())
+    rows = found._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+    assert rows <= 3 * 1100
+
+
 class Crash(Exception):
     pass
 
