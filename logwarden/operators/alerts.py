@@ -75,6 +75,16 @@ def with_sample_events(groups: DataFrame, matches: DataFrame, keys: list[str], o
     return both.select("g.*", shown.alias("sample_events"))
 
 
+def one_per_key(new: DataFrame, add: bool | Column = True) -> DataFrame:
+    """New alerts, those with one key as one, with adds_: whether its count adds to a stored one or takes its place."""
+    order = Window.partitionBy("dedup_key").orderBy("source_batch", "host", "rule_title")
+    last = Window.partitionBy("dedup_key").orderBy(F.desc("source_batch"), F.desc("host"), F.desc("rule_title"))
+    adds = F.lit(add) if isinstance(add, bool) else add
+    n = F.when(adds, F.sum("event_count").over(Window.partitionBy("dedup_key"))).otherwise(F.first("event_count").over(last))
+    latest = F.first("sample_events").over(last)
+    return new.withColumn("adds_", adds).withColumn("event_count", n).withColumn("sample_events", latest).withColumn("k_", F.row_number().over(order)).where("k_ = 1").drop("k_")
+
+
 def upsert(stored: DataFrame, new: DataFrame, add: bool | Column = True) -> DataFrame:
     """stored with new alerts by dedup_key.
 
@@ -83,12 +93,7 @@ def upsert(stored: DataFrame, new: DataFrame, add: bool | Column = True) -> Data
     one key count together; the first by source_batch, host and title gives the rest.
     add may be a column of new, so that one merge takes alerts of both kinds.
     """
-    order = Window.partitionBy("dedup_key").orderBy("source_batch", "host", "rule_title")
-    last = Window.partitionBy("dedup_key").orderBy(F.desc("source_batch"), F.desc("host"), F.desc("rule_title"))
-    adds = F.lit(add) if isinstance(add, bool) else add
-    n = F.when(adds, F.sum("event_count").over(Window.partitionBy("dedup_key"))).otherwise(F.first("event_count").over(last))
-    latest = F.first("sample_events").over(last)
-    one = new.withColumn("adds_", adds).withColumn("event_count", n).withColumn("sample_events", latest).withColumn("k_", F.row_number().over(order)).where("k_ = 1").drop("k_")
+    one = one_per_key(new, add)
     columns = stored.columns
     both = stored.alias("s").join(one.select(*columns, "adds_").alias("n"), "dedup_key", "full_outer")
     had = F.col("s.event_count").isNotNull()
@@ -107,6 +112,28 @@ def upsert(stored: DataFrame, new: DataFrame, add: bool | Column = True) -> Data
     return both.select(*made)
 
 
+def fold_changes(changes: DataFrame) -> DataFrame:
+    """One change per dedup_key from several: what upsert, called for one after the other, would leave.
+
+    changes: the columns of alerts and seq_ (their order), adds_ (as of
+    one_per_key) and set_status_. A change without event_count only sets the
+    status. The first one with a count gives all but the count, the samples
+    (the last ones) and the status (the last one set, or the first one's own).
+    Any run of neighbours may be folded before the rest: the result is the
+    same. A key has at most one row a part, so no group is large.
+    """
+    own = [c for c in changes.columns if c not in ("dedup_key", "seq_", "adds_", "set_status_", "event_count", "sample_events")]
+    counts = F.array_sort(F.collect_list(F.when(F.col("event_count").isNotNull(), F.struct("seq_", "adds_", "event_count"))))
+    total = F.aggregate("counts_", F.lit(None).cast("bigint"), lambda n, c: F.when(c["adds_"], F.coalesce(n, F.lit(0)) + c["event_count"]).otherwise(c["event_count"]))
+    found = changes.groupBy("dedup_key").agg(
+        F.min_by(F.struct(*own), F.when(F.col("event_count").isNotNull(), F.col("seq_"))).alias("own_"), counts.alias("counts_"), F.max("seq_").alias("seq_"),
+        F.max_by("sample_events", F.when(F.col("sample_events").isNotNull(), F.col("seq_"))).alias("sample_events"),
+        F.max_by("set_status_", F.when(F.col("set_status_").isNotNull(), F.col("seq_"))).alias("set_status_"),
+    )
+    made = {"event_count": total, "adds_": F.forall("counts_", lambda c: c["adds_"])} | {c: F.col(f"own_.{c}") for c in own}
+    return found.select(*[made[c].alias(c) if c in made else F.col(c) for c in changes.columns])
+
+
 def set_status(alerts: DataFrame, alert_id: str, status: str) -> DataFrame:
     return alerts.withColumn("status", F.when(F.col("alert_id") == alert_id, F.lit(status)).otherwise(F.col("status")))
 

@@ -119,16 +119,16 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 class VersionedTable:
-    """A table that is replaced as a whole, with a note.
+    """A table whose contents are what its current version names: folders of rows (parts), and a note.
 
-    Each version is a folder. A numbered pointer names it and holds the note;
-    it is renamed into place when the folder is whole, and the highest number
-    is the current one. Nothing that is current is ever removed or moved, so a
-    reader, or a run after a crash, finds the old or the new version with its
-    own note. The two last versions stay, for readers that have begun.
+    A numbered pointer holds both; it is renamed into place when the folders
+    are whole, and the highest number is the current one. Nothing that is
+    current is ever removed or moved, so a reader, or a run after a crash,
+    finds the old or the new version with its own note. The parts of the two
+    last versions stay, for readers that have begun.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, schema: str | StructType) -> None:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
     def _fs(self, name: str = ""):
@@ -142,41 +142,64 @@ class VersionedTable:
     def _pointers(self) -> list[str]:
         return sorted(n for n in self._names() if n.startswith("current-"))
 
-    def _current(self) -> dict | None:
+    def _pointer(self, name: str) -> dict:
+        fs, at = self._fs(name)
+        stream = fs.open(at)
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def _current(self) -> dict:
         found = self._pointers()
-        return json.loads(self.spark.read.text(f"{self.path}/{found[-1]}").first()[0]) if found else None
+        return self._pointer(found[-1]) if found else {"parts": [], "note": {}}
 
-    def read(self) -> DataFrame:
-        now = self._current()
-        if now is None:
+    def parts(self) -> list[dict]:
+        """The current parts, in their order: each has its folder, as dir, and what its writer said of it."""
+        return self._current()["parts"]
+
+    def rows_of(self, parts: list[dict]) -> DataFrame:
+        if not parts:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{now['version']}")
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{p['dir']}" for p in parts])
+
+    def read(self) -> DataFrame:
+        return self.rows_of(self.parts())
 
     def note(self) -> dict:
         """What the current version's writer noted; empty if there is none."""
-        now = self._current()
-        return now["note"] if now else {}
+        return self._current()["note"]
+
+    def write(self, rows: DataFrame, by: str | None = None) -> str:
+        """Writes rows to a folder of their own, which is no part yet; with by, a folder in it for each value of that column."""
+        name = f"v-{uuid.uuid4().hex}"
+        out = writer(rows)
+        (out.partitionBy(by) if by else out).parquet(f"{self.path}/{name}")
+        return name
 
-    def replace(self, rows: DataFrame, note: dict | None = None) -> None:
-        """The rows, and the note with them, are the table from here on. One writer at a time."""
+    def commit(self, parts: list[dict], note: dict | None = None) -> None:
+        """These parts, and the note with them, are the table from here on. One writer at a time."""
         before = self._pointers()
         number = int(before[-1].split("-")[1]) + 1 if before else 0
-        version = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{version}")
-        fs, tmp = self._fs(f"tmp-{version}")
+        fs, tmp = self._fs(f"tmp-{uuid.uuid4().hex}")
         out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps({"version": version, "note": note or {}}).encode()))
+        out.write(bytearray(json.dumps({"parts": parts, "note": note or {}}).encode()))
         out.close()
         _, at = self._fs(f"current-{number:020}")
         if not fs.rename(tmp, at):
             raise RuntimeError(f"another writer has replaced {self.path}")
         keep = {f"current-{number:020}", *before[-1:]}
-        versions = {json.loads(self.spark.read.text(f"{self.path}/{n}").first()[0])["version"] for n in keep}
+        # A part may be a folder within one that a single job has written.
+        held = {p["dir"].split("/")[0] for n in keep for p in self._pointer(n)["parts"]}
         for name in self._names():
-            if name not in keep | versions:
+            if name not in keep | held:
                 _, old = self._fs(name)
                 fs.delete(old, True)
 
+    def replace(self, rows: DataFrame, note: dict | None = None, beside: list[dict] | tuple = (), said: dict | None = None) -> None:
+        """The rows, as one part of which said tells, behind the parts beside are the table from here on."""
+        self.commit([*beside, {"dir": self.write(rows), **(said or {})}], note)
+
 
 def by_batch(events: DataFrame, label: str) -> DataFrame:
     """Rows of one batch; the scan reads its partition only."""

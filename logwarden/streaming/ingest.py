@@ -4,7 +4,7 @@ Each batch appends its events and hits under its own number, correlates the
 keys that it touched, and merges its alerts. A batch that fails is run again
 from the checkpoint; what it had written is overwritten, and each version of
 the alerts notes the last batch that it took in, so nothing counts twice
-wherever the first run ended.
+wherever the first run ended. Tables are those of store.py.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..operators import alerts as A
 from ..operators import correlation as C
@@ -22,7 +21,8 @@ from ..operators import joint
 from ..operators import matching as M
 from ..plans.catalog import Correlation
 from ..plans.sigma import Rule
-from ..sources.sinks import VersionedTable, append_once, exists, recover, remove, remove_where, rewrite
+from ..sources.sinks import append_once, remove
+from .store import FAN, AlertTable, BatchTable
 
 ALERTS = (
     "dedup_key string, engine string, source_batch string, host string, rule_id string, rule_title string, rule_level string, event_count bigint, "
@@ -36,23 +36,25 @@ class Pipeline:
     def __init__(self, spark: SparkSession, path: str, rules: Callable[[], list[Rule]], correlations: Callable[[], list[Correlation]] = list, lists: Callable | None = None, anchors: str = "every_hit") -> None:
         self.spark, self.path = spark, path.rstrip("/")
         self.rules, self.correlations, self.lists, self.anchors = rules, correlations, lists, anchors
-        self.alerts = VersionedTable(spark, f"{self.path}/alerts", ALERTS)
-        self._events: StructType | None = None
+        self.alerts = AlertTable(spark, f"{self.path}/alerts", ALERTS)
+        self._events: BatchTable | None = None
+        hits = spark.createDataFrame([], f"{C.LEDGER}, micro_batch bigint").schema
+        self.hit_table = BatchTable(spark, f"{self.path}/hits", hits, ("rule_title", "event_ts"))
 
-    def events(self) -> DataFrame:
-        """All events; none before the first batch, and after all are gone."""
+    @property
+    def event_table(self) -> BatchTable:
         if self._events is None:
             none = self.spark.createDataFrame([], "raw string, source_batch string")
-            self._events = M.match(E.canonical(none, key=F.lit("")), []).withColumn("micro_batch", F.lit(0).cast("bigint")).schema
-        if not exists(self.spark, f"{self.path}/events"):
-            return self.spark.createDataFrame([], self._events)
-        return self.spark.read.schema(self._events).parquet(f"{self.path}/events")
+            schema = M.match(E.canonical(none, key=F.lit("")), []).withColumn("micro_batch", F.lit(0).cast("bigint")).schema
+            self._events = BatchTable(self.spark, f"{self.path}/events", schema, ("event_ts",))
+        return self._events
+
+    def events(self) -> DataFrame:
+        """All events; none before the first batch, and after all are gone."""
+        return self.event_table.read()
 
     def hits(self) -> DataFrame:
-        schema = f"{C.LEDGER}, micro_batch bigint"
-        if not exists(self.spark, f"{self.path}/hits"):  # no batch yet
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/hits")
+        return self.hit_table.read()
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """One batch: raw and source_batch. The number of jobs is the same for any number of correlations."""
@@ -81,35 +83,35 @@ class Pipeline:
             own = self.spark.read.schema(C.LEDGER).parquet(f"{self.path}/hits/micro_batch={_synthetic(batch_id)}")
             for level, anchors in fired:
                 new = new.unionByName(shape(joint.alerts_of(anchors, level, hits.unionByName(own), self.events(), hits)))
-        self.alerts.replace(A.upsert(self.alerts.read(), new, F.col("engine") != "correlation"), {"last_batch": max(batch_id, done)})
+        self.alerts.upsert(new, F.col("engine") != "correlation", {"last_batch": max(batch_id, done)})
         remove(self.spark, work)
+        # This batch may still be run again, so its folders wait.
+        self.seal(batch_id - 1, FAN)
 
     def start(self, stream: DataFrame, checkpoint: str, seconds: float | None = 5.0, name: str = "ingest"):
         """Runs the stream by micro-batches of so many seconds; None takes what there is and ends."""
         writer = stream.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: self.process(df, i))
         return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
+    def seal(self, upto: int | None = None, least: int = 1) -> int:
+        """Puts the folders of finished batches into larger parts; the number of folders. Ingest calls it; it may be called at any time when no batch runs."""
+        done = self.alerts.note().get("last_batch", -1)
+        upto = done if upto is None else min(upto, done)
+        return self.event_table.seal(upto, least) + self.hit_table.seal(upto, least)
+
     def expire(self, cutoff: str) -> tuple[int, int]:
-        """Deletes events that arrived before cutoff, and hits whose event is gone; the numbers of both. Two jobs each, whatever the number of folders. Not while a stream runs."""
-        events = remove_where(self.spark, f"{self.path}/events", F.col("ingested_at") < cutoff, self.events().schema)
-        recover(self.spark, f"{self.path}/hits")
-        hits, live = self.hits(), self.events().select("event_id")
-        kept = E.without_orphans(hits, live)
-        n = hits.groupBy("micro_batch").agg(F.count("*").alias("n")).join(kept.groupBy("micro_batch").agg(F.count("*").alias("left")), "micro_batch", "left").fillna(0, ["left"]).where("n > left")
-        gone = {r[0]: r[1] for r in n.select("micro_batch", F.col("n") - F.col("left")).collect()}
-        if gone:
-            rewrite(kept.where(F.col("micro_batch").isin(list(gone))), f"{self.path}/hits", list(gone))
-        return events, sum(gone.values())
+        """Deletes events that arrived before cutoff, and hits whose event is gone; the numbers of both. A fixed number of jobs, and one commit a table: readers are never without either. Not while a batch runs."""
+        self.seal()
+        events = self.event_table.keep(lambda rows: E.retention_split(rows, cutoff)[0])
+        live = self.events().select("event_id")
+        return events, self.hit_table.keep(lambda rows: E.without_orphans(rows, live))
 
     def delete_batch(self, source_batch: str) -> tuple[int, int]:
-        """Deletes a source batch's events, hits and alerts; the numbers of events and alerts. Not while a stream runs."""
-        mine = F.col("source_batch") == source_batch
-        events = remove_where(self.spark, f"{self.path}/events", mine, self.events().schema)
-        remove_where(self.spark, f"{self.path}/hits", mine)
-        table = self.alerts.read()
-        n = table.where(mine).count()
-        self.alerts.replace(E.delete_batch(table, source_batch), self.alerts.note())
-        return events, n
+        """Deletes a source batch's events, hits and alerts; the numbers of events and alerts. Not while a batch runs."""
+        self.seal()
+        events = self.event_table.keep(lambda rows: E.delete_batch(rows, source_batch))
+        self.hit_table.keep(lambda rows: E.delete_batch(rows, source_batch))
+        return events, self.alerts.keep(~F.col("source_batch").eqNullSafe(F.lit(source_batch)))
 
 
 def numbered(batch: DataFrame) -> DataFrame:
