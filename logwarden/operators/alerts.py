@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.sigma import LEVELS
 from .events import SEVERITY
 from .kb import enrich
+from .paging import Key, seek
 
 ENTITIES = {"users": "user_name", "hosts": "host", "src_ips": "src_ip", "dst_ips": "dst_ip", "processes": "process"}
 SAMPLE = 10
@@ -147,6 +148,18 @@ def severity_rank(level: Column) -> Column:
 
 def list_alerts(alerts: DataFrame, source_batch: str | None = None, status: str | None = None, rule_level: str | None = None, time_from: str | None = None, time_to: str | None = None, sort_by: str | None = None, descending: bool = True, limit: int = 100, offset: int = 0) -> DataFrame:
     """A page of alerts without their samples; dedup_key breaks ties."""
+    some = chosen(alerts, source_batch, status, rule_level, time_from, time_to)
+    page = some.orderBy(*[k.desc() if down else k.asc() for k, down in alert_keys(sort_by, descending)]).offset(offset).limit(limit)
+    return page.drop("sample_events")
+
+
+def seek_alerts(alerts: DataFrame, after: str | None = None, sort_by: str | None = None, descending: bool = True, limit: int = 100, **filters) -> DataFrame:
+    """The page of list_alerts behind the row whose cursor is after, the first one without; rows have a cursor."""
+    return seek(chosen(alerts, **filters), alert_keys(sort_by, descending), after, limit).drop("sample_events")
+
+
+def chosen(alerts: DataFrame, source_batch: str | None = None, status: str | None = None, rule_level: str | None = None, time_from: str | None = None, time_to: str | None = None) -> DataFrame:
+    """Alerts by all filters that are given; both ends of the times are included."""
     for c, v in (("source_batch", source_batch), ("status", status), ("rule_level", rule_level)):
         if v is not None:
             alerts = alerts.where(F.col(c) == v)
@@ -154,10 +167,14 @@ def list_alerts(alerts: DataFrame, source_batch: str | None = None, status: str
         alerts = alerts.where(F.col("created_at") >= time_from)
     if time_to is not None:
         alerts = alerts.where(F.col("created_at") <= time_to)
+    return alerts
+
+
+def alert_keys(sort_by: str | None = None, descending: bool = True) -> list[Key]:
+    """Sort keys, each with its direction; an unknown name sorts by creation, latest first."""
     key = severity_rank(F.col("rule_level")) if sort_by == "rule" else F.col(sort_by if sort_by in ("host", "event_count", "status") else "created_at")
     down = descending or sort_by not in ("rule", "host", "event_count", "status", "created_at")
-    page = alerts.orderBy(key.desc() if down else key.asc(), "dedup_key").offset(offset).limit(limit)
-    return page.drop("sample_events")
+    return [(key, down), (F.col("dedup_key"), False)]
 
 
 def alert_detail(alerts: DataFrame, alert_id: str, kb: dict[str, DataFrame] | None) -> DataFrame:

@@ -23,13 +23,15 @@ from .operators import events as E
 from .operators import joint
 from .operators import kb as K
 from .operators import matching as M
+from .operators.paging import last_cursor
 from .plans.catalog import Catalog, Correlation
 from .plans.filters import compile_filter
 from .plans.sigma import Rule, compile_rule
 from .sources import readers as R
-from .sources.sinks import append_events, exists, land, shared_dir
+from .sources.sinks import append_events, append_once, exists, land, shared_dir
 from .streaming import stateful
 from .streaming.ingest import Pipeline
+from .streaming.store import AlertTable, BatchTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -453,6 +455,23 @@ def list_events_sort_json(spark, sf_dir):
     return page.select("event_id", F.col("extra")["Note"].alias("note"))
 
 
+@query("seek_events_page", EV + "SELECT event_id, host, note FROM ev WHERE event_type = 'click' ORDER BY event_time DESC, event_id LIMIT 50 OFFSET 25")
+def seek_events_page(spark, sf_dir):
+    """The page of list_events_page, found by the last row of the page before it."""
+    e = promoted(spark, sf_dir).withColumn("is_matched", F.lit(False))
+    before = last_cursor(E.seek_events(e, None, "event_time", True, limit=25, query="EventType = click", stored=True))
+    page = E.seek_events(e, before, "event_time", True, ["Note"], 50, query="EventType = click", stored=True)
+    return page.select("event_id", "host", F.col("extra")["Note"].alias("note"))
+
+
+@query("seek_events_json", EV + "SELECT event_id, note FROM ev ORDER BY note DESC NULLS LAST, event_id LIMIT 100 OFFSET 60")
+def seek_events_json(spark, sf_dir):
+    """By a field of the events, which many have in common and some lack."""
+    e = promoted(spark, sf_dir).withColumn("is_matched", F.lit(False))
+    before = last_cursor(E.seek_events(e, None, "Note", True, limit=60))
+    return E.seek_events(e, before, "Note", True, ["Note"], 100).select("event_id", F.col("extra")["Note"].alias("note"))
+
+
 @query("count_events", EV + "SELECT count(*) AS total FROM ev WHERE k < 30")
 def count_events(spark, sf_dir):
     return E.count_events(promoted(spark, sf_dir), query="k < 30", stored=True)
@@ -546,6 +565,38 @@ def alerts_sort_severity(spark, sf_dir):
     return A.list_alerts(alerts(spark, sf_dir, True), "batch-1", sort_by="rule", limit=30).select("rule_id", "host", "source_batch", "event_count")
 
 
+@query("seek_alerts_page", _ALERTS + "SELECT rule_id, host, source_batch, event_count FROM al WHERE source_batch = 'batch-1' ORDER BY CASE rule_level WHEN 'high' THEN 4 WHEN 'medium' THEN 3 ELSE 2 END DESC, dedup_key LIMIT 20 OFFSET 10")
+def seek_alerts_page(spark, sf_dir):
+    a = alerts(spark, sf_dir, True)
+    before = last_cursor(A.seek_alerts(a, None, "rule", limit=10, source_batch="batch-1"))
+    return A.seek_alerts(a, before, "rule", limit=20, source_batch="batch-1").select("rule_id", "host", "source_batch", "event_count")
+
+
+@query("alerts_merged_on_read", _ALERTS + "SELECT dedup_key, min(source_batch) AS source_batch, CAST(sum(event_count) AS BIGINT) AS event_count FROM al GROUP BY 1")
+def alerts_merged_on_read(spark, sf_dir):
+    """The alerts of three batches, each added as a part of its own, the first two merged when the second comes."""
+    a = alerts(spark, sf_dir).withColumn("sample_events", F.array("host"))
+    columns = ("dedup_key", "engine", "source_batch", "host", "rule_id", "rule_title", "rule_level", "event_count", "sample_events", "status")
+    kinds = {"event_count": "bigint", "sample_events": "array<string>"}
+    table = AlertTable(spark, _folder(spark, "alerts"), ", ".join(f"{c} {kinds.get(c, 'string')}" for c in columns), fan=2)
+    for i in range(3):
+        table.upsert(a.where(F.col("source_batch") == f"batch-{i}").select(*columns), True, {"last_batch": i})
+    return table.read().select("dedup_key", "source_batch", "event_count")
+
+
+@query("batches_sealed_and_expired", EV + "SELECT source_batch, count(*) AS n, min(event_time) AS first_at FROM ev WHERE event_time >= '2024-01-15' GROUP BY 1")
+def batches_sealed_and_expired(spark, sf_dir):
+    """Events as three micro-batches, sealed into parts one after the other, less those that came before a day."""
+    e = raw_events(spark, sf_dir).select("event_id", "source_batch", "ingested_at", "raw")
+    path = _folder(spark, "sealed")
+    table = BatchTable(spark, path, e.withColumn("micro_batch", F.lit(0).cast("bigint")).schema, ("ingested_at",), fan=2)
+    for i in range(3):
+        append_once(e.where(F.col("source_batch") == f"batch-{i}"), path, i, ("ingested_at",))
+        table.seal(i)
+    table.keep(lambda rows: E.retention_split(rows, "2024-01-15")[0])
+    return table.read().groupBy("source_batch").agg(F.count("*").alias("n"), F.min("ingested_at").alias("first_at"))
+
+
 @query("batch_summary", _ALERTS + ", c AS (SELECT source_batch, count(*) AS alert_count FROM al GROUP BY 1) SELECT r.source_batch, count(*) AS event_count, CAST(sum(CASE WHEN len(titles) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS matched_count, min(event_time) AS first_ingested, max(event_time) AS last_ingested, any_value(alert_count) AS alert_count FROM rules r JOIN c ON r.source_batch = c.source_batch GROUP BY 1")
 def batch_summary(spark, sf_dir):
     return E.batch_summary(matched(spark, sf_dir), alerts(spark, sf_dir))

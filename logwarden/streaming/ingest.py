@@ -9,7 +9,9 @@ wherever the first run ended. Tables are those of store.py.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,7 +35,9 @@ ALERTS = (
 class Pipeline:
     """Tables under one folder, and how a batch of raw events changes them."""
 
-    def __init__(self, spark: SparkSession, path: str, rules: Callable[[], list[Rule]], correlations: Callable[[], list[Correlation]] = list, lists: Callable | None = None, anchors: str = "every_hit") -> None:
+    def __init__(self, spark: SparkSession, path: str, rules: Callable[[], list[Rule]], correlations: Callable[[], list[Correlation]] = list, lists: Callable | None = None, anchors: str = "every_hit", retention: timedelta | None = None, retain_every: float = 3600.0) -> None:
+        """retention: how long events stay; every retain_every seconds, and with the first batch, a batch ends by deleting older ones."""
+        self.retention, self.retain_every, self._retained = retention, retain_every, None
         self.spark, self.path = spark, path.rstrip("/")
         self.rules, self.correlations, self.lists, self.anchors = rules, correlations, lists, anchors
         self.alerts = AlertTable(spark, f"{self.path}/alerts", ALERTS)
@@ -87,6 +91,10 @@ class Pipeline:
         remove(self.spark, work)
         # This batch may still be run again, so its folders wait.
         self.seal(batch_id - 1, FAN)
+        now = time.monotonic()
+        if self.retention is not None and (self._retained is None or now - self._retained >= self.retain_every):
+            self.expire((datetime.now(UTC) - self.retention).strftime("%Y-%m-%dT%H:%M:%S.%f+00:00"), batch_id - 1)
+            self._retained = now
 
     def start(self, stream: DataFrame, checkpoint: str, seconds: float | None = 5.0, name: str = "ingest"):
         """Runs the stream by micro-batches of so many seconds; None takes what there is and ends."""
@@ -99,9 +107,9 @@ class Pipeline:
         upto = done if upto is None else min(upto, done)
         return self.event_table.seal(upto, least) + self.hit_table.seal(upto, least)
 
-    def expire(self, cutoff: str) -> tuple[int, int]:
-        """Deletes events that arrived before cutoff, and hits whose event is gone; the numbers of both. A fixed number of jobs, and one commit a table: readers are never without either. Not while a batch runs."""
-        self.seal()
+    def expire(self, cutoff: str, upto: int | None = None) -> tuple[int, int]:
+        """Deletes events that arrived before cutoff, and hits whose event is gone, of batches up to upto; the numbers of both. A fixed number of jobs, and one commit a table: readers are never without either. Not while a batch runs."""
+        self.seal(upto)
         events = self.event_table.keep(lambda rows: E.retention_split(rows, cutoff)[0])
         live = self.events().select("event_id")
         return events, self.hit_table.keep(lambda rows: E.without_orphans(rows, live))
