@@ -11,7 +11,7 @@ the text again, one by one.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -75,9 +75,29 @@ def text(raw: Column, field: str, looked_up: Column | None = None) -> Column:
     """A field's text form; JSON null and a missing field are null."""
     t = _found(raw, field, looked_up)
     bare = t if looked_up is None else looked_up
+    return _boolean_as_digit(raw, field, bare, t)
+
+
+def _boolean_as_digit(raw: Column, field: str, bare: Column, t: Column) -> Column:
     return F.when(bare.isin("true", "false") & (kind(raw, field) == "BOOLEAN"), F.when(bare == "true", "1").otherwise("0")).otherwise(t)
 
 
+def with_looked_up(raw: Column, fields: list[str], condition: Callable[[dict[str, Column]], Column]) -> Column:
+    """A condition on the texts of fields, each of which is looked up once an event.
+
+    The texts are bound as the one element of an array, so the condition stays
+    one expression wherever the optimizer moves it. Had they columns of their
+    own, a filter that is pushed below these would look them up at each use.
+    """
+    names = {f: f"f{i}" for i, f in enumerate(fields)}
+    bare = F.array(F.struct(*[F.get_json_object(raw, path(f)).alias(n) for f, n in names.items()]))
+
+    def shown(x: Column) -> Column:
+        return F.struct(*[_boolean_as_digit(raw, f, x[n], x[n]).alias(n) for f, n in names.items()])
+
+    return F.exists(F.transform(bare, shown), lambda x: condition({f: x[n] for f, n in names.items()}))
+
+
 def number(t: Column) -> Column:
     """The number that a text begins with, 0 if none, null for null. Never an error."""
     return F.when(t.isNotNull(), F.coalesce(F.regexp_extract(t, _NUMBER, 1).try_cast("double"), F.lit(0.0)))
@@ -120,11 +140,15 @@ def order_rank(raw: Column, field: str) -> list[Column]:
     return [rank, F.when(numeric, t.try_cast("double")), F.when(~numeric, t)]
 
 
-def group_value(raw: Column, field: str) -> list[Column]:
-    """What a facet groups by: whether the value is a number, and its text; 1 and 1.0 are one group, 1 and "1" are two."""
-    t = text(raw, field)
-    numeric = _numeric(raw, field, t)
-    return [F.coalesce(numeric, F.lit(False)), F.when(numeric, F.regexp_replace(t, r"\.0+$|(\.[0-9]*?)0+$", "$1")).otherwise(t)]
+def grouped(events: DataFrame, field: str, raw: str = "raw") -> DataFrame:
+    """value and is_number of each event, which a facet groups by: 1 and 1.0 are one group, 1 and "1" are two. A value is looked up once, and its kind asked for once, if its text leaves it open."""
+    r = F.col(raw)
+    bare = events.select(r.alias("raw_"), F.get_json_object(r, path(field)).alias("bare_"))
+    kinds = bare.select("bare_", F.when(F.col("bare_").rlike(_LIKE_NUMBER) | F.col("bare_").isin("true", "false"), kind(F.col("raw_"), field)).alias("kind_"))
+    boolean = F.col("kind_") == "BOOLEAN"
+    numeric = F.coalesce(F.col("kind_").rlike("^(BIGINT|DECIMAL|DOUBLE|BOOLEAN)"), F.lit(False))
+    t = F.when(boolean, F.when(F.col("bare_") == "true", "1").otherwise("0")).otherwise(F.col("bare_"))
+    return kinds.select(F.when(numeric, F.regexp_replace(t, r"\.0+$|(\.[0-9]*?)0+$", "$1")).otherwise(t).alias("value"), numeric.alias("is_number"))
 
 
 def normal_time(t: Column) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -231,8 +232,8 @@ def rule_condition(op: str, value) -> Column:
     return _compare(F.size(titles).cast("double"), op, F.lit(n))
 
 
-def condition(c: Condition, raw: Column | None = None, promoted: dict[str, Column] | None = None) -> Column:
-    """promoted: text columns by field name, to be read in place of raw. Their filters reach the file scan."""
+def condition(c: Condition, text_of: Callable[[str], Column]) -> Column:
+    """text_of gives the text column of a field of the event."""
     name = c.field.lower()
     if name == "is_matched":
         return matched_condition(c.op, c.value)
@@ -240,19 +241,43 @@ def condition(c: Condition, raw: Column | None = None, promoted: dict[str, Colum
         return rule_condition(c.op, c.value)
     if c.op not in OPERATORS:
         raise FilterError(f"unknown operator {c.op!r}")
-    t = (promoted or {}).get(c.field)
-    return text_condition(J.text(F.col("raw") if raw is None else raw, c.field) if t is None else t, c.op, c.value)
+    return text_condition(text_of(c.field), c.op, c.value)
 
 
-def compile_tree(tree, raw: Column | None = None, promoted: dict[str, Column] | None = None) -> Column:
+def fields_of(tree) -> list[str]:
+    """The fields of events that a filter reads, each once."""
+    if isinstance(tree, Condition):
+        return [] if tree.field.lower() in ("is_matched", "rule") else [tree.field]
+    parts = [tree.part] if isinstance(tree, Not) else tree.parts
+    return list(dict.fromkeys(f for p in parts for f in fields_of(p)))
+
+
+def _compiled(tree, text_of: Callable[[str], Column]) -> Column:
     if isinstance(tree, Condition):
-        return condition(tree, raw, promoted)
+        return condition(tree, text_of)
     if isinstance(tree, Not):
-        return ~compile_tree(tree.part, raw, promoted)
-    parts = [compile_tree(p, raw, promoted) for p in tree.parts]
+        return ~_compiled(tree.part, text_of)
+    parts = [_compiled(p, text_of) for p in tree.parts]
     return J.any_of(parts) if tree.word == "or" else J.all_of(parts)
 
 
+def compile_tree(tree, raw: Column | None = None, promoted: dict[str, Column] | None = None) -> Column:
+    """promoted: text columns by field name, to be read in place of raw. Conditions on these alone reach the file scan.
+
+    All others read each of their fields once an event, however often a filter
+    names it.
+    """
+    known = promoted or {}
+    parts = tree.parts if isinstance(tree, Join) and tree.word == "and" else [tree]
+    plain = [p for p in parts if set(fields_of(p)) <= set(known)]
+    rest = [p for p in parts if p not in plain]
+    made = [_compiled(p, known.__getitem__) for p in plain]
+    if rest:
+        fields = [f for f in dict.fromkeys(f for p in rest for f in fields_of(p)) if f not in known]
+        made.append(J.with_looked_up(F.col("raw") if raw is None else raw, fields, lambda found: J.all_of([_compiled(p, lambda f: known[f] if f in known else found[f]) for p in rest])))
+    return J.all_of(made)
+
+
 def compile_filter(text: str, raw: Column | None = None, promoted: dict[str, Column] | None = None) -> Column | None:
     """The Column of a filter; None for a blank one."""
     tree = parse(text)
@@ -265,5 +290,5 @@ def drill_in(conditions: list[dict], raw: Column | None = None) -> Column:
     for c in conditions:
         field, op = str(c.get("field") or "").strip(), c.get("op") or "eq"
         if field and op in OPERATORS:
-            parts.append(condition(Condition(field, op, c.get("value")), raw))
-    return J.all_of(parts)
+            parts.append(Condition(field, op, c.get("value")))
+    return compile_tree(Join("and", tuple(parts)), raw) if parts else J.all_of([])

@@ -86,7 +86,7 @@ def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event store: made once for this session and folder."""
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/events-{hashlib.md5(sf_dir.encode(), usedforsecurity=False).hexdigest()}"
     if not exists(spark, f"{path}/_SUCCESS"):
-        land(M.match(E.promote(made_events(spark, sf_dir)), pack()), path, ("event_ts",))
+        land(M.match(E.promote(R.spread(made_events(spark, sf_dir), "event_id")), pack()), path, ("event_ts",))
     return spark.read.parquet(path)
 
 

@@ -27,6 +27,12 @@ ARRAY_BYTES = 1 << 30
 HEADS = 16
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """rows in as many partitions as the cluster has cores, by the values of by, if they come in fewer: one small file is one task otherwise, however much work each of its rows is. Rows of many partitions stay where they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *by) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def malformed(raw: Column) -> Column:
     """Whether a text is no JSON object. Such lines are kept as events without fields."""
     return ~F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(raw)), F.lit("OBJECT")), F.lit(False))
