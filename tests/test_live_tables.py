@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import random
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from logwarden.operators import alerts as A
+from logwarden.plans.sigma import Rule
+from logwarden.sources import readers as R
 from logwarden.sources import sinks
+from logwarden.streaming.ingest import Pipeline
 from logwarden.streaming.store import TOP, AlertTable, BatchTable, due
 
 ALERTS = "dedup_key string, engine string, source_batch string, host string, rule_title string, event_count bigint, sample_events array<string>, status string"
@@ -113,3 +118,21 @@ def test_deletion_rewrites_what_it_must_in_one_commit(spark, tmp_path, monkeypat
     assert t.keep(lambda df: df.where("at < 0")) == 4 and t.manifest.parts() == [] and t.read().count() == 0
     fill(spark, path, [4])
     assert t.read().count() == 10 and t.seal(4) == 1 and t.read().count() == 10
+
+
+def test_retention_runs_with_batches(spark, tmp_path):
+    """With no time to stay, each batch deletes the events of those before it; its own wait, as it may be run again. Alerts stay."""
+    rule = Rule("r", "Any", "high", detection={"s": {"EventID": 1}, "condition": "s"})
+    p = Pipeline(spark, str(tmp_path / "p"), lambda: [rule], retention=timedelta(0), retain_every=0)
+    for i in range(3):
+        p.process(R.from_dicts(spark, [{"EventID": 1, "Hostname": "h", "n": i}], "s"), i)
+        assert [json.loads(x.raw)["n"] for x in p.events().collect()] == [i] and [x.event_count for x in p.alerts.read().collect()] == [i + 1]
+    late = Pipeline(spark, str(tmp_path / "p"), lambda: [rule], retention=timedelta(days=1))
+    late.process(R.from_dicts(spark, [{"EventID": 1, "Hostname": "h", "n": 3}], "s"), 3)
+    assert late.events().count() == 2
+
+
+def test_few_partitions_are_spread(spark):
+    assert R.spread(spark.range(10).coalesce(1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(0, 100, 1, 9)
+    assert R.spread(many).rdd.getNumPartitions() == 9
