@@ -135,7 +135,7 @@ def test_networks(spark):
     assert df.where(~rule.predicate(F.col("raw"))).count() == len([t for t in texts if t is not None]) - len(got)
 
 
-def test_upload_is_whole_and_recompiles():
+def test_upload_is_whole_and_recompiles(spark):
     c = Catalog()
     one, two = c.create_ruleset("one").path, c.create_ruleset("two").path
     lists = "name: tools\ndescription: what they run\nvalues: [{}]\n---\n"
