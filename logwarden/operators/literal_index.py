@@ -4,9 +4,11 @@ A rule's condition becomes alternatives; each is a set of units that must hold
 and of units that must not. A unit is what one item of a selection asks: that a
 field equals, contains, begins or ends with one of some literals, or fits a
 pattern. All literals of a field are one Aho-Corasick automaton, so an
-event's text is read once, whatever the number of rules. Units that hold are
-counted per alternative; one whose count is full is a match, if no other
-unit forbids it. Work follows an event's text and its hits, not the rules.
+event's text is read once, whatever the number of rules, and texts that come
+again are not read again. An alternative is tried only if its rarest unit, the
+one that fewest alternatives ask for, holds: then its other units decide. So
+work follows an event's text and its hits, not the rules, however many
+of these share a common unit.
 
 A unit of a missing field neither holds nor may be negated, as in SQL.
 """
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable
 from importlib.util import find_spec
 
@@ -27,6 +29,8 @@ from ..plans.sigma import Compiler, Rule, RuleError, SharedTexts, pattern, plain
 
 #: Alternatives of a rule's condition up to this number are indexed.
 MOST_ALTERNATIVES = 64
+#: Texts of a field, up to this length and number, whose units a task keeps.
+KEPT_LENGTH, KEPT_TEXTS = 256, 10_000
 _LOW = str.maketrans(J.UPPER, J.LOWER)
 
 
@@ -56,6 +60,10 @@ class Formula:
             out = out & Formula(frozenset(frozenset([(u, not yes)]) for u, yes in term))
         return out
 
+    def cast(self, kind: str) -> Formula:
+        """Selections that are counted, as in 2 of them, are none of a missing field, and may be negated then: columns do that."""
+        raise Unindexed("a number of selections")
+
 
 def like_regex(like: str) -> str:
     """A LIKE pattern as a regular expression."""
@@ -63,6 +71,17 @@ def like_regex(like: str) -> str:
     return "".join(".*" if p == "%" else "." if p == "_" else re.escape(p[-1]) for p in parts)
 
 
+def literal_chunks(like: str) -> list[str]:
+    """The texts between the wildcards of a LIKE pattern, as they are without escapes."""
+    chunks = [""]
+    for p in re.findall(r"\\.|.", like, re.S):
+        if p in "%_":
+            chunks.append("")
+        else:
+            chunks[-1] += p[-1]
+    return [c for c in chunks if c]
+
+
 class Units(Compiler):
     """Compiles detections to formulas over units, which it numbers."""
 
@@ -113,8 +132,7 @@ class Units(Compiler):
         if not wild:
             return op, low(plain(said)), None
         before, after = {"contains": ("%", "%"), "startswith": ("", "%"), "endswith": ("%", "")}.get(op, ("", ""))
-        # A chunk with an escape in it is passed over.
-        chunks = [c for c in re.split(r"[%_]", re.sub(r"\\(.)", "\0", like, flags=re.S)) if c and "\0" not in c]
+        chunks = literal_chunks(like)
         if not chunks:
             raise Unindexed("only wildcards")
         return "pattern", low(max(chunks, key=len)), like_regex(low(before + like + after))
@@ -154,38 +172,51 @@ class Index:
                 a.add_word(literal, tests)
             a.make_automaton()
             self.automata.append(a)
-        self.terms = said["terms"]
-        self.asked: list[list[int]] = [[] for _ in said["units"]]
-        for k, (_, yes, *_) in enumerate(self.terms):
-            for u in yes:
-                self.asked[u].append(k)
+        terms = said["terms"]
+        asking = Counter(u for _, yes, *_ in terms for u in yes)
+        self.led_by: dict[int, list[tuple]] = defaultdict(list)
+        for rule, yes, no, codes, channels in terms:
+            lead = min(yes, key=lambda u: (asking[u], u))
+            self.led_by[lead].append((rule, [u for u in yes if u != lead], no, codes, channels))
+        self.seen: list[dict[str, frozenset[int]]] = [{} for _ in self.fields]
+
+    @staticmethod
+    def read(automaton, text: str) -> frozenset[int]:
+        """The units of a field that hold for its text."""
+        out: set[int] = set()
+        for end, tests in automaton.iter(text):
+            for op, n, u, rx in tests:
+                if u in out:
+                    continue
+                if op == "contains" or (op == "startswith" and end == n - 1) or (op == "endswith" and end == len(text) - 1) or (op == "equals" and n == len(text)) or (op == "pattern" and rx.fullmatch(text)):
+                    out.add(u)
+        return frozenset(out)
 
     def units_of(self, texts: list) -> set[int]:
         """The units that hold for the texts of the fields."""
         out: set[int] = set()
-        for a, text in zip(self.automata, texts, strict=True):
+        for (field, _), a, seen, text in zip(self.fields, self.automata, self.seen, texts, strict=True):
             if text is None:
                 continue
-            for end, tests in a.iter(text):
-                for op, n, u, rx in tests:
-                    if u in out:
-                        continue
-                    if op == "contains" or (op == "startswith" and end == n - 1) or (op == "endswith" and end == len(text) - 1) or (op == "equals" and n == len(text)) or (op == "pattern" and rx.fullmatch(text)):
-                        out.add(u)
+            found = seen.get(text)
+            if found is None:
+                found = self.read(a, text)
+                # Whole events hardly come again.
+                if field and len(text) <= KEPT_LENGTH:
+                    if len(seen) >= KEPT_TEXTS:
+                        seen.clear()
+                    seen[text] = found
+            out |= found
         return out
 
     def rules_of(self, texts: list, code: str | None, channel: str | None) -> list[int]:
         hold = self.units_of(texts)
-        full: dict[int, int] = defaultdict(int)
         out: set[int] = set()
-        for u in hold:
-            for k in self.asked[u]:
-                full[k] += 1
-                if full[k] == len(self.terms[k][1]):
-                    rule, _, no, codes, channels = self.terms[k]
-                    if any(x in hold or texts[self.field_of[x]] is None for x in no) or (codes and code not in codes) or (channels and channel is not None and channel not in channels):
-                        continue
-                    out.add(rule)
+        for lead in self.led_by.keys() & hold:
+            for rule, rest, no, codes, channels in self.led_by[lead]:
+                if not hold.issuperset(rest) or any(x in hold or texts[self.field_of[x]] is None for x in no) or (codes and code not in codes) or (channels and channel is not None and channel not in channels):
+                    continue
+                out.add(rule)
         return sorted(out)
 
 

@@ -49,3 +49,22 @@ def test_what_is_not_indexed():
     ])]
     said, inside = literal_index.build(list(enumerate(rules)), {"v": ["p", "q"]}.get)
     assert inside == {5, 6} and len(said["units"]) >= 3
+
+
+def test_shared_units_and_wildcards_cost_few_tries():
+    """Rules that share a unit are not all tried when it holds, and a wildcard's literal keeps its escaped backslash."""
+    detections = [{"s": {"Image|contains|all": ["tools", f"app{i}.exe"]}, "t": {"Host|endswith": ["-7", "-3"]}, "u": {"Path": f"*\\app{i}.e?e"}, "condition": "s and t and u"} for i in range(300)]
+    said, inside = literal_index.build([(i, Rule(str(i), str(i), detection=d)) for i, d in enumerate(detections)], None)
+    index = literal_index.Index(said)
+    assert len(inside) == 300 and max(map(len, index.led_by.values())) == 1
+    assert literal_index.literal_chunks("%\\\\app1.e_e%") == ["\\app1.e", "e"]
+    path = next(a for (f, _), a in zip(index.fields, index.automata, strict=True) if f == "Path")
+    assert max(len(tests) for _, tests in path.iter("c:\\tools\\app12.exe")) == 1
+    texts = {"Host": "h-3", "Image": "c:\\tools\\app12.exe", "Path": "c:\\x\\app12.exe"}
+    for _ in range(2):
+        assert index.rules_of([texts[f] for f, _ in index.fields], None, None) == [12]
+
+
+def test_counted_selections_are_columns():
+    said, inside = literal_index.build([(0, Rule("a", "a", detection={"s0": {"a": "x"}, "s1": {"b": "y"}, "condition": "2 of s*"})), (1, Rule("b", "b", detection={"s": {"a": "x"}, "condition": "s"}))], None)
+    assert inside == {1}
