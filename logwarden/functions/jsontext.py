@@ -127,27 +127,44 @@ def first_present(raw: Column, fields: Iterable[str], looked_up: dict[str, Colum
     return F.coalesce(*[present(raw, f, (looked_up or {}).get(f)) for f in fields])
 
 
-def _numeric(raw: Column, field: str, t: Column) -> Column:
-    """Whether a field with text t is a number or boolean; the value's kind is asked for only if it looks like one."""
-    return t.rlike(_LIKE_NUMBER) & kind(raw, field).rlike("^(BIGINT|DECIMAL|DOUBLE|BOOLEAN)")
-
-
 def order_rank(raw: Column, field: str) -> list[Column]:
-    """Sort keys of a loosely typed field: null, then numbers by value, then text."""
+    """Sort keys of a loosely typed field, as with_order() has them, as expressions: for few rows."""
     t = text(raw, field)
-    numeric = _numeric(raw, field, t)
+    numeric = t.rlike(_LIKE_NUMBER) & kind(raw, field).rlike("^(BIGINT|DECIMAL|DOUBLE|BOOLEAN)")
     rank = F.when(t.isNull(), 0).when(numeric, 1).otherwise(2)
     return [rank, F.when(numeric, t.try_cast("double")), F.when(~numeric, t)]
 
 
-def grouped(events: DataFrame, field: str, raw: str = "raw") -> DataFrame:
-    """value and is_number of each event, which a facet groups by: 1 and 1.0 are one group, 1 and "1" are two. A value is looked up once, and its kind asked for once, if its text leaves it open."""
+def _kinds(rows: DataFrame, field: str, raw: str) -> DataFrame:
+    """rows with bare_, a field's text as JSON shows it, and kind_, the value's kind if that text leaves it open. Each is made once a row: an optimizer doesn't move what stands on the elements of an array, so a filter or an order makes neither again."""
     r = F.col(raw)
-    bare = events.select(r.alias("raw_"), F.get_json_object(r, path(field)).alias("bare_"))
-    kinds = bare.select("bare_", F.when(F.col("bare_").rlike(_LIKE_NUMBER) | F.col("bare_").isin("true", "false"), kind(F.col("raw_"), field)).alias("kind_"))
+    rows = rows.withColumn("bare_", F.explode(F.array(F.get_json_object(r, path(field)))))
+    return rows.withColumn("kind_", F.explode(F.array(F.when(F.col("bare_").rlike(_LIKE_NUMBER) | F.col("bare_").isin("true", "false"), kind(r, field)))))
+
+
+def _told() -> tuple[Column, Column]:
+    """The text form of a value by bare_ and kind_, and whether it is a number or boolean."""
     boolean = F.col("kind_") == "BOOLEAN"
     numeric = F.coalesce(F.col("kind_").rlike("^(BIGINT|DECIMAL|DOUBLE|BOOLEAN)"), F.lit(False))
-    t = F.when(boolean, F.when(F.col("bare_") == "true", "1").otherwise("0")).otherwise(F.col("bare_"))
+    return F.when(boolean, F.when(F.col("bare_") == "true", "1").otherwise("0")).otherwise(F.col("bare_")), numeric
+
+
+#: The columns of with_order().
+ORDER = ("rank_", "number_", "text_")
+
+
+def with_order(rows: DataFrame, field: str, raw: str = "raw") -> DataFrame:
+    """rows with the sort keys of a loosely typed field: null, then numbers by value, then text. An order that held these as expressions would read the event again for each comparison."""
+    t, numeric = _told()
+    rank = F.when(t.isNull(), 0).when(numeric, 1).otherwise(2)
+    keys = dict(zip(ORDER, (rank, F.when(numeric, t.try_cast("double")), F.when(~numeric, t)), strict=True))
+    return _kinds(rows, field, raw).withColumns(keys).drop("bare_", "kind_")
+
+
+def grouped(events: DataFrame, field: str, raw: str = "raw") -> DataFrame:
+    """value and is_number of each event, which a facet groups by: 1 and 1.0 are one group, 1 and "1" are two. A value is looked up once, and its kind asked for once, if its text leaves it open."""
+    t, numeric = _told()
+    kinds = _kinds(events.select(raw), field, raw)
     return kinds.select(F.when(numeric, F.regexp_replace(t, r"\.0+$|(\.[0-9]*?)0+$", "$1")).otherwise(t).alias("value"), numeric.alias("is_number"))
 
 
@@ -161,6 +178,16 @@ def timestamp(t: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(normal_time(t), r"\.(\d{6})\d+", ".$1")).cast("timestamp_ntz")
 
 
+def in_pieces(c: Column) -> Column:
+    """c itself. A projection that holds it is compiled in pieces.
+
+    Spark compiles a stage to one method; one of so many expressions is too
+    large for the JVM's compiler and is interpreted, at three times the time.
+    A higher-order function keeps its projection out of that method.
+    """
+    return F.get(F.transform(F.array(c), lambda x: x), F.lit(0))
+
+
 def any_of(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, parts) if parts else F.lit(False)
 

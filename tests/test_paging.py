@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from logwarden.functions import jsontext as J
 from logwarden.operators import alerts as A
 from logwarden.operators import events as E
 from logwarden.operators.paging import last_cursor, seek
@@ -65,3 +66,16 @@ def test_events_and_alerts(spark):
         want = [x.dedup_key for x in A.list_alerts(a, sort_by=by, descending=down).collect()]
         first = A.seek_alerts(a, None, by, down, 2, source_batch="b")
         assert [x.dedup_key for x in first.collect()] + [x.dedup_key for x in A.seek_alerts(a, last_cursor(first), by, down).collect()] == want and "sample_events" not in first.columns, by
+
+
+def test_a_page_by_a_field_reads_each_event_once(spark, capsys):
+    """The sort keys are columns, not expressions over the events that each comparison makes anew, and a page is each task's least rows."""
+    rows = [(str(i), f'{{"f": {json.dumps([None, i % 7, str(i % 5), True][i % 4])}}}') for i in range(40)]
+    e = spark.createDataFrame(rows, "event_id string, raw string").withColumns({"is_matched": F.lit(False), "event_time": F.lit(""), "matched_rules": F.array(F.lit(""))})
+    for page in (E.list_events(e, "f", False, ["f"], 10), E.seek_events(e, E.seek_events(e, None, "f", True, limit=3).collect()[-1].cursor, "f", True, ["f"], 10)):
+        page.explain()
+        plan = capsys.readouterr().out
+        assert "TakeOrdered" in plan and "get_json_object" not in plan.split("orderBy=")[1].split("output=")[0] and "rangepartitioning" not in plan
+    shown = [(r.event_id, r.extra.get("f")) for r in E.list_events(e, "f", False, ["f"], 40).collect()]
+    want = e.orderBy(*J.order_rank(F.col("raw"), "f"), "event_id").select("event_id", J.text(F.col("raw"), "f")).collect()
+    assert shown == [tuple(r) for r in want]
