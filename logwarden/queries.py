@@ -64,8 +64,8 @@ def query(name: str, sql: str | None = None):
 
 
 def made_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, source_batch, ingested_at and raw of the events table."""
-    t = spark.read.parquet(f"{sf_dir}/events.parquet")
+    """event_id, source_batch, ingested_at and raw of the events table, whose rows are spread before they become long texts."""
+    t = R.spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
     code = F.lit(4720)
     for kind, n in CODES.items():
         code = F.when(F.col("event_type") == kind, n).otherwise(code)
@@ -86,7 +86,7 @@ def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event store: made once for this session and folder."""
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/events-{hashlib.md5(sf_dir.encode(), usedforsecurity=False).hexdigest()}"
     if not exists(spark, f"{path}/_SUCCESS"):
-        land(M.match(E.promote(R.spread(made_events(spark, sf_dir), "event_id")), pack()), path, ("event_ts",))
+        land(M.match(E.promote(made_events(spark, sf_dir)), pack()), path, ("event_ts",))
     return spark.read.parquet(path)
 
 

@@ -25,12 +25,14 @@ def input_type(path: str) -> str:
 ARRAY_BYTES = 1 << 30
 #: Files whose first characters are looked at together.
 HEADS = 16
+#: Rows that a task should take to parse and match.
+TASK_ROWS = 50_000
 
 
-def spread(rows: DataFrame, *by: str) -> DataFrame:
-    """rows in as many partitions as the cluster has cores, by the values of by, if they come in fewer: one small file is one task otherwise, however much work each of its rows is. Rows of many partitions stay where they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, *by) if rows.rdd.getNumPartitions() < cores else rows
+def spread(rows: DataFrame, *by: str, most: int = TASK_ROWS) -> DataFrame:
+    """rows in as many partitions as the cluster has cores, and of most rows each at most, by the values of by, if they come in fewer: one small file is one task otherwise, however much work each of its rows is, and a task's time and memory would follow the input. Rows of many partitions stay where they are. Rows are counted, which for files of columns reads their footers only."""
+    wanted = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // most))
+    return rows.repartition(wanted, *by) if rows.rdd.getNumPartitions() < wanted else rows
 
 
 def malformed(raw: Column) -> Column:

@@ -136,3 +136,11 @@ def test_few_partitions_are_spread(spark):
     assert R.spread(spark.range(10).coalesce(1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(0, 100, 1, 9)
     assert R.spread(many).rdd.getNumPartitions() == 9
+
+
+def test_a_task_has_so_many_rows_at_most(spark):
+    """The number of partitions follows the rows, not only the cores."""
+    cores = spark.sparkContext.defaultParallelism
+    assert R.spread(spark.range(1000).coalesce(1), "id", most=50).rdd.getNumPartitions() == 20
+    assert R.spread(spark.range(1000).repartition(cores + 1), "id", most=50).rdd.getNumPartitions() == 20
+    assert R.spread(spark.range(1000).repartition(30), "id", most=50).rdd.getNumPartitions() == 30
