@@ -114,13 +114,29 @@ def in_order(correlations: list[Correlation]) -> list[Correlation]:
     left = {c.title: {t for t, k in c.base_rules if k == "correlation" and t in by_title and t != c.title} for c in correlations}
     out: list[Correlation] = []
     while left:
-        ready = [t for t, needs in left.items() if not needs & left.keys()] or [next(iter(left))]
+        ready = [t for t, needs in left.items() if not needs & left.keys()] or [_on_cycle(left)]
         for t in ready:
             out.append(by_title[t])
             del left[t]
     return out
 
 
+def _on_cycle(left: dict[str, set[str]]) -> str:
+    """The first title that is on a cycle which needs nothing outside it, when each needs another."""
+
+    def reached(t: str) -> set[str]:
+        out: set[str] = set()
+        todo = [t]
+        while todo:
+            new = (left[todo.pop()] & left.keys()) - out
+            out |= new
+            todo += new
+        return out
+
+    reach = {t: reached(t) for t in left}
+    return next(t for t in left if all(t in reach[x] for x in reach[t]))
+
+
 @dataclass
 class Ruleset:
     path: str
