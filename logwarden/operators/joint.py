@@ -16,6 +16,7 @@ whose windows one of them lies in. So the order of arrival doesn't matter.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
@@ -33,6 +34,8 @@ TEST = "rule_ int, names array<string>, ordered boolean, final string, least int
 #: Spans of time in a slice of a key's hits; one of so many hits is in two.
 SLICE = 8
 HEAD = "struct<id:string,title:string,level:string>"
+#: Rows of rules that a task should sort.
+TASK_ROWS = 250_000
 
 
 def _number(value: object) -> float | None:
@@ -143,6 +146,13 @@ def sliced(rows: DataFrame) -> DataFrame:
     return out.withColumn("home", F.col("slice") == F.col("at_")).drop("at_")
 
 
+def tasks(hits: DataFrame, rules: Rules, most: int = TASK_ROWS) -> int:
+    """How many tasks windows over all rows of the rules take. What is shuffled is hits, which then become as many rows as there are rules of their title, so sizes of shuffled data don't tell; hits are counted by title."""
+    met = Counter(t for c in rules.correlations for t in set(c.titles))
+    counts = hits.where(F.col("rule_title").isin(rules.titles)).groupBy("rule_title").agg(F.count("*").alias("n")).collect()
+    return max(hits.sparkSession.sparkContext.defaultParallelism, -(-sum(r.n * met[r.rule_title] for r in counts) // most))
+
+
 def evaluate_all(hits: DataFrame, correlations: list[Correlation], anchors: str = "every_hit", new_hits: DataFrame | None = None, late: bool = True, final_step_only: bool = False) -> DataFrame:
     """Anchors at which correlations fire: rule (its place in the list), event_id, rule_title, source_batch, event_ts, n, and the key's names and keys.
 
@@ -160,7 +170,7 @@ def evaluate_all(hits: DataFrame, correlations: list[Correlation], anchors: str
     table = rules.rule_table(hits.sparkSession).withColumnRenamed("g", "g_")
     rows = sliced(rows)
     # The one shuffle; all windows below are within its partitions.
-    rows = rows.repartition("g", "source_batch", "keys", "slice").join(_small(table, len(correlations) * len(rules.titles)), (F.col("g") == F.col("g_")) & (F.col("rule_title") == F.col("title_")))
+    rows = rows.repartition(tasks(hits, rules), "g", "source_batch", "keys", "slice").join(_small(table, len(correlations) * len(rules.titles)), (F.col("g") == F.col("g_")) & (F.col("rule_title") == F.col("title_")))
     value = F.when(F.col("counts") == "hits", "").when(F.col("counts") == "values", F.try_element_at("group_values", F.col("field"))).otherwise(F.col("rule_title"))
     # Windows sort what is left here, so it is little.
     rows = rows.select(*own, "event_id", "rule_title", "event_ts", "at_us", "fresh", "home", "span", (F.col("counts") == "hits").alias("each_"), "places", "steps", value.alias("value_"))
@@ -230,6 +240,12 @@ def levels(correlations: list[Correlation]) -> list[list[Correlation]]:
     return out
 
 
+def _not_stored(own: DataFrame, hits: DataFrame, correlations: list[Correlation]) -> DataFrame:
+    """Correlations' hits less those that are stored: an anchor that a late hit makes fire again is counted once by the rules above."""
+    stored = hits.where(F.col("rule_title").isin([c.title for c in correlations])).select(F.col("event_id").alias("id_"), F.col("source_batch").alias("batch_"))
+    return own.join(stored, (F.col("event_id") == F.col("id_")) & F.col("source_batch").eqNullSafe(F.col("batch_")), "left_anti")
+
+
 def correlate_all(hits: DataFrame, correlations: list[Correlation], anchors: str = "every_hit", new_hits: DataFrame | None = None, late: bool = True, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> tuple[list[tuple[list[Correlation], DataFrame]], DataFrame]:
     """Per level, its correlations and their fired anchors; and the hits that they add. keep writes a table that several plans read, by its name."""
     out, added, pool, fresh = [], hits.where("false"), hits, new_hits
@@ -238,7 +254,7 @@ def correlate_all(hits: DataFrame, correlations: list[Correlation], anchors: str
         out.append((level, fired))
         own = own_hits(fired, level)
         added = added.unionByName(own)
-        pool = pool.unionByName(own)
+        pool = pool.unionByName(own if new_hits is None else _not_stored(own, hits, level))
         fresh = None if fresh is None else fresh.select(*own.columns).unionByName(own)
     return out, added
 

@@ -133,3 +133,11 @@ def test_levels():
     at = {t: i for i, level in enumerate(titles) for t in level}
     assert at["C"] == 0 and at["V"] == 1 and at["Z"] > at["Y"] and "W" not in at and abs(at["X"] - at["Y"]) == 1
     assert joint.levels([d]) == []
+
+
+def test_tasks_follow_the_rows_of_rules(spark):
+    """Hits times the rules of their title, not what is shuffled, decide how many tasks sort."""
+    rows = [(f"a{i}", "A", "b", i, {"u": str(i % 9)}) for i in range(300)] + [(f"b{i}", "B", "b", i, {"u": "1"}) for i in range(50)]
+    rules = joint.Rules([corr("event_count", ["A"], 10, {"gte": 2}, id=f"k{i}", title=f"K{i}") for i in range(10)])
+    assert joint.tasks(table(spark, rows), rules, 100) == 30
+    assert joint.tasks(table(spark, rows), rules) == spark.sparkContext.defaultParallelism
