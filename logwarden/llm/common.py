@@ -21,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that by_bytes() gives at a time.
 BATCH_BYTES = 8 << 20
+#: Short rows that a task of stage() should write at least, where their number is known.
+FILE_ROWS = 50_000
 #: Rows that map_rows() turns into Python objects at a time.
 ROWS = 256
 
@@ -44,11 +46,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage and survives lost executors."""
+def file_tasks(spark: SparkSession, rows: int) -> int:
+    """How many tasks write so many short rows: as many as there are cores, and of FILE_ROWS at most."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))
+
+
+def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back, which cuts its lineage and survives lost executors.
+
+    rows: as many as df can have at most, if that is known. Shuffles of little
+    data into many partitions then don't end in a file for each: the last step
+    of df's plan, which should be a plain one, runs in tasks of FILE_ROWS. Where there are
+    more rows than that in a partition, nothing changes.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    (df if rows is None else df.coalesce(file_tasks(spark, rows))).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path  # type: ignore[attr-defined]
     return out
@@ -159,18 +172,20 @@ def fields(*pairs: tuple[str, str]) -> T.StructType:
     return out
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, most: int | None = None) -> DataFrame:
     """Smallest reachable node of every node with a link.
 
-    edges: two long columns a, b (any order, repeats allowed). Returns (node,
-    component). Alternates large-star and small-star steps; both are grouped
+    edges: two long columns a, b (any order, repeats allowed), most of them at
+    most, if that is known. Returns (node, component). Alternates large-star and small-star steps; both are grouped
     minima, so a hub's links are reduced before the shuffle, and no task
     gathers a hub's neighbours. Each round is staged. Stops when nothing
     changes; an exceeded max_rounds is an error, never a partial result.
     """
     spark = edges.sparkSession
     e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = stage(e, "cc")
+    e = stage(e, "cc", most)
+    measured = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before = measured(e)
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: every neighbour above u is linked with u's smallest neighbour (or u).
@@ -180,10 +195,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # Small star: all neighbours below u, and u, are linked with the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        new = stage(small, "cc")
-        sums = [d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for d in (e, new)]
+        # A step makes a link for each of a round's links, and one for each of their nodes, at most.
+        new = stage(small, "cc", 3 * before[0])
+        after = measured(new)
         drop_stage(e)
         e = new
-        if tuple(sums[0]) == tuple(sums[1]):
+        if before == after:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        before = after
     raise RuntimeError("components did not settle")

@@ -170,9 +170,9 @@ def _heads(classes: DataFrame) -> DataFrame:
     return classes.select("k1", trees)
 
 
-def _crowded(classes: DataFrame) -> DataFrame:
-    """crowd and n of the heads that more classes share than a region holds."""
-    return stage(_heads(classes).groupBy("crowd").agg(F.count("*").alias("n")).where(F.col("n") > REGION), "near")
+def _crowded(classes: DataFrame, most: int) -> DataFrame:
+    """crowd and n of the heads that more classes, of which there are most at most, share than a region holds."""
+    return stage(_heads(classes).groupBy("crowd").agg(F.count("*").alias("n")).where(F.col("n") > REGION), "near", TREES * most // REGION)
 
 
 def _regions(classes: DataFrame, crowded: DataFrame) -> DataFrame:
@@ -249,10 +249,10 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _sets(docs: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, groups: DataFrame, classes: DataFrame, most: int | None = None) -> DataFrame:
     """region, doc_id, k1 and shingles of the representative of each class in each group (region, members). A text that many rows of one doc_id have is sent once by each task."""
     wanted = groups.select("region", F.explode("members").alias("k1")).join(classes.select("k1", "k2", "rep"), "k1")
-    wanted = stage(wanted.groupBy("rep", "k1", "k2").agg(F.collect_set("region").alias("regions")), "near")
+    wanted = stage(wanted.groupBy("rep", "k1", "k2").agg(F.collect_set("region").alias("regions")), "near", most)
     small = wanted.count() <= BROADCAST_ROWS
     found = docs.select("doc_id", "text").join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("rep")).select("doc_id", "k1", "k2", "regions", "text")
 
@@ -272,7 +272,7 @@ def _sets(docs: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
     return map_rows(found, sets, fields(("region", "bigint"), ("doc_id", "bigint"), ("k1", "bigint"), ("shingles", "binary")))
 
 
-def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, percent: int, most: int | None = None) -> DataFrame:
     """Confirmed links (a, b) between doc_ids that connect each group's similar documents; pairs that are already connected in a group are not compared again."""
 
     def confirm(batches):
@@ -289,19 +289,19 @@ def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, percent: int)
                         if group[i][1] != group[j][1]:
                             yield group[i][1], group[j][1]
 
-    ordered = _sets(docs, groups, classes).select("region", "doc_id", "shingles", "k1").repartition("region").sortWithinPartitions("region", "k1")
+    ordered = _sets(docs, groups, classes, most).select("region", "doc_id", "shingles", "k1").repartition("region").sortWithinPartitions("region", "k1")
     return map_rows(ordered, confirm, fields(("a", "bigint"), ("b", "bigint")))
 
 
-def _apart(classes: DataFrame, crowded: DataFrame, found: DataFrame) -> DataFrame:
+def _apart(classes: DataFrame, crowded: DataFrame, found: DataFrame, most: int) -> DataFrame:
     """k1, rep, component and n of the classes in crowds that the forest has left apart."""
     small = crowded.count() <= BROADCAST_ROWS
     heads = _heads(classes).select("crowd", "k1")
     named = classes.select("k1", "rep", F.col("n_shingles").alias("n")).join(found, "rep", "left").select("k1", "rep", F.coalesce("component", "rep").alias("component"), "n")
     member = heads.join(F.broadcast(crowded.select("crowd")) if small else crowded.select("crowd"), "crowd").join(named, "k1")
-    member = stage(member, "near")
+    member = stage(member, "near", TREES * most)
     apart = member.groupBy("crowd").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("crowd")
-    return stage(member.join(F.broadcast(apart) if small else apart, "crowd", "left_semi").select("k1", "rep", "component", "n").distinct(), "near")
+    return stage(member.join(F.broadcast(apart) if small else apart, "crowd", "left_semi").select("k1", "rep", "component", "n").distinct(), "near", most)
 
 
 def _spread(sets: DataFrame) -> DataFrame:
@@ -316,9 +316,9 @@ def _spread(sets: DataFrame) -> DataFrame:
     return sets.select("shingles").mapInArrow(run, fields(("shingle", "bigint")))
 
 
-def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _common(sets: DataFrame, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The commonest shingles, MOST_COMMON at most, sorted, and their numbers of sets. They only put shingles in order, so any number of them is right."""
-    counts = stage(_spread(sets).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > REGION).withColumn("level", F.floor(F.log2("n")).cast("int")), "near")
+    counts = stage(_spread(sets).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > REGION).withColumn("level", F.floor(F.log2("n")).cast("int")), "near", most)
     total, least = 0, 64
     for level, n in sorted(counts.groupBy("level").agg(F.count("*")).collect(), reverse=True):
         total += n
@@ -384,33 +384,34 @@ def _pairs(postings: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return map_rows(signed.select("a", "b", "sig_a", "sig_b"), agree, fields(("region", "bigint"), ("members", "array<bigint>")))
 
 
-def _cells(postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _cells(postings: DataFrame, percent: int, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Blocks of the classes (k1, component, n, block) that common first shingles bring together, each class in one; and pairs of blocks (left, right) that have such a shingle in common, and classes of different components.
 
     A component that fills blocks has its own; the others are pooled. Blocks are by hash, so that no task sees all of a shingle's classes.
     """
     member = postings.where("often").select(F.col("shingle").alias("crowd"), "k1", "component", "n", "first")
     apart = member.groupBy("crowd").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("first").alias("z")).where("x < y and z").select("crowd")
-    member = stage(member.join(apart, "crowd", "left_semi").select("crowd", "k1", "component", "n"), "near")
+    rows = postings.count()
+    member = stage(member.join(apart, "crowd", "left_semi").select("crowd", "k1", "component", "n"), "near", rows)
     homes = member.groupBy("k1", "component", "n").agg(F.min("crowd").alias("crowd"))
     cost = F.greatest(F.col("n").cast("long"), F.lit(BLOCK_SHINGLES // BLOCK))
     sizes = homes.groupBy("crowd", "component").agg(F.sum(cost).alias("cost"))
-    sizes = stage(sizes.withColumn("own", F.col("cost") * 2 > BLOCK_SHINGLES), "near")
+    sizes = stage(sizes.withColumn("own", F.col("cost") * 2 > BLOCK_SHINGLES), "near", most)
     pools = sizes.where("not own").groupBy("crowd").agg(F.ceil(F.sum("cost") / BLOCK_SHINGLES).alias("pools"))
     placed = homes.join(sizes, ["crowd", "component"]).join(pools, "crowd", "left")
     own = F.xxhash64("crowd", "component", F.pmod(F.xxhash64("k1"), F.ceil(F.col("cost") / BLOCK_SHINGLES)))
     block = F.when(F.col("own"), own).otherwise(F.xxhash64("crowd", F.lit("pool"), F.pmod(F.xxhash64("component"), F.coalesce("pools", F.lit(1)))))
-    blocks = stage(placed.select("k1", "component", "n", block.alias("block")), "near")
+    blocks = stage(placed.select("k1", "component", "n", block.alias("block")), "near", most)
     of = blocks.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
     side = lambda name: of.select(F.col("block").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("low", "high", "least", "most")])
-    met = stage(member.join(blocks.select("k1", "block"), "k1").select("crowd", "block").distinct(), "near")
+    met = stage(member.join(blocks.select("k1", "block"), "k1").select("crowd", "block").distinct(), "near", rows)
     cells = met.select("crowd", F.col("block").alias("left")).join(met.select("crowd", F.col("block").alias("right")), "crowd").where("left <= right").select("left", "right").distinct()
     cells = cells.join(side("left"), "left").join(side("right"), "right").where("least(left_low, right_low) < greatest(left_high, right_high)")
     cells = cells.where(f"100 * left_most >= {percent} * right_least and 100 * right_most >= {percent} * left_least")
     return blocks, stage(cells.select("left", "right"), "near")
 
 
-def _crowd_links(docs: DataFrame, crowded: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def _crowd_links(docs: DataFrame, crowded: DataFrame, classes: DataFrame, found: DataFrame, percent: int, most: int) -> DataFrame:
     """Confirmed links (a, b) in crowds between documents of different components.
 
     Shingles are put in order, the common ones last. Two sets that are similar
@@ -419,20 +420,21 @@ def _crowd_links(docs: DataFrame, crowded: DataFrame, classes: DataFrame, found:
     it is common, nearly all of a set is, so its classes are mostly one
     component already; those that aren't are compared in blocks.
     """
-    apart = _apart(classes, crowded, found)
+    apart = _apart(classes, crowded, found, most)
     if apart.isEmpty():
         return found.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
     alone = apart.select(F.col("k1").alias("region"), F.array("k1").alias("members"))
-    sets = stage(_sets(docs, alone, classes).select("k1", "shingles").dropDuplicates(["k1"]), "near")
-    postings = stage(_postings(sets, apart, _common(sets), percent), "near")
+    sets = stage(_sets(docs, alone, classes, most).select("k1", "shingles").dropDuplicates(["k1"]), "near")
+    total = apart.agg(F.sum("n")).first()[0]
+    postings = stage(_postings(sets, apart, _common(sets, total // REGION), percent), "near")
     drop_stage(sets)
-    links = _links(docs, stage(_pairs(postings, classes, percent), "near"), classes, percent)
-    return links.unionByName(_common_links(docs, postings, classes, percent))
+    links = _links(docs, stage(_pairs(postings, classes, percent), "near"), classes, percent, most)
+    return links.unionByName(_common_links(docs, postings, classes, percent, most))
 
 
-def _common_links(docs: DataFrame, postings: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _common_links(docs: DataFrame, postings: DataFrame, classes: DataFrame, percent: int, most: int | None = None) -> DataFrame:
     """Confirmed links (a, b) between documents of different components whose first shingle in common is a common one: in pairs of blocks by signatures, then on full sets."""
-    blocks, cells = _cells(postings, percent)
+    blocks, cells = _cells(postings, percent, most)
     rows = blocks.join(classes.select("k1", "sig"), "k1")
     sides = cells.select("left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
     rows = sides.join(rows, "block").select("left", "right", "block", "k1", "component", "n", "sig")
@@ -463,7 +465,7 @@ def _common_links(docs: DataFrame, postings: DataFrame, classes: DataFrame, perc
     ordered = rows.repartition("left", "right").sortWithinPartitions("left", "right")
     pairs = stage(map_rows(ordered, compare, fields(("region", "bigint"), ("k1", "bigint"), ("others", "array<bigint>"))), "near")
     # A row without k1 lists all classes of a cell's pairs.
-    sets = _sets(docs, pairs.where("k1 is null").select("region", F.col("others").alias("members")), classes)
+    sets = _sets(docs, pairs.where("k1 is null").select("region", F.col("others").alias("members")), classes, most)
 
     def confirm(batches):
         for _, group in by_key(batches, 1):
@@ -507,7 +509,7 @@ def _common_links(docs: DataFrame, postings: DataFrame, classes: DataFrame, perc
     return map_rows(both.repartition("region").sortWithinPartitions("region", "step"), confirm, fields(("a", "bigint"), ("b", "bigint")))
 
 
-def _sharing(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _sharing(docs: DataFrame, classes: DataFrame, percent: int, most: int) -> DataFrame:
     """Groups of two for all pairs of classes that can be similar, without chance.
 
     A class's shingles are put in order from the rarest on; two sets that are
@@ -523,7 +525,7 @@ def _sharing(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 for x in s.tolist():
                     yield k1, len(s), x
 
-    spread = map_rows(_sets(docs, alone, classes).dropDuplicates(["k1"]).select("k1", "shingles"), each, fields(("k1", "bigint"), ("n", "bigint"), ("shingle", "bigint")), 65_536)
+    spread = map_rows(_sets(docs, alone, classes, most).dropDuplicates(["k1"]).select("k1", "shingles"), each, fields(("k1", "bigint"), ("n", "bigint"), ("shingle", "bigint")), 65_536)
     spread = stage(spread, "near")
     shared = spread.groupBy("shingle").agg(F.count("*").alias("rows_"))
     place = F.row_number().over(Window.partitionBy("k1").orderBy("rows_", "shingle"))
@@ -553,28 +555,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75, exact: bool = False) ->
     signed = stage(_signed(docs), "near")
     some = signed.where("k1 is not null and doc_id is not null")
     classes = some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "sig", "n_shingles")).alias("x"), F.count("*").alias("rows_")).select("k1", "k2", F.col("x.doc_id").alias("rep"), F.col("x.sig").alias("sig"), F.col("x.n_shingles").alias("n_shingles"), "rows_")
-    classes = stage(classes, "near")
+    # Classes are no more than rows, which bounds most tables below.
+    most = signed.count()
+    classes = stage(classes, "near", most)
     if exact:
-        groups = _sharing(docs, classes, percent)
+        groups = _sharing(docs, classes, percent, most)
     else:
-        crowded = _crowded(classes)
-        regions = stage(_regions(classes, crowded), "near")
+        crowded = _crowded(classes, most)
+        regions = stage(_regions(classes, crowded), "near", TREES * most)
         release(spark)
-        groups = stage(_narrowed(regions, classes), "near")
+        groups = stage(_narrowed(regions, classes), "near", TREES * most)
         drop_stage(regions)
-    links = _links(docs, groups, classes, percent)
+    links = _links(docs, groups, classes, percent, most)
     # Rows that share a doc_id connect the classes of their texts.
     own = some.select("doc_id", "k1", "k2").join(classes.where("rows_ > 1").select("k1", "k2", "rep"), ["k1", "k2"])
     repeated = some.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     again = own.join(repeated, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = stage(links.unionByName(again), "near")
     release(spark)
-    found = components(links).select(F.col("node").alias("rep"), "component").distinct()
+    found = components(links, most=links.count()).select(F.col("node").alias("rep"), "component").distinct()
     if not exact and not crowded.isEmpty():
-        more = stage(_crowd_links(docs, crowded, classes, found, percent), "near")
+        more = stage(_crowd_links(docs, crowded, classes, found, percent, most), "near")
         release(spark)
         if not more.isEmpty():
-            found = components(links.unionByName(more)).select(F.col("node").alias("rep"), "component").distinct()
+            found = components(links.unionByName(more), most=links.count() + more.count()).select(F.col("node").alias("rep"), "component").distinct()
     member = signed.join(classes.select("k1", "k2", "rep"), ["k1", "k2"], "left").join(found, "rep", "left")
     # A repeated doc_id may also be reached by another of its rows.
     component = F.coalesce("component", "rep", "doc_id")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from logwarden.llm import neardup
+from logwarden.llm import common, neardup
 from logwarden.llm.common import components
 
 from .helpers import edge_docs, no_docs
@@ -209,3 +209,32 @@ def test_a_large_crowd_is_dealt_to_several_tasks(spark, monkeypatch):
     rows = [x for x in rows if x[0] < 100 or x[0] >= 12_500]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {(x[2], x[0]) for x in run(docs) if not x[3]} == {p for p in pairs if p[1] < 100}
+
+
+def test_little_data_in_many_partitions_ends_in_few_files(spark, monkeypatch):
+    """With many shuffle partitions, tables of known size are written by as many tasks as there are cores, not one for each partition; results are the same."""
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    made = []
+
+    def noted(df, name, rows=None):
+        out = stage(df, name, rows)
+        made.append((rows is not None, len(out.inputFiles())))
+        return out
+
+    stage = common.stage
+    monkeypatch.setattr(common, "stage", noted)
+    monkeypatch.setattr(neardup, "stage", noted)
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    docs = spark.createDataFrame([(i, f"{words(i // 2)} t{i % 2}") for i in range(300)], "doc_id long, text string")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = neardup.near_duplicates(docs).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got) and len(got) == 300
+    few = [n for known, n in made if known]
+    assert len(few) >= 6 and max(few) <= spark.sparkContext.defaultParallelism
+    assert common.file_tasks(spark, 50 * common.FILE_ROWS + 1) == 51
