@@ -267,7 +267,8 @@ def alerts_of(fired: DataFrame, correlations: list[Correlation], hits: DataFrame
     """
     rules = Rules(correlations)
     same = ["rule", "source_batch", "keys"]
-    n, low, high = fired.agg(F.count("*"), F.min("event_ts"), F.max("event_ts")).first()
+    # An alert is a key's, however many anchors it has: so are what is joined by broadcast, and the texts that are looked up.
+    n, low, high = fired.groupBy(*same).agg(F.min("event_ts").alias("low"), F.max("event_ts").alias("high")).agg(F.count("*"), F.min("low"), F.max("high")).first()
     w = Window.partitionBy(*same).orderBy(F.desc("event_ts"), F.desc("n"), "event_id")
     last = fired.withColumn("r_", F.row_number().over(w)).where("r_ = 1").select("rule", "source_batch", "names", "keys", F.col("event_ts").alias("end_"), "n")
     if stored is not None and n:

@@ -947,19 +947,19 @@ def events_appended(spark, sf_dir):
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> Pipeline:
-    """The events as three files that a stream takes in one by one; once for a session and folder."""
+    """The events' texts as three parts that a stream takes in one by one; once for a session and folder. A part is as many files as tasks make its texts, so that none writes, or reads, all of it."""
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/stream-{hashlib.md5(sf_dir.encode(), usedforsecurity=False).hexdigest()}"
     burst = rule("event_count", ("Failed logon",), DAY * 3, {"gte": 2}, title="Burst")
     p = Pipeline(spark, f"{path}/live", pack, lambda: [burst])
     if exists(spark, f"{path}/done"):
         return p
-    # One file after the other, so that they are read in the order of their events.
-    bounds = ("2024-01-10", "2024-01-20", "9999")
+    # One part after the other, each as one micro-batch, so that they are read in the order of their events.
+    every, bounds = made_events(spark, sf_dir), ("2024-01-10", "2024-01-20", "9999")
     for low, high in zip(("", *bounds), bounds, strict=False):
-        part = raw_events(spark, sf_dir).where((F.col("ingested_at") >= low) & (F.col("ingested_at") < high))
-        part.coalesce(1).select(F.col("raw").alias("value")).write.mode("append").text(f"{path}/in")
-    q = p.start(R.stream_events(spark, f"{path}/in", max_files=1).withColumn("source_batch", F.lit("s")), f"{path}/checkpoint", None)
-    q.awaitTermination()
+        part = every.where((F.col("ingested_at") >= low) & (F.col("ingested_at") < high))
+        part.select(F.col("raw").alias("value")).write.mode("append").option("compression", "gzip").text(f"{path}/in")
+        stream = R.stream_events(spark, f"{path}/in", max_files=1_000_000).withColumn("source_batch", F.lit("s"))
+        p.start(stream, f"{path}/checkpoint", None).awaitTermination()
     spark.range(1).write.parquet(f"{path}/done")
     return p
 

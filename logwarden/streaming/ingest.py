@@ -23,6 +23,7 @@ from ..operators import joint
 from ..operators import matching as M
 from ..plans.catalog import Correlation
 from ..plans.sigma import Rule
+from ..sources.readers import TASK_ROWS
 from ..sources.sinks import append_once, remove
 from .store import FAN, AlertTable, BatchTable
 
@@ -63,7 +64,7 @@ class Pipeline:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """One batch: raw and source_batch. The number of jobs is the same for any number of correlations."""
         done = self.alerts.note().get("last_batch", -1)
-        matched = M.match(E.canonical(numbered(batch), key=content_key(batch_id)), self.rules(), self.lists)
+        matched = M.match(E.canonical(numbered(batch, tasks(batch)), key=content_key(batch_id)), self.rules(), self.lists)
         append_once(matched, f"{self.path}/events", batch_id, ("event_ts",))
         stored = self.spark.read.parquet(f"{self.path}/events/micro_batch={batch_id}")
         correlations = [c for c in self.correlations() if c.level != "informational"]
@@ -122,10 +123,20 @@ class Pipeline:
         return events, self.alerts.keep(~F.col("source_batch").eqNullSafe(F.lit(source_batch)))
 
 
-def numbered(batch: DataFrame) -> DataFrame:
-    """batch with copy_, the number of a row among equal ones, so that ids don't depend on how a batch is split."""
-    same = Window.partitionBy("source_batch", F.xxhash64("raw"), "raw").orderBy(F.lit(0))
-    return batch.withColumn("copy_", F.row_number().over(same))
+def tasks(batch: DataFrame, few: int = 5_000) -> int:
+    """How many tasks number, parse, match and sort a batch's rows: as many as there are cores, with few rows or more each, and with TASK_ROWS at most. What is shuffled is texts, which compress well and become wide rows, so sizes of shuffled data don't tell."""
+    rows = batch.count()
+    return max(-(-rows // TASK_ROWS), min(batch.sparkSession.sparkContext.defaultParallelism, -(-rows // few)), 1)
+
+
+def numbered(batch: DataFrame, parts: int | None = None) -> DataFrame:
+    """batch with copy_, the number of a row among equal ones, so that ids don't depend on how a batch is split; in so many partitions, if parts is given."""
+    rows = batch.withColumn("text_", F.xxhash64("raw"))
+    if parts:
+        # The windows below are within its partitions.
+        rows = rows.repartition(parts, "text_")
+    same = Window.partitionBy("text_", "source_batch", "raw").orderBy(F.lit(0))
+    return rows.withColumn("copy_", F.row_number().over(same)).drop("text_")
 
 
 def content_key(batch_id: int) -> Column:
