@@ -293,18 +293,20 @@ def corr_late_hits(spark, sf_dir):
 
 @query("corr_stream_state", _many_sql().replace("SELECT correlation, event_id, rule_title, source_batch, key, n FROM (", "SELECT DISTINCT correlation, event_id, rule_title, key FROM (") + " WHERE correlation IN ('Many 1', 'Many 8')")
 def corr_stream_state(spark, sf_dir):
-    """Two rules over the ledger as a stream of three files, in no order of time, with native state; once for a session and folder."""
+    """Two rules over the ledger as a stream of three micro-batches, in no order of time, with native state; once for a session and folder. The ledger is made once, and a micro-batch is files of some rows each."""
     rules = [c for c in _many_rules() if c.id in ("m1", "m8")]
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/state-{hashlib.md5(sf_dir.encode(), usedforsecurity=False).hexdigest()}"
     if not exists(spark, f"{path}/done"):
-        every = C.ledger(matched(spark, sf_dir), C.hit_spec(rules)).withColumn("part_", F.pmod(F.xxhash64("event_id"), F.lit(3)))
+        every = land(C.ledger(matched(spark, sf_dir), C.hit_spec(rules)).withColumn("part_", F.pmod(F.xxhash64("event_id"), F.lit(3))), f"{path}/hits")
+        # Files by a hash, so that all parts have as many.
+        files = max(1, -(-every.count() // (3 * R.TASK_ROWS)))
         for part in range(3):
-            every.where(F.col("part_") == part).drop("part_").coalesce(1).write.mode("append").parquet(f"{path}/in")
+            every.where(F.col("part_") == part).drop("part_").repartition(files, F.xxhash64("event_id", "rule_title")).write.mode("append").parquet(f"{path}/in")
         setting = "spark.sql.streaming.stateStore.providerClass"
         before = spark.conf.get(setting)
         spark.conf.set(setting, stateful.ROCKS)
         try:
-            stream = spark.readStream.schema(C.LEDGER).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+            stream = spark.readStream.schema(C.LEDGER).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
             fired = stateful.correlate_stream(stream, rules, "365 days").select("correlation", "event_id", "rule_title", F.col("keys")[0].alias("key"))
             fired.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
         finally:
